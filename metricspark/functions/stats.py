@@ -1,9 +1,13 @@
-"""One-pass statistics and how they are attached to rows.
+"""One-pass statistics and how they are applied to rows.
 
-A global statistic is one row; it is attached with a broadcast cross join
-(size bound: exactly one row).  Per-entity statistics are one row per entity
-and are joined on the entity key; AQE turns that join into a broadcast only
-when the measured stats side is small and splits skewed partitions otherwise.
+Global statistics follow the MLlib estimator pattern: one aggregate job
+produces a single row (a handful of numbers per column, independent of the
+data size), which is fetched and applied as literals.  This keeps every
+downstream plan a flat projection instead of re-embedding the upstream plan
+once per statistics pass.  Per-entity statistics (one row per entity) are
+never fetched: they are joined on the entity key; AQE turns that join into a
+broadcast only when the measured stats side is small and splits skewed
+partitions otherwise.
 """
 
 from __future__ import annotations
@@ -14,9 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fit_row(df: DataFrame, aggs: list[Column]) -> dict:
+    """Run one global aggregate (exactly one output row) and return it as a dict."""
+    row = df.agg(*aggs).first()
+    return row.asDict() if row is not None else {}
+
+
+def lit_double(v) -> Column:
+    return F.lit(None).cast("double") if v is None else F.lit(float(v))
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if not by:
-        return df.crossJoin(F.broadcast(stats))
+        return df.crossJoin(F.broadcast(stats))      # exactly one row
     return df.join(stats, on=list(by), how="left")
 
 
@@ -34,5 +48,20 @@ def quantiles(c: Column, ps: Sequence[float], exact: bool = True, accuracy: int
     return F.percentile_approx(c, arr, accuracy)
 
 
-def pop_std(c: Column) -> Column:
-    return F.stddev_pop(c)
+class StatsRef:
+    """Statistics either as literals (global fit) or as columns of a joined stats frame."""
+
+    def __init__(self, values: dict | None):
+        self.values = values
+
+    def __call__(self, name: str) -> Column:
+        if self.values is None:
+            return F.col(name)
+        return lit_double(self.values.get(name))
+
+
+def apply_stats(df: DataFrame, aggs: list[Column], by: Sequence[str] = ()) -> tuple[DataFrame, StatsRef]:
+    """Global: fetch the one-row fit and reference it as literals.  Grouped: join per entity."""
+    if not by:
+        return df, StatsRef(fit_row(df, aggs))
+    return attach_stats(df, df.groupBy(*by).agg(*aggs), by), StatsRef(None)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.stats import attach_stats, global_or_grouped, quantiles
+from ..functions.stats import apply_stats, quantiles
 
 
 def _value_cols(df: DataFrame, cols: Sequence[str] | None, roles: Sequence[str]) -> list[str]:
@@ -43,23 +43,9 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
         aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]
     else:
         aggs = [quantiles(F.col(c).cast("double"), [0.5], exact)[0].alias(f"__f_{c}") for c in cols]
-    stats = global_or_grouped(df, aggs, by)
-    j = attach_stats(df, stats, by)
-    out = j.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__f_{c}")).alias(c) if c in cols else F.col(c)
-                     for c in df.columns])
-    return out
-
-
-def iqr_bounds(df: DataFrame, cols: Sequence[str], threshold: float = 1.5,
-               by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """One row (or one per entity) with ``__lo_c``/``__hi_c`` = Q1 - t*IQR, Q3 + t*IQR."""
-    aggs = [quantiles(F.col(c).cast("double"), [0.25, 0.75], exact).alias(f"__q_{c}") for c in cols]
-    q = global_or_grouped(df, aggs, by)
-    sel = list(by)
-    for c in cols:
-        q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
-        sel += [(q1 - threshold * (q3 - q1)).alias(f"__lo_{c}"), (q3 + threshold * (q3 - q1)).alias(f"__hi_{c}")]
-    return q.select(*sel)
+    j, st = apply_stats(df, aggs, by)
+    return j.select(*[F.coalesce(F.col(c).cast("double"), st(f"__f_{c}")).alias(c) if c in cols else F.col(c)
+                      for c in df.columns])
 
 
 def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 1.5,
@@ -68,11 +54,17 @@ def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
-    j = attach_stats(df, iqr_bounds(df, cols, threshold, by, exact), by)
+    aggs = []
+    for c in cols:
+        q = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
+        aggs += [q[0].alias(f"__q1_{c}"), q[1].alias(f"__q3_{c}")]
+    j, st = apply_stats(df, aggs, by)
     exprs = {}
     for c in cols:
         x = F.col(c).cast("double")
-        exprs[c] = F.when(x.isNotNull(), F.greatest(F.col(f"__lo_{c}"), F.least(F.col(f"__hi_{c}"), x)))
+        q1, q3 = st(f"__q1_{c}"), st(f"__q3_{c}")
+        lo, hi = q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)
+        exprs[c] = F.when(x.isNotNull(), F.greatest(lo, F.least(hi, x)))
     return _replace(j, exprs).select(*df.columns)
 
 
@@ -88,12 +80,12 @@ def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
         x = F.col(c).cast("double")
         aggs += [F.avg(x).alias(f"__mu_{c}"), F.stddev_pop(x).alias(f"__sd_{c}"),
                  quantiles(x, [0.5], exact)[0].alias(f"__md_{c}")]
-    j = attach_stats(df, global_or_grouped(df, aggs, by), by)
+    j, st = apply_stats(df, aggs, by)
     exprs = {}
     for c in cols:
         x = F.col(c).cast("double")
-        z = F.abs((x - F.col(f"__mu_{c}")) / F.nullif(F.col(f"__sd_{c}"), F.lit(0.0)))
-        exprs[c] = F.when(z > threshold, F.col(f"__md_{c}")).otherwise(x)
+        z = F.abs((x - st(f"__mu_{c}")) / F.nullif(st(f"__sd_{c}"), F.lit(0.0)))
+        exprs[c] = F.when(z > threshold, st(f"__md_{c}")).otherwise(x)
     return _replace(j, exprs).select(*df.columns)
 
 

@@ -1,7 +1,8 @@
 """Standard / min-max scaling and its inverse.
 
-The fitted scaler is a one-row statistics DataFrame (lazy, same lineage as
-the data) attached by a broadcast cross join; no driver round trip.
+Fitting runs one aggregate job whose single row (mean and scale per column)
+is kept on the driver, like an MLlib ``StandardScalerModel``; transform and
+inverse are flat projections with those values as literals.
 Standard scaling uses the *population* deviation, a constant column maps to
 0 (scale 1).  ``ml.feature.StandardScaler`` uses the sample deviation and
 ``MinMaxScaler`` maps constants to 0.5, so both are written as expressions.
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
+from ..functions.stats import fit_row, lit_double
 
 SKIP = ("status", "timestamp")
 MINMAX_EPS = 1e-12
@@ -25,7 +27,10 @@ MINMAX_EPS = 1e-12
 class ScalerModel:
     method: str
     cols: list[str]
-    stats: DataFrame  # one row: __mu_c/__sc_c (standard) or __mn_c/__sc_c (min-max)
+    params: dict  # __mu_c/__sc_c (standard) or __mn_c/__sc_c (min-max)
+
+    def p(self, name: str) -> Column:
+        return lit_double(self.params.get(name))
 
 
 def scale_stat_aggs(cols: Sequence[str], method: str, fill_mean: bool = False) -> list[Column]:
@@ -53,25 +58,24 @@ def scale_stat_aggs(cols: Sequence[str], method: str, fill_mean: bool = False) -
 def fit_scaler(df: DataFrame, cols: Sequence[str] | None = None, method: str = "standard",
                roles: Sequence[str] = ()) -> ScalerModel:
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=set(SKIP) | set(roles))
-    return ScalerModel(method, cols, df.agg(*scale_stat_aggs(cols, method)))
+    return ScalerModel(method, cols, fit_row(df, scale_stat_aggs(cols, method)))
 
 
-def scaled(c: str, method: str) -> Column:
-    x = F.col(c).cast("double")
-    if method == "standard":
-        return (x - F.col(f"__mu_{c}")) / F.col(f"__sc_{c}")
-    return x * F.col(f"__sc_{c}") + F.col(f"__mn_{c}")
+def scaled(x: Column, c: str, model: ScalerModel) -> Column:
+    x = x.cast("double")
+    if model.method == "standard":
+        return (x - model.p(f"__mu_{c}")) / model.p(f"__sc_{c}")
+    return x * model.p(f"__sc_{c}") + model.p(f"__mn_{c}")
 
 
-def unscaled(expr: Column, c: str, method: str) -> Column:
-    if method == "standard":
-        return expr * F.col(f"__sc_{c}") + F.col(f"__mu_{c}")
-    return (expr - F.col(f"__mn_{c}")) / (F.col(f"__sc_{c}") + F.lit(MINMAX_EPS))
+def unscaled(expr: Column, c: str, model: ScalerModel) -> Column:
+    if model.method == "standard":
+        return expr * model.p(f"__sc_{c}") + model.p(f"__mu_{c}")
+    return (expr - model.p(f"__mn_{c}")) / (model.p(f"__sc_{c}") + F.lit(MINMAX_EPS))
 
 
 def transform(df: DataFrame, model: ScalerModel) -> DataFrame:
-    j = df.crossJoin(F.broadcast(model.stats))
-    return j.select(*[scaled(c, model.method).alias(c) if c in model.cols else F.col(c) for c in df.columns])
+    return df.select(*[scaled(F.col(c), c, model).alias(c) if c in model.cols else F.col(c) for c in df.columns])
 
 
 def scale(df: DataFrame, method: str = "standard", cols: Sequence[str] | None = None,
@@ -90,11 +94,9 @@ def inverse_frame(df: DataFrame, model: ScalerModel | None, cols: Sequence[str]
     cols = [c for c in (cols if cols is not None else model.cols) if c in df.columns and c in model.cols]
     if not cols:
         return df
-    j = df.crossJoin(F.broadcast(model.stats))
     if suffix:
-        return j.select(*df.columns, *[unscaled(F.col(c), c, model.method).alias(c + suffix) for c in cols])
-    return j.select(*[unscaled(F.col(c), c, model.method).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
+        return df.select(*df.columns, *[unscaled(F.col(c), c, model).alias(c + suffix) for c in cols])
+    return df.select(*[unscaled(F.col(c), c, model).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def inverse_values(df: DataFrame, model: ScalerModel | None, value_col: str, as_col: str,
@@ -103,8 +105,5 @@ def inverse_values(df: DataFrame, model: ScalerModel | None, value_col: str, as_
     out = out or value_col
     if model is None or as_col not in model.cols:
         return df.withColumn(out, F.col(value_col).cast("double"))
-    wanted = {f"{p}{as_col}" for p in ("__mu_", "__sc_", "__mn_")}
-    stats = model.stats.select(*[c for c in model.stats.columns if c in wanted])
-    j = df.crossJoin(F.broadcast(stats))
     keep = [c for c in df.columns if c != out]
-    return j.select(*keep, unscaled(F.col(value_col), as_col, model.method).alias(out))
+    return df.select(*keep, unscaled(F.col(value_col), as_col, model).alias(out))

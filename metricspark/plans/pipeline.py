@@ -1,9 +1,9 @@
 """The preprocessing chain: impute mean -> IQR clip -> features -> residual fill -> standard scale.
 
-Three aggregate passes (means; quartiles; fill+scale statistics) and one
-window.  Every statistic is a one-row DataFrame attached by broadcast cross
-join, so the whole chain is one lazy plan.  For training, materialise the
-result once (``checkpoint`` to the shared checkpoint dir or write Parquet).
+Three aggregate jobs (means; quartiles; fill+scale statistics), each one
+output row applied as literals, and one window.  The returned frame is a flat
+projection over the source scan.  For training, materialise it once
+(``checkpoint`` to the shared checkpoint dir or write Parquet).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import model_columns, numeric_columns
 from ..operators.clean import clip_iqr, impute
 from ..operators.features import engineer_features
-from ..operators.scale import ScalerModel, scale_stat_aggs, scaled
+from ..functions.stats import fit_row, lit_double
+from ..operators.scale import ScalerModel, scale_stat_aggs
 from .order import DEFAULT_BUCKET_WIDTHS
 
 
@@ -65,24 +66,22 @@ def preprocess(df: DataFrame, entity_cols: Sequence[str] = ("host_id",), order_c
     if method != "standard":
         aggs += [F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in scale_cols]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in fill_only]
-    stats = s3.agg(*aggs)
-    j = s3.crossJoin(F.broadcast(stats))
+    st = fit_row(s3, aggs)
+
+    def p(name):
+        return lit_double(st.get(name))
     out = []
     for c in s3.columns:
         if c in num_all:
-            filled = F.coalesce(F.col(c).cast("double"), F.col(f"__mu_{c}"))
+            filled = F.coalesce(F.col(c).cast("double"), p(f"__mu_{c}"))
             if c in scale_cols:
-                sc = (filled - F.col(f"__mu_{c}")) / F.col(f"__sc_{c}") if method == "standard" \
-                    else filled * F.col(f"__sc_{c}") + F.col(f"__mn_{c}")
+                sc = (filled - p(f"__mu_{c}")) / p(f"__sc_{c}") if method == "standard" \
+                    else filled * p(f"__sc_{c}") + p(f"__mn_{c}")
                 out.append(sc.alias(c))
             else:
                 out.append(filled.alias(c))
         else:
             out.append(F.col(c))
-    model_stats = stats.select(*[c for c in stats.columns
-                                 if any(c == f"{p}{s}" for s in scale_cols for p in ("__mu_", "__sc_", "__mn_"))])
-    return Preprocessed(j.select(*out), ScalerModel(method, scale_cols, model_stats), roles,
+    params = {k: v for k, v in st.items() if any(k == f"{q}{c}" for c in scale_cols for q in ("__mu_", "__sc_", "__mn_"))}
+    return Preprocessed(s3.select(*out), ScalerModel(method, scale_cols, params), roles,
                         label_col, time_col, list(df.columns))
-
-
-_ = scaled  # re-exported for callers that transform new rows with the fitted scaler

@@ -5,18 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns
-from ..operators import clean, features, profile, scale
+from ..operators import anomaly, clean, features, predict, profile, scale
 from ..sources import csv as csvsrc
 from ..sources import records
 from ..sources.tables import load_metrics
 from ..session import scratch_path
 from . import sqltext as S
-from .order import first_n_per_entity
+from .order import first_n_per_entity, with_position
 from .pipeline import preprocess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,5 +389,561 @@ def q_train_test_split(spark, sf_dir):
     return load_metrics(spark, sf_dir).select("row_key", "host_id", split_expr().alias("split"))
 
 
-_ = first_n_per_entity
+
+
+# ---------------------------------------------------------------- H. prediction analytics
+# A deterministic predictor stands in for a fitted model wherever the result is
+# SQL-checked: pred = 0.6 * lag1 + 0.4 * rolling_avg on the scaled features,
+# mapped back to original units with the target's scaler statistics.
+PRED_W = (0.6, 0.4)
+REF_TIME = "2025-01-01 00:00:00"
+
+
+def prediction_frame(spark, sf_dir) -> DataFrame:
+    p = preprocess(load_metrics(spark, sf_dir))
+    cols = []
+    for c, short in (("cpu_utilization", "cpu"), ("memory_usage", "mem")):
+        pred_s = F.lit(PRED_W[0]) * F.col(f"{c}_lag1") + F.lit(PRED_W[1]) * F.col(f"{c}_rolling_avg")
+        cols += [scale.unscaled(F.col(c), c, p.scaler).alias(f"{short}_actual"),
+                 scale.unscaled(pred_s, c, p.scaler).alias(f"{short}_pred")]
+    j = p.df.select("row_key", "host_id", "timestamp", *cols)
+    return j.withColumn("combined", predict.combined_load(F.col("cpu_pred"), F.col("mem_pred")))
+
+
+def _pred_ctes():
+    sel = []
+    for c, short in (("cpu_utilization", "cpu"), ("memory_usage", "mem")):
+        sel.append(f"{c} * sc_{c} + mu_{c} AS {short}_actual")
+        sel.append(f"(6e-1 * {c}_lag1 + 4e-1 * {c}_rolling_avg) * sc_{c} + mu_{c} AS {short}_pred")
+    return S.processed_ctes() + [
+        ("pred0", f"SELECT row_key, host_id, timestamp, {', '.join(sel)} FROM processed CROSS JOIN proc_s"),
+        ("pred", "SELECT *, CASE WHEN mem_pred IS NULL THEN cpu_pred ELSE (cpu_pred + mem_pred) / 2e0 END "
+                 "AS combined FROM pred0"),
+    ]
+
+
+def _z_ctes():
+    st = ", ".join(f"avg({S.d(c)}) AS zmu_{c}, sqrt(var_pop({S.d(c)}) * count({c}) / count(*)) AS zsd_{c}"
+                   for c in S.NUM)
+    zs = ", ".join(f"abs((coalesce({S.d(c)}, zmu_{c}) - zmu_{c}) / nullif(zsd_{c}, 0e0))" for c in S.NUM)
+    return [("z_s", f"SELECT {st} FROM metrics"),
+            ("zsc0", f"SELECT metrics.*, greatest({zs}) AS anomaly_score FROM metrics CROSS JOIN z_s"),
+            ("zsc", "SELECT *, coalesce(anomaly_score > 3e0, false) AS is_anomaly FROM zsc0")]
+
+
+def zscored(spark, sf_dir) -> DataFrame:
+    m = load_metrics(spark, sf_dir)
+    return anomaly.zscore_anomalies(m, metric_value_cols(m), 3.0)
+
+
+_TARGETS = [("cpu", "cpu_actual", "cpu_pred"), ("memory", "mem_actual", "mem_pred")]
+
+
+@register("error_original_units", S.rounded(S.with_ctes(_pred_ctes(), " UNION ALL ".join(
+    f"SELECT '{t}' AS target, avg(abs({p} - {a})) AS mae, "
+    f"round(avg(abs(({a} - {p}) / (abs({a}) + 1e-9))) * 100e0, 3) AS mape FROM pred" for t, a, p in _TARGETS)),
+    ["mae"]))
+def q_error_original_units(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    # MAPE divides by |actual| + 1e-9; near-zero actuals amplify last-bit differences, so 3 decimals.
+    parts = [predict.error_metrics(pf, a, p).select(F.lit(t).alias("target"), "mae", F.round("mape", 3).alias("mape"))
+             for t, a, p in _TARGETS]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
+@register("prediction_stats", S.rounded(S.with_ctes(_pred_ctes(), " UNION ALL ".join(
+    f"SELECT '{t}' AS target, avg({p}) AS mean_prediction, stddev_pop({p}) AS std_prediction FROM pred"
+    for t, a, p in _TARGETS)), ["mean_prediction", "std_prediction"]))
+def q_prediction_stats(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    parts = [pf.agg(F.lit(t).alias("target"), F.avg(p).alias("mean_prediction"),
+                    F.stddev_pop(p).alias("std_prediction")) for t, a, p in _TARGETS]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
+def _forecast_sql(final_cols: str, dbl):
+    ctes = _pred_ctes() + [
+        ("tail", "SELECT host_id, row_key, cpu_pred FROM (SELECT host_id, row_key, cpu_pred, row_number() OVER "
+                 "(PARTITION BY host_id ORDER BY row_key DESC) AS k FROM pred) t WHERE k <= 6"),
+        ("st0", "SELECT host_id, arg_max(cpu_pred, row_key) AS last_value, arg_min(cpu_pred, row_key) AS first_value, "
+                "count(*) AS n FROM tail GROUP BY host_id"),
+        ("st", "SELECT host_id, last_value, CASE WHEN n > 1 THEN (last_value - first_value) / (n - 1) ELSE 0e0 END "
+               "AS slope FROM st0"),
+        ("fc", "SELECT host_id, CAST(i AS INT) AS step, greatest(0e0, least(100e0, last_value + slope * i)) AS value, "
+               "slope, CASE WHEN slope > 2e-1 THEN 'increasing' WHEN slope < -2e-1 THEN 'decreasing' "
+               "ELSE 'stable' END AS trend FROM st CROSS JOIN range(1, 21) r(i)"),
+    ]
+    return S.rounded(S.with_ctes(ctes, f"SELECT {final_cols} FROM fc"), dbl)
+
+
+def _forecast(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    return predict.slope_forecast(pf, ["host_id"], "row_key", "cpu_pred", horizon=20)
+
+
+@register("slope_forecast", _forecast_sql("host_id, step, value", ["value"]))
+def q_slope_forecast(spark, sf_dir):
+    return round_doubles(_forecast(spark, sf_dir).select("host_id", "step", "value"))
+
+
+@register("forecast_trend", _forecast_sql("DISTINCT host_id, slope, trend", ["slope"]))
+def q_forecast_trend(spark, sf_dir):
+    return round_doubles(_forecast(spark, sf_dir).select("host_id", "slope", "trend").distinct())
+
+
+@register("time_labels", S.with_ctes([], (
+    "SELECT row_key, host_id, CAST(timestamp AS VARCHAR) AS label, 'Interval ' || CAST(row_number() OVER "
+    f"({S.W}) AS VARCHAR) AS interval_label FROM metrics")))
+def q_time_labels(spark, sf_dir):
+    m = with_position(load_metrics(spark, sf_dir).select("row_key", "host_id", "timestamp"),
+                      ["host_id"], "row_key", "pos")
+    return m.select("row_key", "host_id", predict.time_labels(m, "timestamp", "pos").alias("label"),
+                    predict.time_labels(m, None, "pos").alias("interval_label"))
+
+
+@register("latest_prediction", S.rounded(S.with_ctes(_pred_ctes(), (
+    "SELECT host_id, arg_max(cpu_pred, row_key) AS cpu_latest, arg_max(mem_pred, row_key) AS memory_latest, "
+    "arg_max(combined, row_key) AS combined_latest FROM pred GROUP BY host_id")),
+    ["cpu_latest", "memory_latest", "combined_latest"]))
+def q_latest_prediction(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    return round_doubles(pf.groupBy("host_id").agg(
+        F.max_by("cpu_pred", "row_key").alias("cpu_latest"), F.max_by("mem_pred", "row_key").alias("memory_latest"),
+        F.max_by("combined", "row_key").alias("combined_latest")))
+
+
+@register("prediction_head_50", S.rounded(S.with_ctes(_pred_ctes(), (
+    "SELECT host_id, row_key, cpu_pred, mem_pred FROM (SELECT *, row_number() OVER "
+    f"({S.W}) AS k FROM pred) t WHERE k <= 50")), ["cpu_pred", "mem_pred"]))
+def q_prediction_head_50(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir).select("host_id", "row_key", "cpu_pred", "mem_pred")
+    return round_doubles(first_n_per_entity(pf, ["host_id"], "row_key", 50))
+
+
+@register("combined_load", S.rounded(S.with_ctes(_pred_ctes(), "SELECT row_key, host_id, combined AS combined_load "
+                                                               "FROM pred"), ["combined_load"]))
+def q_combined_load(spark, sf_dir):
+    return round_doubles(prediction_frame(spark, sf_dir).select("row_key", "host_id",
+                                                                F.col("combined").alias("combined_load")))
+
+
+@register("predictions_summary", S.rounded(S.with_ctes(_pred_ctes() + _z_ctes(), (
+    "SELECT (SELECT arg_max(combined, row_key) FROM pred) AS latest_combined, "
+    "(SELECT (avg(cpu_pred) + avg(mem_pred)) / 2e0 FROM pred) AS average_confidence, "
+    "(SELECT count(*) FROM pred) AS n_predictions, "
+    "(SELECT count(*) FILTER (WHERE is_anomaly) FROM zsc) AS anomalies_detected")),
+    ["latest_combined", "average_confidence"]))
+def q_predictions_summary(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    a = pf.agg(F.max_by("combined", "row_key").alias("latest_combined"),
+               ((F.avg("cpu_pred") + F.avg("mem_pred")) / 2.0).alias("average_confidence"),
+               F.count(F.lit(1)).alias("n_predictions"))
+    z = zscored(spark, sf_dir).agg(F.count_if("is_anomaly").alias("anomalies_detected"))
+    return round_doubles(a.crossJoin(z))
+
+
+_HIST_N = 20
+
+
+@register("prediction_history", S.rounded(S.with_ctes(_pred_ctes() + _z_ctes() + [
+    ("h", f"SELECT p.*, z.is_anomaly FROM pred p JOIN zsc z ON p.row_key = z.row_key ORDER BY p.row_key "
+          f"LIMIT {_HIST_N}"),
+    ("h2", "SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS i FROM h")],
+    f"SELECT row_key, TIMESTAMP '{REF_TIME}' - to_minutes(CAST({_HIST_N} - i AS INT)) AS time, "
+    "combined AS predicted, cpu_actual AS actual, cpu_pred AS cpu_predicted, cpu_actual, "
+    "mem_pred AS memory_predicted, mem_actual AS memory_actual, "
+    "CASE WHEN combined < 40 THEN 'Low' WHEN combined < 60 THEN 'Medium' WHEN combined < 80 THEN 'High' "
+    "ELSE 'Critical' END AS load_level, is_anomaly AS anomaly, abs(cpu_pred - cpu_actual) AS confidence FROM h2"),
+    ["predicted", "actual", "cpu_predicted", "cpu_actual", "memory_predicted", "memory_actual", "confidence"]))
+def q_prediction_history(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    z = zscored(spark, sf_dir).select("row_key", "is_anomaly")
+    head = pf.orderBy("row_key").limit(_HIST_N)
+    head = head.join(z, "row_key", "left").withColumn(
+        "i", F.row_number().over(Window.orderBy("row_key")) - 1)   # <= 20 rows
+    return round_doubles(head.select(
+        "row_key", predict.relative_time(REF_TIME, F.col("i"), _HIST_N).alias("time"),
+        F.col("combined").alias("predicted"), F.col("cpu_actual").alias("actual"),
+        F.col("cpu_pred").alias("cpu_predicted"), "cpu_actual", F.col("mem_pred").alias("memory_predicted"),
+        F.col("mem_actual").alias("memory_actual"), predict.load_level(F.col("combined")).alias("load_level"),
+        F.coalesce(F.col("is_anomaly"), F.lit(False)).alias("anomaly"),
+        F.abs(F.col("cpu_pred") - F.col("cpu_actual")).alias("confidence")))
+
+
+_LEVEL_SQL = ("CASE WHEN combined < 40 THEN 'Low' WHEN combined < 60 THEN 'Medium' WHEN combined < 80 THEN 'High' "
+              "ELSE 'Critical' END")
+
+
+@register("load_level", S.with_ctes(_pred_ctes(), f"SELECT row_key, host_id, {_LEVEL_SQL} AS load_level FROM pred"))
+def q_load_level(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    return pf.select("row_key", "host_id", predict.load_level(F.col("combined")).alias("load_level"))
+
+
+@register("load_level_distribution", S.rounded(S.with_ctes(_pred_ctes() + [
+    ("lv", f"SELECT {_LEVEL_SQL} AS load_level, count(*) AS count FROM pred GROUP BY 1")],
+    "SELECT load_level, count, count * 100e0 / sum(count) OVER () AS share_pct FROM lv"), ["share_pct"]))
+def q_load_level_distribution(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir).select(predict.load_level(F.col("combined")).alias("load_level"))
+    return round_doubles(predict.level_distribution(pf))
+
+
+@register("prediction_range", S.rounded(S.with_ctes(_pred_ctes(), (
+    "SELECT host_id, min(combined) AS prediction_min, max(combined) AS prediction_max FROM (SELECT *, row_number() "
+    f"OVER ({S.W}) AS k FROM pred) t WHERE k <= 50 GROUP BY host_id")), ["prediction_min", "prediction_max"]))
+def q_prediction_range(spark, sf_dir):
+    head = first_n_per_entity(prediction_frame(spark, sf_dir), ["host_id"], "row_key", 50)
+    return round_doubles(head.groupBy("host_id").agg(F.min("combined").alias("prediction_min"),
+                                                     F.max("combined").alias("prediction_max")))
+
+
+@register("series_with_forecast", S.rounded(S.with_ctes(_pred_ctes() + [
+    ("tail", "SELECT host_id, row_key, cpu_pred FROM (SELECT host_id, row_key, cpu_pred, row_number() OVER "
+             "(PARTITION BY host_id ORDER BY row_key DESC) AS k FROM pred) t WHERE k <= 6"),
+    ("st0", "SELECT host_id, arg_max(cpu_pred, row_key) AS last_value, arg_min(cpu_pred, row_key) AS first_value, "
+            "count(*) AS n FROM tail GROUP BY host_id"),
+    ("st", "SELECT host_id, last_value, CASE WHEN n > 1 THEN (last_value - first_value) / (n - 1) ELSE 0e0 END "
+           "AS slope FROM st0"),
+    ("cnt", "SELECT host_id, count(*) AS n FROM pred GROUP BY host_id")],
+    f"SELECT host_id, 'series' AS kind, row_number() OVER ({S.W}) - 1 AS seq, CAST(timestamp AS VARCHAR) AS label, "
+    "cpu_pred AS value FROM pred UNION ALL "
+    "SELECT st.host_id, 'forecast', n + i - 1, 'F' || CAST(i AS VARCHAR), "
+    "greatest(0e0, least(100e0, last_value + slope * i)) FROM st JOIN cnt ON st.host_id = cnt.host_id "
+    "CROSS JOIN range(1, 21) r(i)"), ["value"]))
+def q_series_with_forecast(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    series = with_position(pf.select("host_id", "row_key", "timestamp", "cpu_pred"), ["host_id"], "row_key", "seq")
+    s = series.select("host_id", F.lit("series").alias("kind"), "seq",
+                      F.col("timestamp").cast("string").alias("label"), F.col("cpu_pred").alias("value"))
+    n = pf.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"))
+    fc = predict.slope_forecast(pf, ["host_id"], "row_key", "cpu_pred", 20).join(n, "host_id")
+    f = fc.select("host_id", F.lit("forecast").alias("kind"), (F.col("n") + F.col("step") - 1).alias("seq"),
+                  F.concat(F.lit("F"), F.col("step").cast("string")).alias("label"), "value")
+    return round_doubles(s.unionByName(f))
+
+
+@register("actual_vs_predicted", S.rounded(S.with_ctes(_pred_ctes() + [
+    ("lim", "SELECT least(min(cpu_actual), min(cpu_pred)) AS axis_min, "
+            "greatest(max(cpu_actual), max(cpu_pred)) AS axis_max FROM pred")],
+    "SELECT row_key, cpu_actual AS actual, cpu_pred AS predicted, axis_min, axis_max FROM "
+    "(SELECT * FROM pred ORDER BY row_key LIMIT 200) h CROSS JOIN lim"),
+    ["actual", "predicted", "axis_min", "axis_max"]))
+def q_actual_vs_predicted(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    lim = pf.agg(F.least(F.min("cpu_actual"), F.min("cpu_pred")).alias("axis_min"),
+                 F.greatest(F.max("cpu_actual"), F.max("cpu_pred")).alias("axis_max"))
+    head = pf.orderBy("row_key").limit(200).select("row_key", F.col("cpu_actual").alias("actual"),
+                                                   F.col("cpu_pred").alias("predicted"))
+    return round_doubles(head.crossJoin(F.broadcast(lim)))
+
+
+
+# ---------------------------------------------------------------- I. anomaly detection
+@register("anomaly_zscore", S.rounded(S.with_ctes(_z_ctes(), "SELECT row_key, host_id, anomaly_score, is_anomaly "
+                                                            "FROM zsc"), ["anomaly_score"]))
+def q_anomaly_zscore(spark, sf_dir):
+    return round_doubles(zscored(spark, sf_dir).select("row_key", "host_id", "anomaly_score", "is_anomaly"))
+
+
+_TOP_COLS = "row_key AS row_index, anomaly_score, cpu_utilization, memory_usage, network_latency"
+
+
+@register("anomaly_top_n", S.rounded(S.with_ctes(_z_ctes(), (
+    f"SELECT {_TOP_COLS} FROM zsc WHERE is_anomaly ORDER BY anomaly_score DESC, row_key LIMIT 10")),
+    ["anomaly_score"]))
+def q_anomaly_top_n(spark, sf_dir):
+    top = anomaly.top_anomalies(zscored(spark, sf_dir), "row_key", 10)
+    return round_doubles(top.select(F.col("row_key").alias("row_index"), "anomaly_score", "cpu_utilization",
+                                    "memory_usage", "network_latency"))
+
+
+@register("anomaly_report", S.rounded(S.with_ctes(_z_ctes() + [
+    ("tot", "SELECT count(*) AS total_records, count(*) FILTER (WHERE is_anomaly) AS anomalies_count FROM zsc"),
+    ("top", f"SELECT row_number() OVER (ORDER BY anomaly_score DESC, row_key) AS rank, {_TOP_COLS} FROM zsc "
+            "WHERE is_anomaly ORDER BY anomaly_score DESC, row_key LIMIT 10")],
+    "SELECT 'statistical' AS method, total_records, anomalies_count, "
+    "anomalies_count * 100e0 / total_records AS anomaly_percentage, CAST(rank AS INT) AS rank, row_index, "
+    "anomaly_score, cpu_utilization, memory_usage, network_latency FROM tot CROSS JOIN top"),
+    ["anomaly_percentage", "anomaly_score"]))
+def q_anomaly_report(spark, sf_dir):
+    z = zscored(spark, sf_dir)
+    tot = z.agg(F.count(F.lit(1)).alias("total_records"), F.count_if("is_anomaly").alias("anomalies_count"))
+    top = anomaly.top_anomalies(z, "row_key", 10).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.col("anomaly_score").desc(), "row_key")))  # <= 10 rows
+    return round_doubles(tot.crossJoin(top).select(
+        F.lit("statistical").alias("method"), "total_records", "anomalies_count",
+        (F.col("anomalies_count") * 100.0 / F.col("total_records")).alias("anomaly_percentage"), "rank",
+        F.col("row_key").alias("row_index"), "anomaly_score", "cpu_utilization", "memory_usage", "network_latency"))
+
+
+_VIS = ["cpu_utilization", "memory_usage", "network_latency"]
+
+
+@register("anomaly_split_samples", S.rounded(S.with_ctes(_z_ctes() + [
+    ("lg", " UNION ALL ".join(f"SELECT row_key, is_anomaly, '{c}' AS column_name, {S.d(c)} AS value FROM zsc"
+                              for c in _VIS))],
+    "SELECT row_key, is_anomaly, column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name, "
+    "is_anomaly ORDER BY row_key) AS k FROM lg) t WHERE k <= 100"), ["value"]))
+def q_anomaly_split_samples(spark, sf_dir):
+    return round_doubles(anomaly.split_samples(zscored(spark, sf_dir), _VIS, "row_key", n=100))
+
+
+_SERIES = [("cpu", "cpu_actual", "CPU usage", 0), ("memory", "mem_actual", "memory usage", 1)]
+
+
+def series_anomaly_frame(spark, sf_dir) -> DataFrame:
+    pf = with_position(prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index")
+    parts = []
+    for metric, col, label, rank in _SERIES:
+        a = anomaly.series_anomalies(pf, ["host_id"], col, label, extra_cols=["row_key", "index", "timestamp"])
+        parts.append(a.select("host_id", F.lit(metric).alias("metric"), F.lit(rank).alias("metric_order"),
+                              "index", F.col("timestamp").cast("string").alias("location"), "value", "z_score",
+                              "direction", "explanation"))
+    return parts[0].unionByName(parts[1])
+
+
+def _series_ctes():
+    parts = []
+    for metric, col, label, rank in _SERIES:
+        parts.append(
+            f"SELECT p.host_id, '{metric}' AS metric, {rank} AS metric_order, idx AS index, "
+            f"CAST(timestamp AS VARCHAR) AS location, {col} AS value, abs(({col} - mu) / sd) AS z_score, "
+            f"CASE WHEN {col} > mu THEN 'surge' ELSE 'drop' END AS direction, "
+            f"'Spike detected due to sudden {label} ' || CASE WHEN {col} > mu THEN 'surge' ELSE 'drop' END || '.' "
+            f"AS explanation FROM pidx p JOIN (SELECT host_id, avg({col}) AS mu, stddev_pop({col}) AS sd FROM pred "
+            f"GROUP BY host_id) s ON p.host_id = s.host_id WHERE sd >= 1e-9 AND abs(({col} - mu) / sd) > 2.5e0")
+    return _pred_ctes() + [
+        # position = number of earlier rows of the host (DuckDB 2.0 mis-shifts row_number() - 1 under a filter)
+        ("pidx", f"SELECT *, CAST(count(*) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) "
+                 "AS idx FROM pred"),
+        ("sa", " UNION ALL ".join(parts))]
+
+
+@register("series_anomalies", S.rounded(S.with_ctes(_series_ctes(), (
+    "SELECT host_id, metric, index, location, value, z_score, direction, explanation FROM sa")),
+    ["value", "z_score"]))
+def q_series_anomalies(spark, sf_dir):
+    return round_doubles(series_anomaly_frame(spark, sf_dir).drop("metric_order"))
+
+
+@register("merged_anomalies", S.rounded(S.with_ctes(_series_ctes(), (
+    "SELECT host_id, metric, index, value, z_score FROM (SELECT *, row_number() OVER (PARTITION BY host_id "
+    "ORDER BY index, metric_order) AS k FROM sa) t WHERE k <= 40")), ["value", "z_score"]))
+def q_merged_anomalies(spark, sf_dir):
+    sa = series_anomaly_frame(spark, sf_dir)
+    top = first_n_per_entity(sa, ["host_id"], [F.col("index"), F.col("metric_order")], 40)
+    return round_doubles(top.select("host_id", "metric", "index", "value", "z_score"))
+
+
+@register("anomaly_summary", S.rounded(S.with_ctes(_series_ctes() + _z_ctes(), (
+    "SELECT 'statistical' AS method, (SELECT count(*) FROM sa) AS total_anomalies, "
+    "(SELECT count(*) FROM sa WHERE metric = 'cpu') AS cpu_anomalies, "
+    "(SELECT count(*) FROM sa WHERE metric = 'memory') AS memory_anomalies, "
+    "(SELECT round(count(*) FILTER (WHERE is_anomaly) * 100e0 / count(*), 2) FROM zsc) AS zscore_anomaly_percentage")),
+    []))
+def q_anomaly_summary(spark, sf_dir):
+    sa = series_anomaly_frame(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("total_anomalies"), F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
+        F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
+    z = zscored(spark, sf_dir).agg(
+        F.round(F.count_if("is_anomaly") * 100.0 / F.count(F.lit(1)), 2).alias("zscore_anomaly_percentage"))
+    return sa.crossJoin(z).select(F.lit("statistical").alias("method"), "total_anomalies", "cpu_anomalies",
+                                  "memory_anomalies", "zscore_anomaly_percentage")
+
+
+@register("anomaly_overlay", S.rounded(S.with_ctes(_series_ctes() + [
+    ("acpu", "SELECT host_id, index, value FROM sa WHERE metric = 'cpu'"),
+    ("ov", "SELECT p.host_id, p.idx AS index, CAST(p.timestamp AS VARCHAR) AS label, p.cpu_actual AS value, "
+           "a.value AS anomaly_value FROM pidx p LEFT JOIN acpu a ON p.host_id = a.host_id AND p.idx = a.index")],
+    # the position filter sits above the join: DuckDB 2.0 shifted row_number() - 1 when it was pushed into pidx
+    "SELECT * FROM ov WHERE index + 0 < 120"), ["value", "anomaly_value"]))
+def q_anomaly_overlay(spark, sf_dir):
+    pf = with_position(prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index").where(F.col("index") < 120)
+    an = series_anomaly_frame(spark, sf_dir).where(F.col("metric") == "cpu").select(
+        "host_id", "index", F.col("value").alias("anomaly_value"))
+    return round_doubles(pf.join(an, ["host_id", "index"], "left").select(
+        "host_id", "index", F.col("timestamp").cast("string").alias("label"), F.col("cpu_actual").alias("value"),
+        "anomaly_value"))
+
+
+@register("anomaly_points", S.rounded(S.with_ctes(_z_ctes() + [
+    ("zi", f"SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS position FROM zsc")],
+    " UNION ALL ".join(f"SELECT row_key, host_id, position, is_anomaly, '{c}' AS column_name, {S.d(c)} AS value "
+                       "FROM zi" for c in _VIS)), ["value"]))
+def q_anomaly_points(spark, sf_dir):
+    z = with_position(zscored(spark, sf_dir), [], "row_key", "position")
+    return round_doubles(anomaly.points_long(z, _VIS, ["row_key", "host_id", "position"]))
+
+
+
+# ---------------------------------------------------------------- J. right-sizing and packing
+from ..operators import packing, rightsize  # noqa: E402
+from ..sources.tables import load_tasks  # noqa: E402
+
+CPU_LIMIT, MEM_LIMIT, HC_ITERS = 9.0, 85.0, 100   # cpu limit low enough to reach the penalty branch
+SLOTS, PACK_CPU, PACK_MEM = 3, 80.0, 85.0          # few slots so that some tasks stay unplaced
+
+
+def _climbed(spark, sf_dir, trace=False):
+    st = rightsize.initial_state(load_metrics(spark, sf_dir), ["host_id"])
+    return rightsize.hill_climb(st, "host_id", HC_ITERS, CPU_LIMIT, MEM_LIMIT, trace=trace)
+
+
+def _cost_sql(c, m, p):
+    return (f"{p} + CASE WHEN {c} > {CPU_LIMIT!r} THEN ({c} - {CPU_LIMIT!r}) * 2e0 ELSE 0e0 END"
+            f" + CASE WHEN {m} > {MEM_LIMIT!r} THEN ({m} - {MEM_LIMIT!r}) * 2e0 ELSE 0e0 END")
+
+
+def _hc_ctes():
+    cm, mm, lm = rightsize.CPU_MOVE, rightsize.MEM_MOVE, rightsize.LAT_MOVE
+    rc = f"({cm[0]!r} + {cm[1] - cm[0]!r} * u)"
+    rm = f"({mm[0]!r} + {mm[1] - mm[0]!r} * u)"
+    rl = f"({lm[0]!r} + {lm[1] - lm[0]!r} * u)"
+    nb = (f"SELECT host_id, it, cpu, mem, pwr, lat, dio, cost, n_impr, "
+          f"CASE WHEN mv = 0 THEN greatest(0e0, cpu * (1e0 - {rc})) ELSE cpu END AS ncpu, "
+          f"CASE WHEN mv = 1 THEN greatest(0e0, mem * (1e0 - {rm})) ELSE mem END AS nmem, "
+          f"CASE WHEN mv = 0 THEN greatest(0e0, pwr * (1e0 - {rc} * {cm[2]!r})) "
+          f"WHEN mv = 1 THEN greatest(0e0, pwr * (1e0 - {rm} * {mm[2]!r})) ELSE pwr END AS npwr, "
+          f"CASE WHEN mv = 2 THEN greatest(0e0, lat * (1e0 - {rl})) ELSE lat END AS nlat, "
+          f"CASE WHEN mv = 2 THEN greatest(0e0, dio * (1e0 - {rl} * {lm[2]!r})) ELSE dio END AS ndio "
+          "FROM (SELECT *, r % 3 AS mv, (r % 1000) / 1e3 AS u FROM (SELECT *, "
+          "(((host_id % 65536) * 75 + it * 7919) * 1103515 + 12345) % 1000003 AS r FROM {src}) a) b")
+    step = f"SELECT *, {_cost_sql('ncpu', 'nmem', 'npwr')} AS ncost FROM ({nb}) c"
+    init = ", ".join(f"coalesce(avg({S.d(c)}), 0e0) AS {c}" for c in rightsize.STATE_COLS)
+    return [
+        ("st0", f"SELECT host_id, {init} FROM metrics GROUP BY host_id"),
+        ("hc", "SELECT host_id, 0 AS it, cpu_utilization AS cpu, memory_usage AS mem, power_consumption AS pwr, "
+               "network_latency AS lat, disk_io AS dio, "
+               f"{_cost_sql('cpu_utilization', 'memory_usage', 'power_consumption')} AS cost, 0 AS n_impr FROM st0 "
+               "UNION ALL SELECT host_id, it + 1, CASE WHEN ncost < cost THEN ncpu ELSE cpu END, "
+               "CASE WHEN ncost < cost THEN nmem ELSE mem END, CASE WHEN ncost < cost THEN npwr ELSE pwr END, "
+               "CASE WHEN ncost < cost THEN nlat ELSE lat END, CASE WHEN ncost < cost THEN ndio ELSE dio END, "
+               "CASE WHEN ncost < cost THEN ncost ELSE cost END, n_impr + CASE WHEN ncost < cost THEN 1 ELSE 0 END "
+               f"FROM ({step.format(src='hc')}) s WHERE it < {HC_ITERS}"),
+        ("steps", step.format(src=f"(SELECT * FROM hc WHERE it < {HC_ITERS})")),
+        ("fin", f"SELECT s.*, {_cost_sql('s.cpu_utilization', 's.memory_usage', 's.power_consumption')} "
+                "AS initial_cost, h.cpu AS best_cpu_utilization, h.mem AS best_memory_usage, "
+                "h.pwr AS best_power_consumption, h.lat AS best_network_latency, h.dio AS best_disk_io, "
+                f"h.cost AS best_cost, h.n_impr AS n_improvements FROM st0 s JOIN hc h ON s.host_id = h.host_id "
+                f"AND h.it = {HC_ITERS}"),
+    ]
+
+
+_STATE_DBL = rightsize.STATE_COLS
+
+
+@register("initial_state", S.rounded(S.with_ctes(_hc_ctes()[:1], "SELECT * FROM st0"), _STATE_DBL))
+def q_initial_state(spark, sf_dir):
+    return round_doubles(rightsize.initial_state(load_metrics(spark, sf_dir), ["host_id"]))
+
+
+@register("state_cost", S.rounded(S.with_ctes(_hc_ctes()[:1], (
+    f"SELECT host_id, {_cost_sql('cpu_utilization', 'memory_usage', 'power_consumption')} AS cost FROM st0")),
+    ["cost"]))
+def q_state_cost(spark, sf_dir):
+    st = rightsize.initial_state(load_metrics(spark, sf_dir), ["host_id"])
+    return round_doubles(st.select("host_id", rightsize.cost_expr(
+        F.col("cpu_utilization"), F.col("memory_usage"), F.col("power_consumption"), CPU_LIMIT, MEM_LIMIT)
+        .alias("cost")))
+
+
+_HC_OUT = ["initial_cost", "best_cpu_utilization", "best_memory_usage", "best_power_consumption",
+           "best_network_latency", "best_disk_io", "best_cost"]
+
+
+@register("hill_climb", S.rounded(S.with_ctes(_hc_ctes(), "SELECT host_id, " + ", ".join(_HC_OUT)
+                                              + ", n_improvements FROM fin", recursive=True), _HC_OUT))
+def q_hill_climb(spark, sf_dir):
+    return round_doubles(_climbed(spark, sf_dir).select("host_id", *_HC_OUT, "n_improvements"))
+
+
+@register("hill_climb_trace", S.rounded(S.with_ctes(_hc_ctes(), (
+    "SELECT host_id, CAST(it AS INT) AS iteration, cost AS current_cost, ncost AS neighbor_cost, "
+    "ncost < cost AS is_improvement FROM steps"), recursive=True), ["current_cost", "neighbor_cost"]))
+def q_hill_climb_trace(spark, sf_dir):
+    c = _climbed(spark, sf_dir, trace=True)
+    return round_doubles(c.select("host_id", F.explode("trace").alias("t")).select("host_id", "t.*"))
+
+
+@register("optimization_result", S.rounded(S.with_ctes(_hc_ctes(), (
+    "SELECT host_id, greatest(0e0, cpu_utilization - best_cpu_utilization) AS cpu_reduction, "
+    "greatest(0e0, memory_usage - best_memory_usage) AS memory_reduction, "
+    "greatest(0e0, power_consumption - best_power_consumption) AS power_reduction, best_cost, "
+    f"concat_ws(' | ', CASE WHEN best_cpu_utilization > {CPU_LIMIT!r} THEN '{rightsize.CPU_OVER}' "
+    f"WHEN best_cpu_utilization < {CPU_LIMIT * 0.6!r} THEN '{rightsize.CPU_LOW}' END, "
+    f"CASE WHEN best_memory_usage > {MEM_LIMIT!r} THEN '{rightsize.MEM_OVER}' "
+    f"WHEN best_memory_usage < {MEM_LIMIT * 0.7!r} THEN '{rightsize.MEM_LOW}' END) AS recommendations FROM fin"),
+    recursive=True), ["cpu_reduction", "memory_reduction", "power_reduction", "best_cost"]))
+def q_optimization_result(spark, sf_dir):
+    return round_doubles(rightsize.optimization_result(_climbed(spark, sf_dir), ["host_id"], CPU_LIMIT, MEM_LIMIT))
+
+
+@register("savings_summary", S.rounded(S.with_ctes(_hc_ctes(), (
+    "SELECT host_id, (cpu_utilization + memory_usage) / 2e0 AS current_usage, cpu_utilization AS current_cpu_usage, "
+    "memory_usage AS current_memory_usage, (best_cpu_utilization + best_memory_usage) / 2e0 AS optimized_usage, "
+    "best_cpu_utilization AS optimized_cpu_usage, best_memory_usage AS optimized_memory_usage, "
+    "((cpu_utilization + memory_usage) / 2e0 - (best_cpu_utilization + best_memory_usage) / 2e0) / "
+    "((cpu_utilization + memory_usage) / 2e0 + 1e-9) * 100e0 AS potential_savings, "
+    "CAST(round_even(greatest(75e0, least(85e0, best_cpu_utilization + 5e0)), 0) AS INT) AS cpu_limit, "
+    "CAST(round_even(greatest(80e0, least(90e0, best_memory_usage + 5e0)), 0) AS INT) AS memory_limit FROM fin"),
+    recursive=True), ["current_usage", "current_cpu_usage", "current_memory_usage", "optimized_usage",
+                      "optimized_cpu_usage", "optimized_memory_usage", "potential_savings"]))
+def q_savings_summary(spark, sf_dir):
+    return round_doubles(rightsize.savings(_climbed(spark, sf_dir), ["host_id"]))
+
+
+@register("infeasible_tasks", S.with_ctes([S.tasks_cte()], (
+    f"SELECT *, CASE WHEN cpu_req > {CPU_LIMIT!r} THEN 'cpu' ELSE 'memory' END AS reason FROM tasks "
+    f"WHERE cpu_req > {CPU_LIMIT!r} OR memory_req > {MEM_LIMIT!r}")))
+def q_infeasible_tasks(spark, sf_dir):
+    return packing.infeasible(load_tasks(spark, sf_dir), cpu_limit=CPU_LIMIT, mem_limit=MEM_LIMIT)
+
+
+def _ff_ctes():
+    rng = f"range(1, {SLOTS + 1})"
+    zeros = f"list_transform({rng}, lambda k: 0e0)"
+    return [S.tasks_cte(),
+            ("t", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY priority DESC, task_id) AS rn FROM tasks"),
+            ("ff", f"SELECT group_id, CAST(0 AS BIGINT) AS rn, {zeros} AS cl, {zeros} AS ml, "
+                   "CAST(NULL AS BIGINT) AS task_id, CAST(NULL AS INT) AS slot FROM (SELECT DISTINCT group_id FROM t) g "
+                   f"UNION ALL SELECT group_id, rn, list_transform({rng}, lambda k: CASE WHEN k = idx THEN cl[k] + c "
+                   f"ELSE cl[k] END), list_transform({rng}, lambda k: CASE WHEN k = idx THEN ml[k] + m ELSE ml[k] END), "
+                   "task_id, CAST(idx - 1 AS INT) FROM (SELECT ff.group_id, t.rn, ff.cl, ff.ml, t.task_id, "
+                   "t.cpu_req AS c, t.memory_req AS m, list_position(list_transform("
+                   f"{rng}, lambda k: ff.cl[k] + t.cpu_req <= {PACK_CPU!r} AND ff.ml[k] + t.memory_req <= "
+                   f"{PACK_MEM!r}), true) AS idx FROM ff JOIN t ON t.group_id = ff.group_id AND t.rn = ff.rn + 1) s"),
+            ("sched", "SELECT t.group_id, t.task_id, t.cpu_req, t.memory_req, t.priority, ff.slot, t.rn FROM t "
+                      "JOIN ff ON t.group_id = ff.group_id AND t.task_id = ff.task_id")]
+
+
+def _scheduled(spark, sf_dir):
+    return packing.first_fit(load_tasks(spark, sf_dir), slots=SLOTS, cpu_limit=PACK_CPU, mem_limit=PACK_MEM)
+
+
+@register("first_fit_schedule", S.with_ctes(_ff_ctes(), (
+    "SELECT group_id, task_id, cpu_req, memory_req, priority, slot IS NOT NULL AS placed, "
+    "coalesce(slot, -1) AS slot FROM sched"), recursive=True))
+def q_first_fit_schedule(spark, sf_dir):
+    # unplaced is NULL in the library; shown as -1 plus a flag so both engines type it alike
+    s = _scheduled(spark, sf_dir)
+    return s.select("group_id", "task_id", "cpu_req", "memory_req", "priority",
+                    F.col("slot").isNotNull().alias("placed"), F.coalesce("slot", F.lit(-1)).alias("slot"))
+
+
+@register("schedule_summary", S.rounded(S.with_ctes(_ff_ctes(), (
+    "SELECT group_id, count(slot) AS scheduled_count, count(*) AS total_tasks, "
+    "CASE WHEN count(*) > 0 THEN count(slot) * 100e0 / count(*) ELSE 0e0 END AS success_rate, "
+    f"CASE WHEN count(slot) > 0 THEN '{packing.SUGGEST_PLACED}' ELSE '{packing.SUGGEST_NONE}' END AS suggestion "
+    "FROM sched GROUP BY group_id"), recursive=True), ["success_rate"]))
+def q_schedule_summary(spark, sf_dir):
+    return round_doubles(packing.schedule_summary(_scheduled(spark, sf_dir)))
+
+
+@register("slot_loads", S.rounded(S.with_ctes(_ff_ctes(), (
+    "SELECT group_id, slot, sum(cpu_req) AS cpu, sum(memory_req) AS memory, count(*) AS n_tasks, "
+    "string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY rn) AS task_ids FROM sched WHERE slot IS NOT NULL "
+    "GROUP BY group_id, slot"), recursive=True), ["cpu", "memory"]))
+def q_slot_loads(spark, sf_dir):
+    return round_doubles(packing.slot_loads(_scheduled(spark, sf_dir)))
+
 FLAGSHIP = "preprocess_pipeline"

@@ -21,9 +21,9 @@ def d(c: str) -> str:
     return f"CAST({c} AS DOUBLE)"
 
 
-def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
+def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
     parts = [("metrics", METRICS_SQL)] + ctes
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" + final
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" + final
 
 
 def tasks_cte() -> tuple[str, str]:
