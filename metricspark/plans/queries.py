@@ -946,4 +946,143 @@ def q_schedule_summary(spark, sf_dir):
 def q_slot_loads(spark, sf_dir):
     return round_doubles(packing.slot_loads(_scheduled(spark, sf_dir)))
 
+
+
+# ---------------------------------------------------------------- K. alerts and live metrics (batch)
+from ..operators import alerts  # noqa: E402
+
+_FEED_SQL = ("SELECT row_key, host_id, timestamp, coalesce(cpu_utilization, 50e0) AS cpu_usage, "
+             "coalesce(memory_usage, 60e0) AS memory_usage, coalesce(network_latency, 50e0) AS network_traffic, "
+             "'operational' AS status, 'csv_data' AS source FROM metrics")
+_ALERT_SQL = " UNION ALL ".join(
+    f"SELECT row_key, host_id, timestamp, '{m}' AS metric, '{prefix}' || CAST(CAST(floor({m} + 0.5e0) AS BIGINT) "
+    f"AS VARCHAR) || '{unit}' AS message, '{sev}' AS severity FROM feed WHERE {m} > {lim!r}"
+    for m, lim, prefix, unit, sev in alerts.ALERT_RULES)
+_SUP_CTES = [
+    ("feed", _FEED_SQL), ("al0", _ALERT_SQL),
+    ("al", "SELECT *, epoch_us(timestamp) AS us, row_number() OVER (PARTITION BY host_id, message "
+           "ORDER BY timestamp, row_key) AS rn FROM al0"),
+    ("sup", "SELECT host_id, message, rn, row_key, us AS last, true AS kept FROM al WHERE rn = 1 UNION ALL "
+            "SELECT a.host_id, a.message, a.rn, a.row_key, CASE WHEN a.us - s.last >= 5000000 THEN a.us ELSE s.last "
+            "END, a.us - s.last >= 5000000 FROM sup s JOIN al a ON a.host_id = s.host_id AND a.message = s.message "
+            "AND a.rn = s.rn + 1"),
+    ("kept", "SELECT a.row_key, a.host_id, a.timestamp, a.metric, a.message, a.severity FROM al a JOIN sup s "
+             "ON a.host_id = s.host_id AND a.message = s.message AND a.rn = s.rn WHERE s.kept"),
+]
+
+
+def feed_frame(spark, sf_dir) -> DataFrame:
+    return alerts.metric_feed(load_metrics(spark, sf_dir))
+
+
+def kept_alerts(spark, sf_dir) -> DataFrame:
+    al = alerts.threshold_alerts(feed_frame(spark, sf_dir))
+    return alerts.suppress(al, ["host_id", "message"], "timestamp", alerts.SUPPRESS_SECONDS, "row_key")
+
+
+@register("metric_feed", S.with_ctes([], _FEED_SQL))
+def q_metric_feed(spark, sf_dir):
+    return feed_frame(spark, sf_dir)
+
+
+@register("metric_fallback", S.rounded(S.with_ctes([], (
+    "SELECT host_id, coalesce(avg(cpu_utilization), 50e0) AS cpu_usage, coalesce(avg(memory_usage), 60e0) "
+    "AS memory_usage, coalesce(avg(network_latency), 50e0) AS network_traffic, CASE WHEN count(*) > 0 THEN "
+    "'operational' ELSE 'waiting_for_data' END AS status, CASE WHEN count(*) > 0 THEN 'dataset_stats' ELSE 'default' "
+    "END AS source FROM metrics GROUP BY host_id")), ["cpu_usage", "memory_usage", "network_traffic"]))
+def q_metric_fallback(spark, sf_dir):
+    return round_doubles(alerts.metric_fallback(load_metrics(spark, sf_dir), ["host_id"]))
+
+
+def _kpi_sql(c):
+    return f"CASE WHEN {c} > 80e0 THEN 'danger' WHEN {c} > 60e0 THEN 'warning' ELSE 'success' END"
+
+
+@register("kpi_status", S.with_ctes([("feed", _FEED_SQL)], (
+    f"SELECT row_key, host_id, {_kpi_sql('cpu_usage')} AS cpu_status, {_kpi_sql('memory_usage')} AS memory_status, "
+    f"{_kpi_sql('network_traffic')} AS network_status FROM feed")))
+def q_kpi_status(spark, sf_dir):
+    f = feed_frame(spark, sf_dir)
+    return f.select("row_key", "host_id", alerts.kpi_status(F.col("cpu_usage")).alias("cpu_status"),
+                    alerts.kpi_status(F.col("memory_usage")).alias("memory_status"),
+                    alerts.kpi_status(F.col("network_traffic")).alias("network_status"))
+
+
+@register("current_load_level", S.with_ctes([("feed", _FEED_SQL)], (
+    "SELECT row_key, host_id, CASE WHEN (cpu_usage + memory_usage) / 2e0 < 40 THEN 'LOW' WHEN (cpu_usage + "
+    "memory_usage) / 2e0 < 60 THEN 'MEDIUM' WHEN (cpu_usage + memory_usage) / 2e0 < 80 THEN 'HIGH' ELSE 'CRITICAL' "
+    "END AS load_level FROM feed")))
+def q_current_load_level(spark, sf_dir):
+    f = feed_frame(spark, sf_dir)
+    return f.select("row_key", "host_id",
+                    alerts.current_load_level(F.col("cpu_usage"), F.col("memory_usage")).alias("load_level"))
+
+
+@register("threshold_alerts", S.with_ctes([("feed", _FEED_SQL)], _ALERT_SQL))
+def q_threshold_alerts(spark, sf_dir):
+    return alerts.threshold_alerts(feed_frame(spark, sf_dir))
+
+
+@register("alert_suppression", S.with_ctes(_SUP_CTES, "SELECT * FROM kept", recursive=True))
+def q_alert_suppression(spark, sf_dir):
+    return kept_alerts(spark, sf_dir)
+
+
+@register("last_60_buffer", S.with_ctes([("feed", _FEED_SQL)], (
+    "SELECT host_id, row_key, CAST(k AS INT) AS rank, cpu_usage, memory_usage, network_traffic, k <= 20 AS shown "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY row_key DESC) AS k FROM feed) t WHERE k <= 60")))
+def q_last_60_buffer(spark, sf_dir):
+    f = feed_frame(spark, sf_dir).select("host_id", "row_key", "cpu_usage", "memory_usage", "network_traffic")
+    out = alerts.newest_first(f, ["host_id"], [F.col("row_key").desc()], 60, 20)
+    return out.select("host_id", "row_key", "rank", "cpu_usage", "memory_usage", "network_traffic", "shown")
+
+
+@register("recent_alerts", S.with_ctes(_SUP_CTES, (
+    "SELECT host_id, row_key, message, severity, timestamp, CAST(k AS INT) AS rank, k <= 5 AS shown FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY timestamp DESC, row_key DESC, message) AS k "
+    "FROM kept) t WHERE k <= 20"), recursive=True))
+def q_recent_alerts(spark, sf_dir):
+    k = kept_alerts(spark, sf_dir)
+    out = alerts.newest_first(k, ["host_id"], [F.col("timestamp").desc(), F.col("row_key").desc(), F.col("message")],
+                              20, 5)
+    return out.select("host_id", "row_key", "message", "severity", "timestamp", "rank", "shown")
+
+
+def _conf(actual, pred):
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(pred - actual) / (F.abs(actual) + F.lit(1e-9)))
+
+
+@register("recent_history", S.rounded(S.with_ctes(_pred_ctes() + _z_ctes() + [
+    ("hist", "SELECT p.host_id, p.row_key, p.combined, z.is_anomaly, greatest(0e0, 1e0 - abs(p.cpu_pred - p.cpu_actual) "
+             "/ (abs(p.cpu_actual) + 1e-9)) AS confidence FROM pred p JOIN zsc z ON p.row_key = z.row_key")],
+    f"SELECT host_id, row_key, {_LEVEL_SQL} AS load_level, is_anomaly AS anomaly, round(confidence * 100e0, 1) "
+    "AS confidence_pct, CAST(k AS INT) AS rank, k <= 20 AS shown FROM (SELECT *, row_number() OVER (PARTITION BY "
+    "host_id ORDER BY row_key DESC) AS k FROM hist) t WHERE k <= 50"), []))
+def q_recent_history(spark, sf_dir):
+    pf = prediction_frame(spark, sf_dir)
+    z = zscored(spark, sf_dir).select("row_key", "is_anomaly")
+    h = pf.join(z, "row_key").select(
+        "host_id", "row_key", predict.load_level(F.col("combined")).alias("load_level"),
+        F.col("is_anomaly").alias("anomaly"),
+        F.round(_conf(F.col("cpu_actual"), F.col("cpu_pred")) * 100.0, 1).alias("confidence_pct"))
+    out = alerts.newest_first(h, ["host_id"], [F.col("row_key").desc()], 50, 20)
+    return out.select("host_id", "row_key", "load_level", "anomaly", "confidence_pct", "rank", "shown")
+
+
+LOAD_ALERT_CRIT, LOAD_ALERT_WARN = 35.0, 30.0   # low enough that the test data reaches both branches
+
+
+@register("predicted_load_alert", S.rounded(S.with_ctes(_pred_ctes() + [
+    ("g", "SELECT host_id, avg(cpu_pred) AS avg_cpu, coalesce(avg(mem_pred), 0e0) AS avg_memory FROM pred "
+          "GROUP BY host_id"),
+    ("g2", "SELECT *, CASE WHEN avg_memory > 0 THEN (avg_cpu + avg_memory) / 2e0 ELSE avg_cpu END AS avg_pred FROM g")],
+    f"SELECT host_id, avg_cpu, avg_memory, avg_pred, CASE WHEN avg_pred > {LOAD_ALERT_CRIT!r} THEN 'critical' "
+    f"ELSE 'warning' END AS severity, printf('%s predicted load (CPU %.1f%%, Memory %.1f%%): %.1f%%', "
+    f"CASE WHEN avg_pred > {LOAD_ALERT_CRIT!r} THEN 'High' ELSE 'Elevated' END, avg_cpu, avg_memory, avg_pred) "
+    f"AS message FROM g2 WHERE avg_pred > {LOAD_ALERT_WARN!r}"), ["avg_cpu", "avg_memory", "avg_pred"]))
+def q_predicted_load_alert(spark, sf_dir):
+    out = alerts.predicted_load_alert(prediction_frame(spark, sf_dir), ["host_id"],
+                                      critical=LOAD_ALERT_CRIT, warning=LOAD_ALERT_WARN)
+    return round_doubles(out)
+
 FLAGSHIP = "preprocess_pipeline"
