@@ -1085,4 +1085,137 @@ def q_predicted_load_alert(spark, sf_dir):
                                       critical=LOAD_ALERT_CRIT, warning=LOAD_ALERT_WARN)
     return round_doubles(out)
 
+
+
+# ---------------------------------------------------------------- K. streams (batch twins as oracle)
+from ..streaming import feeds  # noqa: E402
+
+
+@register("stream_metric_feed", ORACLE["metric_feed"])
+def q_stream_metric_feed(spark, sf_dir):
+    return feeds.metric_feed_stream(spark, sf_dir)
+
+
+@register("stream_alert_suppression", ORACLE["alert_suppression"])
+def q_stream_alert_suppression(spark, sf_dir):
+    return feeds.suppressed_alerts_stream(spark, sf_dir)
+
+
+@register("stream_last_60", ORACLE["last_60_buffer"])
+def q_stream_last_60(spark, sf_dir):
+    return feeds.last_n_stream(spark, sf_dir, 60, 20)
+
+
+
+# ---------------------------------------------------------------- G. regression models (MLlib) and I2
+from ..operators import iforest, models  # noqa: E402
+
+# Test-scale model sizes (the library defaults are 100 trees / 100 rounds).
+RF_TREES, RF_DEPTH, GBT_ITERS = 20, 5, 20
+
+
+def training_frame(spark, sf_dir, target="cpu_utilization"):
+    """Preprocessed rows with the split label, materialised once (checkpoint to the shared dir)."""
+    p = preprocess(load_metrics(spark, sf_dir))
+    df = p.df.withColumn("split", split_expr()).checkpoint(eager=True)
+    return df, p.feature_columns(target)
+
+
+def _split(df, name):
+    return df.where(F.col("split") == name)
+
+
+@register("fit_linear")
+def q_fit_linear(spark, sf_dir):
+    df, feats = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
+    return models.coefficients(m, feats)
+
+
+def _tree_metrics(spark, sf_dir, kind, **kw):
+    df, feats = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, "train"), feats, "cpu_utilization", kind, **kw)
+    return models.evaluate(m, _split(df, "test"), "cpu_utilization").select(F.lit(kind).alias("model"), "*")
+
+
+@register("fit_random_forest")
+def q_fit_random_forest(spark, sf_dir):
+    return _tree_metrics(spark, sf_dir, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    return _tree_metrics(spark, sf_dir, "gradient_boosting", gbt_iter=GBT_ITERS)
+
+
+@register("train_score")
+def q_train_score(spark, sf_dir):
+    df, feats = training_frame(spark, sf_dir)
+    tr = _split(df, "train")
+    m = models.fit(tr, feats, "cpu_utilization", "linear")
+    return models.evaluate(m, tr, "cpu_utilization").select(F.lit("linear").alias("model"), "r2", "n")
+
+
+@register("regression_metrics", S.rounded(S.with_ctes(S.processed_ctes() + [
+    ("ev", f"SELECT cpu_utilization AS y, 6e-1 * cpu_utilization_lag1 + 4e-1 * cpu_utilization_rolling_avg AS p "
+           f"FROM processed WHERE {SPLIT_SQL} = 'test'")],
+    "SELECT avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, "
+    "1e0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r2, count(*) AS n FROM ev"), ["mae", "rmse", "r2"]))
+def q_regression_metrics(spark, sf_dir):
+    p = preprocess(load_metrics(spark, sf_dir)).df
+    ev = p.where(split_expr() == "test").select(
+        F.col("cpu_utilization").alias("y"),
+        (F.lit(PRED_W[0]) * F.col("cpu_utilization_lag1") + F.lit(PRED_W[1]) * F.col("cpu_utilization_rolling_avg"))
+        .alias("p"))
+    return round_doubles(predict.regression_metrics(ev, "y", "p"))
+
+
+@register("predict_all")
+def q_predict_all(spark, sf_dir):
+    df, feats = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
+    return models.predict(m, df, keep=["row_key", "host_id", "split"])
+
+
+@register("feature_importance_top5")
+def q_feature_importance_top5(spark, sf_dir):
+    df, feats = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "random_forest",
+                   num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return models.feature_importance(m, feats, 5)
+
+
+@register("prediction_samples")
+def q_prediction_samples(spark, sf_dir):
+    df, feats = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
+    head = df.orderBy("row_key").limit(5)
+    return models.predict(m, head, keep=["row_key", "cpu_utilization"]).select(
+        "row_key", F.col("cpu_utilization").alias("actual"), F.col("prediction").alias("predicted"),
+        F.abs(F.col("prediction") - F.col("cpu_utilization")).alias("error"))
+
+
+@register("train_two_targets")
+def q_train_two_targets(spark, sf_dir):
+    p = preprocess(load_metrics(spark, sf_dir))
+    df = p.df.withColumn("split", split_expr()).checkpoint(eager=True)
+    parts = []
+    for target in ("cpu_utilization", "memory_usage"):
+        if target not in df.columns:
+            continue
+        feats = p.feature_columns(target)
+        m = models.fit(_split(df, "train"), feats, target, "linear")
+        parts.append(models.evaluate(m, _split(df, "test"), target).select(F.lit(target).alias("target"), "*"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@register("anomaly_isolation_forest")
+def q_anomaly_isolation_forest(spark, sf_dir):
+    m = load_metrics(spark, sf_dir)
+    out = iforest.isolation_forest(m, metric_value_cols(m), contamination=0.05, n_trees=100, psi=256, seed=42)
+    return out.select("row_key", "host_id", "anomaly_score", "is_anomaly")
+
 FLAGSHIP = "preprocess_pipeline"
