@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sqlexpr import dlit, q
+
 
 def fit_row(df: DataFrame, aggs: list[Column]) -> dict:
     """Run one global aggregate (exactly one output row) and return it as a dict."""
@@ -59,6 +61,11 @@ class StatsRef:
             return F.col(name)
         return lit_double(self.values.get(name))
 
+    def sql(self, name: str) -> str:
+        if self.values is None:
+            return q(name)
+        return dlit(self.values.get(name))
+
 
 def apply_stats(df: DataFrame, aggs: list[Column], by: Sequence[str] = ()) -> tuple[DataFrame, StatsRef]:
     """Global: fetch the one-row fit and reference it as literals.  Grouped: join per entity."""

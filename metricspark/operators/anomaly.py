@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import apply_stats
 from ..plans.order import first_n_per_entity
 
@@ -26,11 +27,11 @@ def zscore_anomalies(df: DataFrame, cols: Sequence[str], z_threshold: float = 3.
     j, st = apply_stats(df, aggs, by)
     zs = []
     for c in cols:
-        filled = F.coalesce(F.col(c).cast("double"), st(f"__mu_{c}"))
-        zs.append(F.abs((filled - st(f"__mu_{c}")) / F.nullif(st(f"__sd_{c}"), F.lit(0.0))))
-    score = F.greatest(*zs) if len(zs) > 1 else zs[0]
-    out = j.select(*df.columns, score.alias("anomaly_score"))
-    return out.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > z_threshold, F.lit(False)))
+        mu, sd = st.sql(f"__mu_{c}"), st.sql(f"__sd_{c}")
+        zs.append(f"abs((coalesce({dcol(c)}, {mu}) - {mu}) / nullif({sd}, 0D))")
+    score = f"greatest({', '.join(zs)})" if len(zs) > 1 else zs[0]
+    out = j.selectExpr(*[q(c) for c in df.columns], f"{score} AS anomaly_score")
+    return out.selectExpr("*", f"coalesce(anomaly_score > {dlit(z_threshold)}, false) AS is_anomaly")
 
 
 def top_anomalies(scored: DataFrame, order_col: str, n: int = 10, score_col: str = "anomaly_score",

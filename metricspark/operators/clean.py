@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
+from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import apply_stats, quantiles
 
 
@@ -20,8 +21,8 @@ def _value_cols(df: DataFrame, cols: Sequence[str] | None, roles: Sequence[str])
     return list(cols) if cols is not None else numeric_columns(df, exclude=roles)
 
 
-def _replace(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+def _replace_sql(df: DataFrame, out_cols: Sequence[str], exprs: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{exprs[c]} AS {q(c)}" if c in exprs else q(c) for c in out_cols])
 
 
 def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None,
@@ -44,8 +45,8 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
     else:
         aggs = [quantiles(F.col(c).cast("double"), [0.5], exact)[0].alias(f"__f_{c}") for c in cols]
     j, st = apply_stats(df, aggs, by)
-    return j.select(*[F.coalesce(F.col(c).cast("double"), st(f"__f_{c}")).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
+    return j.selectExpr(*[f"coalesce({dcol(c)}, {st.sql(f'__f_{c}')}) AS {q(c)}" if c in cols else q(c)
+                          for c in df.columns])
 
 
 def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 1.5,
@@ -56,16 +57,16 @@ def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
         return df
     aggs = []
     for c in cols:
-        q = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
-        aggs += [q[0].alias(f"__q1_{c}"), q[1].alias(f"__q3_{c}")]
+        qs = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
+        aggs += [qs[0].alias(f"__q1_{c}"), qs[1].alias(f"__q3_{c}")]
     j, st = apply_stats(df, aggs, by)
+    t = dlit(threshold)
     exprs = {}
     for c in cols:
-        x = F.col(c).cast("double")
-        q1, q3 = st(f"__q1_{c}"), st(f"__q3_{c}")
-        lo, hi = q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)
-        exprs[c] = F.when(x.isNotNull(), F.greatest(lo, F.least(hi, x)))
-    return _replace(j, exprs).select(*df.columns)
+        q1, q3 = st.sql(f"__q1_{c}"), st.sql(f"__q3_{c}")
+        lo, hi = f"({q1} - {t} * ({q3} - {q1}))", f"({q3} + {t} * ({q3} - {q1}))"
+        exprs[c] = f"CASE WHEN {q(c)} IS NOT NULL THEN greatest({lo}, least({hi}, {dcol(c)})) END"
+    return _replace_sql(j, df.columns, exprs)
 
 
 def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 3.0,
@@ -83,10 +84,9 @@ def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
     j, st = apply_stats(df, aggs, by)
     exprs = {}
     for c in cols:
-        x = F.col(c).cast("double")
-        z = F.abs((x - st(f"__mu_{c}")) / F.nullif(st(f"__sd_{c}"), F.lit(0.0)))
-        exprs[c] = F.when(z > threshold, st(f"__md_{c}")).otherwise(x)
-    return _replace(j, exprs).select(*df.columns)
+        z = f"abs(({dcol(c)} - {st.sql(f'__mu_{c}')}) / nullif({st.sql(f'__sd_{c}')}, 0D))"
+        exprs[c] = f"CASE WHEN {z} > {dlit(threshold)} THEN {st.sql(f'__md_{c}')} ELSE {dcol(c)} END"
+    return _replace_sql(j, df.columns, exprs)
 
 
 def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5, **kw) -> DataFrame:

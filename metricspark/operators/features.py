@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, present
+from ..functions.sqlexpr import dcol, dlit, q
 from ..plans.order import DEFAULT_BUCKET_WIDTHS, rolling_select
 
 # Ratio features (fixed values): output name, numerator, denominator.
@@ -26,16 +27,16 @@ RATIO_EPS = 1e-9
 
 def _rolling_exprs(cols, window):
     def make(w):
-        frame = w.rowsBetween(-(window - 1), 0)
+        frame = f"({w} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
         out = []
         for c in cols:
-            x = F.col(c).cast("double")
-            out.append(F.avg(x).over(frame).alias(f"{c}_rolling_avg"))
+            x = dcol(c)
+            out.append(f"avg({x}) OVER {frame} AS {q(c + '_rolling_avg')}")
             # pandas: fewer than two values -> NaN -> filled with 0.
-            out.append(F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0)).alias(f"{c}_rolling_std"))
+            out.append(f"coalesce(stddev_samp({x}) OVER {frame}, 0D) AS {q(c + '_rolling_std')}")
         for c in cols:
             # First row, or a NULL previous value, falls back to the row's own value.
-            out.append(F.coalesce(F.lag(F.col(c), 1).over(w), F.col(c)).alias(f"{c}_lag1"))
+            out.append(f"coalesce(lag({q(c)}, 1) OVER ({w}), {q(c)}) AS {q(c + '_lag1')}")
         return out
     return make
 
@@ -55,18 +56,17 @@ def moving_average(df: DataFrame, entity_cols: Sequence[str], order_col: str,
     cols = present(df, cols)
 
     def make(w):
-        frame = w.rowsBetween(-(n - 1), 0)
-        return [F.when(F.count(F.col(c)).over(frame) == n, F.avg(F.col(c).cast("double")).over(frame))
-                .alias(f"{c}_ma{n}") for c in cols]
+        frame = f"({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        return [f"CASE WHEN count({q(c)}) OVER {frame} = {n} THEN avg({dcol(c)}) OVER {frame} END "
+                f"AS {q(f'{c}_ma{n}')}" for c in cols]
     return rolling_select(df, entity_cols, order_col, make, lookback=n - 1, bucket_widths=bucket_widths)
 
 
 def ratio_features(df: DataFrame, eps: float = RATIO_EPS) -> DataFrame:
     """a / (b + eps) for each known pair whose two columns exist."""
     names = set(df.columns)
-    extra = [(F.col(a).cast("double") / (F.col(b).cast("double") + F.lit(eps))).alias(n)
-             for n, a, b in RATIOS if a in names and b in names]
-    return df.select("*", *extra)
+    extra = [f"{dcol(a)} / ({dcol(b)} + {dlit(eps)}) AS {q(n)}" for n, a, b in RATIOS if a in names and b in names]
+    return df.selectExpr("*", *extra)
 
 
 def engineer_features(df: DataFrame, entity_cols: Sequence[str], order_col: str,

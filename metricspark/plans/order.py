@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sqlexpr import q
+
 # Key-range widths for the two repair levels.  Keys are the order column's
 # integer value (or microseconds for timestamps).  Level 1 bounds a window
 # partition to 2**20 keys; level 2 re-buckets the edge rows by 2**30 keys.
@@ -61,36 +63,54 @@ def entity_window(entity_cols: Sequence[str], order_col: str) -> WindowSpec:
     return w.orderBy(order_col)
 
 
+def bucket_sql(df: DataFrame, order_col: str, width: int) -> str:
+    dt = df.schema[order_col].dataType
+    c = q(order_col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        num = f"unix_micros(CAST({c} AS TIMESTAMP))"
+    elif isinstance(dt, T.DateType):
+        num = f"CAST(unix_date({c}) AS BIGINT)"
+    else:
+        num = f"CAST({c} AS BIGINT)"
+    return f"CAST(floor({num} / {int(width)}) AS BIGINT)"
+
+
+def window_sql(partition: Sequence[str], order_col: str) -> str:
+    part = f"PARTITION BY {', '.join(q(p) for p in partition)} " if partition else ""
+    return f"{part}ORDER BY {q(order_col)}"
+
+
 def rolling_select(
     df: DataFrame,
     entity_cols: Sequence[str],
     order_col: str,
-    make_cols: Callable[[WindowSpec], list[Column]],
+    make_cols: Callable[[str], list[str]],
     lookback: int,
     bucket_widths: Sequence[int] | None = DEFAULT_BUCKET_WIDTHS,
     _level: int = 0,
 ) -> DataFrame:
-    """``df`` plus the columns ``make_cols(w)`` where ``w`` is the entity window.
+    """``df`` plus the SQL expressions ``make_cols(w)`` where ``w`` is the text of the
+    entity window (``PARTITION BY ... ORDER BY ...``).
 
-    ``make_cols`` must only read rows inside ``rowsBetween(-lookback, 0)`` of
-    ``w`` (or ``lag(c, k)`` with ``k <= lookback``).  Output rows are the input
-    rows; the output is not ordered.
+    ``make_cols`` must only read rows inside ``ROWS BETWEEN lookback PRECEDING
+    AND CURRENT ROW`` of ``w`` (or ``lag(c, k)`` with ``k <= lookback``).
+    Output rows are the input rows; the output is not ordered.
     """
     base_cols = list(df.columns)
+    base = [q(c) for c in base_cols]
     entity_cols = list(entity_cols)
     if not bucket_widths:
-        return df.select(*base_cols, *make_cols(entity_window(entity_cols, order_col)))
+        return df.selectExpr(*base, *make_cols(window_sql(entity_cols, order_col)))
 
     width, rest = bucket_widths[0], bucket_widths[1:]
     bk, rn, cnt, head = (f"{n}{_level}" for n in (_B, _RN, _CNT, "__head"))
     parts = [*entity_cols, bk]
-    w_b = Window.partitionBy(*parts).orderBy(order_col)
-    a = df.withColumn(bk, bucket_of(df, order_col, width)).select(
-        *base_cols, bk,
-        F.row_number().over(w_b).alias(rn),
-        F.count(F.lit(1)).over(Window.partitionBy(*parts)).alias(cnt),
-        *make_cols(w_b),
-    )
+    w = window_sql(parts, order_col)
+    pw = "PARTITION BY " + ", ".join(q(p) for p in parts)
+    # One explicit shuffle on (entity, bucket): both consumers below (interior rows and
+    # the edge rows feeding the next level) read it, so Spark reuses the exchange.
+    a = df.selectExpr(*base, f"{bucket_sql(df, order_col, width)} AS {q(bk)}").repartition(*parts).selectExpr(
+        *base, q(bk), f"row_number() OVER ({w}) AS {q(rn)}", f"count(1) OVER ({pw}) AS {q(cnt)}", *make_cols(w))
     out_cols = [c for c in a.columns if c not in (bk, rn, cnt)]
     interior = a.where(F.col(rn) > lookback).select(*out_cols)
     edges = a.where((F.col(rn) <= lookback) | (F.col(cnt) - F.col(rn) < lookback)).select(

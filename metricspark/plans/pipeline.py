@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import model_columns, numeric_columns
 from ..operators.clean import clip_iqr, impute
 from ..operators.features import engineer_features
-from ..functions.stats import fit_row, lit_double
+from ..functions.sqlexpr import dcol, dlit, q
+from ..functions.stats import fit_row
 from ..operators.scale import ScalerModel, scale_stat_aggs
 from .order import DEFAULT_BUCKET_WIDTHS
 
@@ -69,19 +70,19 @@ def preprocess(df: DataFrame, entity_cols: Sequence[str] = ("host_id",), order_c
     st = fit_row(s3, aggs)
 
     def p(name):
-        return lit_double(st.get(name))
+        return dlit(st.get(name))
     out = []
     for c in s3.columns:
         if c in num_all:
-            filled = F.coalesce(F.col(c).cast("double"), p(f"__mu_{c}"))
+            filled = f"coalesce({dcol(c)}, {p(f'__mu_{c}')})"
             if c in scale_cols:
-                sc = (filled - p(f"__mu_{c}")) / p(f"__sc_{c}") if method == "standard" \
-                    else filled * p(f"__sc_{c}") + p(f"__mn_{c}")
-                out.append(sc.alias(c))
+                sc = f"({filled} - {p(f'__mu_{c}')}) / {p(f'__sc_{c}')}" if method == "standard" \
+                    else f"{filled} * {p(f'__sc_{c}')} + {p(f'__mn_{c}')}"
+                out.append(f"{sc} AS {q(c)}")
             else:
-                out.append(filled.alias(c))
+                out.append(f"{filled} AS {q(c)}")
         else:
-            out.append(F.col(c))
+            out.append(q(c))
     params = {k: v for k, v in st.items() if any(k == f"{q}{c}" for c in scale_cols for q in ("__mu_", "__sc_", "__mn_"))}
-    return Preprocessed(s3.select(*out), ScalerModel(method, scale_cols, params), roles,
+    return Preprocessed(s3.selectExpr(*out), ScalerModel(method, scale_cols, params), roles,
                         label_col, time_col, list(df.columns))

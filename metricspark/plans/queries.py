@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns
+from ..functions.sqlexpr import q
 from ..operators import anomaly, clean, features, predict, profile, scale
 from ..sources import csv as csvsrc
 from ..sources import records
@@ -36,9 +37,9 @@ def register(name: str, sql: str | None = None):
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                       for f in df.schema.fields])
+    return df.selectExpr(*[f"round({q(f.name)}, {digits}) AS {q(f.name)}"
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else q(f.name)
+                           for f in df.schema.fields])
 
 
 def metric_value_cols(df: DataFrame) -> list[str]:
@@ -1218,4 +1219,29 @@ def q_anomaly_isolation_forest(spark, sf_dir):
     out = iforest.isolation_forest(m, metric_value_cols(m), contamination=0.05, n_trees=100, psi=256, seed=42)
     return out.select("row_key", "host_id", "anomaly_score", "is_anomaly")
 
-FLAGSHIP = "preprocess_pipeline"
+
+
+# ---------------------------------------------------------------- flagship: host health
+@register("host_health", S.rounded(S.with_ctes(_series_ctes() + [
+    ("hl", "SELECT host_id, count(*) AS n_rows, avg(combined) AS avg_load FROM pred GROUP BY host_id"),
+    ("ha", "SELECT host_id, count(*) FILTER (WHERE metric = 'cpu') AS cpu_anomalies, "
+           "count(*) FILTER (WHERE metric = 'memory') AS memory_anomalies FROM sa GROUP BY host_id")],
+    "SELECT hl.host_id, n_rows, avg_load, CASE WHEN avg_load < 40 THEN 'Low' WHEN avg_load < 60 THEN 'Medium' "
+    "WHEN avg_load < 80 THEN 'High' ELSE 'Critical' END AS load_level, coalesce(cpu_anomalies, 0) AS cpu_anomalies, "
+    "coalesce(memory_anomalies, 0) AS memory_anomalies FROM hl LEFT JOIN ha ON hl.host_id = ha.host_id"),
+    ["avg_load"]))
+def q_host_health(spark, sf_dir):
+    """Which hosts behave abnormally and how loaded are they: per host rows, mean combined load,
+    its level, and the count of CPU / memory series anomalies."""
+    pf = prediction_frame(spark, sf_dir)
+    load = pf.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("combined").alias("avg_load"))
+    an = series_anomaly_frame(spark, sf_dir).groupBy("host_id").agg(
+        F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
+        F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
+    out = load.join(an, "host_id", "left").select(
+        "host_id", "n_rows", "avg_load", predict.load_level(F.col("avg_load")).alias("load_level"),
+        F.coalesce("cpu_anomalies", F.lit(0)).alias("cpu_anomalies"),
+        F.coalesce("memory_anomalies", F.lit(0)).alias("memory_anomalies"))
+    return round_doubles(out)
+
+FLAGSHIP = "host_health"
