@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.order import first_n_per_entity
+from ..plans.order import DEFAULT_BUCKET_WIDTHS, first_n_per_entity, rolling_select, running_last, with_position
 
 # Feed defaults (fixed values): value used when a metric is missing.
 FEED_DEFAULTS = {"cpu_usage": 50.0, "memory_usage": 60.0, "network_traffic": 50.0}
@@ -79,32 +79,69 @@ def threshold_alerts(feed: DataFrame, keep: Sequence[str] = ("row_key", "host_id
 
 
 def suppress(alerts: DataFrame, key_cols: Sequence[str] = ("host_id", "message"), time_col: str = "timestamp",
-             window_s: float = SUPPRESS_SECONDS, id_col: str = "row_key") -> DataFrame:
+             window_s: float = SUPPRESS_SECONDS, id_col: str = "row_key", chunk: int = 100_000,
+             bucket_widths=DEFAULT_BUCKET_WIDTHS) -> DataFrame:
     """Keep an alert unless a *kept* alert of the same key fired less than ``window_s`` earlier.
 
-    Exact and split: consecutive alerts of a key more than ``window_s`` apart
-    start a new episode (such an alert is always kept), so episodes are
-    independent; each episode is folded in time order (``aggregate`` over its
-    sorted alert times) and only the kept ones are returned."""
+    Exact, and no task folds more than ``chunk`` alerts:
+
+    * An alert at least ``window_s`` after the previous alert of its key is
+      always kept, so it starts an independent *episode*.  The gap comes from a
+      skew-safe lag (key-range buckets), the episode id (its start time) from a
+      bucketed running "last start".
+    * Inside an episode the rule is sequential.  Each alert gets its exact
+      position in the episode; round r folds positions [r*chunk, (r+1)*chunk)
+      of every episode that long, starting from the last kept time carried
+      from round r-1 (``aggregate`` over at most ``chunk`` sorted alerts).
+      Rounds are needed only for episodes longer than ``chunk``.
+    """
     key_cols = list(key_cols)
-    us = epoch_micros(F.col(time_col))
     win_us = int(window_s * 1_000_000)
-    w = Window.partitionBy(*key_cols).orderBy(time_col, id_col)
-    a = alerts.withColumn("__us", us)
-    # Episode starts: a gap of at least the window since the previous alert of the key.
-    a = a.withColumn("__gap", a["__us"] - F.lag("__us").over(w))
-    a = a.withColumn("__ep", F.sum(F.when(F.col("__gap").isNull() | (F.col("__gap") >= win_us), 1).otherwise(0))
-                     .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ep = a.groupBy(*key_cols, "__ep").agg(F.array_sort(F.collect_list(F.struct("__us", id_col))).alias("__xs"))
+    a = alerts.withColumn("__us", epoch_micros(F.col(time_col)))
+    # Order within a key: (time, id); key ranges are cut on the time.
+    a = a.withColumn("__okey", F.struct(F.col("__us").alias("us"), F.col(id_col).alias("id")))
+
+    def prev(w):
+        return [f"lag(__us, 1) OVER ({w}) AS __prev"]
+    a = rolling_select(a, key_cols, "__okey", prev, 1, bucket_widths)
+    a = a.withColumn("__start", F.when(F.col("__prev").isNull() | (F.col("__us") - F.col("__prev") >= win_us),
+                                       F.col("__us")))
+    a = running_last(a, key_cols, "__okey", "__start", "__ep",
+                     bucket_widths[0] if bucket_widths else None)
+    ekeys = [*key_cols, "__ep"]
+    a = with_position(a, ekeys, "__okey", "__pos", bucket_widths[0] if bucket_widths else None)
+    a = a.withColumn("__chunk", (F.col("__pos") / chunk).cast("long")).select(
+        *key_cols, "__ep", "__chunk", "__us", id_col)
+    id_type = alerts.schema[id_col].dataType.simpleString()
 
     def step(acc, x):
         keep = acc["last"].isNull() | (x["__us"] - acc["last"] >= win_us)
         return F.struct(F.when(keep, x["__us"]).otherwise(acc["last"]).alias("last"),
                         F.when(keep, F.concat(acc["ids"], F.array(x[id_col]))).otherwise(acc["ids"]).alias("ids"))
 
-    id_type = alerts.schema[id_col].dataType.simpleString()
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{id_type}>").alias("ids"))
-    kept = ep.select(*key_cols, F.explode(F.aggregate("__xs", init, step)["ids"]).alias(id_col))
+    a = a.checkpoint()
+    n_rounds = a.agg(F.max("__chunk")).first()[0]
+    kept_parts, state = [], None
+    for r in range(0 if n_rounds is None else int(n_rounds) + 1):
+        part = a.where(F.col("__chunk") == r).groupBy(*ekeys).agg(
+            F.array_sort(F.collect_list(F.struct("__us", id_col))).alias("__xs"))
+        start = F.lit(None).cast("long")
+        if state is not None:
+            part = part.join(state, ekeys, "left")
+            start = F.col("__last")
+        init = F.struct(start.alias("last"), F.array().cast(f"array<{id_type}>").alias("ids"))
+        folded = part.select(*ekeys, F.aggregate("__xs", init, step).alias("__r"))
+        if n_rounds:                     # more than one round: cut lineage between rounds
+            folded = folded.checkpoint()
+        kept_parts.append(folded.select(*key_cols, F.explode("__r.ids").alias(id_col)))
+        nxt = folded.select(*ekeys, F.col("__r.last").alias("__last"))
+        state = nxt if state is None else state.join(nxt, ekeys, "full").select(
+            *ekeys, F.coalesce(nxt["__last"], state["__last"]).alias("__last"))
+    if not kept_parts:
+        return alerts.limit(0)
+    kept = kept_parts[0]
+    for k in kept_parts[1:]:
+        kept = kept.unionByName(k)
     return alerts.join(kept, [*key_cols, id_col], "left_semi")
 
 

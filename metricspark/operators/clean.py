@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
 from ..functions.sqlexpr import dcol, dlit, q
-from ..functions.stats import apply_stats, quantiles
+from ..functions.quantile import exact_quantiles
+from ..functions.stats import StatsRef, apply_stats, fit_row, quantiles
 
 
 def _value_cols(df: DataFrame, cols: Sequence[str] | None, roles: Sequence[str]) -> list[str]:
@@ -40,11 +41,15 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
-    if method == "mean":
-        aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]
+    if method == "median" and exact and not by:
+        med = exact_quantiles(df, cols, [0.5])
+        j, st = df, StatsRef({f"__f_{c}": med[(c, 0.5)] for c in cols})
     else:
-        aggs = [quantiles(F.col(c).cast("double"), [0.5], exact)[0].alias(f"__f_{c}") for c in cols]
-    j, st = apply_stats(df, aggs, by)
+        if method == "mean":
+            aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]
+        else:
+            aggs = [quantiles(F.col(c).cast("double"), [0.5], exact)[0].alias(f"__f_{c}") for c in cols]
+        j, st = apply_stats(df, aggs, by)
     return j.selectExpr(*[f"coalesce({dcol(c)}, {st.sql(f'__f_{c}')}) AS {q(c)}" if c in cols else q(c)
                           for c in df.columns])
 
@@ -55,11 +60,15 @@ def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
-    aggs = []
-    for c in cols:
-        qs = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
-        aggs += [qs[0].alias(f"__q1_{c}"), qs[1].alias(f"__q3_{c}")]
-    j, st = apply_stats(df, aggs, by)
+    if exact and not by:
+        qv = exact_quantiles(df, cols, [0.25, 0.75])
+        j, st = df, StatsRef({f"__q{k}_{c}": qv[(c, p)] for c in cols for k, p in ((1, 0.25), (3, 0.75))})
+    else:
+        aggs = []
+        for c in cols:
+            qs = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
+            aggs += [qs[0].alias(f"__q1_{c}"), qs[1].alias(f"__q3_{c}")]
+        j, st = apply_stats(df, aggs, by)
     t = dlit(threshold)
     exprs = {}
     for c in cols:
@@ -79,9 +88,16 @@ def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"__mu_{c}"), F.stddev_pop(x).alias(f"__sd_{c}"),
-                 quantiles(x, [0.5], exact)[0].alias(f"__md_{c}")]
-    j, st = apply_stats(df, aggs, by)
+        aggs += [F.avg(x).alias(f"__mu_{c}"), F.stddev_pop(x).alias(f"__sd_{c}")]
+        if not (exact and not by):
+            aggs.append(quantiles(x, [0.5], exact)[0].alias(f"__md_{c}"))
+    if exact and not by:
+        vals = fit_row(df, aggs)
+        med = exact_quantiles(df, cols, [0.5])
+        vals.update({f"__md_{c}": med[(c, 0.5)] for c in cols})
+        j, st = df, StatsRef(vals)
+    else:
+        j, st = apply_stats(df, aggs, by)
     exprs = {}
     for c in cols:
         z = f"abs(({dcol(c)} - {st.sql(f'__mu_{c}')}) / nullif({st.sql(f'__sd_{c}')}, 0D))"

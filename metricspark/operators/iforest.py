@@ -29,7 +29,7 @@ from ..functions.stats import fit_row
 
 EULER_GAMMA = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, split double, size long"
-SMALL_PAIRS = 50_000_000
+SMALL_PAIRS = 2_000_000
 
 
 def c_factor(n: float) -> float:
@@ -155,7 +155,8 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination: float =
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means.get(c) or 0.0)).alias(c)
                          if c in cols else F.col(c) for c in df.columns])
     nodes, info = fit_forest(filled, cols, n_trees, psi, seed, key_col)
-    scored = score(filled, cols, nodes, info)
+    # Scores are read twice (cut, then flags): materialise them once in the checkpoint dir.
+    scored = score(filled, cols, nodes, info).checkpoint()
     q = F.percentile("anomaly_score", F.lit(1.0 - contamination)) if info["n"] <= exact_cut_rows else \
         F.percentile_approx("anomaly_score", F.lit(1.0 - contamination), 100000)
     cut = fit_row(scored, [q.alias("cut")])["cut"]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, present
-from ..functions.stats import quantiles
+from ..functions.quantile import exact_quantiles
+from ..functions.stats import lit_double, quantiles
 
 DEFAULT_HIST_COLUMNS = ["cpu_utilization", "memory_usage", "network_latency", "power_consumption"]
 
@@ -57,9 +58,14 @@ def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 quantiles(x, [0.25, 0.5, 0.75], exact).alias(f"q{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(quantiles(x, [0.25, 0.5, 0.75], exact=False).alias(f"q{i}"))
     one = df.agg(*aggs)
+    if exact:   # exact quantiles by distributed selection, attached as literals
+        qv = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        one = one.select("*", *[F.array(*[lit_double(qv[(c, p)]) for p in (0.25, 0.5, 0.75)]).alias(f"q{i}")
+                                for i, c in enumerate(cols)])
     return one.select(F.explode(F.array(*[
         F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),

@@ -43,10 +43,19 @@ _RN = "__rn"
 _CNT = "__cnt"
 
 
+def _lead_field(df: DataFrame, order_col: str) -> tuple[str, T.DataType]:
+    """A struct order key (e.g. (time, id)) is cut into ranges by its first field."""
+    dt = df.schema[order_col].dataType
+    if isinstance(dt, T.StructType):
+        f = dt.fields[0]
+        return f"{order_col}.{f.name}", f.dataType
+    return order_col, dt
+
+
 def order_number(df: DataFrame, order_col: str) -> Column:
     """Integer image of the order key used to cut key ranges."""
-    dt = df.schema[order_col].dataType
-    c = F.col(order_col)
+    name, dt = _lead_field(df, order_col)
+    c = F.col(name)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp"))
     if isinstance(dt, T.DateType):
@@ -64,8 +73,8 @@ def entity_window(entity_cols: Sequence[str], order_col: str) -> WindowSpec:
 
 
 def bucket_sql(df: DataFrame, order_col: str, width: int) -> str:
-    dt = df.schema[order_col].dataType
-    c = q(order_col)
+    name, dt = _lead_field(df, order_col)
+    c = ".".join(q(p) for p in name.split("."))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         num = f"unix_micros(CAST({c} AS TIMESTAMP))"
     elif isinstance(dt, T.DateType):
@@ -161,3 +170,33 @@ def first_n_per_entity(
     w = (Window.partitionBy(*entity_cols) if entity_cols else Window.partitionBy()).orderBy(*orders)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if keep_rank else out.drop(name)
+
+
+def running_last(
+    df: DataFrame,
+    entity_cols: Sequence[str],
+    order_col: str,
+    value_col: str,
+    name: str,
+    bucket_width: int | None = DEFAULT_BUCKET_WIDTHS[0],
+) -> DataFrame:
+    """For each row, the last non-NULL ``value_col`` at or before it (in order) within the entity.
+
+    Bucketed like ``with_position``: the last value inside each (entity, bucket)
+    is a window over that bucket; the value carried in from earlier buckets comes
+    from a small per-bucket table (one row per non-empty bucket) and a join."""
+    entity_cols = list(entity_cols)
+    if bucket_width is None:
+        w = entity_window(entity_cols, order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(value_col, ignorenulls=True).over(w))
+    b = df.withColumn(_B, bucket_of(df, order_col, bucket_width))
+    keys = [*entity_cols, _B]
+    per_bucket = b.groupBy(*keys).agg(
+        F.max_by(F.col(value_col), F.when(F.col(value_col).isNotNull(), F.col(order_col))).alias("__lastv"))
+    w_pref = (Window.partitionBy(*entity_cols) if entity_cols else Window.partitionBy()).orderBy(_B)
+    carried = per_bucket.select(*keys, F.last("__lastv", ignorenulls=True).over(
+        w_pref.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    j = b.join(carried, on=keys, how="inner")
+    w_in = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*df.columns, F.coalesce(F.last(value_col, ignorenulls=True).over(w_in),
+                                            F.col("__carry")).alias(name))

@@ -692,8 +692,8 @@ def q_anomaly_split_samples(spark, sf_dir):
 _SERIES = [("cpu", "cpu_actual", "CPU usage", 0), ("memory", "mem_actual", "memory usage", 1)]
 
 
-def series_anomaly_frame(spark, sf_dir) -> DataFrame:
-    pf = with_position(prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index")
+def series_anomaly_frame(spark, sf_dir, pf: DataFrame | None = None) -> DataFrame:
+    pf = with_position(pf if pf is not None else prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index")
     parts = []
     for metric, col, label, rank in _SERIES:
         a = anomaly.series_anomalies(pf, ["host_id"], col, label, extra_cols=["row_key", "index", "timestamp"])
@@ -759,8 +759,9 @@ def q_anomaly_summary(spark, sf_dir):
     # the position filter sits above the join: DuckDB 2.0 shifted row_number() - 1 when it was pushed into pidx
     "SELECT * FROM ov WHERE index + 0 < 120"), ["value", "anomaly_value"]))
 def q_anomaly_overlay(spark, sf_dir):
-    pf = with_position(prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index").where(F.col("index") < 120)
-    an = series_anomaly_frame(spark, sf_dir).where(F.col("metric") == "cpu").select(
+    base = prediction_frame(spark, sf_dir)
+    pf = with_position(base, ["host_id"], "row_key", "index").where(F.col("index") < 120)
+    an = series_anomaly_frame(spark, sf_dir, base).where(F.col("metric") == "cpu").select(
         "host_id", "index", F.col("value").alias("anomaly_value"))
     return round_doubles(pf.join(an, ["host_id", "index"], "left").select(
         "host_id", "index", F.col("timestamp").cast("string").alias("label"), F.col("cpu_actual").alias("value"),
@@ -1235,7 +1236,7 @@ def q_host_health(spark, sf_dir):
     its level, and the count of CPU / memory series anomalies."""
     pf = prediction_frame(spark, sf_dir)
     load = pf.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("combined").alias("avg_load"))
-    an = series_anomaly_frame(spark, sf_dir).groupBy("host_id").agg(
+    an = series_anomaly_frame(spark, sf_dir, pf).groupBy("host_id").agg(
         F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
         F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
     out = load.join(an, "host_id", "left").select(

@@ -18,6 +18,10 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Wide one-pass fits (e.g. mean + variance of ~35 feature columns) exceed the default
+    # 100 buffer fields and would run without whole-stage codegen; Spark still falls back
+    # on its own if a generated method grows too large.
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 

@@ -1,11 +1,11 @@
 """Structured Streaming forms of the live-metric operators.
 
 * ``metric_feed_stream`` – file source -> dashboard records (stateless).
-* ``suppressed_alerts_stream`` – threshold alerts with per-(host, message)
-  suppression kept in state (``applyInPandasWithState``): the state is the
-  event time of the last kept alert; an event-time timeout drops the key
-  once the watermark is past that time plus the window, so state stays
-  bounded by the number of keys alerting within the last few seconds.
+* ``suppressed_alerts_stream`` – threshold alerts with suppression kept in
+  state (``applyInPandasWithState`` keyed by host): per message the event
+  time of the last kept alert.  Entries older than watermark - window are
+  dropped and an event-time timeout removes idle hosts, so state is bounded
+  by the messages a host raised within the last few seconds.
 * ``last_n_stream`` – newest n records per host: every micro-batch keeps
   only its own newest n per host (partial top-n, ``WindowGroupLimit``) and
   appends them; the final newest n per host is taken over those candidates.
@@ -32,7 +32,7 @@ from ..session import scratch_path
 from ..sources.tables import metrics_from_events, table
 
 
-def stage_time_ordered_files(spark: SparkSession, sf_dir: str, n_files: int = 4) -> str:
+def stage_time_ordered_files(spark: SparkSession, sf_dir: str, n_files: int = 3) -> str:
     """Copy ``events`` into ``n_files`` appends ordered by event id (= time order), so that a
     file source with ``maxFilesPerTrigger=1`` replays it as successive micro-batches."""
     ev = table(spark, sf_dir, "events")
@@ -73,25 +73,33 @@ ALERT_SCHEMA = ("row_key long, host_id long, timestamp timestamp_ntz, metric str
                 "severity string")
 
 
-def _suppress_group(window_us: int):
+def _suppress_host(window_us: int):
+    """State per host: parallel arrays (message, last kept event time).  Entries the
+    watermark has passed by more than the window can no longer suppress and are dropped."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last = dict(zip(*state.get)) if state.exists else {}
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["timestamp", "row_key"], kind="mergesort")
         us = pdf["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
         keep = []
-        for t in us:                      # rows of one key in one micro-batch, in time order
-            ok = last is None or t - last >= window_us
+        for m, t in zip(pdf["message"].to_numpy(), us):   # one host's alerts of this micro-batch
+            prev = last.get(m)
+            ok = prev is None or t - prev >= window_us
             keep.append(ok)
             if ok:
-                last = int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(last // 1000 + window_us // 1000)
+                last[m] = int(t)
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        last = {m: t for m, t in last.items() if t + window_us > wm_us}
+        if last:
+            state.update((list(last.keys()), list(last.values())))
+            state.setTimeoutTimestamp(max(last.values()) // 1000 + window_us // 1000)
+        else:
+            state.remove()
         out = pdf.loc[keep, ["row_key", "host_id", "timestamp", "metric", "message", "severity"]]
         if len(out):
             yield out
@@ -104,9 +112,9 @@ def suppressed_alerts_stream(spark: SparkSession, sf_dir: str, window_s: float =
     schema = table(spark, sf_dir, "events").schema
     al = alerts.threshold_alerts(alerts.metric_feed(metrics_from_events(_read_stream(spark, src, schema))))
     al = al.withColumn("__et", F.col("timestamp").cast("timestamp")).withWatermark("__et", watermark)
-    kept = al.groupBy("host_id", "message").applyInPandasWithState(
-        _suppress_group(int(window_s * 1_000_000)), ALERT_SCHEMA, "last_us long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    kept = al.groupBy("host_id").applyInPandasWithState(
+        _suppress_host(int(window_s * 1_000_000)), ALERT_SCHEMA, "messages array<string>, last_us array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout)
     return spark.read.parquet(_run(kept, spark, "suppressed-alerts"))
 
 

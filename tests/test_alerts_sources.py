@@ -60,3 +60,22 @@ def test_last_n_and_recent_lists(spark):
     rows = out.collect()
     assert len(rows) == 60 and sum(r.shown for r in rows) == 20
     assert max(r.row_key for r in rows if r.rank == 1) == 99
+
+
+def test_suppression_chunked_rounds_match_greedy(spark):
+    import random
+    random.seed(1)
+    rows, t = [], 0.0
+    for i in range(1500):
+        t += random.choice([0.0, 0.7, 1.3, 2.9, 6.0])
+        rows.append((i, i % 2, BASE + dt.timedelta(seconds=round(t, 6)), "x", "m", "c"))
+    df = spark.createDataFrame(rows, "row_key long, host_id long, timestamp timestamp_ntz, metric string, "
+                                     "message string, severity string")
+    last, expect = {}, set()
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        us = int((r[2] - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 + 0.5)
+        if r[1] not in last or us - last[r[1]] >= 5_000_000:
+            expect.add(r[0])
+            last[r[1]] = us
+    got = {r.row_key for r in alerts.suppress(df, chunk=23, bucket_widths=(50_000_000, 5_000_000_000)).collect()}
+    assert got == expect

@@ -91,3 +91,17 @@ def test_zscore_replacement_uses_median(spark):
     df = _df(spark, rows, "row_key long, v double")
     out = {r.row_key: r.v for r in clean.replace_zscore(df, roles=["row_key"], threshold=3.0).collect()}
     assert out[30] == 10.0 and out[0] == 10.0
+
+
+def test_exact_quantiles_by_selection_equal_percentile(spark):
+    from metricspark.functions.quantile import exact_quantiles
+    from metricspark.sources.tables import load_metrics
+    m = load_metrics(spark, "/root/testdata/sf0.01")
+    cols, ps = ["cpu_utilization", "memory_usage", "status"], [0.25, 0.5, 0.75]
+    ref = m.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(c)
+                  for c in cols]).first()
+    # direct_max=0 forces the distributed selection; small/accuracy force refinement rounds
+    got = exact_quantiles(m, cols, ps, small=300, accuracy=50, direct_max=0)
+    for c in cols:
+        for i, p in enumerate(ps):
+            assert got[(c, p)] == pytest.approx(ref[c][i], abs=1e-12)
