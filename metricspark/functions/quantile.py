@@ -42,11 +42,16 @@ def _pos(p: float, n: int) -> tuple[float, int, int]:
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], small: int = SMALL,
                     accuracy: int = 10000, max_rounds: int = 6,
-                    direct_max: int = DIRECT_MAX) -> dict[tuple[str, float], float | None]:
+                    direct_max: int = DIRECT_MAX,
+                    known_counts: dict[str, int] | None = None) -> dict[tuple[str, float], float | None]:
+    """``known_counts`` (non-NULL values per column, e.g. from an earlier fit) skips the count pass."""
     cols, ps = list(cols), [float(p) for p in ps]
     if not cols:
         return {}
-    counts = fit_row(df, [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+    if known_counts is not None and all(c in known_counts for c in cols):
+        counts = {f"n{i}": known_counts[c] for i, c in enumerate(cols)}
+    else:
+        counts = fit_row(df, [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     if max(int(counts[f"n{i}"] or 0) for i in range(len(cols))) <= direct_max:
         # Size checked: at most ``direct_max`` values per column, so the single-task
         # value map of ``percentile`` is bounded; one pass, same result.

@@ -109,9 +109,15 @@ def suppress(alerts: DataFrame, key_cols: Sequence[str] = ("host_id", "message")
     a = running_last(a, key_cols, "__okey", "__start", "__ep",
                      bucket_widths[0] if bucket_widths else None)
     ekeys = [*key_cols, "__ep"]
-    a = with_position(a, ekeys, "__okey", "__pos", bucket_widths[0] if bucket_widths else None)
-    a = a.withColumn("__chunk", (F.col("__pos") / chunk).cast("long")).select(
-        *key_cols, "__ep", "__chunk", "__us", id_col)
+    a = a.select(*key_cols, "__ep", "__okey", "__us", id_col).checkpoint()
+    longest = a.groupBy(*ekeys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= chunk:
+        # size checked: every episode fits one fold
+        a = a.withColumn("__chunk", F.lit(0).cast("long"))
+    else:
+        a = with_position(a, ekeys, "__okey", "__pos", bucket_widths[0] if bucket_widths else None)
+        a = a.withColumn("__chunk", (F.col("__pos") / chunk).cast("long"))
+    a = a.select(*key_cols, "__ep", "__chunk", "__us", id_col)
     id_type = alerts.schema[id_col].dataType.simpleString()
 
     def step(acc, x):
@@ -119,8 +125,9 @@ def suppress(alerts: DataFrame, key_cols: Sequence[str] = ("host_id", "message")
         return F.struct(F.when(keep, x["__us"]).otherwise(acc["last"]).alias("last"),
                         F.when(keep, F.concat(acc["ids"], F.array(x[id_col]))).otherwise(acc["ids"]).alias("ids"))
 
-    a = a.checkpoint()
-    n_rounds = a.agg(F.max("__chunk")).first()[0]
+    if longest > chunk:
+        a = a.checkpoint()
+    n_rounds = 0 if longest <= chunk else a.agg(F.max("__chunk")).first()[0]
     kept_parts, state = [], None
     for r in range(0 if n_rounds is None else int(n_rounds) + 1):
         part = a.where(F.col("__chunk") == r).groupBy(*ekeys).agg(

@@ -40,7 +40,7 @@ def top_anomalies(scored: DataFrame, order_col: str, n: int = 10, score_col: str
     return scored.where(F.col(flag_col)).orderBy(F.col(score_col).desc(), F.col(order_col)).limit(n)
 
 
-def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str, name: str,
+def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str, name: str | None,
                      z: float = SERIES_Z, min_std: float = SERIES_MIN_STD,
                      extra_cols: Sequence[str] = ()) -> DataFrame:
     """Per entity: points with |z| > t (population stats), none when std < min_std.
@@ -51,6 +51,8 @@ def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str,
     hits = j.select(*entity_cols, *extra_cols, F.col(value_col).alias("value"), zc.alias("z_score"),
                     F.when(F.col(value_col) > F.col("__mu"), "surge").otherwise("drop").alias("direction"))
     hits = hits.where(F.col("z_score") > z)
+    if name is None:            # caller builds the text (e.g. several metrics in long form)
+        return hits
     return hits.withColumn("explanation", F.concat(
         F.lit(f"Spike detected due to sudden {name} "), F.col("direction"), F.lit(".")))
 

@@ -26,6 +26,18 @@ def _replace_sql(df: DataFrame, out_cols: Sequence[str], exprs: dict[str, str])
     return df.selectExpr(*[f"{exprs[c]} AS {q(c)}" if c in exprs else q(c) for c in out_cols])
 
 
+def impute_mean_with_counts(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Mean fill plus the non-NULL count of every filled column (the row count, or 0 for an
+    all-NULL column) from the same aggregate pass."""
+    aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols] + [F.count(F.lit(1)).alias("__n")]
+    j, st = apply_stats(df, aggs, ())
+    n = int(st.values["__n"] or 0)
+    counts = {c: (n if st.values[f"__f_{c}"] is not None else 0) for c in cols}
+    out = j.selectExpr(*[f"coalesce({dcol(c)}, {st.sql(f'__f_{c}')}) AS {q(c)}" if c in cols else q(c)
+                         for c in df.columns])
+    return out, counts
+
+
 def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None,
            roles: Sequence[str] = (), by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Fill NULLs of numeric columns with the column mean / median, or drop rows with any NULL.
@@ -55,13 +67,14 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
 
 
 def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 1.5,
-             roles: Sequence[str] = (), by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+             roles: Sequence[str] = (), by: Sequence[str] = (), exact: bool = True,
+             known_counts: dict[str, int] | None = None) -> DataFrame:
     """Winsorise each numeric column to [Q1 - t*IQR, Q3 + t*IQR]; rows are kept, NULLs stay NULL."""
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
     if exact and not by:
-        qv = exact_quantiles(df, cols, [0.25, 0.75])
+        qv = exact_quantiles(df, cols, [0.25, 0.75], known_counts=known_counts)
         j, st = df, StatsRef({f"__q{k}_{c}": qv[(c, p)] for c in cols for k, p in ((1, 0.25), (3, 0.75))})
     else:
         aggs = []

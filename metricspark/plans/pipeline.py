@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import model_columns, numeric_columns
-from ..operators.clean import clip_iqr, impute
+from ..operators.clean import clip_iqr, impute_mean_with_counts
 from ..operators.features import engineer_features
 from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import fit_row
@@ -55,8 +55,8 @@ def preprocess(df: DataFrame, entity_cols: Sequence[str] = ("host_id",), order_c
     entity_cols = list(entity_cols)
     roles = [*entity_cols, order_col]
     num = numeric_columns(df, exclude=roles)               # includes the label
-    s1 = impute(df, "mean", cols=num)
-    s2 = clip_iqr(s1, cols=num, threshold=iqr_threshold, exact=exact)
+    s1, counts = impute_mean_with_counts(df, num)       # pass 1: means (+ counts for pass 2)
+    s2 = clip_iqr(s1, cols=num, threshold=iqr_threshold, exact=exact, known_counts=counts)
     s3 = engineer_features(s2, entity_cols, order_col, cols=[c for c in num if c != label_col],
                            roles=roles, window=window, bucket_widths=bucket_widths)
     num_all = numeric_columns(s3, exclude=roles)

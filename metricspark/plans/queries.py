@@ -693,14 +693,18 @@ _SERIES = [("cpu", "cpu_actual", "CPU usage", 0), ("memory", "mem_actual", "memo
 
 
 def series_anomaly_frame(spark, sf_dir, pf: DataFrame | None = None) -> DataFrame:
+    """CPU and memory series anomalies per host, both metrics in one long-form pass."""
     pf = with_position(pf if pf is not None else prediction_frame(spark, sf_dir), ["host_id"], "row_key", "index")
-    parts = []
-    for metric, col, label, rank in _SERIES:
-        a = anomaly.series_anomalies(pf, ["host_id"], col, label, extra_cols=["row_key", "index", "timestamp"])
-        parts.append(a.select("host_id", F.lit(metric).alias("metric"), F.lit(rank).alias("metric_order"),
-                              "index", F.col("timestamp").cast("string").alias("location"), "value", "z_score",
-                              "direction", "explanation"))
-    return parts[0].unionByName(parts[1])
+    long = pf.select("host_id", "row_key", "index", "timestamp", F.explode(F.array(*[
+        F.struct(F.lit(metric).alias("metric"), F.lit(rank).alias("metric_order"), F.lit(label).alias("label"),
+                 F.col(col).alias("v")) for metric, col, label, rank in _SERIES])).alias("s")).select(
+        "host_id", "row_key", "index", "timestamp", "s.*")
+    a = anomaly.series_anomalies(long, ["host_id", "metric"], "v", None,
+                                 extra_cols=["metric_order", "label", "row_key", "index", "timestamp"])
+    return a.select("host_id", "metric", "metric_order", "index",
+                    F.col("timestamp").cast("string").alias("location"), "value", "z_score", "direction",
+                    F.concat(F.lit("Spike detected due to sudden "), F.col("label"), F.lit(" "),
+                             F.col("direction"), F.lit(".")).alias("explanation"))
 
 
 def _series_ctes():
