@@ -20,7 +20,8 @@ data.  The plans below split each entity into ranges of the order key
   inside the bucket.
 
 With ``bucket_widths=None`` both fall back to the plain window (one sort),
-which is what the oracle SQL states.
+which is what the oracle SQL states.  Levels whose bucket covers the whole
+observed key range are dropped after a one-column min/max check.
 """
 
 from __future__ import annotations
@@ -84,6 +85,21 @@ def bucket_sql(df: DataFrame, order_col: str, width: int) -> str:
     return f"CAST(floor({num} / {int(width)}) AS BIGINT)"
 
 
+def splitting_widths(df: DataFrame, order_col: str, widths: Sequence[int] | None) -> list[int]:
+    """The widths that actually cut the observed key range into more than one bucket.
+
+    One cheap aggregate over the order key.  A level whose bucket covers the whole
+    range changes nothing (every entity sits in one bucket), and neither does any
+    wider level.  With unique integer keys a single bucket also bounds each
+    entity's window partition by the bucket width."""
+    if not widths:
+        return []
+    lo, hi = df.agg(F.min(order_number(df, order_col)), F.max(order_number(df, order_col))).first()
+    if lo is None:
+        return []
+    return [w for w in widths if lo // w != hi // w]
+
+
 def window_sql(partition: Sequence[str], order_col: str) -> str:
     part = f"PARTITION BY {', '.join(q(p) for p in partition)} " if partition else ""
     return f"{part}ORDER BY {q(order_col)}"
@@ -108,6 +124,8 @@ def rolling_select(
     base_cols = list(df.columns)
     base = [q(c) for c in base_cols]
     entity_cols = list(entity_cols)
+    if _level == 0 and bucket_widths:
+        bucket_widths = splitting_widths(df, order_col, bucket_widths)
     if not bucket_widths:
         return df.selectExpr(*base, *make_cols(window_sql(entity_cols, order_col)))
 
@@ -138,6 +156,8 @@ def with_position(
 ) -> DataFrame:
     """Add the exact 0-based position of each row within its entity."""
     entity_cols = list(entity_cols)
+    if bucket_width is not None and not splitting_widths(df, order_col, [bucket_width]):
+        bucket_width = None
     if bucket_width is None:
         return df.withColumn(name, F.row_number().over(entity_window(entity_cols, order_col)) - 1)
     b = df.withColumn(_B, bucket_of(df, order_col, bucket_width))
@@ -186,6 +206,8 @@ def running_last(
     is a window over that bucket; the value carried in from earlier buckets comes
     from a small per-bucket table (one row per non-empty bucket) and a join."""
     entity_cols = list(entity_cols)
+    if bucket_width is not None and not splitting_widths(df, order_col, [bucket_width]):
+        bucket_width = None
     if bucket_width is None:
         w = entity_window(entity_cols, order_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value_col, ignorenulls=True).over(w))

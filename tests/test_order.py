@@ -80,9 +80,16 @@ def test_no_single_partition_exchange(spark):
 
 def test_fact_rows_shuffled_once(spark):
     m = load_metrics(spark, SF01).select("row_key", "host_id", "cpu_utilization")
-    out = features.rolling_features(m, ["host_id"], "row_key", ["cpu_utilization"], 3)
+    out = features.rolling_features(m, ["host_id"], "row_key", ["cpu_utilization"], 3, bucket_widths=(1024, 8192))
     out.collect()                                   # final adaptive plan
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan                  # edge branches read the same shuffle
     assert plan.count("FileScan parquet") == 1
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan   # pruned scan
+
+
+def test_levels_that_do_not_split_are_dropped(spark):
+    from metricspark.plans.order import splitting_widths
+    m = load_metrics(spark, SF01)                    # row_key 0..9999
+    assert splitting_widths(m, "row_key", (1 << 20, 1 << 30)) == []
+    assert splitting_widths(m, "row_key", (1000, 1 << 20)) == [1000]
