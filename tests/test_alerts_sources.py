@@ -79,3 +79,13 @@ def test_suppression_chunked_rounds_match_greedy(spark):
             last[r[1]] = us
     got = {r.row_key for r in alerts.suppress(df, chunk=23, bucket_widths=(50_000_000, 5_000_000_000)).collect()}
     assert got == expect
+
+
+def test_stream_twins_equal_batch(spark):
+    from metricspark.plans import queries as Q
+    sf = "/root/testdata/sf0.001"
+    for stream, batch in (("stream_alert_suppression", "alert_suppression"), ("stream_last_60", "last_60_buffer")):
+        s = Q.QUERIES[stream](spark, sf)
+        a = sorted(tuple(r) for r in s.collect())
+        b = sorted(tuple(r) for r in Q.QUERIES[batch](spark, sf).select(*s.columns).collect())
+        assert a == b
