@@ -68,7 +68,14 @@ def q_preview_formatted(spark, sf_dir):
     return records.preview(load_metrics(spark, sf_dir), [ORDER], 5, max_cols=6, digits=2)
 
 
-@register("schema_report")
+_SCHEMA_SQL = S.with_ctes([("d", "SELECT * FROM (DESCRIBE SELECT * FROM metrics)")], (
+    "SELECT CAST(row_number() OVER () - 1 AS INT) AS ordinal, column_name, CASE upper(column_type) "
+    "WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' "
+    "ELSE lower(column_type) END AS data_type, (SELECT count(*) FROM metrics) AS n_rows, "
+    "CAST(count(*) OVER () AS INT) AS n_columns FROM d"))
+
+
+@register("schema_report", _SCHEMA_SQL)
 def q_schema_report(spark, sf_dir):
     return profile.schema_report(load_metrics(spark, sf_dir))
 
@@ -366,7 +373,16 @@ def q_inverse_frame(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- F. model preparation
-@register("feature_columns")
+def _feature_columns_sql():
+    names = [c for c in S.processed_columns() if c not in ("row_key", "host_id", "timestamp", "status",
+                                                            "cpu_utilization")]
+    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return S.with_ctes(S.processed_ctes(), (
+        "SELECT CAST(f.ordinal AS INT) AS ordinal, f.feature, (SELECT count(*) FROM processed) AS n_rows "
+        f"FROM (VALUES {values}) f(ordinal, feature)"))
+
+
+@register("feature_columns", _feature_columns_sql())
 def q_feature_columns(spark, sf_dir):
     p = preprocess(load_metrics(spark, sf_dir))
     names = p.feature_columns("cpu_utilization")

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 from conftest import SF001
 
-NO_ORACLE = {"schema_report", "feature_columns", "fit_linear", "fit_random_forest", "fit_gbt", "train_score",
+NO_ORACLE = {"fit_linear", "fit_random_forest", "fit_gbt", "train_score",
              "predict_all", "feature_importance_top5", "prediction_samples", "train_two_targets",
              "anomaly_isolation_forest"}
 
