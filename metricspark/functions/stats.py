@@ -36,10 +36,6 @@ def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> Dat
     return df.join(stats, on=list(by), how="left")
 
 
-def global_or_grouped(df: DataFrame, aggs: list[Column], by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
 def quantiles(c: Column, ps: Sequence[float], exact: bool = True, accuracy: int = 10000) -> Column:
     """Array of quantiles.  Exact = linear interpolation between order statistics
     (same as pandas/DuckDB ``quantile_cont``); approximate = Greenwald-Khanna

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import fit_row
+from ..session import ship_package
 
 EULER_GAMMA = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, split double, size long"
@@ -76,6 +77,7 @@ def _grow(tree: int, x: np.ndarray, height: int, seed: int) -> list[tuple]:
 def fit_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int = 256, seed: int = 42,
                key_col: str = "row_key") -> tuple[DataFrame, dict]:
     """Returns (node table, info).  ``df`` must have no NULLs in ``cols``."""
+    ship_package(df.sparkSession)
     info = fit_row(df, [F.count(F.lit(1)).alias("n")])
     n = int(info["n"] or 0)
     psi_eff = max(1, min(psi, n))
@@ -107,6 +109,7 @@ def fit_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int
 
 def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, info: dict) -> DataFrame:
     """Adds ``anomaly_score`` = 2^(-E[h(x)]/c(psi))."""
+    ship_package(df.sparkSession)
     tbl = nodes.toPandas()          # bounded: n_trees * (2^(height+1) - 1) rows
     n_trees, height, psi = info["n_trees"], info["height"], info["psi"]
     width = 2 ** (height + 1) - 1

@@ -43,7 +43,6 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
               slots: int = 24, cpu_limit: float = 80.0, mem_limit: float = 85.0,
               chunk: int = 512, max_rounds: int = 10_000) -> DataFrame:
     """``tasks`` plus ``slot`` (0-based, NULL = unplaced)."""
-    spark = tasks.sparkSession
     t = tasks.select(
         group_col, id_col, priority_col,
         F.coalesce(F.col(cpu_col).cast("double"), F.lit(5.0)).alias("__c"),
@@ -97,7 +96,6 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
-    _ = spark
     return tasks.join(out, [group_col, id_col], "left")
 
 

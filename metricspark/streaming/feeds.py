@@ -28,7 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.stats import fit_row
 from ..operators import alerts
 from ..plans.order import first_n_per_entity
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources.tables import metrics_from_events, table
 
 
@@ -108,6 +108,7 @@ def _suppress_host(window_us: int):
 
 def suppressed_alerts_stream(spark: SparkSession, sf_dir: str, window_s: float = alerts.SUPPRESS_SECONDS,
                              watermark: str = "10 seconds") -> DataFrame:
+    ship_package(spark)
     src = stage_time_ordered_files(spark, sf_dir)
     schema = table(spark, sf_dir, "events").schema
     al = alerts.threshold_alerts(alerts.metric_feed(metrics_from_events(_read_stream(spark, src, schema))))

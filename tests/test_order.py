@@ -93,3 +93,15 @@ def test_levels_that_do_not_split_are_dropped(spark):
     m = load_metrics(spark, SF01)                    # row_key 0..9999
     assert splitting_widths(m, "row_key", (1 << 20, 1 << 30)) == []
     assert splitting_widths(m, "row_key", (1000, 1 << 20)) == [1000]
+
+
+def test_all_rolling_columns_share_one_window(spark):
+    # D1-D3 for every column: one Exchange, one Sort, one Window operator (plain plan)
+    m = load_metrics(spark, SF01)
+    cols = ["cpu_utilization", "memory_usage", "network_latency", "disk_io"]
+    out = features.rolling_features(m.select("row_key", "host_id", *cols), ["host_id"], "row_key", cols, 3,
+                                    bucket_widths=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("+- Sort ") + plan.count("-Sort ") == 1 or plan.count("Sort [") == 1
+    assert plan.count("Window [") == 1
