@@ -11,8 +11,10 @@ from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import apply_stats
 from ..plans.order import first_n_per_entity
 
+# Series anomaly rule (fixed values): |z| threshold, minimum deviation, explanation text.
 SERIES_Z = 2.5
 SERIES_MIN_STD = 1e-9
+EXPLANATION = "Spike detected due to sudden {name} {direction}."
 
 
 def zscore_anomalies(df: DataFrame, cols: Sequence[str], z_threshold: float = 3.0,

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..plans.order import first_n_per_entity
 
-SUGGEST_PLACED = ("Prioritize high-CPU tasks in lower-load intervals and cap concurrent "
-                  "memory-heavy jobs.")
+# Scheduling suggestions (fixed values).
+SUGGEST_PLACED = "Prioritize high-CPU tasks in lower-load intervals and cap concurrent memory-heavy jobs."  # noqa: E501
 SUGGEST_NONE = "No scheduling actions required for current load."
 
 

@@ -11,6 +11,7 @@ from ..functions.columns import numeric_columns, present
 from ..functions.quantile import exact_quantiles
 from ..functions.stats import lit_double, quantiles
 
+# Default histogram columns (fixed values).
 DEFAULT_HIST_COLUMNS = ["cpu_utilization", "memory_usage", "network_latency", "power_consumption"]
 
 
@@ -122,7 +123,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     ])).alias("p")).select("p.*")
 
 
-INSIGHTS = [  # (name, column, aggregate)
+# Insights (fixed values): name, column, aggregate.
+INSIGHTS = [
     ("high_cpu", "cpu_utilization", F.max),
     ("avg_memory", "memory_usage", F.avg),
     ("high_latency", "network_latency", F.max),

@@ -705,6 +705,7 @@ def q_anomaly_split_samples(spark, sf_dir):
     return round_doubles(anomaly.split_samples(zscored(spark, sf_dir), _VIS, "row_key", n=100))
 
 
+# Series names in the explanation text (fixed values).
 _SERIES = [("cpu", "cpu_actual", "CPU usage", 0), ("memory", "mem_actual", "memory usage", 1)]
 
 
