@@ -14,7 +14,7 @@ from ..plans.order import first_n_per_entity
 # Series anomaly rule (fixed values): |z| threshold, minimum deviation, explanation text.
 SERIES_Z = 2.5
 SERIES_MIN_STD = 1e-9
-EXPLANATION = "Spike detected due to sudden {name} {direction}."
+EXPLAIN_PREFIX, EXPLAIN_SUFFIX = "Spike detected due to sudden ", "."   # + "<name> <direction>"
 
 
 def zscore_anomalies(df: DataFrame, cols: Sequence[str], z_threshold: float = 3.0,
@@ -56,7 +56,7 @@ def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str,
     if name is None:            # caller builds the text (e.g. several metrics in long form)
         return hits
     return hits.withColumn("explanation", F.concat(
-        F.lit(f"Spike detected due to sudden {name} "), F.col("direction"), F.lit(".")))
+        F.lit(f"{EXPLAIN_PREFIX}{name} "), F.col("direction"), F.lit(EXPLAIN_SUFFIX)))
 
 
 def split_samples(df: DataFrame, cols: Sequence[str], order_col: str, flag_col: str = "is_anomaly",

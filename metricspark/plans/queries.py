@@ -720,8 +720,8 @@ def series_anomaly_frame(spark, sf_dir, pf: DataFrame | None = None) -> DataFram
                                  extra_cols=["metric_order", "label", "row_key", "index", "timestamp"])
     return a.select("host_id", "metric", "metric_order", "index",
                     F.col("timestamp").cast("string").alias("location"), "value", "z_score", "direction",
-                    F.concat(F.lit("Spike detected due to sudden "), F.col("label"), F.lit(" "),
-                             F.col("direction"), F.lit(".")).alias("explanation"))
+                    F.concat(F.lit(anomaly.EXPLAIN_PREFIX), F.col("label"), F.lit(" "),
+                             F.col("direction"), F.lit(anomaly.EXPLAIN_SUFFIX)).alias("explanation"))
 
 
 def _series_ctes():
