@@ -68,3 +68,13 @@ def apply_stats(df: DataFrame, aggs: list[Column], by: Sequence[str] = ()) -> tu
     if not by:
         return df, StatsRef(fit_row(df, aggs))
     return attach_stats(df, df.groupBy(*by).agg(*aggs), by), StatsRef(None)
+
+
+def salted_join(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt_col: str, salts: int = 16) -> DataFrame:
+    """Join fact rows to a small per-entity table so that one hot entity spreads over
+    ``salts`` partitions: the small side is replicated once per salt, each fact row
+    takes the salt given by a hash of ``salt_col`` (e.g. its unique row key)."""
+    keys = list(keys)
+    rep = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    fact = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)).cast("int"))
+    return fact.join(rep, [*keys, "__salt"], "inner").drop("__salt")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqlexpr import dcol, dlit, q
-from ..functions.stats import apply_stats
+from ..functions.stats import apply_stats, salted_join
 from ..plans.order import first_n_per_entity
 
 # Series anomaly rule (fixed values): |z| threshold, minimum deviation, explanation text.
@@ -44,11 +44,17 @@ def top_anomalies(scored: DataFrame, order_col: str, n: int = 10, score_col: str
 
 def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str, name: str | None,
                      z: float = SERIES_Z, min_std: float = SERIES_MIN_STD,
-                     extra_cols: Sequence[str] = ()) -> DataFrame:
+                     extra_cols: Sequence[str] = (), salt_col: str | None = None, salts: int = 16) -> DataFrame:
     """Per entity: points with |z| > t (population stats), none when std < min_std.
-    Adds direction (surge/drop vs the mean) and the explanation text."""
+    Adds direction (surge/drop vs the mean) and the explanation text.  The per-entity
+    statistics are a partial aggregate; with ``salt_col`` they are joined back salted,
+    so a hot entity's rows spread over ``salts`` partitions."""
     stats = df.groupBy(*entity_cols).agg(F.avg(value_col).alias("__mu"), F.stddev_pop(value_col).alias("__sd"))
-    j = df.join(stats, list(entity_cols), "inner").where(F.col("__sd") >= min_std)
+    stats = stats.where(F.col("__sd") >= min_std)
+    if salt_col:
+        j = salted_join(df, stats, entity_cols, salt_col, salts)
+    else:
+        j = df.join(stats, list(entity_cols), "inner")
     zc = F.abs((F.col(value_col) - F.col("__mu")) / F.col("__sd"))
     hits = j.select(*entity_cols, *extra_cols, F.col(value_col).alias("value"), zc.alias("z_score"),
                     F.when(F.col(value_col) > F.col("__mu"), "surge").otherwise("drop").alias("direction"))

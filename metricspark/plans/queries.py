@@ -717,7 +717,8 @@ def series_anomaly_frame(spark, sf_dir, pf: DataFrame | None = None) -> DataFram
                  F.col(col).alias("v")) for metric, col, label, rank in _SERIES])).alias("s")).select(
         "host_id", "row_key", "index", "timestamp", "s.*")
     a = anomaly.series_anomalies(long, ["host_id", "metric"], "v", None,
-                                 extra_cols=["metric_order", "label", "row_key", "index", "timestamp"])
+                                 extra_cols=["metric_order", "label", "row_key", "index", "timestamp"],
+                                 salt_col="row_key")
     return a.select("host_id", "metric", "metric_order", "index",
                     F.col("timestamp").cast("string").alias("location"), "value", "z_score", "direction",
                     F.concat(F.lit(anomaly.EXPLAIN_PREFIX), F.col("label"), F.lit(" "),

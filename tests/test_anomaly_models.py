@@ -85,3 +85,13 @@ def test_tree_models_fit_and_rank_features(spark):
     assert models.evaluate(gbt, te, "cpu_utilization").collect()[0].rmse >= 0
     with pytest.raises(ValueError):
         models.make_regressor("svm", "y")
+
+
+def test_salted_series_anomalies_equal_plain(spark):
+    m = load_metrics(spark, SF01).withColumn(
+        "host_id", F.when(F.col("row_key") % 3 == 0, F.lit(-1)).otherwise(F.col("host_id")))
+    plain = anomaly.series_anomalies(m, ["host_id"], "network_latency", "latency", extra_cols=["row_key"])
+    salted = anomaly.series_anomalies(m, ["host_id"], "network_latency", "latency", extra_cols=["row_key"],
+                                      salt_col="row_key", salts=8)
+    key = lambda df: sorted((r.row_key, round(r.z_score, 9), r.explanation) for r in df.collect())
+    assert key(plain) == key(salted) and len(key(plain)) > 0
