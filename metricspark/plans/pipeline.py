@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import model_columns, numeric_columns
 from ..operators.clean import clip_iqr, impute_mean_with_counts
-from ..operators.features import engineer_features
+from ..operators.features import RATIOS, engineer_features
 from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import fit_row
 from ..operators.scale import ScalerModel, scale_stat_aggs
@@ -43,8 +43,8 @@ class Preprocessed:
         ex = {self.label_col, self.time_col, target_col, *self.roles}
         cols = model_columns(self.df, exclude=ex)
         if drop_leaky:
-            cols = [c for c in cols if not c.startswith(target_col + "_")
-                    and not any(target_col in r for r in ("cpu_memory_ratio",) if c == r)]
+            leaky = {n for n, a, b in RATIOS if target_col in (a, b)}
+            cols = [c for c in cols if not c.startswith(target_col + "_") and c not in leaky]
         return cols
 
 

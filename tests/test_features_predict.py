@@ -72,3 +72,15 @@ def test_regression_metrics_formula(spark):
     assert r.mae == pytest.approx(np.mean(np.abs(p - y)))
     assert r.rmse == pytest.approx(np.sqrt(np.mean((p - y) ** 2)))
     assert r.r2 == pytest.approx(1 - np.sum((p - y) ** 2) / np.sum((y - y.mean()) ** 2))
+
+
+def test_feature_columns_keep_or_drop_target_derived(spark):
+    from metricspark.plans.pipeline import preprocess
+    from metricspark.sources.tables import load_metrics
+    p = preprocess(load_metrics(spark, "/root/testdata/sf0.001"))
+    keep = p.feature_columns("cpu_utilization")
+    drop = p.feature_columns("cpu_utilization", drop_leaky=True)
+    assert "cpu_utilization_lag1" in keep and "cpu_memory_ratio" in keep
+    assert "cpu_utilization_lag1" not in drop and "cpu_memory_ratio" not in drop
+    assert "cpu_utilization" not in keep and "status" not in keep and "row_key" not in keep
+    assert "memory_usage_lag1" in drop
