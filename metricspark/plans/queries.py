@@ -1221,6 +1221,7 @@ def q_prediction_samples(spark, sf_dir):
 
 @register("train_two_targets")
 def q_train_two_targets(spark, sf_dir):
+    """CPU always, memory when present: random forest per target, training R^2 and test metrics."""
     p = preprocess(load_metrics(spark, sf_dir))
     df = p.df.withColumn("split", split_expr()).checkpoint(eager=True)
     parts = []
@@ -1228,8 +1229,11 @@ def q_train_two_targets(spark, sf_dir):
         if target not in df.columns:
             continue
         feats = p.feature_columns(target)
-        m = models.fit(_split(df, "train"), feats, target, "linear")
-        parts.append(models.evaluate(m, _split(df, "test"), target).select(F.lit(target).alias("target"), "*"))
+        m = models.fit(_split(df, "train"), feats, target, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+        tr = models.evaluate(m, _split(df, "train"), target).select(F.col("r2").alias("train_r2"))
+        te = models.evaluate(m, _split(df, "test"), target).select("mae", "rmse", "r2", F.col("n").alias("n_test"))
+        parts.append(tr.crossJoin(te).select(F.lit(target).alias("target"), F.lit("random_forest").alias("model"),
+                                             "train_r2", "mae", "rmse", "r2", "n_test"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
