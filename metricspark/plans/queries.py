@@ -1194,25 +1194,27 @@ def q_regression_metrics(spark, sf_dir):
     return round_doubles(predict.regression_metrics(ev, "y", "p"))
 
 
+def _forest(df, feats, target="cpu_utilization"):
+    return models.fit(_split(df, "train"), feats, target, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+
+
 @register("predict_all")
 def q_predict_all(spark, sf_dir):
     df, feats = training_frame(spark, sf_dir)
-    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
+    m = _forest(df, feats)
     return models.predict(m, df, keep=["row_key", "host_id", "split"])
 
 
 @register("feature_importance_top5")
 def q_feature_importance_top5(spark, sf_dir):
     df, feats = training_frame(spark, sf_dir)
-    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "random_forest",
-                   num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return models.feature_importance(m, feats, 5)
+    return models.feature_importance(_forest(df, feats), feats, 5)
 
 
 @register("prediction_samples")
 def q_prediction_samples(spark, sf_dir):
     df, feats = training_frame(spark, sf_dir)
-    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
+    m = _forest(df, feats)
     head = df.orderBy("row_key").limit(5)
     return models.predict(m, head, keep=["row_key", "cpu_utilization"]).select(
         "row_key", F.col("cpu_utilization").alias("actual"), F.col("prediction").alias("predicted"),
