@@ -159,7 +159,7 @@ def with_position(
     if bucket_width is not None and not splitting_widths(df, order_col, [bucket_width]):
         bucket_width = None
     if bucket_width is None:
-        return df.withColumn(name, F.row_number().over(entity_window(entity_cols, order_col)) - 1)
+        return df.withColumn(name, (F.row_number().over(entity_window(entity_cols, order_col)) - 1).cast("long"))
     b = df.withColumn(_B, bucket_of(df, order_col, bucket_width))
     keys = [*entity_cols, _B]
     # One row per non-empty (entity, bucket): partial aggregation keeps hot hosts cheap.
