@@ -11,7 +11,7 @@ Score: the model is that bounded node table; it is fetched once and shipped
 to executors in the ``mapInPandas`` closure, which walks all trees level by
 level for a whole Arrow batch (vectorised, no per-row Python).  Path length
 adds c(size) at a leaf; score = 2^(-E[h]/c(psi)).  Rows scoring above the
-(1 - contamination) quantile are flagged.
+exact (1 - contamination) quantile (``exact_quantiles``) are flagged.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantile import exact_quantiles
 from ..functions.stats import fit_row
 from ..session import ship_package
 
@@ -151,8 +152,7 @@ def score(df: DataFrame, cols: Sequence[str], nodes: DataFrame, info: dict) -> D
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], contamination: float = 0.05, n_trees: int = 100,
-                     psi: int = 256, seed: int = 42, key_col: str = "row_key",
-                     exact_cut_rows: int = 10_000_000) -> DataFrame:
+                     psi: int = 256, seed: int = 42, key_col: str = "row_key") -> DataFrame:
     """Mean-fill ``cols``, fit, score, flag rows above the (1 - contamination) score quantile."""
     means = fit_row(df, [F.avg(F.col(c).cast("double")).alias(c) for c in cols])
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means.get(c) or 0.0)).alias(c)
@@ -160,8 +160,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination: float =
     nodes, info = fit_forest(filled, cols, n_trees, psi, seed, key_col)
     # Scores are read twice (cut, then flags): materialise them once in the checkpoint dir.
     scored = score(filled, cols, nodes, info).checkpoint()
-    q = F.percentile("anomaly_score", F.lit(1.0 - contamination)) if info["n"] <= exact_cut_rows else \
-        F.percentile_approx("anomaly_score", F.lit(1.0 - contamination), 100000)
-    cut = fit_row(scored, [q.alias("cut")])["cut"]
+    # exact (1 - contamination) quantile: size-checked percentile or distributed selection
+    cut = exact_quantiles(scored, ["anomaly_score"], [1.0 - contamination])[("anomaly_score", 1.0 - contamination)]
     cut = float("inf") if cut is None else float(cut)
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))
