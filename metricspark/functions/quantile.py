@@ -140,3 +140,83 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
             out.setdefault((c, p), None)
     return out
 
+
+
+GRID = 1000
+
+
+def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], ps: Sequence[float],
+                            small: int = SMALL, accuracy: int = 10000, max_rounds: int = 6,
+                            salts: int = 16) -> DataFrame:
+    """Exact per-group quantiles ``(by..., q_<i>_<j>)`` for column ``cols[i]`` and ``ps[j]``,
+    without holding a hot group's values in one task.
+
+    Per round, one aggregate per (group, column, target) builds a bounded-memory sketch
+    on a fixed grid of fractions over the target's current candidates; the grid points
+    around the target ranks (+-2/accuracy) bracket them.  A second aggregate counts the
+    candidates below and inside the new bracket.  Targets whose bracket holds at most
+    ``small`` values are ranked exactly with a window partitioned by target.  The small
+    per-target state is joined to the rows with a salted join."""
+    from .stats import salted_join
+    by, cols, ps = list(by), list(cols), [float(p) for p in ps]
+    eps, grid = 1.0 / accuracy, GRID
+    rid = F.monotonically_increasing_id()
+    long = df.select(*by, rid.alias("__rid"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
+    ])).alias("e")).select(*by, "__rid", "e.ci", "e.v").where(F.col("v").isNotNull())
+    keys = [*by, "ci"]
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    state = n.select(*keys, "n", F.explode(F.array(*[F.lit(p) for p in ps])).alias("p")).select(
+        *keys, "p", (F.col("p") * (F.col("n") - 1)).alias("pos"),
+        F.floor(F.col("p") * (F.col("n") - 1)).alias("lo_r"), F.ceil(F.col("p") * (F.col("n") - 1)).alias("hi_r"),
+        F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
+        F.lit(0).cast("long").alias("below"), F.col("n").cast("long").alias("m")).checkpoint()
+    tk = [*keys, "p"]
+
+    def inside(j):
+        return F.col("a").isNull() | ((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
+
+    fr = F.array(*[F.lit(k / grid) for k in range(grid + 1)])
+    for _ in range(max_rounds):
+        big = state.where(F.col("m") > small)
+        if big.isEmpty():
+            break
+        rows = salted_join(long, big, keys, "__rid", salts).where(inside(None))
+        sk = rows.groupBy(*tk).agg(F.percentile_approx("v", fr, accuracy).alias("sk"))
+        b2 = big.join(sk, tk).select(
+            *tk, "pos", "lo_r", "hi_r", "below", "m",
+            F.col("sk")[F.greatest(F.lit(0), F.floor(((F.col("lo_r") - F.col("below")) / F.col("m") - 2 * eps)
+                                                     * grid)).cast("int")].alias("na"),
+            F.col("sk")[F.least(F.lit(grid), F.ceil(((F.col("hi_r") - F.col("below") + 1) / F.col("m") + 2 * eps)
+                                                   * grid)).cast("int")].alias("nb"),
+            "a", "b")
+        cnt = salted_join(long, b2, keys, "__rid", salts).where(inside(None)).groupBy(*tk).agg(
+            F.count_if(F.col("v") < F.col("na")).alias("nlo"),
+            F.count_if((F.col("v") >= F.col("na")) & (F.col("v") <= F.col("nb"))).alias("nin"))
+        upd = b2.join(cnt, tk).select(
+            *tk, "pos", "lo_r", "hi_r", (F.col("below") + F.col("nlo")).alias("nbelow"), "nin", "na", "nb",
+            "a", "b", "below", "m")
+        ok = (F.col("nbelow") <= F.col("lo_r")) & (F.col("hi_r") < F.col("nbelow") + F.col("nin"))
+        upd = upd.select(
+            *tk, "pos", "lo_r", "hi_r",
+            F.when(ok, F.col("na")).otherwise(F.col("a")).alias("a"),
+            F.when(ok, F.col("nb")).otherwise(F.col("b")).alias("b"),
+            F.when(ok, F.col("nbelow")).otherwise(F.col("below")).alias("below"),
+            F.when(ok, F.col("nin")).otherwise(F.least(F.col("m"), F.lit(small))).alias("m"))
+        state = state.where(F.col("m") <= small).unionByName(upd).checkpoint()
+    # exact ranks among the remaining candidates of every target
+    cand = salted_join(long, state, keys, "__rid", salts).where(inside(None))
+    w = Window.partitionBy(*tk).orderBy("v")
+    ranked = cand.select(*tk, "v", "pos", "lo_r", "hi_r", "below",
+                         (F.row_number().over(w) + F.col("below") - 1).alias("r"))
+    picked = ranked.where((F.col("r") == F.col("lo_r")) | (F.col("r") == F.col("hi_r"))).groupBy(*tk).agg(
+        F.first("pos").alias("pos"), F.first("lo_r").alias("lo_r"), F.first("hi_r").alias("hi_r"),
+        F.max(F.when(F.col("r") == F.col("lo_r"), F.col("v"))).alias("lv"),
+        F.max(F.when(F.col("r") == F.col("hi_r"), F.col("v"))).alias("hv"))
+    val = F.when((F.col("hi_r") == F.col("lo_r")) | (F.col("lv") == F.col("hv")), F.col("lv")).otherwise(
+        (F.col("hi_r") - F.col("pos")) * F.col("lv") + (F.col("pos") - F.col("lo_r")) * F.col("hv"))
+    res = picked.select(*tk, val.alias("q"))
+    out = res.groupBy(*by).pivot("ci", list(range(len(cols)))).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{j}") for j, p in enumerate(ps)])
+    return out.select(*by, *[F.col(f"{i}_p{j}" if len(ps) > 1 else f"{i}").alias(f"q_{i}_{j}")
+                             for i in range(len(cols)) for j in range(len(ps))])

@@ -36,14 +36,10 @@ def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> Dat
     return df.join(stats, on=list(by), how="left")
 
 
-def quantiles(c: Column, ps: Sequence[float], exact: bool = True, accuracy: int = 10000) -> Column:
-    """Array of quantiles.  Exact = linear interpolation between order statistics
-    (same as pandas/DuckDB ``quantile_cont``); approximate = Greenwald-Khanna
-    sketch with bounded memory for very large inputs."""
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, accuracy)
+def approx_quantiles(c: Column, ps: Sequence[float], accuracy: int = 10000) -> Column:
+    """Array of approximate quantiles (Greenwald-Khanna sketch, bounded memory per group).
+    Exact quantiles: ``functions.quantile.exact_quantiles`` / ``grouped_exact_quantiles``."""
+    return F.percentile_approx(c, F.array(*[F.lit(float(p)) for p in ps]), accuracy)
 
 
 class StatsRef:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
 from ..functions.sqlexpr import dcol, dlit, q
-from ..functions.quantile import exact_quantiles
-from ..functions.stats import StatsRef, apply_stats, fit_row, quantiles
+from ..functions.quantile import exact_quantiles, grouped_exact_quantiles
+from ..functions.stats import StatsRef, apply_stats, approx_quantiles, fit_row
 
 
 def _value_cols(df: DataFrame, cols: Sequence[str] | None, roles: Sequence[str]) -> list[str]:
@@ -26,6 +26,14 @@ def _replace_sql(df: DataFrame, out_cols: Sequence[str], exprs: dict[str, str])
     return df.selectExpr(*[f"{exprs[c]} AS {q(c)}" if c in exprs else q(c) for c in out_cols])
 
 
+def _grouped_quantile_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str], ps: Sequence[float],
+                            names: Sequence[str]) -> DataFrame:
+    """Per-group exact quantiles (distributed selection) named ``{names[j]}{col}``."""
+    q = grouped_exact_quantiles(df, by, cols, ps)
+    return q.select(*by, *[F.col(f"q_{i}_{j}").alias(f"{names[j]}{c}") for i, c in enumerate(cols)
+                           for j in range(len(ps))])
+
+
 def impute_mean_with_counts(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """Mean fill plus the non-NULL count of every filled column (the row count, or 0 for an
     all-NULL column) from the same aggregate pass."""
@@ -56,11 +64,13 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
     if method == "median" and exact and not by:
         med = exact_quantiles(df, cols, [0.5])
         j, st = df, StatsRef({f"__f_{c}": med[(c, 0.5)] for c in cols})
+    elif method == "median" and exact:
+        j, st = df.join(_grouped_quantile_stats(df, by, cols, [0.5], ["__f_"]), list(by), "left"), StatsRef(None)
     else:
         if method == "mean":
             aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]
         else:
-            aggs = [quantiles(F.col(c).cast("double"), [0.5], exact)[0].alias(f"__f_{c}") for c in cols]
+            aggs = [approx_quantiles(F.col(c).cast("double"), [0.5])[0].alias(f"__f_{c}") for c in cols]
         j, st = apply_stats(df, aggs, by)
     return j.selectExpr(*[f"coalesce({dcol(c)}, {st.sql(f'__f_{c}')}) AS {q(c)}" if c in cols else q(c)
                           for c in df.columns])
@@ -76,10 +86,13 @@ def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
     if exact and not by:
         qv = exact_quantiles(df, cols, [0.25, 0.75], known_counts=known_counts)
         j, st = df, StatsRef({f"__q{k}_{c}": qv[(c, p)] for c in cols for k, p in ((1, 0.25), (3, 0.75))})
+    elif exact:
+        qs = _grouped_quantile_stats(df, by, cols, [0.25, 0.75], ["__q1_", "__q3_"])
+        j, st = df.join(qs, list(by), "left"), StatsRef(None)
     else:
         aggs = []
         for c in cols:
-            qs = quantiles(F.col(c).cast("double"), [0.25, 0.75], exact)
+            qs = approx_quantiles(F.col(c).cast("double"), [0.25, 0.75])
             aggs += [qs[0].alias(f"__q1_{c}"), qs[1].alias(f"__q3_{c}")]
         j, st = apply_stats(df, aggs, by)
     t = dlit(threshold)
@@ -102,13 +115,17 @@ def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.avg(x).alias(f"__mu_{c}"), F.stddev_pop(x).alias(f"__sd_{c}")]
-        if not (exact and not by):
-            aggs.append(quantiles(x, [0.5], exact)[0].alias(f"__md_{c}"))
+        if not exact:
+            aggs.append(approx_quantiles(x, [0.5])[0].alias(f"__md_{c}"))
     if exact and not by:
         vals = fit_row(df, aggs)
         med = exact_quantiles(df, cols, [0.5])
         vals.update({f"__md_{c}": med[(c, 0.5)] for c in cols})
         j, st = df, StatsRef(vals)
+    elif exact:
+        stats = df.groupBy(*by).agg(*aggs).join(_grouped_quantile_stats(df, by, cols, [0.5], ["__md_"]),
+                                                 list(by), "left")
+        j, st = df.join(stats, list(by), "left"), StatsRef(None)
     else:
         j, st = apply_stats(df, aggs, by)
     exprs = {}

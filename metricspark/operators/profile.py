@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, present
 from ..functions.quantile import exact_quantiles
-from ..functions.stats import lit_double, quantiles
+from ..functions.stats import approx_quantiles, lit_double
 
 # Default histogram columns (fixed values).
 DEFAULT_HIST_COLUMNS = ["cpu_utilization", "memory_usage", "network_latency", "power_consumption"]
@@ -61,7 +61,7 @@ def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if not exact:
-            aggs.append(quantiles(x, [0.25, 0.5, 0.75], exact=False).alias(f"q{i}"))
+            aggs.append(approx_quantiles(x, [0.25, 0.5, 0.75]).alias(f"q{i}"))
     one = df.agg(*aggs)
     if exact:   # exact quantiles by distributed selection, attached as literals
         qv = exact_quantiles(df, cols, [0.25, 0.5, 0.75])

@@ -105,3 +105,22 @@ def test_exact_quantiles_by_selection_equal_percentile(spark):
     for c in cols:
         for i, p in enumerate(ps):
             assert got[(c, p)] == pytest.approx(ref[c][i], abs=1e-12)
+
+
+def test_grouped_exact_fits_equal_percentile(spark):
+    from metricspark.sources.tables import load_metrics
+    m = load_metrics(spark, "/root/testdata/sf0.01").withColumn("g", F.col("host_id") % 3).select(
+        "row_key", "g", "cpu_utilization", "network_latency")
+    cols = ["cpu_utilization", "network_latency"]
+    ref = {r.g: r for r in m.groupBy("g").agg(
+        *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols]).collect()}
+    med = clean.impute(m, "median", cols=cols, by=["g"])
+    nulls = m.where(F.col("cpu_utilization").isNull()).select("row_key", "g").collect()
+    got = {r.row_key: r.cpu_utilization for r in med.collect()}
+    assert all(got[r.row_key] == pytest.approx(ref[r.g]["cpu_utilization"][1]) for r in nulls)
+    clipped = clean.clip_iqr(m, cols=cols, by=["g"]).groupBy("g").agg(F.max("network_latency").alias("hi")).collect()
+    for r in clipped:
+        q1, q3 = ref[r.g]["network_latency"][0], ref[r.g]["network_latency"][2]
+        assert r.hi <= q3 + 1.5 * (q3 - q1) + 1e-9
+    z = clean.replace_zscore(m, cols=cols, by=["g"], threshold=2.0)
+    assert z.count() == m.count()
