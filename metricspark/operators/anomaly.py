@@ -44,14 +44,25 @@ def top_anomalies(scored: DataFrame, order_col: str, n: int = 10, score_col: str
 
 def series_anomalies(df: DataFrame, entity_cols: Sequence[str], value_col: str, name: str | None,
                      z: float = SERIES_Z, min_std: float = SERIES_MIN_STD,
-                     extra_cols: Sequence[str] = (), salt_col: str | None = None, salts: int = 16) -> DataFrame:
+                     extra_cols: Sequence[str] = (), salt_col: str | None = None,
+                     rows_per_salt: int = 2_000_000, max_salts: int = 256) -> DataFrame:
     """Per entity: points with |z| > t (population stats), none when std < min_std.
-    Adds direction (surge/drop vs the mean) and the explanation text.  The per-entity
-    statistics are a partial aggregate; with ``salt_col`` they are joined back salted,
-    so a hot entity's rows spread over ``salts`` partitions."""
-    stats = df.groupBy(*entity_cols).agg(F.avg(value_col).alias("__mu"), F.stddev_pop(value_col).alias("__sd"))
+    Adds direction (surge/drop vs the mean) and the explanation text.
+
+    The per-entity statistics are a partial aggregate (materialised once, one row per
+    entity).  With ``salt_col`` they are joined back salted: the largest entity's row
+    count sets the number of salts (ceil(max / rows_per_salt)), so a hot entity's rows
+    spread over that many partitions; one salt means a plain join."""
+    stats = df.groupBy(*entity_cols).agg(F.avg(value_col).alias("__mu"), F.stddev_pop(value_col).alias("__sd"),
+                                         F.count(F.lit(1)).alias("__n"))
     stats = stats.where(F.col("__sd") >= min_std)
+    salts = 1
     if salt_col:
+        stats = stats.checkpoint()
+        biggest = stats.agg(F.max("__n")).first()[0] or 0
+        salts = int(min(max_salts, max(1, -(-biggest // rows_per_salt))))
+    stats = stats.drop("__n")
+    if salts > 1:
         j = salted_join(df, stats, entity_cols, salt_col, salts)
     else:
         j = df.join(stats, list(entity_cols), "inner")
