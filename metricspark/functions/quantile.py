@@ -160,7 +160,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
     from .stats import salted_join
     by, cols, ps = list(by), list(cols), [float(p) for p in ps]
     eps, grid = 1.0 / accuracy, GRID
-    rid = F.monotonically_increasing_id()
+    rid = F.monotonically_increasing_id()     # only picks a salt: any value is correct
     long = df.select(*by, rid.alias("__rid"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
     ])).alias("e")).select(*by, "__rid", "e.ci", "e.v").where(F.col("v").isNotNull())
@@ -173,7 +173,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
         F.lit(0).cast("long").alias("below"), F.col("n").cast("long").alias("m")).checkpoint()
     tk = [*keys, "p"]
 
-    def inside(j):
+    def inside():
         return F.col("a").isNull() | ((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
 
     fr = F.array(*[F.lit(k / grid) for k in range(grid + 1)])
@@ -181,7 +181,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
         big = state.where(F.col("m") > small)
         if big.isEmpty():
             break
-        rows = salted_join(long, big, keys, "__rid", salts).where(inside(None))
+        rows = salted_join(long, big, keys, "__rid", salts).where(inside())
         sk = rows.groupBy(*tk).agg(F.percentile_approx("v", fr, accuracy).alias("sk"))
         b2 = big.join(sk, tk).select(
             *tk, "pos", "lo_r", "hi_r", "below", "m",
@@ -190,7 +190,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
             F.col("sk")[F.least(F.lit(grid), F.ceil(((F.col("hi_r") - F.col("below") + 1) / F.col("m") + 2 * eps)
                                                    * grid)).cast("int")].alias("nb"),
             "a", "b")
-        cnt = salted_join(long, b2, keys, "__rid", salts).where(inside(None)).groupBy(*tk).agg(
+        cnt = salted_join(long, b2, keys, "__rid", salts).where(inside()).groupBy(*tk).agg(
             F.count_if(F.col("v") < F.col("na")).alias("nlo"),
             F.count_if((F.col("v") >= F.col("na")) & (F.col("v") <= F.col("nb"))).alias("nin"))
         upd = b2.join(cnt, tk).select(
@@ -205,7 +205,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
             F.when(ok, F.col("nin")).otherwise(F.least(F.col("m"), F.lit(small))).alias("m"))
         state = state.where(F.col("m") <= small).unionByName(upd).checkpoint()
     # exact ranks among the remaining candidates of every target
-    cand = salted_join(long, state, keys, "__rid", salts).where(inside(None))
+    cand = salted_join(long, state, keys, "__rid", salts).where(inside())
     w = Window.partitionBy(*tk).orderBy("v")
     ranked = cand.select(*tk, "v", "pos", "lo_r", "hi_r", "below",
                          (F.row_number().over(w) + F.col("below") - 1).alias("r"))
