@@ -51,3 +51,27 @@ def test_split_window_random(spark, vals, w1, lookback):
         s = split[k]
         assert r.n == s.n and r.l == s.l
         assert (r.a is None and s.a is None) or abs(r.a - s.a) < 1e-9
+
+
+@SETTINGS
+@given(gaps=st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0, 500_000, 1_000_000, 4_999_999, 5_000_000,
+                                                                    7_000_000])), min_size=1, max_size=50),
+       chunk=st.integers(1, 8))
+def test_suppression_random(spark, gaps, chunk):
+    import datetime as dt
+
+    from metricspark.operators import alerts
+    base, t, rows = dt.datetime(2024, 1, 1), 0, []
+    for i, (host, gap) in enumerate(gaps):
+        t += gap
+        rows.append((i, host, base + dt.timedelta(microseconds=t), "m", "msg", "c"))
+    df = spark.createDataFrame(rows, "row_key long, host_id long, timestamp timestamp_ntz, metric string, "
+                                     "message string, severity string")
+    last, expect = {}, set()
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        us = (r[2] - base) // dt.timedelta(microseconds=1)
+        if r[1] not in last or us - last[r[1]] >= 5_000_000:
+            expect.add(r[0])
+            last[r[1]] = us
+    got = {r.row_key for r in alerts.suppress(df, chunk=chunk, bucket_widths=(3_000_000, 30_000_000)).collect()}
+    assert got == expect
