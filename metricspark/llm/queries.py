@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets, shards
+from . import minhash, pii, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op5(spark, sf_dir):
     return shards.assign(documents(spark, sf_dir))
 
 
+@register("op7_minhash_near_dedup")
+def op7(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @register("op9_quality_rules")
 def op9(spark, sf_dir):
     return quality.verdicts(documents(spark, sf_dir))

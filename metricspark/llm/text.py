@@ -151,3 +151,9 @@ def within(offsets: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndar
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def row_id() -> Column:
+    """``doc_id``; rows without one get an id above all others that depends on their text."""
+    return F.coalesce(F.col("doc_id"), F.lit(LAST_ID) - F.pmod(
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(2**40)))
