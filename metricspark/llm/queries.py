@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pii, quality, secrets, shards
+from . import minhash, phrases, pii, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op7(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+@register("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return phrases.dedup(documents(spark, sf_dir))
+
+
 @register("op9_quality_rules")
 def op9(spark, sf_dir):
     return quality.verdicts(documents(spark, sf_dir))
