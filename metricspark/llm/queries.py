@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, phrases, pii, quality, secrets, shards
+from . import decontam, license, minhash, phrases, pii, quality, secrets, sentencepiece, shards, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,11 +30,31 @@ def op1(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
 
 
+@register("op2_license_scan")
+def op2(spark, sf_dir):
+    return license.scan(documents(spark, sf_dir))
+
+
+@register("op3_benchmark_decontamination")
+def op3(spark, sf_dir):
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf_dir):
+    return sentencepiece.encode(documents(spark, sf_dir))
+
+
 @register("op5_sharding")
 def op5(spark, sf_dir):
     return shards.assign(documents(spark, sf_dir))
 
 
+@register("op6_token_counts")
+def op6(spark, sf_dir):
+    return tokens.by_section(documents(spark, sf_dir))
+
+
 @register("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))

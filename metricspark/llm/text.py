@@ -94,14 +94,25 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of the texts, and the offsets of each text's words in it."""
+#: Byte tables for :func:`word_hashes`: ASCII letters in lower case; punctuation as white space, too.
+LOWER = _LOWER
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
+
+
+def word_hashes(texts: list[str | None], lower: bool, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts, and the offsets of each text's words in it.
+
+    ``table`` replaces bytes first; ``lower`` is short for the table LOWER.
+    """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     begins = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=begins[1:])
-    if lower:
-        buf = _LOWER[buf]
+    if table is None and lower:
+        table = LOWER
+    if table is not None:
+        buf = table[buf]
     space = _SPACE[buf]
     word = ~space
     starts = np.flatnonzero(word[1:] & space[:-1]) + 1
