@@ -2,10 +2,10 @@
 
 Each of PERMUTATIONS hash functions is evaluated once per shingle and yields two signature values,
 its minimum and its maximum.  Documents with equal sets are one node.  Nodes that share a band stand
-in a bucket; links are sought in stars first (each member with the smallest node), and only buckets
-whose members are not yet in one component are looked at again: small ones pair by pair across
-components, large ones after being split by their members' other bands.  Every link is confirmed on
-the full sets before it counts.
+in a bucket; links are sought in stars first (each member with the most copied node), and only buckets
+whose members are not yet in one component are looked at again: pair by pair across components where
+one component holds all but a few members, else after being split by their members' other bands.
+Every link is confirmed on the full sets before it counts.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ PERMUTATIONS = 64
 #: Signature values in a band.  A pair at the threshold shares none of the 32 bands with probability 5e-6.
 BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
-#: Unsettled buckets up to this size are compared across components pair by pair; larger ones are
-#: split by further bands first.
-SMALL_BUCKET = 64
-#: After so many splits even large buckets are compared across components pair by pair.
-SPLITS = 4
+#: Pairs across components are confirmed when at least this many of the signature's values agree in
+#: four bits each; 98 of 128 are expected at the threshold, and 1 pair in 50,000 there has fewer.
+AGREEING = 78
+#: Unsettled buckets with up to this many members outside their largest component are compared across
+#: components pair by pair; others are split by further bands first.
+MINORITY = 128
+#: After so many splits all unsettled buckets are compared pair by pair.
+SPLITS = 2
 #: Candidate ids are broadcast up to this many (8 MB of ids), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -75,27 +78,51 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
+def four_bits(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, sixteen values to a 64-bit word."""
+    low = (T.mix(signature) & np.uint64(15)).reshape(len(signature), -1, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+WORDS = 2 * PERMUTATIONS // 16
+
+
+def agreeing(a: str, b: str) -> str:
+    """SQL for the number of signature values that agree in their four bits."""
+    def differ(i):
+        x = f"({a}[{i}] ^ {b}[{i}])"
+        y = f"({x} | shiftrightunsigned({x}, 1))"
+        return f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)"
+
+    return f"{16 * WORDS} - ({' + '.join(differ(i) for i in range(WORDS))})"
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``node``, ``n_shingles``, ``digest`` of the set (null if empty) and ``bands``."""
+    """``doc_id``, ``node``, ``n_shingles``, ``digest`` of the set (null if empty), ``bands`` and four
+    bits of each signature value."""
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column("text").to_pylist())
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys, offsets = [], np.zeros(len(sets) + 1, np.int64)
+            keys, bits, has = [np.empty((0, BANDS), np.uint64)], [np.empty((0, WORDS), np.uint64)], np.zeros(
+                len(sets) + 1, np.int64)
             for lo in range(0, len(full), 1000):
-                keys.append(band_keys(signatures([sets[k] for k in full[lo:lo + 1000]])))
-            offsets[np.array(full, int) + 1] = BANDS
-            flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.empty(0, np.int64)
+                signature = signatures([sets[k] for k in full[lo:lo + 1000]])
+                keys.append(band_keys(signature))
+                bits.append(four_bits(signature))
+            has[np.array(full, int) + 1] = 1
+            offsets = np.cumsum(has)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("node"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                           pa.binary()),
-                 T.lists(flat, np.cumsum(offsets), pa.int64())],
-                names=["doc_id", "node", "n_shingles", "digest", "bands"])
+                 T.lists(np.concatenate(keys).ravel().view(np.int64), offsets * BANDS, pa.int64()),
+                 T.lists(np.concatenate(bits).ravel().view(np.int64), offsets * WORDS, pa.int64())],
+                names=["doc_id", "node", "n_shingles", "digest", "bands", "bits"])
 
     d = T.doc_columns(docs)
     return d.select("doc_id", "text", T.row_id().alias("node")).mapInArrow(
-        run, "doc_id long, node long, n_shingles long, digest binary, bands array<long>")
+        run, "doc_id long, node long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,20 +149,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """The members (key, node, n) of buckets of two nodes or more, with the least node and the size."""
-    size = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"),
-                                      F.count(F.lit(1)).alias("size")).filter("least <> most").drop("most")
-    return buckets.join(size, "key")
+    """The members (key, node, n, copies) of buckets of two nodes or more, with the most copied node."""
+    centre = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"),
+                                        F.max_by("node", "copies").alias("centre")).filter("least <> most")
+    return buckets.join(centre.select("key", "centre"), "key")
 
 
 def stars(members: DataFrame) -> DataFrame:
-    return members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    return members.filter("node <> centre").select(
+        F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
+def across(rest: DataFrame, nodes: DataFrame, first_bands: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket (key, node, n, label) that may be similar.
+
+    Where the key is a band, a pair comes from the first band that it shares, so it is made once.
+    """
+    rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node")
+    cols = [c for c in rest.columns if c != "key"]
+    x = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
+    fit = ((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+           & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")))
+    fit = fit & F.expr(f"{agreeing('bits_a', 'bits_b')} >= {AGREEING}")
+    if first_bands:
+        fit = fit & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])
+    pairs = x.join(y, (x["key"] == y["key"]) & fit)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Labels (node, label) of all nodes with a link; ``nodes``: node, n, bands, one row per set."""
+    """Labels (node, label) of all nodes with a link; ``nodes``: node, n, copies, bands, bits, one row per set."""
     spark = docs.sparkSession
-    members = T.written(spark, crowded(nodes.select("node", "n", F.explode("bands").alias("key"))), "near-members")
+    members = T.written(spark, crowded(nodes.select("node", "n", "copies", F.explode("bands").alias("key"))),
+                        "near-members")
     if members.isEmpty():
         return None
     sets = T.written(spark, sets_of(docs, members.select("node").distinct()), "near-sets")
@@ -143,28 +190,27 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     links = T.written(spark, confirmed(tested, sets), "near-links")
     for split in range(SPLITS + 1):
         labels = components(links)
-        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        unsettled = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rest = T.written(spark, placed.join(unsettled.select("key"), "key"), "near-unsettled")
+        placed = members.join(labels, "node", "left").select("key", "node", "n", "copies",
+                                                             F.coalesce("label", "node").alias("label"))
+        sizes = placed.groupBy("key", "label").count().groupBy("key").agg(
+            (F.sum("count") - F.max("count")).alias("minority")).filter("minority > 0")
+        rest = T.written(spark, placed.join(sizes, "key"), "near-unsettled")
         if rest.isEmpty():
             return labels
-        small = rest if split == SPLITS else rest.filter(F.col("size") <= SMALL_BUCKET)
-        x = small.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        y = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = x.join(y, "key").filter(
-            (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-            & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-        large = rest.filter(F.col("size") > SMALL_BUCKET) if split < SPLITS else rest.limit(0)
-        finer = large.select("key", "node", "n").join(nodes.select("node", "bands"), "node").select(
-            "node", "n", F.col("key").alias("was"), F.explode("bands").alias("band")).filter("was <> band").select(
-            F.xxhash64(F.least("was", "band"), F.greatest("was", "band")).alias("key"), "node", "n").distinct()
+        few = F.lit(split == SPLITS) | (F.col("minority") <= MINORITY)
+        pairs = across(rest.filter(few).select("key", "node", "n", "label"), nodes, first_bands=split == 0)
+        many = rest.filter(~few)
+        finer = many.select("key", "node", "n", "copies").join(nodes.select("node", "bands"), "node").select(
+            "node", "n", "copies", F.col("key").alias("was"), F.explode("bands").alias("band")).filter(
+            "was <> band").select(F.xxhash64(F.least("was", "band"), F.greatest("was", "band")).alias("key"),
+                                  "node", "n", "copies").distinct()
         members = T.written(spark, crowded(finer), "near-members")
         pairs = pairs.unionByName(stars(members)).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = T.written(spark, pairs, "near-pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(T.written(spark, confirmed(pairs, sets), "near-links"))
         if members.isEmpty():
-            return components(links)
+            break
     return components(links)
 
 
@@ -174,13 +220,15 @@ def labelled(docs: DataFrame) -> DataFrame:
     T.prepared(spark)
     rows = T.written(spark, sketches(docs), "near-sketches")
     nodes = T.written(spark, rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+        F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
+        F.count(F.lit(1)).alias("copies")), "near-nodes")
     labels = near_links(docs, nodes)
     by_set = nodes.select("digest", F.col("node").alias("label"))
     if labels is not None:
         by_set = nodes.select("digest", "node").join(labels, "node", "left").select(
             "digest", F.coalesce("label", "node").alias("label"))
-    return rows.drop("bands").join(by_set, "digest", "left").select(
+    return rows.drop("bands", "bits").join(by_set, "digest", "left").select(
         "doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
