@@ -1,6 +1,6 @@
 """Repeated passages, removed from every document but the first that holds them.
 
-1. Each document gives its anchors: the least 5-gram hash of every WINDOW consecutive words, so equal
+1. Each document gives its anchors: the least 7-gram hash of every WINDOW consecutive words, so equal
    windows have equal anchors wherever they stand.  Anchors of two documents or more set bits in a
    filter of fixed size; it may let windows through that do not recur, never the other way.
 2. Windows with such an anchor are confirmed by grouping their hashes: a recurring one has a least
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 7
 #: Bits of the anchor filter that is sent to each executor (32 MB), whatever the size of the corpus.
 #: With more recurring anchors it lets more windows through to the exact stage; the result is the same.
 FILTER_BITS = 1 << 28
@@ -167,13 +167,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     T.prepared(spark)
     blocks = BLOCKS_PER_PARTITION * T.shuffle_partitions(spark)
     rows = T.doc_columns(docs).withColumn("node", T.row_id())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    rows = rows.withColumn("block", block)
     bits = spark.sparkContext.broadcast(anchor_filter(recurring_anchors(rows)))
-    cand = T.written(spark, candidates(rows, bits), "phrase-candidates")
-    pairs = cand.select("node", "block", F.explode("windows").alias("window"))
-    first = pairs.groupBy("window").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(
-        "first < last").select("window", "first")
-    routed = pairs.join(first, "window").filter("node > first").select("block", "window", "first")
+    # The candidates are computed from the texts each time they are read: they would take more room
+    # than the texts if they were written.
+    cand = candidates(rows, bits)
+    pairs = cand.select("node", F.explode("windows").alias("window"))
+    first = pairs.groupBy("window").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("times")).filter(
+        "times > 1").select("window", "first")
+    routed = pairs.join(first, "window").filter("node > first").select(block.alias("block"), "window", "first")
     left = cand.filter("kept_sha256 IS NULL").select("doc_id", "node", F.col("block").alias("doc_block"), "n_words", "text")
     done = left.groupBy("doc_block").cogroup(routed.groupBy("block")).applyInArrow(
         _block, "doc_id long, n_words long, n_removed long, kept_sha256 string")
