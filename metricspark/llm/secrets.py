@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as T
+
 #: Code points between the starts of two parts that belong together.
 SCOPE = 200
 
@@ -93,7 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
     name = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     item = F.struct("start", "rank", "end", name.alias("name"))
-    per = linked(spans(docs)).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    found = T.written(docs.sparkSession, spans(docs), "secret-spans")  # read twice below, scanned once
+    per = linked(found).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(item)).alias("all"))
     per = per.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "all")
     both = rows.join(per, rows["doc_id"].eqNullSafe(per["s_id"]) & (rows["text_hash"] == per["s_hash"]), "left")
     every = F.coalesce(F.col("all"), F.expr(
