@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import nan_to_null
 from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.stats import apply_stats, salted_join
 from ..plans.order import first_n_per_entity
@@ -20,7 +21,9 @@ EXPLAIN_PREFIX, EXPLAIN_SUFFIX = "Spike detected due to sudden ", "."   # + "<na
 def zscore_anomalies(df: DataFrame, cols: Sequence[str], z_threshold: float = 3.0,
                      by: Sequence[str] = ()) -> DataFrame:
     """Mean-fill, |z| with the population deviation of the filled column, flag if any
-    |z| > t, score = max |z| over columns.  A constant column has no z and is skipped."""
+    |z| > t, score = max |z| over columns.  A constant column has no z and is skipped;
+    NaN counts as missing."""
+    df = nan_to_null(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")

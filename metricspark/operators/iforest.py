@@ -31,7 +31,6 @@ from ..session import ship_package
 
 EULER_GAMMA = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, split double, size long"
-SMALL_PAIRS = 2_000_000
 
 
 def c_factor(n: float) -> float:
@@ -84,18 +83,15 @@ def fit_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int
     psi_eff = max(1, min(psi, n))
     height = max(1, math.ceil(math.log2(max(psi_eff, 2))))
     feats = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
-    h = F.xxhash64(F.col(key_col), F.lit(seed))
-    if n * n_trees <= SMALL_PAIRS:
-        pairs = df.select(feats, F.col(key_col).alias("k"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        pairs = pairs.withColumn("r", F.xxhash64("k", "tree", F.lit(seed)))
-    else:
-        keep = min(1.0, 1.3 * n_trees * psi_eff / n)
-        u = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30))
-        pairs = df.where(u < keep).select(feats, F.col(key_col).alias("k"),
-                                          F.pmod(F.xxhash64(F.col(key_col), F.lit(seed + 1)), F.lit(n_trees))
-                                          .cast("int").alias("tree"))
-        pairs = pairs.withColumn("r", F.xxhash64("k", F.lit(seed + 2)))
+    # One rule for every size: row k may enter tree t when its hash lies below a bound that leaves each
+    # tree psi rows and a margin of six deviations; the psi least hashes of a tree are its sample.
+    share = (psi_eff + 6.0 * math.sqrt(psi_eff) + 30.0) / max(n, 1)
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    if share < 1.0:
+        bound = F.lit(int(-2**63 + share * 2**64))
+        trees = F.filter(trees, lambda t: F.xxhash64(F.col(key_col), t, F.lit(seed)) < bound)
+    pairs = df.select(feats, F.col(key_col).alias("k"), F.explode(trees).alias("tree"))
+    pairs = pairs.withColumn("r", F.xxhash64("k", "tree", F.lit(seed)))
     from ..plans.order import first_n_per_entity
     sample = first_n_per_entity(pairs, ["tree"], [F.col("r"), F.col("k")], psi_eff).select("tree", "x")
 

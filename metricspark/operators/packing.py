@@ -47,7 +47,7 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
         group_col, id_col, priority_col,
         F.coalesce(F.col(cpu_col).cast("double"), F.lit(5.0)).alias("__c"),
         F.coalesce(F.col(mem_col).cast("double"), F.lit(10.0)).alias("__m"),
-        F.struct((-F.col(priority_col)).alias("p"), F.col(id_col).alias("i")).alias("__ord"))
+        F.struct((-F.coalesce(F.col(priority_col), F.lit(0))).alias("p"), F.col(id_col).alias("i")).alias("__ord"))
     slot_t = "array<struct<cpu:double,mem:double>>"
     empty = F.array_repeat(F.struct(F.lit(0.0).alias("cpu"), F.lit(0.0).alias("mem")), slots).cast(slot_t)
     state = None               # (group, __slots) after the last round; absent group = empty slots
@@ -76,7 +76,7 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
             return F.struct(new_slots.alias("slots"), placed.alias("placed"))
 
         init = F.struct(start.alias("slots"),
-                        F.array().cast("array<struct<id:bigint,slot:int>>").alias("placed"))
+                        F.array().cast(f"array<struct<id:{tasks.schema[id_col].dataType.simpleString()},slot:int>>").alias("placed"))
         folded = grouped.select(group_col, "__last", F.aggregate("__items", init, step).alias("__r")).select(
             group_col, "__last", F.col("__r.slots").alias("__slots"), F.col("__r.placed").alias("__placed"))
         folded = folded.checkpoint()
@@ -115,9 +115,10 @@ def slot_loads(scheduled: DataFrame, group_col: str = "group_id", id_col: str =
     A slot holds a bounded number of tasks (capacity / smallest requirement)."""
     placed = scheduled.where(F.col("slot").isNotNull())
     g = placed.groupBy(group_col, "slot").agg(
-        F.sum(F.col(cpu_col).cast("double")).alias("cpu"), F.sum(F.col(mem_col).cast("double")).alias("memory"),
+        F.sum(F.coalesce(F.col(cpu_col).cast("double"), F.lit(5.0))).alias("cpu"),
+        F.sum(F.coalesce(F.col(mem_col).cast("double"), F.lit(10.0))).alias("memory"),
         F.count(F.lit(1)).alias("n_tasks"),
-        F.array_sort(F.collect_list(F.struct((-F.col(priority_col)).alias("p"), F.col(id_col).alias("i"))))
+        F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col(priority_col), F.lit(0))).alias("p"), F.col(id_col).alias("i"))))
         .alias("__ids"))
     return g.select(group_col, "slot", "cpu", "memory", "n_tasks",
                     F.concat_ws(",", F.transform("__ids", lambda s: s["i"].cast("string"))).alias("task_ids"))

@@ -38,11 +38,11 @@ def error_metrics(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ())
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE, R^2 in one pass: R^2 = 1 - SSE / SST with SST = n * var_pop(y)."""
+    """MAE, RMSE, R^2 in one pass: R^2 = 1 - SSE / SST with SST = n * var_pop(y), NULL for a constant label."""
     y, p = F.col(label), F.col(pred)
     e = p - y
     aggs = [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-            (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"),
+            (F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"),
             F.count(F.lit(1)).alias("n")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 

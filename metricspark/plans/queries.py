@@ -769,7 +769,7 @@ def q_anomaly_summary(spark, sf_dir):
         F.count(F.lit(1)).alias("total_anomalies"), F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
         F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
     z = zscored(spark, sf_dir).agg(
-        F.round(F.count_if("is_anomaly") * 100.0 / F.count(F.lit(1)), 2).alias("zscore_anomaly_percentage"))
+        F.round(F.try_divide(F.count_if("is_anomaly") * 100.0, F.count(F.lit(1))), 2).alias("zscore_anomaly_percentage"))
     return sa.crossJoin(z).select(F.lit("statistical").alias("method"), "total_anomalies", "cpu_anomalies",
                                   "memory_anomalies", "zscore_anomaly_percentage")
 

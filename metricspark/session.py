@@ -46,8 +46,8 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (the cluster's shared folder) when the
-    session names one.  Only when it is unset (tests, local runs) a fresh
-    folder is created and registered as the checkpoint dir.
+    session names one.  Only when it is unset in local mode (tests) a fresh
+    folder is created and registered as the checkpoint dir; elsewhere that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -58,6 +58,8 @@ def scratch_root(spark: SparkSession) -> str:
     if cp:
         # Spark appends a random sub-folder; its parent is the configured root.
         return os.path.dirname(cp.rstrip("/"))
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="metricspark-")
     spark.sparkContext.setCheckpointDir(local)
     return local

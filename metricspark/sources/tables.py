@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import nan_to_null
+
 ORDER_COL = "row_key"
 ENTITY_COL = "host_id"
 TIME_COL = "timestamp"
@@ -51,7 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def metrics_from_events(events: DataFrame) -> DataFrame:
-    """Project the ``events`` table onto the host-metrics schema (pure projection, no shuffle)."""
+    """Project the ``events`` table onto the host-metrics schema (pure projection, no shuffle).
+
+    NaN becomes NULL here, so no operator downstream sees one.
+    """
+    events = nan_to_null(events)
     eid, uid = F.col("event_id"), F.col("user_id")
     return events.select(
         eid.alias("row_key"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from metricspark.operators import anomaly, iforest, models
+from metricspark.operators import anomaly, iforest, models, predict
 from metricspark.plans.pipeline import preprocess
 from metricspark.plans.queries import split_expr
 from metricspark.sources.tables import load_metrics
@@ -44,17 +44,20 @@ def test_isolation_forest_share_and_ranking(spark):
     assert hi > med
 
 
-def test_isolation_forest_large_path_bounded_sample(spark):
-    m = load_metrics(spark, SF01)
-    nodes, info = iforest.fit_forest(m.fillna(0.0), ["network_latency", "disk_io"], n_trees=20, psi=64)
-    old = iforest.SMALL_PAIRS
-    try:
-        iforest.SMALL_PAIRS = 0          # force the disjoint-sample path
-        nodes2, info2 = iforest.fit_forest(m.fillna(0.0), ["network_latency", "disk_io"], n_trees=20, psi=64)
-        sizes = nodes2.where("node = 0").select("size").collect()
-        assert all(r.size <= 64 for r in sizes) and len(sizes) == 20
-    finally:
-        iforest.SMALL_PAIRS = old
+@pytest.mark.parametrize("n", [255, 20_000, 20_001, 30_000])
+def test_isolation_forest_trees_have_full_samples(spark, n):
+    df = spark.range(n).select(F.col("id").alias("row_key"), F.rand(3).alias("x"))
+    nodes, info = iforest.fit_forest(df, ["x"], n_trees=100, psi=256)
+    sizes = [r["size"] for r in nodes.where("node = 0").select("size").collect()]
+    assert len(sizes) == 100 and set(sizes) == {min(256, n)} and info["psi"] == min(256, n)
+
+
+def test_nan_constant_and_empty_input(spark):
+    df = spark.createDataFrame([(k, float("nan") if k == 0 else float(k % 5)) for k in range(1000)], "row_key long, x double")
+    assert anomaly.zscore_anomalies(df, ["x"], 3.0).where("is_anomaly").isEmpty()
+    one = spark.createDataFrame([(1.0, 2.0)] * 3, "y double, p double")
+    assert predict.regression_metrics(one, "y", "p").first().r2 is None
+    assert predict.regression_metrics(one.limit(0), "y", "p").first().n == 0
 
 
 def test_c_factor():

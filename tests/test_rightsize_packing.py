@@ -81,3 +81,12 @@ def test_no_slot_over_limit(spark):
     assert all(r.cpu <= 80.0 and r.memory <= 85.0 for r in loads)
     summ = packing.schedule_summary(s).collect()
     assert all(0.0 <= r.success_rate <= 100.0 for r in summ)
+
+
+def test_text_ids_and_missing_values(spark):
+    rows = [("g", "Task_1", None, None, None), ("g", "Task_2", 5.0, 10.0, 2)]
+    got = packing.first_fit(spark.createDataFrame(
+        rows, "group_id string, task_id string, cpu_req double, memory_req double, priority int"), slots=2, cpu_limit=6.0)
+    assert {r.task_id: r.slot for r in got.collect()} == {"Task_2": 0, "Task_1": 1}
+    loads = {r.slot: (r.cpu, r.memory) for r in packing.slot_loads(got).collect()}
+    assert loads == {0: (5.0, 10.0), 1: (5.0, 10.0)}
