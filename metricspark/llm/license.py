@@ -22,6 +22,8 @@ from . import text as T
 SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 2000, 2000
 #: Variants made from each template; every fifth is held out for calibration.
 VARIANTS = 60
+#: Training n-grams that occur less often have no weight: the training matrix stays small on the driver.
+LEAST_TIMES = 5
 #: Least calibrated probability, and least share of a template's 3-grams that the paragraph holds.
 LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.6
 
@@ -81,7 +83,8 @@ class Classifier:
         labels = np.array(labels)
         held = np.arange(len(labels)) % 5 == 4
         words, offsets = _words(texts)
-        self.grams = np.unique(self._features(words, offsets)[0])
+        grams, times = np.unique(self._features(words, offsets)[0], return_counts=True)
+        self.grams = grams[times >= LEAST_TIMES]
         rows, cols, sizes = self._coded(words, offsets)
         x = np.zeros((len(texts), len(self.grams)), np.float32)
         np.add.at(x, (rows, cols), 1)
