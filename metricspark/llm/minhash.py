@@ -84,9 +84,33 @@ def four_bits(signature: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
+def parities(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an odd number of the set's members fall on each of some places (bits of 64-bit words), and
+    the same for half as many places.  There are 4 to 8 places for a member, and 64 at least.
+
+    Members of both sets cancel out, so two sets of equally many places differ in at least as many
+    members as they have places of different parity.
+    """
+    words = 1 << max(0, (len(grams) - 1) // 16).bit_length()
+    odd = np.bincount((T.mix(grams) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    out = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    return out, out[:words // 2] ^ out[words // 2:] if words > 1 else out
+
+
 WORDS = 2 * PERMUTATIONS // 16
 
 
+def odd_places(a: str, b: str) -> str:
+    """SQL for the number of places of different parity; sizes within the similarity differ at most twofold
+    in places."""
+    def differ(x, y):
+        return f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
+
+    return (f"CASE WHEN size(parity_{a}) = size(parity_{b}) THEN {differ(f'parity_{a}', f'parity_{b}')} "
+            f"WHEN size(parity_{a}) > size(parity_{b}) THEN {differ(f'half_{a}', f'parity_{b}')} "
+            f"ELSE {differ(f'parity_{a}', f'half_{b}')} END")
+
+
 def agreeing(a: str, b: str) -> str:
     """SQL for the number of signature values that agree in their four bits."""
     def differ(i):
@@ -126,17 +150,23 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and its sorted shingle hashes, for the given nodes."""
+    """``node``, its sorted shingle hashes and their parities, for the given nodes."""
+    def joined(parts):
+        flat = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
+        return T.lists(flat, np.cumsum([0, *map(len, parts)]), pa.int64())
+
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column("text").to_pylist())
-            offsets = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("node"), T.lists(flat, offsets, pa.int64())], names=["node", "grams"])
+            odd = [parities(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), joined(sets), joined([p for p, _ in odd]), joined([h for _, h in odd])],
+                names=["node", "grams", "parity", "half"])
 
     d = T.doc_columns(docs).select("text", T.row_id().alias("node"))
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    return d.join(wanted, "node", "left_semi").mapInArrow(run, "node long, grams array<long>")
+    return d.join(wanted, "node", "left_semi").mapInArrow(
+        run, "node long, grams array<long>, parity array<long>, half array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,12 +190,14 @@ def stars(members: DataFrame) -> DataFrame:
         F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def across(rest: DataFrame, nodes: DataFrame, first_bands: bool) -> DataFrame:
+def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool) -> DataFrame:
     """Pairs (a, b) of different components in a bucket (key, node, n, label) that may be similar.
 
-    Where the key is a band, a pair comes from the first band that it shares, so it is made once.
+    Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
+    bound by parities loses no link.
     """
-    rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node")
+    rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node").join(
+        sets.select("node", "parity", "half"), "node")
     cols = [c for c in rest.columns if c != "key"]
     x = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
     y = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
@@ -174,6 +206,7 @@ def across(rest: DataFrame, nodes: DataFrame, first_bands: bool) -> DataFrame:
     fit = fit & F.expr(f"{agreeing('bits_a', 'bits_b')} >= {AGREEING}")
     if first_bands:
         fit = fit & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])
+    fit = fit & F.expr(f"(100 + {SIMILARITY}) * {odd_places('a', 'b')} <= (100 - {SIMILARITY}) * (n_a + n_b)")
     pairs = x.join(y, (x["key"] == y["key"]) & fit)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -198,7 +231,8 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         if rest.isEmpty():
             return labels
         few = F.lit(split == SPLITS) | (F.col("minority") <= MINORITY)
-        pairs = across(rest.filter(few).select("key", "node", "n", "label"), nodes, first_bands=split == 0)
+        pairs = across(rest.filter(few).select("key", "node", "n", "label"), nodes, sets,
+                       first_bands=split == 0)
         many = rest.filter(~few)
         finer = many.select("key", "node", "n", "copies").join(nodes.select("node", "bands"), "node").select(
             "node", "n", "copies", F.col("key").alias("was"), F.explode("bands").alias("band")).filter(
