@@ -191,24 +191,25 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket (key, node, n, label) that may be similar.
+    """Pairs (a, b) of different components in a bucket (key, node, n, label, main) that may be similar.
 
-    Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
+    Members of the bucket's largest component, ``main``, meet only those outside it.  Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
     bound by parities loses no link.
     """
     rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node").join(
         sets.select("node", "parity", "half"), "node")
     cols = [c for c in rest.columns if c != "key"]
-    x = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
+    x = rest.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
     y = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
-    fit = ((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+    once = (F.col("label_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    fit = (once & (F.col("label_a") != F.col("label_b"))
            & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")))
     fit = fit & F.expr(f"{agreeing('bits_a', 'bits_b')} >= {AGREEING}")
     if first_bands:
         fit = fit & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])
     fit = fit & F.expr(f"(100 + {SIMILARITY}) * {odd_places('a', 'b')} <= (100 - {SIMILARITY}) * (n_a + n_b)")
     pairs = x.join(y, (x["key"] == y["key"]) & fit)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
@@ -226,12 +227,13 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         placed = members.join(labels, "node", "left").select("key", "node", "n", "copies",
                                                              F.coalesce("label", "node").alias("label"))
         sizes = placed.groupBy("key", "label").count().groupBy("key").agg(
-            (F.sum("count") - F.max("count")).alias("minority")).filter("minority > 0")
+            (F.sum("count") - F.max("count")).alias("minority"), F.max_by("label", "count").alias("main")).filter(
+            "minority > 0")
         rest = T.written(spark, placed.join(sizes, "key"), "near-unsettled")
         if rest.isEmpty():
             return labels
         few = F.lit(split == SPLITS) | (F.col("minority") <= MINORITY)
-        pairs = across(rest.filter(few).select("key", "node", "n", "label"), nodes, sets,
+        pairs = across(rest.filter(few).select("key", "node", "n", "label", "main"), nodes, sets,
                        first_bands=split == 0)
         many = rest.filter(~few)
         finer = many.select("key", "node", "n", "copies").join(nodes.select("node", "bands"), "node").select(
