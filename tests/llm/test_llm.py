@@ -331,3 +331,19 @@ def test_pipeline(spark, texts):
     assert not any(pii.find(x) for x in kept.values())
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == ids and all(r.round_trip for r in got)
+
+
+def test_parities_bound_the_difference():
+    """Never more odd places than members that differ, also where the sets' places are folded."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 15, 16, 17, 100, 185, 2000):
+        for m in (n, max(1, 4 * n // 5), 4 * n // 3):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[:9 * m // 10], rng.integers(0, 2**63, m, dtype=np.uint64)[9 * min(n, m) // 10:]]))
+            if not 75 * max(len(a), len(b)) <= 100 * min(len(a), len(b)):
+                continue
+            (pa_, ha), (pb, hb) = minhash.parities(a), minhash.parities(b)
+            x, y = (pa_, pb) if len(pa_) == len(pb) else (ha, pb) if len(pa_) > len(pb) else (pa_, hb)
+            assert len(x) == len(y)
+            apart, odd = len(np.setxor1d(a, b)), int(np.bitwise_count(x ^ y).sum())
+            assert odd <= apart and (apart - odd) % 2 == 0
