@@ -7,17 +7,19 @@ value of the column.  Here each target rank is found by selection:
 
 1. ``n`` per column (one count pass).  When every column has at most
    ``direct_max`` values, ``percentile`` itself is used (bounded map, one pass).
-2. While a target's candidate interval holds more than ``small`` values:
-   a bounded-memory sketch (``percentile_approx``, rank error <= m/accuracy)
-   over the current candidates brackets the target ranks with a margin of
-   2*m/accuracy, and a count pass fixes how many candidates fall below the
-   new interval.  Each round shrinks the candidates by ~accuracy/4.
-3. The remaining candidates (<= ``small`` per target) are ranked exactly with
-   ``row_number`` over a window partitioned by target.
-
-All targets of all columns advance together, one pass per step.  If a
-bracket ever misses its rank (it cannot with the sketch's guarantee) the
-target simply keeps its previous interval.
+2. While a rank's candidate interval holds more than ``small`` values: a
+   bounded-memory sketch (``percentile_approx``, rank error <= m/accuracy) over
+   the candidates brackets the rank with a margin of 2*m/accuracy, and a count
+   pass says how many candidates lie before, on and between the bracket's ends.
+   A rank on an end is settled: its value is that end, however many rows share
+   it.  Any other goes on with the open interval, so ties never keep the
+   candidates from shrinking (by ~accuracy/4 a round).
+3. The remaining candidates (<= ``small`` per rank) are counted by value and
+   ranked with a running sum over a window partitioned by interval.
+
+All ranks of all columns advance together, one aggregate of the table per step.
+The sketch's margin affects speed only: a rank outside its bracket goes on in
+the part of the interval that holds it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sqlexpr import dlit
+from .sqlexpr import dcol, dlit
 from .stats import fit_row
 
 SMALL = 2_000_000
@@ -59,89 +61,89 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
                            for i, c in enumerate(cols)])
         return {(c, p): (row[f"q{i}"][k] if row[f"q{i}"] is not None else None)
                 for i, c in enumerate(cols) for k, p in enumerate(ps)}
-    # target t: (column index, p, lower rank, upper rank, interval lo, interval hi, values below lo, count inside)
-    tasks = []
-    for i, c in enumerate(cols):
+    # One task per (column, rank): the rank's value lies strictly inside (a, b), which holds ``m`` values
+    # and has ``below`` values in front of it, or it is known (``val``).
+    tasks: dict[tuple[int, int], dict] = {}
+    for i in range(len(cols)):
         n = int(counts[f"n{i}"] or 0)
-        for p in ps:
-            if n == 0:
-                continue
-            pos, lo_r, hi_r = _pos(p, n)
-            tasks.append({"ci": i, "p": p, "pos": pos, "lo_r": lo_r, "hi_r": hi_r,
-                          "a": None, "b": None, "below": 0, "m": n})
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)
-    ])).alias("e")).select("e.ci", "e.v").where(F.col("v").isNotNull())
+        for p in ps if n else ():
+            for r in _pos(p, n)[1:]:
+                tasks[i, r] = {"ci": i, "r": r, "a": None, "b": None, "below": 0, "m": n, "val": None}
+
+    def value(i: int) -> str:
+        return dcol(cols[i])
 
     def inside(t) -> str:
-        cond = f"ci = {t['ci']}"
-        if t["a"] is not None:
-            cond += f" AND v >= {dlit(t['a'])} AND v <= {dlit(t['b'])}"
-        return cond
+        v = value(t["ci"])
+        return " AND ".join([f"{v} IS NOT NULL"] + [f"{v} > {dlit(t['a'])}"] * (t["a"] is not None)
+                            + [f"{v} < {dlit(t['b'])}"] * (t["b"] is not None))
 
-    for _ in range(max_rounds):
-        big = [t for t in tasks if t["m"] > small]
+    for done in range(max_rounds + 1):
+        big = [t for t in tasks.values() if t["val"] is None and t["m"] > small]
         if not big:
             break
-        eps = 1.0 / accuracy
-        sk = []
-        for j, t in enumerate(big):
-            k0, k1 = t["lo_r"] - t["below"], t["hi_r"] - t["below"]
-            f0 = max(0.0, (k0 - 2 * eps * t["m"]) / t["m"])
-            f1 = min(1.0, (k1 + 2 * eps * t["m"]) / t["m"])
-            sk.append(f"percentile_approx(CASE WHEN {inside(t)} THEN v END, array({dlit(f0)}, {dlit(f1)}), "
-                      f"{accuracy}) AS s{j}")
-        row = long.agg(*[F.expr(s) for s in sk]).first()
-        new = []
+        if done == max_rounds:
+            raise RuntimeError(f"exact quantiles: more than {small} candidates left after {max_rounds} rounds")
+        sketch = []
         for j, t in enumerate(big):
-            a, b = row[f"s{j}"]
-            new.append((a, b))
+            k, m, margin = t["r"] - t["below"], t["m"], 2.0 / accuracy
+            sketch.append(f"percentile_approx(CASE WHEN {inside(t)} THEN {value(t['ci'])} END, "
+                          f"array({dlit(max(0.0, k / m - margin))}, {dlit(min(1.0, (k + 1) / m + margin))}), "
+                          f"{accuracy}) AS s{j}")
+        row = df.agg(*[F.expr(s) for s in sketch]).first()
+        brackets = [tuple(row[f"s{j}"]) for j in range(len(big))]
         cnt = []
-        for j, (t, (a, b)) in enumerate(zip(big, new)):
-            cnt.append(f"count(CASE WHEN {inside(t)} AND v < {dlit(a)} THEN 1 END) AS lo{j}")
-            cnt.append(f"count(CASE WHEN {inside(t)} AND v >= {dlit(a)} AND v <= {dlit(b)} THEN 1 END) AS in{j}")
-        row = long.agg(*[F.expr(s) for s in cnt]).first()
-        for j, (t, (a, b)) in enumerate(zip(big, new)):
-            below, m = t["below"] + row[f"lo{j}"], row[f"in{j}"]
-            if below <= t["lo_r"] and t["hi_r"] < below + m:      # bracket holds both ranks
-                t.update(a=a, b=b, below=below, m=m)
+        for j, (t, (a, b)) in enumerate(zip(big, brackets)):
+            v, within = value(t["ci"]), inside(t)
+            for name, cond in (("lt", f"{v} < {dlit(a)}"), ("ea", f"{v} = {dlit(a)}"),
+                               ("in", f"{v} > {dlit(a)} AND {v} < {dlit(b)}"),
+                               ("eb", f"{v} = {dlit(b)} AND {v} > {dlit(a)}")):
+                cnt.append(f"count_if({within} AND {cond}) AS {name}{j}")
+        row = df.agg(*[F.expr(s) for s in cnt]).first()
+        for j, (t, (a, b)) in enumerate(zip(big, brackets)):
+            k = t["r"] - t["below"]
+            lt, ea, within, eb = (row[f"{x}{j}"] for x in ("lt", "ea", "in", "eb"))
+            if k < lt:
+                t.update(b=a, m=lt)
+            elif k < lt + ea:
+                t["val"] = a
+            elif k < lt + ea + within:
+                t.update(a=a, b=b, below=t["below"] + lt + ea, m=within)
+            elif k < lt + ea + within + eb:
+                t["val"] = b
             else:
-                t["m"] = min(t["m"], small)                        # cannot happen; fall back to exact rank
-    # Exact selection among the remaining candidates: targets sharing a column and an
-    # interval form one group; every row joins the groups that contain it (one pass).
-    if not tasks:
-        return {(c, p): None for c in cols for p in ps}
-    groups: dict[tuple, int] = {}
-    for t in tasks:
-        t["g"] = groups.setdefault((t["ci"], t["a"], t["b"]), len(groups))
-    members = []
-    for (ci, a, b), g in groups.items():
-        t = {"ci": ci, "a": a, "b": b}
-        members.append(f"CASE WHEN {inside(t)} THEN {g} END")
-    cand = long.selectExpr("v", f"explode(filter(array({', '.join(members)}), x -> x IS NOT NULL)) AS g")
-    want = {(t["g"], r - t["below"] + 1) for t in tasks for r in (t["lo_r"], t["hi_r"])}
-    ranks = sorted({r for _, r in want})
-    w = Window.partitionBy("g").orderBy("v")
-    picked = cand.withColumn("r", F.row_number().over(w)).where(F.col("r").isin(ranks)).collect()
-    got = {(r["g"], r["r"]): r["v"] for r in picked}
+                t.update(a=b, below=t["below"] + lt + ea + within + eb, m=t["m"] - lt - ea - within - eb)
+    # The remaining candidates: one group per interval, equal values counted before they are ranked.
+    open_ = [t for t in tasks.values() if t["val"] is None]
+    if open_:
+        groups: dict[tuple, int] = {}
+        for t in open_:
+            t["g"] = groups.setdefault((t["ci"], t["a"], t["b"]), len(groups))
+        members = [f"CASE WHEN {inside({'ci': ci, 'a': a, 'b': b})} THEN named_struct('g', {g}, 'v', {value(ci)}) END"
+                   for (ci, a, b), g in groups.items()]
+        ties = df.selectExpr(f"explode(filter(array({', '.join(members)}), x -> x IS NOT NULL)) AS e").groupBy(
+            F.col("e.g").alias("g"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        ranked = ties.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("v")))
+        wanted = " OR ".join(f"(g = {t['g']} AND upto > {t['r'] - t['below']} AND upto - n <= {t['r'] - t['below']})"
+                             for t in open_)
+        picked = ranked.where(wanted).collect()          # at most one row per task
+        for t in open_:
+            k = t["r"] - t["below"]
+            t["val"] = next(x["v"] for x in picked if x["g"] == t["g"] and x["upto"] - x["n"] <= k < x["upto"])
     out = {}
-    for t in tasks:
-        lo_v = got.get((t["g"], t["lo_r"] - t["below"] + 1))
-        hi_v = got.get((t["g"], t["hi_r"] - t["below"] + 1))
-        if lo_v is None or hi_v is None:
-            val = None
-        elif t["hi_r"] == t["lo_r"] or lo_v == hi_v:
-            val = lo_v
-        else:   # same interpolation as Spark's percentile
-            val = (t["hi_r"] - t["pos"]) * lo_v + (t["pos"] - t["lo_r"]) * hi_v
-        out[(cols[t["ci"]], t["p"])] = val
-    for c in cols:
+    for i, c in enumerate(cols):
+        n = int(counts[f"n{i}"] or 0)
         for p in ps:
-            out.setdefault((c, p), None)
+            if not n:
+                out[c, p] = None
+                continue
+            pos, lo, hi = _pos(p, n)
+            low, high = tasks[i, lo]["val"], tasks[i, hi]["val"]
+            # same interpolation as Spark's percentile
+            out[c, p] = low if lo == hi or low == high else (hi - pos) * low + (pos - lo) * high
     return out
 
 
-
 GRID = 1000
 
 
@@ -151,12 +153,13 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
     """Exact per-group quantiles ``(by..., q_<i>_<j>)`` for column ``cols[i]`` and ``ps[j]``,
     without holding a hot group's values in one task.
 
-    Per round, one aggregate per (group, column, target) builds a bounded-memory sketch
-    on a fixed grid of fractions over the target's current candidates; the grid points
-    around the target ranks (+-2/accuracy) bracket them.  A second aggregate counts the
-    candidates below and inside the new bracket.  Targets whose bracket holds at most
-    ``small`` values are ranked exactly with a window partitioned by target.  The small
-    per-target state is joined to the rows with a salted join."""
+    Per round, one aggregate per (group, column, rank) builds a bounded-memory sketch
+    on a fixed grid of fractions over the rank's current candidates; the grid points
+    around the rank (+-2/accuracy) bracket it.  A second aggregate counts the candidates
+    before, on and between the bracket's ends: a rank on an end is settled, others go on
+    with the open interval.  Intervals of at most ``small`` values are counted by value and
+    ranked with a window partitioned by rank.  The small per-rank state is joined to the
+    rows with a salted join."""
     from .stats import salted_join
     by, cols, ps = list(by), list(cols), [float(p) for p in ps]
     eps, grid = 1.0 / accuracy, GRID
@@ -166,55 +169,58 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str
     ])).alias("e")).select(*by, "__rid", "e.ci", "e.v").where(F.col("v").isNotNull())
     keys = [*by, "ci"]
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    pos = F.col("p") * (F.col("n") - 1)
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
     state = n.select(*keys, "n", F.explode(F.array(*[F.lit(p) for p in ps])).alias("p")).select(
-        *keys, "p", (F.col("p") * (F.col("n") - 1)).alias("pos"),
-        F.floor(F.col("p") * (F.col("n") - 1)).alias("lo_r"), F.ceil(F.col("p") * (F.col("n") - 1)).alias("hi_r"),
-        F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
-        F.lit(0).cast("long").alias("below"), F.col("n").cast("long").alias("m")).checkpoint()
-    tk = [*keys, "p"]
-
-    def inside():
-        return F.col("a").isNull() | ((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
-
-    fr = F.array(*[F.lit(k / grid) for k in range(grid + 1)])
-    for _ in range(max_rounds):
-        big = state.where(F.col("m") > small)
+        *keys, "p", pos.alias("pos"), F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))).alias("r"),
+        none.alias("a"), none.alias("b"), zero.alias("below"), F.col("n").cast("long").alias("m"),
+        none.alias("val")).checkpoint()
+    tk = [*keys, "p", "r"]
+    v, k = F.col("v"), F.col("r") - F.col("below")
+    inside = (F.col("a").isNull() | (v > F.col("a"))) & (F.col("b").isNull() | (v < F.col("b")))
+    fr = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
+    unsettled = F.col("val").isNull() & (F.col("m") > small)
+    for done in range(max_rounds + 1):
+        big = state.where(unsettled)
         if big.isEmpty():
             break
-        rows = salted_join(long, big, keys, "__rid", salts).where(inside())
+        if done == max_rounds:
+            raise RuntimeError(f"exact quantiles: more than {small} candidates left after {max_rounds} rounds")
+        rows = salted_join(long, big, keys, "__rid", salts).where(inside)
         sk = rows.groupBy(*tk).agg(F.percentile_approx("v", fr, accuracy).alias("sk"))
-        b2 = big.join(sk, tk).select(
-            *tk, "pos", "lo_r", "hi_r", "below", "m",
-            F.col("sk")[F.greatest(F.lit(0), F.floor(((F.col("lo_r") - F.col("below")) / F.col("m") - 2 * eps)
-                                                     * grid)).cast("int")].alias("na"),
-            F.col("sk")[F.least(F.lit(grid), F.ceil(((F.col("hi_r") - F.col("below") + 1) / F.col("m") + 2 * eps)
-                                                   * grid)).cast("int")].alias("nb"),
-            "a", "b")
-        cnt = salted_join(long, b2, keys, "__rid", salts).where(inside()).groupBy(*tk).agg(
-            F.count_if(F.col("v") < F.col("na")).alias("nlo"),
-            F.count_if((F.col("v") >= F.col("na")) & (F.col("v") <= F.col("nb"))).alias("nin"))
-        upd = b2.join(cnt, tk).select(
-            *tk, "pos", "lo_r", "hi_r", (F.col("below") + F.col("nlo")).alias("nbelow"), "nin", "na", "nb",
-            "a", "b", "below", "m")
-        ok = (F.col("nbelow") <= F.col("lo_r")) & (F.col("hi_r") < F.col("nbelow") + F.col("nin"))
-        upd = upd.select(
-            *tk, "pos", "lo_r", "hi_r",
-            F.when(ok, F.col("na")).otherwise(F.col("a")).alias("a"),
-            F.when(ok, F.col("nb")).otherwise(F.col("b")).alias("b"),
-            F.when(ok, F.col("nbelow")).otherwise(F.col("below")).alias("below"),
-            F.when(ok, F.col("nin")).otherwise(F.least(F.col("m"), F.lit(small))).alias("m"))
-        state = state.where(F.col("m") <= small).unionByName(upd).checkpoint()
-    # exact ranks among the remaining candidates of every target
-    cand = salted_join(long, state, keys, "__rid", salts).where(inside())
-    w = Window.partitionBy(*tk).orderBy("v")
-    ranked = cand.select(*tk, "v", "pos", "lo_r", "hi_r", "below",
-                         (F.row_number().over(w) + F.col("below") - 1).alias("r"))
-    picked = ranked.where((F.col("r") == F.col("lo_r")) | (F.col("r") == F.col("hi_r"))).groupBy(*tk).agg(
-        F.first("pos").alias("pos"), F.first("lo_r").alias("lo_r"), F.first("hi_r").alias("hi_r"),
-        F.max(F.when(F.col("r") == F.col("lo_r"), F.col("v"))).alias("lv"),
-        F.max(F.when(F.col("r") == F.col("hi_r"), F.col("v"))).alias("hv"))
-    val = F.when((F.col("hi_r") == F.col("lo_r")) | (F.col("lv") == F.col("hv")), F.col("lv")).otherwise(
-        (F.col("hi_r") - F.col("pos")) * F.col("lv") + (F.col("pos") - F.col("lo_r")) * F.col("hv"))
+        low = F.greatest(F.lit(0), F.floor((k / F.col("m") - 2 * eps) * grid)).cast("int")
+        high = F.least(F.lit(grid), F.ceil(((k + 1) / F.col("m") + 2 * eps) * grid)).cast("int")
+        b2 = big.join(sk, tk).withColumn("na", F.col("sk")[low]).withColumn("nb", F.col("sk")[high]).drop("sk")
+        na, nb = F.col("na"), F.col("nb")
+        cnt = salted_join(long, b2, keys, "__rid", salts).where(inside).groupBy(*tk).agg(
+            F.count_if(v < na).alias("c1"), F.count_if(v <= na).alias("c2"),
+            F.count_if((v < nb) | (v <= na)).alias("c3"), F.count_if(v <= nb).alias("c4"))
+        step = (F.when(k < F.col("c1"), 1).when(k < F.col("c2"), 2).when(k < F.col("c3"), 3)
+                .when(k < F.col("c4"), 4).otherwise(5))
+        s = F.col("step")
+        upd = b2.join(cnt, tk).withColumn("step", step).select(
+            *keys, "p", "pos", "r",
+            F.when(s == 3, na).when(s == 5, nb).otherwise(F.col("a")).alias("a"),
+            F.when(s == 1, na).when(s == 3, nb).otherwise(F.col("b")).alias("b"),
+            (F.col("below") + F.when(s == 3, F.col("c2")).when(s == 5, F.col("c4")).otherwise(0)).alias("below"),
+            F.when(s == 1, F.col("c1")).when(s == 3, F.col("c3") - F.col("c2")).otherwise(
+                F.col("m") - F.col("c4")).alias("m"),
+            F.when(s == 2, na).when(s == 4, nb).alias("val"))
+        state = state.where(~unsettled).unionByName(upd).checkpoint()
+    # The remaining candidates: equal values are counted before they are ranked.
+    ties = salted_join(long, state.where("val IS NULL"), keys, "__rid", salts).where(inside).groupBy(
+        *tk, "pos", "below", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*tk).orderBy("v"))
+    ranked = ties.withColumn("upto", upto).where((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k))
+    known = ranked.select(*tk, "pos", v.alias("val")).unionByName(
+        state.where("val IS NOT NULL").select(*tk, "pos", "val"))
+    lo_r, hi_r = F.floor("pos"), F.ceil("pos")
+    picked = known.groupBy(*keys, "p").agg(
+        F.first("pos").alias("pos"), F.max(F.when(F.col("r") == lo_r, F.col("val"))).alias("lv"),
+        F.max(F.when(F.col("r") == hi_r, F.col("val"))).alias("hv"))
+    val = F.when((hi_r == lo_r) | (F.col("lv") == F.col("hv")), F.col("lv")).otherwise(
+        (hi_r - F.col("pos")) * F.col("lv") + (F.col("pos") - lo_r) * F.col("hv"))
+    tk = [*keys, "p"]
     res = picked.select(*tk, val.alias("q"))
     out = res.groupBy(*by).pivot("ci", list(range(len(cols)))).agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{j}") for j, p in enumerate(ps)])

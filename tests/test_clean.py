@@ -124,3 +124,29 @@ def test_grouped_exact_fits_equal_percentile(spark):
         assert r.hi <= q3 + 1.5 * (q3 - q1) + 1e-9
     z = clean.replace_zscore(m, cols=cols, by=["g"], threshold=2.0)
     assert z.count() == m.count()
+
+
+def test_exact_quantiles_with_ties(spark):
+    """Columns of few values, one hot value, and hot groups: ties never keep the candidates from shrinking."""
+    from metricspark.functions.quantile import exact_quantiles, grouped_exact_quantiles
+    df = spark.range(4000).selectExpr(
+        "id % 3 = 0 AS g", "cast(id % 2 AS double) AS two", "cast(7 AS double) AS one",
+        "if(id % 20 = 0, id / 7.0D, 5.0D) AS hot", "cast(id % 5 AS int) AS few",
+        "if(id % 4 = 0, NULL, cast(id % 11 AS double)) AS gaps", "cast(NULL AS double) AS none").cache()
+    cols, ps = ["two", "one", "hot", "few", "gaps", "none"], [0.0, 0.25, 0.5, 0.501, 0.75, 0.999, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c in cols]).first()
+    got = exact_quantiles(df, cols, ps, small=20, accuracy=100, direct_max=0, max_rounds=12)
+    for c in cols:
+        for k, p in enumerate(ps):
+            assert got[c, p] == (want[c][k] if want[c] is not None else None), (c, p)
+    # No value is left to rank where a column has two values, so one candidate is enough.
+    assert exact_quantiles(df, ["two"], [0.25, 0.5], small=1, direct_max=0) == {("two", 0.25): 0.0, ("two", 0.5): 0.5}
+    with pytest.raises(RuntimeError):
+        exact_quantiles(df, ["hot"], [0.999], small=1, accuracy=10, direct_max=0, max_rounds=1)
+    some = ["two", "hot", "gaps"]
+    want = {r["g"]: r for r in df.groupBy("g").agg(
+        *[F.percentile(c, F.array(F.lit(0.5), F.lit(0.999))).alias(c) for c in some]).collect()}
+    got = grouped_exact_quantiles(df, ["g"], some, [0.5, 0.999], small=20, accuracy=500, max_rounds=8, salts=2)
+    for r in got.collect():
+        for i, c in enumerate(some):
+            assert [r[f"q_{i}_0"], r[f"q_{i}_1"]] == pytest.approx(want[r["g"]][c], rel=1e-12), (r["g"], c)
