@@ -30,3 +30,20 @@ def components(links: DataFrame) -> DataFrame:
         labels = low.select("node", "label")
         if low.filter("label <> was").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) of :func:`components` after ``links`` (a, b) came in.
+
+    Links are first drawn between components, one for each pair of them, so however many links two
+    components have, one is followed.
+    """
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    a, b = F.coalesce("label_a", "a"), F.coalesce("label_b", "b")
+    between = links.join(one, "a", "left").join(two, "b", "left").filter(a != b).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    top = components(between)
+    step = top.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    out = labels.join(step, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return T.written(links.sparkSession, out.unionByName(top.join(labels, "node", "left_anti")), "labels")

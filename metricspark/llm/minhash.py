@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .graph import components
+from .graph import components, merged
 
 SHINGLE = 5
 #: Link when 100 * intersection >= SIMILARITY * union.
@@ -221,13 +221,12 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         return None
     sets = T.written(spark, sets_of(docs, members.select("node").distinct()), "near-sets")
     tested = T.written(spark, stars(members), "near-pairs")
-    links = T.written(spark, confirmed(tested, sets), "near-links")
+    labels = components(T.written(spark, confirmed(tested, sets), "near-links"))
     for split in range(SPLITS + 1):
-        labels = components(links)
         placed = members.join(labels, "node", "left").select("key", "node", "n", "copies",
                                                              F.coalesce("label", "node").alias("label"))
         sizes = placed.groupBy("key", "label").count().groupBy("key").agg(
-            (F.sum("count") - F.max("count")).alias("minority"), F.max_by("label", "count").alias("main")).filter(
+            (F.sum("count") - F.max("count")).alias("minority"), F.max_by("label", F.struct("count", "label")).alias("main")).filter(
             "minority > 0")
         rest = T.written(spark, placed.join(sizes, "key"), "near-unsettled")
         if rest.isEmpty():
@@ -244,10 +243,10 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         pairs = pairs.unionByName(stars(members)).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = T.written(spark, pairs, "near-pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(T.written(spark, confirmed(pairs, sets), "near-links"))
+        labels = merged(labels, T.written(spark, confirmed(pairs, sets), "near-links"))
         if members.isEmpty():
             break
-    return components(links)
+    return labels
 
 
 def labelled(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from metricspark.llm import decontam, license, minhash, phrases, pii, quality, secrets, sentencepiece, shards, tokens
-from metricspark.llm.graph import components
+from metricspark.llm.graph import components, merged
 
 SF = "/root/testdata/sf0.001"
 KEY = "0123456789abcdef" * 2
@@ -347,3 +347,13 @@ def test_parities_bound_the_difference():
             assert len(x) == len(y)
             apart, odd = len(np.setxor1d(a, b)), int(np.bitwise_count(x ^ y).sum())
             assert odd <= apart and (apart - odd) % 2 == 0
+
+
+def test_merged_labels(spark):
+    """Links that come in later give the labels of all links at once."""
+    first = spark.createDataFrame([(1, 5), (2, 6), (7, 9)], "a long, b long")
+    later = spark.createDataFrame([(5, 6), (1, 6), (3, 7), (3, 4), (10, 11), (1, 5)], "a long, b long")
+    got = {tuple(r) for r in merged(components(first), later).collect()}
+    assert got == {tuple(r) for r in components(first.union(later)).collect()}
+    assert {tuple(r) for r in merged(components(first), later.limit(0)).collect()} == {
+        tuple(r) for r in components(first).collect()}
