@@ -31,8 +31,9 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 #: four bits each; 98 of 128 are expected at the threshold, and 1 pair in 50,000 there has fewer.
 AGREEING = 78
 #: Unsettled buckets with up to this many members outside their largest component are compared across
-#: components pair by pair; others are split by further bands first.
-MINORITY = 128
+#: components pair by pair; others are split by further bands first.  A split writes and shuffles 31 rows
+#: for each member, which costs about as much as this many comparisons in memory.
+MINORITY = 1024
 #: After so many splits all unsettled buckets are compared pair by pair.
 SPLITS = 2
 #: Candidate ids are broadcast up to this many (8 MB of ids), else joined by a shuffle.
