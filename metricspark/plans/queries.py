@@ -109,6 +109,17 @@ def q_profile_duplicates(spark, sf_dir):
     return profile.profile_duplicates(load_metrics(spark, sf_dir), DUP_COLS)
 
 
+# row_key is the surrogate that gives rows their order, so it's not part of the row
+_ROW = [c for c in S.ALL if c != "row_key"]
+
+
+@register("profile_duplicates_full_row", S.with_ctes([], (
+    "SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM "
+    f"(SELECT count(*) AS n FROM metrics GROUP BY {', '.join(_ROW)}) g")))
+def q_profile_duplicates_full_row(spark, sf_dir):
+    return profile.profile_duplicates(load_metrics(spark, sf_dir), _ROW)
+
+
 @register("profile_describe", S.rounded(S.with_ctes([], " UNION ALL ".join(
     f"SELECT {i} AS ordinal, '{c}' AS column_name, count({c}) AS count, avg({S.d(c)}) AS mean, "
     f"stddev_samp({S.d(c)}) AS std, min({S.d(c)}) AS min, quantile_cont({S.d(c)}, 0.25) AS p25, "
@@ -175,7 +186,6 @@ def q_uptime_range(spark, sf_dir):
 
 
 _EDA_N = 1000
-_EDA_DUP = [c for c in S.ALL if c not in ("row_key", "timestamp", "uptime")]
 
 
 @register("eda_on_sample", S.rounded(S.with_ctes([
@@ -185,11 +195,11 @@ _EDA_DUP = [c for c in S.ALL if c not in ("row_key", "timestamp", "uptime")]
         "max(cpu_utilization) AS high_cpu, avg(memory_usage) AS avg_memory, max(network_latency) AS high_latency, "
         f"avg(power_consumption) AS avg_power, {len(S.ALL)} AS n_columns FROM s"),
     ("dup", f"SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM "
-            f"(SELECT count(*) AS n FROM s GROUP BY {', '.join(_EDA_DUP)}) g")],
+            f"(SELECT count(*) AS n FROM s GROUP BY {', '.join(_ROW)}) g")],
     "SELECT * FROM b CROSS JOIN dup"), ["high_cpu", "avg_memory", "high_latency", "avg_power"]))
 def q_eda_on_sample(spark, sf_dir):
     m = load_metrics(spark, sf_dir)
-    return round_doubles(profile.eda_summary(m, _EDA_N, [ORDER], exclude_dup=("row_key", "timestamp", "uptime")))
+    return round_doubles(profile.eda_summary(m, _EDA_N, [ORDER], exclude_dup=("row_key",)))
 
 
 # ---------------------------------------------------------------- C. cleaning
@@ -340,10 +350,9 @@ def _inverse_sql(method, col="cpu_utilization"):
 def _inverse_query(method, col="cpu_utilization"):
     def q(spark, sf_dir):
         m = load_metrics(spark, sf_dir)
-        scaled_df, model = scale.scale(m, method, roles=ROLES)
-        s = scaled_df.select("row_key", F.col(col).alias("scaled"))
-        back = scale.inverse_values(s, model, "scaled", col, out="restored")
-        return round_doubles(m.select("row_key", F.col(col).alias("original")).join(back, "row_key"))
+        model = scale.fit_scaler(m, method=method, roles=ROLES)
+        s = m.select("row_key", F.col(col).alias("original"), scale.scaled(F.col(col), col, model).alias("scaled"))
+        return round_doubles(scale.inverse_values(s, model, "scaled", col, out="restored"))
     return q
 
 
@@ -559,6 +568,18 @@ def q_predictions_summary(spark, sf_dir):
     return round_doubles(a.crossJoin(z))
 
 
+@register("predictions_first_10", S.rounded(S.with_ctes(_pred_ctes() + [
+    ("f", "SELECT *, CAST(row_number() OVER (ORDER BY row_key) AS INT) AS position FROM pred "
+          "ORDER BY row_key LIMIT 10")],
+    "SELECT position, 'cpu' AS target, cpu_pred AS prediction FROM f UNION ALL "
+    "SELECT position, 'memory', mem_pred FROM f"), ["prediction"]))
+def q_predictions_first_10(spark, sf_dir):
+    """The first ten predictions of each target."""
+    head = prediction_frame(spark, sf_dir).orderBy("row_key").limit(10).withColumn(
+        "position", F.row_number().over(Window.orderBy("row_key")))   # <= 10 rows
+    return round_doubles(head.selectExpr("position", "stack(2, 'cpu', cpu_pred, 'memory', mem_pred) AS (target, prediction)"))
+
+
 _HIST_N = 20
 
 
@@ -576,7 +597,8 @@ def q_prediction_history(spark, sf_dir):
     pf = prediction_frame(spark, sf_dir)
     z = zscored(spark, sf_dir).select("row_key", "is_anomaly")
     head = pf.orderBy("row_key").limit(_HIST_N)
-    head = head.join(z, "row_key", "left").withColumn(
+    # at most 20 rows are broadcast; every row_key is in z, which is then not shuffled
+    head = z.join(F.broadcast(head), "row_key").withColumn(
         "i", F.row_number().over(Window.orderBy("row_key")) - 1)   # <= 20 rows
     return round_doubles(head.select(
         "row_key", predict.relative_time(REF_TIME, F.col("i"), _HIST_N).alias("time"),
@@ -758,6 +780,15 @@ def q_merged_anomalies(spark, sf_dir):
     return round_doubles(top.select("host_id", "metric", "index", "value", "z_score"))
 
 
+@register("anomalies_by_metric", S.rounded(S.with_ctes(_series_ctes(), (
+    "SELECT host_id, metric, index, value, z_score FROM (SELECT *, row_number() OVER (PARTITION BY host_id, metric "
+    "ORDER BY index) AS k FROM sa) t WHERE k <= 30")), ["value", "z_score"]))
+def q_anomalies_by_metric(spark, sf_dir):
+    """The first 30 anomalies of each host and metric."""
+    top = first_n_per_entity(series_anomaly_frame(spark, sf_dir), ["host_id", "metric"], "index", 30)
+    return round_doubles(top.select("host_id", "metric", "index", "value", "z_score"))
+
+
 @register("anomaly_summary", S.rounded(S.with_ctes(_series_ctes() + _z_ctes(), (
     "SELECT 'statistical' AS method, (SELECT count(*) FROM sa) AS total_anomalies, "
     "(SELECT count(*) FROM sa WHERE metric = 'cpu') AS cpu_anomalies, "
@@ -782,7 +813,8 @@ def q_anomaly_summary(spark, sf_dir):
     "SELECT * FROM ov WHERE index + 0 < 120"), ["value", "anomaly_value"]))
 def q_anomaly_overlay(spark, sf_dir):
     base = prediction_frame(spark, sf_dir)
-    pf = with_position(base, ["host_id"], "row_key", "index").where(F.col("index") < 120)
+    pf = first_n_per_entity(base, ["host_id"], "row_key", 120, name="k", keep_rank=True).withColumn(
+        "index", F.col("k").cast("long") - 1)
     an = series_anomaly_frame(spark, sf_dir, base).where(F.col("metric") == "cpu").select(
         "host_id", "index", F.col("value").alias("anomaly_value"))
     return round_doubles(pf.join(an, ["host_id", "index"], "left").select(
@@ -1085,11 +1117,12 @@ def _conf(actual, pred):
 def q_recent_history(spark, sf_dir):
     pf = prediction_frame(spark, sf_dir)
     z = zscored(spark, sf_dir).select("row_key", "is_anomaly")
-    h = pf.join(z, "row_key").select(
+    h = pf.select(
         "host_id", "row_key", predict.load_level(F.col("combined")).alias("load_level"),
-        F.col("is_anomaly").alias("anomaly"),
         F.round(_conf(F.col("cpu_actual"), F.col("cpu_pred")) * 100.0, 1).alias("confidence_pct"))
-    out = alerts.newest_first(h, ["host_id"], [F.col("row_key").desc()], 50, 20)
+    # only the newest rows of each host are looked up
+    out = alerts.newest_first(h, ["host_id"], [F.col("row_key").desc()], 50, 20).join(
+        z.withColumnRenamed("is_anomaly", "anomaly"), "row_key")
     return out.select("host_id", "row_key", "load_level", "anomaly", "confidence_pct", "rank", "shown")
 
 
@@ -1134,8 +1167,8 @@ def q_stream_last_60(spark, sf_dir):
 # ---------------------------------------------------------------- G. regression models (MLlib) and I2
 from ..operators import iforest, models  # noqa: E402
 
-# Test-scale model sizes (the library defaults are 100 trees / 100 rounds).
-RF_TREES, RF_DEPTH, GBT_ITERS = 20, 5, 20
+# The library's defaults.
+RF_TREES, RF_DEPTH, GBT_ITERS = 100, 10, 100
 
 
 def training_frame(spark, sf_dir, target="cpu_utilization"):
@@ -1249,6 +1282,20 @@ def q_anomaly_isolation_forest(spark, sf_dir):
     return out.select("row_key", "host_id", "anomaly_score", "is_anomaly")
 
 
+@register("isolation_forest_report", S.with_ctes([], (
+    "SELECT count(*) AS n_rows, 5e0 AS anomaly_percentage, CAST(0 AS BIGINT) AS scores_out_of_range, "
+    "TRUE AS flagged_score_highest FROM metrics")))
+def q_isolation_forest_report(spark, sf_dir):
+    """Share of rows that the forest flags, in whole per cent, and whether its scores keep their bounds."""
+    flagged = F.col("is_anomaly")
+    return q_anomaly_isolation_forest(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.try_divide(100.0 * F.count_if(flagged), F.count(F.lit(1)))).alias("anomaly_percentage"),
+        F.count_if(~F.col("anomaly_score").between(0.0, 1.0)).alias("scores_out_of_range"),
+        (F.min(F.when(flagged, F.col("anomaly_score"))) > F.max(F.when(~flagged, F.col("anomaly_score")))).alias(
+            "flagged_score_highest"))
+
+
 
 # ---------------------------------------------------------------- flagship: host health
 @register("host_health", S.rounded(S.with_ctes(_series_ctes() + [
