@@ -1,5 +1,10 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
+Notices are sought in lines, in passages, and in paragraphs.  A paragraph is a run of lines with words
+(punctuation is no word, so comment marks neither join nor part lines); long ones are read in overlapping
+windows.  A passage is a run of a template's 3-grams with gaps of at most GAP words inside a paragraph, so
+a notice gives the same words however it is wrapped and whatever stands around it.
+
 Features are the 1- and 2-grams of a paragraph's words that occur in the training paragraphs, divided
 by the root of the number of words.  A multinomial logistic regression gives a score per family and
 for ``unknown``; its temperature is fitted on held-out paragraphs.  A family counts only when its
@@ -26,6 +31,8 @@ VARIANTS = 60
 LEAST_TIMES = 5
 #: Least calibrated probability, and least share of a template's 3-grams that the paragraph holds.
 LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.6
+#: Most words between two 3-grams of a template in one passage.
+GAP = 12
 
 # The wording of public licence notices.
 TEMPLATES = {
@@ -58,6 +65,9 @@ TEMPLATES = {
                     "strictly prohibited."),
 }
 FAMILIES = (*TEMPLATES, "unknown")
+#: Words of a window and between two starts: a notice of up to STEP words lies whole in one window.
+STEP = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+WINDOW = 2 * STEP
 
 
 def _words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +86,9 @@ class Classifier:
                 for _ in range(VARIANTS):
                     texts.append(_variant(t, filler, rng))
                     labels.append(k)
-        self.templates = [[np.unique(g) for t in ts for g in [self._grams(t)]] for ts in TEMPLATES.values()]
+        self.templates = [[np.unique(self._grams(t)) for t in ts] for ts in TEMPLATES.values()]
+        self.places = [np.unique(self._grams(t), return_index=True) for ts in TEMPLATES.values() for t in ts]
+        self.known = np.unique(np.concatenate([t for ts in self.templates for t in ts]))
         clean = [t for t in unknown if max(self.match(t, k) for k in range(len(TEMPLATES))) < LEAST_MATCH]
         texts += clean or [""]
         labels += [len(TEMPLATES)] * max(1, len(clean))
@@ -116,21 +128,81 @@ class Classifier:
 
     def match(self, paragraph: str, family: int) -> float:
         """Largest share of a template's 3-grams that the paragraph holds."""
-        mine = self._grams(paragraph)
-        return max(float(np.isin(t, mine).mean()) for t in self.templates[family])
+        return self._share(self._grams(paragraph), family)
+
+    def _share(self, grams: np.ndarray, family: int) -> float:
+        return max(float(np.isin(t, grams).mean()) for t in self.templates[family])
 
     def predict(self, paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Family number and calibrated probability of each paragraph."""
-        words, offsets = _words(paragraphs)
+        return self._predict(*_words(paragraphs))
+
+    def _predict(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
         rows, cols, sizes = self._coded(words, offsets)
-        logits = np.zeros((len(paragraphs), len(FAMILIES)))
+        logits = np.zeros((n, len(FAMILIES)))
         for k in range(len(FAMILIES)):
-            logits[:, k] = np.bincount(rows, self.weights[cols, k], len(paragraphs))
+            logits[:, k] = np.bincount(rows, self.weights[cols, k], n)
         logits = (logits / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias) * self.scale
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         return p.argmax(axis=1), p.max(axis=1)
 
+    def notices(self, texts: list[str | None]) -> list[tuple[int, int, str, float, float]]:
+        """Text number, first line, family, probability and match of each notice.
+
+        Only places with enough of a template's 3-grams are classified: no other can be confirmed.
+        A passage or paragraph counts when no line or passage among its words has given its family.
+        """
+        lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+        if not lines:
+            return []
+        words, offsets = _words([x for _, _, x in lines])
+        line = np.repeat(np.arange(len(lines)), np.diff(offsets))
+        number = np.array([i for i, _, _ in lines])
+        part = np.cumsum((np.diff(offsets) == 0) | (np.diff(number, prepend=-1) > 0))[line]
+        grams = T.ngram_hashes(words, 3)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        hits = np.flatnonzero((self.known[at] == grams) & (part[:len(grams)] == part[2:]))
+        if not len(hits):
+            return []
+        out = {}
+        taken = np.zeros((len(TEMPLATES), len(words)), bool)
+        for units in self._units(hits, grams, line, part, offsets):
+            if not units:
+                continue
+            inside = [words[s:e] for s, e in units]
+            family, probability = self._predict(np.concatenate(inside), np.cumsum([0, *map(len, inside)]))
+            for j in np.flatnonzero((family < len(TEMPLATES)) & (probability >= LEAST_PROBABILITY)):
+                (s, e), k = units[j], family[j]
+                if taken[k, s:e].any() or (share := self._share(T.ngram_hashes(inside[j], 3), k)) < LEAST_MATCH:
+                    continue
+                taken[k, s:e] = True
+                i, row, _ = lines[line[s]]
+                out.setdefault((i, row, FAMILIES[k]), (float(probability[j]), share))
+        return sorted((*k, *v) for k, v in out.items())
+
+    def _units(self, hits, grams, line, part, offsets):
+        """Places (first word, end) to classify: lines, then passages from the longest, then paragraphs."""
+        whole = hits[line[hits] == line[hits + 2]]
+        yield [(offsets[r], offsets[r + 1]) for r in np.unique(line[whole])]
+        passages = set()
+        for t, place in self.places:
+            mine = hits[np.isin(grams[hits], t)]
+            back = -np.diff(place[np.searchsorted(t, grams[mine])]) > len(t) / 2  # the template starts anew
+            edges = np.flatnonzero(back | (np.diff(mine) > GAP + 3) | (np.diff(part[mine]) != 0)) + 1
+            for run in np.split(mine, edges):
+                if len(run) >= LEAST_MATCH * len(t) and len(np.unique(grams[run])) >= LEAST_MATCH * len(t):
+                    passages.add((run[0], run[-1] + 3))
+        yield sorted(passages, key=lambda u: (u[0] - u[1], u))
+        begin = np.searchsorted(part, part[hits])
+        end = np.searchsorted(part, part[hits], "right")
+        last = np.maximum(end - begin - WINDOW + STEP - 1, 0) // STEP
+        turn = (hits - begin) // STEP
+        starts = np.concatenate([np.clip(turn - d, 0, last) * STEP + begin for d in (1, 0)])
+        stops = np.minimum(starts + WINDOW, np.concatenate([end, end]))
+        yield sorted(set(zip(starts.tolist(), stops.tolist())))
+
 
 def _variant(t: str, filler: list[str], rng) -> str:
     """The template with a few words left out and a few foreign words before and behind it."""
@@ -168,10 +240,10 @@ def train(docs: DataFrame) -> Classifier:
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """One row per licence paragraph (line) of ``docs``: ``doc_id``, ``paragraph`` (line number from 0),
-    ``family``, ``probability`` and ``match``.
+    """One row per licence notice of ``docs``: ``doc_id``, ``paragraph`` (number from 0 of the notice's first
+    line), ``family``, ``probability`` and ``match``.
 
-    Paragraphs of the class ``unknown``, below the threshold or without a matching template give no
+    Places of the class ``unknown``, below the threshold or without a matching template give no
     row; so do missing and empty texts.  Missing ids stay missing; repeated rows each get their rows.
     """
     spark = docs.sparkSession
@@ -184,12 +256,7 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             rows = []
             for lo, hi in T.groups(texts):
-                lines = [(i, k, x) for i in range(lo, hi) for k, x in enumerate((texts[i] or "").split("\n"))]
-                family, probability = c.predict([x for _, _, x in lines])
-                for j in np.flatnonzero((family < len(TEMPLATES)) & (probability >= LEAST_PROBABILITY)):
-                    i, k, x = lines[j]
-                    if (match := c.match(x, family[j])) >= LEAST_MATCH:
-                        rows.append((ids[i], k, FAMILIES[family[j]], float(probability[j]), match))
+                rows += [(ids[lo + i], *r) for i, *r in c.notices(texts[lo:hi])]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()))],

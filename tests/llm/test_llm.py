@@ -316,6 +316,50 @@ def test_licences(docs, texts):
     assert all(re.search("(?i)licen|rights|free software", texts[d].split("\n")[k]) for d, k in got)
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""}
+
+
+def test_wrapped_licences_and_long_lines(spark, docs, texts):
+    """Published wrapping, plain and as comments, and a notice in the middle of a long line."""
+    prose = " ".join(w for x in list(texts.values())[:40] for w in (x or "").split()[:60] if "icen" not in w)[:6000]
+    rows, want = [], set()
+    for family, notice in WRAPPED.items():
+        joined = " ".join(notice.split())
+        for x, at in ((f"{prose}\n\n{notice}\n\n{prose}", 2), ("\n".join(f" * {n}" for n in notice.split("\n")), 0),
+                      ("import x\n#\n" + "\n".join(f"# {n}" for n in notice.split("\n")) + "\n#\ny = 1", 2),
+                      (f"{prose} {joined} {prose}", 0), (f"first\n{prose} {notice} {prose}\nlast", 1)):
+            want.add((len(rows), at, family))
+            rows.append((len(rows), x))
+    for x in (f"{prose} Released under the MIT License. {prose}", f"{prose}\n\nReleased under the\nMIT License.\n"):
+        want.add((len(rows), 0 if x.endswith(prose) else 2, "MIT"))
+        rows.append((len(rows), x))
+    two = f"{WRAPPED['MIT']}\n{WRAPPED['BSD']}\n{WRAPPED['MIT']}"
+    want |= {(len(rows), 0, "MIT"), (len(rows), 6, "BSD"), (len(rows), 9, "MIT")}
+    rows += [(len(rows), two), (len(rows) + 1, prose)]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string"), license.train(docs)).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == want and len(got) == len(want)
+
+
 def test_pipeline(spark, texts):
     ids = set(texts)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
