@@ -4,7 +4,9 @@ Each of PERMUTATIONS hash functions is evaluated once per shingle and yields two
 its minimum and its maximum.  Documents with equal sets are one node.  Nodes that share a band stand
 in a bucket; links are sought in stars first (each member with the most copied node), and only buckets
 whose members are not yet in one component are looked at again: pair by pair across components where
-one component holds all but a few members, else after being split by their members' other bands.
+one component holds all but a few members, else after being split by their members' other bands.  The
+splits only join components early: what they leave of such a bucket is compared pair by pair at the end,
+in blocks, so every two nodes that share a band are in one component or have been compared.
 Every link is confirmed on the full sets before it counts.
 """
 
@@ -34,8 +36,10 @@ AGREEING = 78
 #: components pair by pair; others are split by further bands first.  A split writes and shuffles 31 rows
 #: for each member, which costs about as much as this many comparisons in memory.
 MINORITY = 1024
-#: After so many splits all unsettled buckets are compared pair by pair.
+#: After so many splits the unsettled buckets of the first round are compared pair by pair.
 SPLITS = 2
+#: Members of a bucket in a block of those comparisons: a task compares two blocks at a time.
+BLOCK = 2048
 #: Candidate ids are broadcast up to this many (8 MB of ids), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -191,17 +195,38 @@ def stars(members: DataFrame) -> DataFrame:
         F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool) -> DataFrame:
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with their label, of buckets in more than one component: ``main`` is the label of the
+    largest, ``minority`` counts the members outside it and ``total`` all."""
+    placed = members.join(labels, "node", "left").select("key", "node", "n", "copies",
+                                                         F.coalesce("label", "node").alias("label"))
+    sizes = placed.groupBy("key", "label").count().groupBy("key").agg(
+        (F.sum("count") - F.max("count")).alias("minority"), F.sum("count").alias("total"),
+        F.max_by("label", F.struct("count", "label")).alias("main")).filter("minority > 0")
+    return placed.join(sizes, "key")
+
+
+def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool, blocks: bool = False) -> DataFrame:
     """Pairs (a, b) of different components in a bucket (key, node, n, label, main) that may be similar.
+    With ``blocks`` (and columns minority, total) each bucket's two sides are dealt to blocks of BLOCK
+    members, and every block meets every other in a task of its own.
 
     Members of the bucket's largest component, ``main``, meet only those outside it.  Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
     bound by parities loses no link.
     """
     rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node").join(
         sets.select("node", "parity", "half"), "node")
-    cols = [c for c in rest.columns if c != "key"]
-    x = rest.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
-    y = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
+    cols = [c for c in rest.columns if c not in ("key", "minority", "total")]
+    x, y, place = rest.filter("label <> main"), rest, ["key"]
+    if blocks:
+        some, whole = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minority", "total"))
+        x = x.withColumn("i", F.pmod(F.xxhash64("node"), some).cast("int")).withColumn(
+            "j", F.explode(F.sequence(F.lit(0), whole - 1)))
+        y = y.withColumn("j", F.pmod(F.xxhash64("node"), whole).cast("int")).withColumn(
+            "i", F.explode(F.sequence(F.lit(0), some - 1)))
+        place = ["key", "i", "j"]
+    x = x.select(*place, *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = y.select(*place, *[F.col(c).alias(f"{c}_b") for c in cols])
     once = (F.col("label_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     fit = (once & (F.col("label_a") != F.col("label_b"))
            & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")))
@@ -209,7 +234,9 @@ def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool
     if first_bands:
         fit = fit & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])
     fit = fit & F.expr(f"(100 + {SIMILARITY}) * {odd_places('a', 'b')} <= (100 - {SIMILARITY}) * (n_a + n_b)")
-    pairs = x.join(y, (x["key"] == y["key"]) & fit)
+    for c in place:
+        fit = (x[c] == y[c]) & fit
+    pairs = x.join(y, fit)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -223,19 +250,19 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     sets = T.written(spark, sets_of(docs, members.select("node").distinct()), "near-sets")
     tested = T.written(spark, stars(members), "near-pairs")
     labels = components(T.written(spark, confirmed(tested, sets), "near-links"))
+    buckets, large = members, None
     for split in range(SPLITS + 1):
-        placed = members.join(labels, "node", "left").select("key", "node", "n", "copies",
-                                                             F.coalesce("label", "node").alias("label"))
-        sizes = placed.groupBy("key", "label").count().groupBy("key").agg(
-            (F.sum("count") - F.max("count")).alias("minority"), F.max_by("label", F.struct("count", "label")).alias("main")).filter(
-            "minority > 0")
-        rest = T.written(spark, placed.join(sizes, "key"), "near-unsettled")
+        rest = T.written(spark, unsettled(members, labels), "near-unsettled")
         if rest.isEmpty():
-            return labels
-        few = F.lit(split == SPLITS) | (F.col("minority") <= MINORITY)
+            break
+        few = F.col("minority") <= MINORITY
         pairs = across(rest.filter(few).select("key", "node", "n", "label", "main"), nodes, sets,
                        first_bands=split == 0)
         many = rest.filter(~few)
+        if split == 0:
+            large = T.written(spark, many.select("key").distinct(), "near-large")
+        if split == SPLITS:
+            many = many.limit(0)
         finer = many.select("key", "node", "n", "copies").join(nodes.select("node", "bands"), "node").select(
             "node", "n", "copies", F.col("key").alias("was"), F.explode("bands").alias("band")).filter(
             "was <> band").select(F.xxhash64(F.least("was", "band"), F.greatest("was", "band")).alias("key"),
@@ -247,7 +274,14 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         labels = merged(labels, T.written(spark, confirmed(pairs, sets), "near-links"))
         if members.isEmpty():
             break
-    return labels
+    if large is None or large.isEmpty():
+        return labels
+    rest = T.written(spark, unsettled(buckets.join(large, "key", "left_semi"), labels), "near-unsettled")
+    if rest.isEmpty():
+        return labels
+    pairs = across(rest.select("key", "node", "n", "label", "main", "minority", "total"), nodes, sets,
+                   first_bands=True, blocks=True).join(tested, ["a", "b"], "left_anti")
+    return merged(labels, T.written(spark, confirmed(T.written(spark, pairs, "near-pairs"), sets), "near-links"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:

@@ -120,6 +120,20 @@ def test_pii_checks_and_context():
     assert pii.masked(x, pii.find(x)) == "mail [EMAIL] or [PHONE]"
 
 
+@pytest.mark.parametrize("x, found", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+    ("GB29NWBK60161331926819 12 March", ["GB29NWBK60161331926819"]),
+    ("DE89 3704 0044 0532 0130 00 4711", ["DE89 3704 0044 0532 0130 00"]),
+    ("REF AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR",
+     ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("NO93 8601 1117 947 BIC DNBANOKK", ["NO93 8601 1117 947"]), ("DE89 3704 0044 0532 0130 01 BIC COBADEFF", [])])
+def test_account_numbers_before_other_tokens(x, found):
+    spans = [s for s in pii.find(x) if s.kind == "iban"]
+    assert [x[s.start:s.end] for s in spans] == found
+    assert not any(f in pii.masked(x, pii.find(x)) for f in found)
+
+
 def test_shards(spark, docs, texts):
     got = shards.assign(docs).toPandas()
     assert all(zlib.crc32(texts[i].encode()) == c and len(texts[i].encode()) + 1 == s
@@ -186,6 +200,26 @@ def test_near_duplicates(spark, texts, monkeypatch, minority):
         i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def one_band_nodes(spark):
+    """Two near copies and, as the most copied node, a stranger, with one common band and no other."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["other"])), (3, " ".join(reversed(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = minhash.sketches(docs).withColumnRenamed("n_shingles", "n").withColumn(
+        "copies", F.when(F.col("node") == 3, 9).otherwise(1).cast("long"))
+    return docs, nodes.withColumn("bands", F.array(F.lit(5), F.col("node") * 100, F.col("node") * 100 + 1))
+
+
+@pytest.mark.parametrize("minority, block", [(0, 2048), (0, 1), (1024, 2048)])
+def test_near_pair_with_one_common_band(spark, monkeypatch, minority, block):
+    """Also where the bucket is split by other bands first, and compared in blocks of one member."""
+    monkeypatch.setattr(minhash, "MINORITY", minority)
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    docs, nodes = one_band_nodes(spark)
+    labels = minhash.near_links(docs, nodes)
+    assert {(r.node, r.label) for r in labels.collect() if r.node != 3} == {(1, 1), (2, 1)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     assert {r.node: r.label for r in components(links).collect()} == {k: 0 for k in range(41)} | {99: 99, 100: 99}
