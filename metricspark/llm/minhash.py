@@ -29,9 +29,6 @@ PERMUTATIONS = 64
 #: Signature values in a band.  A pair at the threshold shares none of the 32 bands with probability 5e-6.
 BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
-#: Pairs across components are confirmed when at least this many of the signature's values agree in
-#: four bits each; 98 of 128 are expected at the threshold, and 1 pair in 50,000 there has fewer.
-AGREEING = 78
 #: Unsettled buckets with up to this many members outside their largest component are compared across
 #: components pair by pair; others are split by further bands first.  A split writes and shuffles 31 rows
 #: for each member, which costs about as much as this many comparisons in memory.
@@ -83,12 +80,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
-def four_bits(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each signature value, sixteen values to a 64-bit word."""
-    low = (T.mix(signature) & np.uint64(15)).reshape(len(signature), -1, 16)
-    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-
-
 def parities(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether an odd number of the set's members fall on each of some places (bits of 64-bit words), and
     the same for half as many places.  There are 4 to 8 places for a member, and 64 at least.
@@ -102,9 +93,6 @@ def parities(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out[:words // 2] ^ out[words // 2:] if words > 1 else out
 
 
-WORDS = 2 * PERMUTATIONS // 16
-
-
 def odd_places(a: str, b: str) -> str:
     """SQL for the number of places of different parity; sizes within the similarity differ at most twofold
     in places."""
@@ -116,42 +104,27 @@ def odd_places(a: str, b: str) -> str:
             f"ELSE {differ(f'parity_{a}', f'half_{b}')} END")
 
 
-def agreeing(a: str, b: str) -> str:
-    """SQL for the number of signature values that agree in their four bits."""
-    def differ(i):
-        x = f"({a}[{i}] ^ {b}[{i}])"
-        y = f"({x} | shiftrightunsigned({x}, 1))"
-        return f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)"
-
-    return f"{16 * WORDS} - ({' + '.join(differ(i) for i in range(WORDS))})"
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``node``, ``n_shingles``, ``digest`` of the set (null if empty), ``bands`` and four
-    bits of each signature value."""
+    """``doc_id``, ``node``, ``n_shingles``, ``digest`` of the set (null if empty) and ``bands``."""
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column("text").to_pylist())
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys, bits, has = [np.empty((0, BANDS), np.uint64)], [np.empty((0, WORDS), np.uint64)], np.zeros(
-                len(sets) + 1, np.int64)
+            keys, has = [np.empty((0, BANDS), np.uint64)], np.zeros(len(sets) + 1, np.int64)
             for lo in range(0, len(full), 1000):
-                signature = signatures([sets[k] for k in full[lo:lo + 1000]])
-                keys.append(band_keys(signature))
-                bits.append(four_bits(signature))
+                keys.append(band_keys(signatures([sets[k] for k in full[lo:lo + 1000]])))
             has[np.array(full, int) + 1] = 1
             offsets = np.cumsum(has)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("node"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                           pa.binary()),
-                 T.lists(np.concatenate(keys).ravel().view(np.int64), offsets * BANDS, pa.int64()),
-                 T.lists(np.concatenate(bits).ravel().view(np.int64), offsets * WORDS, pa.int64())],
-                names=["doc_id", "node", "n_shingles", "digest", "bands", "bits"])
+                 T.lists(np.concatenate(keys).ravel().view(np.int64), offsets * BANDS, pa.int64())],
+                names=["doc_id", "node", "n_shingles", "digest", "bands"])
 
     d = T.doc_columns(docs)
     return d.select("doc_id", "text", T.row_id().alias("node")).mapInArrow(
-        run, "doc_id long, node long, n_shingles long, digest binary, bands array<long>, bits array<long>")
+        run, "doc_id long, node long, n_shingles long, digest binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -214,8 +187,9 @@ def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool
     Members of the bucket's largest component, ``main``, meet only those outside it.  Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
     bound by parities loses no link.
     """
-    rest = rest.join(nodes.select("node", "bits", *["bands"] * first_bands), "node").join(
-        sets.select("node", "parity", "half"), "node")
+    rest = rest.join(sets.select("node", "parity", "half"), "node")
+    if first_bands:
+        rest = rest.join(nodes.select("node", "bands"), "node")
     cols = [c for c in rest.columns if c not in ("key", "minority", "total")]
     x, y, place = rest.filter("label <> main"), rest, ["key"]
     if blocks:
@@ -230,10 +204,9 @@ def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool
     once = (F.col("label_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     fit = (once & (F.col("label_a") != F.col("label_b"))
            & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")))
-    fit = fit & F.expr(f"{agreeing('bits_a', 'bits_b')} >= {AGREEING}")
+    fit = fit & F.expr(f"(100 + {SIMILARITY}) * {odd_places('a', 'b')} <= (100 - {SIMILARITY}) * (n_a + n_b)")
     if first_bands:
         fit = fit & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])
-    fit = fit & F.expr(f"(100 + {SIMILARITY}) * {odd_places('a', 'b')} <= (100 - {SIMILARITY}) * (n_a + n_b)")
     for c in place:
         fit = (x[c] == y[c]) & fit
     pairs = x.join(y, fit)
@@ -241,7 +214,7 @@ def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Labels (node, label) of all nodes with a link; ``nodes``: node, n, copies, bands, bits, one row per set."""
+    """Labels (node, label) of all nodes with a link; ``nodes``: node, n, copies, bands, one row per set."""
     spark = docs.sparkSession
     members = T.written(spark, crowded(nodes.select("node", "n", "copies", F.explode("bands").alias("key"))),
                         "near-members")
@@ -291,14 +264,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     rows = T.written(spark, sketches(docs), "near-sketches")
     nodes = T.written(spark, rows.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("bits").alias("bits"),
         F.count(F.lit(1)).alias("copies")), "near-nodes")
     labels = near_links(docs, nodes)
     by_set = nodes.select("digest", F.col("node").alias("label"))
     if labels is not None:
         by_set = nodes.select("digest", "node").join(labels, "node", "left").select(
             "digest", F.coalesce("label", "node").alias("label"))
-    return rows.drop("bands", "bits").join(by_set, "digest", "left").select(
+    return rows.drop("bands").join(by_set, "digest", "left").select(
         "doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 

@@ -220,6 +220,14 @@ def test_near_pair_with_one_common_band(spark, monkeypatch, minority, block):
     assert {(r.node, r.label) for r in labels.collect() if r.node != 3} == {(1, 1), (2, 1)}
 
 
+def test_near_pair_whatever_its_signature(spark):
+    """Only exact bounds stand before the confirmation: values that agree nowhere drop no pair."""
+    docs, nodes = one_band_nodes(spark)
+    bits = F.when(F.col("node") == 1, F.lit(0)).otherwise(F.lit(-1)).cast("long")
+    labels = minhash.near_links(docs, nodes.withColumn("bits", F.array_repeat(bits, 8)))
+    assert {(r.node, r.label) for r in labels.collect() if r.node != 3} == {(1, 1), (2, 1)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     assert {r.node: r.label for r in components(links).collect()} == {k: 0 for k in range(41)} | {99: 99, 100: 99}
