@@ -45,6 +45,13 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _BIRTH = re.compile(r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])")
 
+# Characters of an account number by country, from the public IBAN registry.
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
+
 
 class Span(NamedTuple):
     start: int
@@ -72,6 +79,23 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(x: str):
+    """Leftmost non-overlapping account numbers.  The pattern takes the longest run of tokens, so each token end
+    in it is tried: only the one that the country fixes, if it is known, else all from the longest down."""
+    m = _IBAN.search(x)
+    while m:
+        start, run, at = m.start(), m[0], m.start() + 1
+        for end in range(len(run), 14, -1):
+            if end < len(run) and run[end] != " " or run[end - 1] == " ":
+                continue
+            n = end - run.count(" ", 0, end)
+            if n == IBAN_LENGTH.get(run[:2], n) and mod97(run[:end]):
+                at = start + end
+                yield start, at
+                break
+        m = _IBAN.search(x, at)
+
+
 def _mails(x: str):
     """Leftmost non-overlapping addresses, found from each ``@``: linear in the text."""
     last, at = 0, x.find("@")
@@ -111,7 +135,7 @@ def find(x: str | None) -> list[Span]:
                 found.append((m.start(), "card", m.end()))
         if "+" in x:
             found += [(m.start(), "phone", m.end()) for m in _PHONE.finditer(x) if 10 <= len(_digits(m[0])) <= 15]
-        found += [(m.start(), "iban", m.end()) for m in _IBAN.finditer(x) if mod97(m[0])]
+        found += [(s, "iban", e) for s, e in _ibans(x)]
         if "-" in x:
             found += [(m.start(), "ssn", m.end()) for m in _SSN.finditer(x)]
             found += [(m.start(), "birth", m.end()) for m in _BIRTH.finditer(x)]
