@@ -2,9 +2,9 @@
 
 Patterns propose parts of three roles: access identifiers, secrets and endpoints.  The base kinds
 (assign, access, hex) stand on their own.  The weak kinds (ident, key, endpoint) are reported only
-when a complementary part starts within SCOPE code points in the same text: an interval join on
-(row, position bucket) in which the partners of a bucket are first reduced to their least and
-greatest start, so that no pairs of a crowded scope are ever formed.
+when a complementary part lies within SCOPE code points in the same text: an interval join on
+(row, position bucket), where a part is in every bucket that it covers and the partners of a bucket are
+first reduced to their least start and greatest end, so that no pairs of a crowded scope are ever formed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Code points between the starts of two parts that belong together.
+#: Code points between the end of a part and the start of the next that belong together.
 SCOPE = 200
 
 #: kind: role, pattern, group whose length is checked, least length.  In the order of equal starts.
@@ -66,21 +66,23 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """Base spans, and weak spans with a complementary part whose start is within SCOPE of theirs."""
+    """Base spans, and weak spans with a complementary part at most SCOPE before or behind them."""
     role = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[0])]), F.col("kind"))
     wants = F.element_at(F.create_map(*[x for k, v in PARTNERS.items() for x in (
         F.lit(k), F.array(*[F.lit(p) for p in v]))]), F.col("role"))
-    parts = found.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / SCOPE))
+    parts = found.withColumn("role", role).withColumn("low", F.floor(F.col("start") / SCOPE)).withColumn(
+        "high", F.floor(F.col("end") / SCOPE))
     per = ["doc_id", "text_hash", "role", "bucket"]
-    reach = parts.groupBy(*per).agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    reach = parts.withColumn("bucket", F.explode(F.sequence("low", "high"))).groupBy(*per).agg(
+        F.min("start").alias("first"), F.max("end").alias("last"))
     reach = reach.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"),
                          F.col("role").alias("p_role"), F.col("bucket").alias("p_bucket"), "first", "last")
     weak = parts.filter(~F.col("kind").isin(*BASE))
     near = weak.withColumn("p_role", F.explode(wants)).withColumn(
-        "p_bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)))
+        "p_bucket", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)))
     hit = near.join(reach, near["doc_id"].eqNullSafe(reach["p_id"]) & (near["text_hash"] == reach["p_hash"])
                     & (near["p_role"] == reach["p_role"]) & (near["p_bucket"] == reach["p_bucket"])
-                    & (F.col("last") >= F.col("start") - SCOPE) & (F.col("first") <= F.col("start") + SCOPE), "left_semi")
+                    & (F.col("last") >= F.col("start") - SCOPE) & (F.col("first") <= F.col("end") + SCOPE), "left_semi")
     cols = ["doc_id", "text_hash", "rank", "kind", "start", "end"]
     return found.filter(F.col("kind").isin(*BASE)).select(*cols).unionByName(hit.select(*cols).distinct())
 

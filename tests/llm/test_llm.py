@@ -89,6 +89,17 @@ def test_secrets(spark, texts):
     assert "ident:" not in got[9002].spans and got[9003].spans == ""
 
 
+def test_secret_scope_is_the_gap(spark):
+    """Weak parts before and behind parts longer than the scope; the gap is 200 at most."""
+    url, key = "https://a.example/x?" + "q" * 700, "aB3" * 12
+    rows = [(1, f"{url} {key}"), (2, f"password={'z' * 700} user=bob"), (3, f"{key} {' ' * 198} {url}"),
+            (4, f"{key}{' ' * 201}{url}"), (5, f"user=bob{' ' * 201}password={'z' * 300}"), (6, f"user=bob{' ' * 200}password={'z' * 300}")]
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s]
+           for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["endpoint", "key"], 2: ["assign", "ident"], 3: ["key", "endpoint"], 4: [], 5: ["assign"],
+                   6: ["ident", "assign"]}
+
+
 def base_pii(x):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x)
