@@ -14,6 +14,7 @@ crosses a boundary is given to a section by an explicit rule:
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from pyspark.sql import DataFrame
 from . import text as T
 
 RULES = ("first", "last", "majority", "split")
+#: Longer runs of white space are cut out of a text before it is encoded: the public pattern tries every
+#: length of such a run in turn, and the encoder's stack does not hold a million tries.
+LONG_RUN = 50_000
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def default_ranks() -> str:
@@ -34,6 +39,7 @@ class Tokenizer:
     """A byte-level vocabulary read on the driver; the encoder itself is built in each worker."""
 
     def __init__(self, ranks_file: str, pattern: str | None = None):
+        self.public = pattern is None
         if pattern is None:
             import public_tokenizers
             pattern = public_tokenizers.PATTERN
@@ -48,12 +54,26 @@ class Tokenizer:
     def __getstate__(self):
         return self.__dict__ | {"_encoder": None}
 
+    def encode(self, x: str) -> list[int]:
+        """The ids of the whole text.
+
+        Under the public pattern a run of white space is one piece, but for its last character if something
+        follows: that one goes with what follows.  So a long run is merged as a piece of its own, and the
+        ids are those of the text encoded at once.  With another pattern nothing is cut."""
+        out, at = [], 0
+        for run in _LONG.finditer(x) if self.public else ():
+            end = run.end() - (run.end() < len(x))
+            out += self._encoder.encode_ordinary(x[at:run.start()])
+            out += self._encoder._encode_single_piece(x[run.start():end].encode())
+            at = end
+        return out + self._encoder.encode_ordinary(x[at:])
+
     def spans(self, x: str) -> tuple[np.ndarray, np.ndarray]:
         """First and last (inclusive) character of every token of the text."""
         if self._encoder is None:
             import tiktoken
             self._encoder = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        ids = np.array(self._encoder.encode_ordinary(x), np.int64)
+        ids = np.array(self.encode(x), np.int64)
         ends = np.cumsum(self.sizes[ids])
         raw = np.frombuffer(x.encode("utf-8"), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
