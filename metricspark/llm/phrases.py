@@ -3,13 +3,18 @@
 1. Each document gives its anchors: the least 7-gram hash of every WINDOW consecutive words, so equal
    windows have equal anchors wherever they stand.  Anchors of two documents or more set bits in a
    filter of fixed size; it may let windows through that do not recur, never the other way.
-2. Windows with such an anchor are confirmed by grouping their hashes: a recurring one has a least
-   document, and is sent to the blocks of documents that hold it later than there.
-3. In each block, runs of confirmed windows become passages, the passages of a block are compiled into
-   one Aho-Corasick automaton over word numbers, and all the block's documents stream through it.
-
-An automaton is bounded by its block's text, whatever the corpus holds.  A passage in very many
-documents is one row per document on its way to the blocks, which are hashes of the document.
+2. Windows with such an anchor are compared by their hash, first among the documents of an Arrow batch, so
+   that each batch sends on one document of a window at most, then by a sort of those.  Where a later
+   document goes on as an earlier one does, its windows make a run, and the run is a passage of the
+   earlier document that is sought for the later one's block.
+3. The words of a passage are taken from the earlier document itself and sent to the blocks that seek it.
+4. Each block of documents compiles its passages into one Aho-Corasick automaton and streams all its
+   documents through it.  Only words that the automaton finds are removed: a window whose hash
+   happens to be that of another text is refused here.
+
+A block holds about BLOCK_BYTES of text, so an automaton is bounded whatever the corpus holds.  A passage
+of very many documents is one row per batch where its windows are sorted; behind that it is a row per
+document at most, spread by the document.
 """
 
 from __future__ import annotations
@@ -20,23 +25,25 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
 
 WINDOW = 13
 ANCHOR = 7
+#: Bits of an anchor that are counted: 40 of them leave few chance repetitions and shorter rows.
+ANCHOR_BITS = 40
 #: Bits of the anchor filter that is sent to each executor (32 MB), whatever the size of the corpus.
 #: With more recurring anchors it lets more windows through to the exact stage; the result is the same.
 FILTER_BITS = 1 << 28
-#: Blocks of documents for each shuffle partition.
-BLOCKS_PER_PARTITION = 4
+#: Text of a block of documents.
+BLOCK_BYTES = 8_000_000
 
 
 def window_anchors(words: np.ndarray) -> np.ndarray:
     """The anchor of each window of the words."""
-    grams = T.ngram_hashes(words, ANCHOR)
+    grams = T.ngram_hashes(words, ANCHOR) & np.uint64((1 << ANCHOR_BITS) - 1)
     width = WINDOW - ANCHOR + 1
     out, have = grams, 1  # least of `have` grams from each place on
     while have < width:
@@ -51,14 +58,15 @@ def _windows(texts):
     for lo, hi in T.groups(texts):
         words, offsets = T.word_hashes(texts[lo:hi], lower=False)
         for k, (s, e) in enumerate(zip(offsets[:-1], offsets[1:])):
-            yield lo + k, words[s:e]
+            if e - s >= WINDOW:
+                yield lo + k, words[s:e]
 
 
 def recurring_anchors(rows: DataFrame) -> DataFrame:
     """Anchors of at least two rows."""
     def run(batches):
         for b in batches:
-            found = [np.unique(window_anchors(w)) for _, w in _windows(b.column("text").to_pylist()) if len(w) >= WINDOW]
+            found = [np.unique(window_anchors(w)) for _, w in _windows(b.column("text").to_pylist())]
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], names=["anchor"])
 
@@ -68,93 +76,147 @@ def recurring_anchors(rows: DataFrame) -> DataFrame:
 def anchor_filter(anchors: DataFrame) -> np.ndarray:
     """The filter's 64-bit words; at most FILTER_BITS bits come to the driver."""
     place = F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1))
-    got = anchors.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(anchor & 63 AS int))").alias("bit")) \
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = anchors.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(anchor & 63 AS int)))").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def candidates(rows: DataFrame, bits) -> DataFrame:
-    """Each row with its count of words; texts with candidate windows keep the text and get those
-    windows' hashes, the others get the digest of all their words."""
+def within_batch(node: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a batch the place of its least document's first occurrence, and whether it stands in
+    a later document than that."""
+    order = np.lexsort((at, node, window))
+    head = np.concatenate([[True], window[order][1:] != window[order][:-1]])
+    first = np.empty(len(node), np.int64)
+    first[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    return first, node > node[first]
+
+
+def candidates(rows: DataFrame, known) -> DataFrame:
+    """The windows whose anchor recurs: ``key``, ``node``, ``at``.  The least document of a batch that holds a
+    window sends it under its hash; the windows of later ones are settled: they have that document as ``first``
+    (and ``first_at``), and a key that spreads them."""
     def run(batches):
-        known = bits.value
+        bits = known.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            n = len(texts)
-            counts, flat, sizes = np.zeros(n, np.int64), [np.empty(0, np.uint64)], np.zeros(n + 1, np.int64)
-            for i, w in _windows(texts):
-                counts[i] = len(w)
-                if len(w) < WINDOW:
-                    continue
+            nodes = b.column("node").to_numpy()
+            node, at, window = ([np.empty(0, t)] for t in (np.int64, np.int32, np.uint64))
+            for i, w in _windows(b.column("text").to_pylist()):
                 place = window_anchors(w) & np.uint64(FILTER_BITS - 1)
-                hit = (known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-                if hit.any():
-                    flat.append(np.unique(T.ngram_hashes(w, WINDOW)[hit.astype(bool)]))
-                    sizes[i + 1] = len(flat[-1])
-            kept = [None if sizes[i + 1] else _digest((texts[i] or "").encode("utf-8", "surrogatepass").split())
-                    for i in range(n)]
+                hit = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                if len(hit):
+                    at.append(hit.astype(np.int32))
+                    node.append(np.full(len(hit), nodes[i]))
+                    window.append(T.ngram_hashes(w, WINDOW)[hit])
+            node, at, window = map(np.concatenate, (node, at, window))
+            if not len(node):
+                continue
+            first, later = within_batch(node, at, window)
+            key = np.where(later, T.mix(node.view(np.uint64) + at.view(np.uint32)), window)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("node"), b.column("block"), pa.array(counts, pa.int64()),
-                 pa.array(kept, pa.string()),
-                 pa.array([t if sizes[i + 1] else None for i, t in enumerate(texts)], pa.string()),
-                 T.lists(np.concatenate(flat).view(np.int64), np.cumsum(sizes), pa.int64())],
-                names=["doc_id", "node", "block", "n_words", "kept_sha256", "text", "windows"])
+                [pa.array(key.view(np.int64)), pa.array(node), pa.array(at), pa.array(node[first], mask=~later),
+                 pa.array(at[first], mask=~later)], names=["key", "node", "at", "first", "first_at"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, block int, n_words long, kept_sha256 string, text string, "
-                                "windows array<long>")
+    return rows.select("node", "text").mapInArrow(run, "key long, node long, at int, first long, first_at int")
 
 
-def _digest(words) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def repeats(found: DataFrame) -> DataFrame:
+    """The windows that stand in an earlier document, too: ``node``, ``at``, and that document's ``first`` and
+    ``first_at``."""
+    order = Window.partitionBy("key").orderBy("node", "at").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select("node", "at", F.coalesce("first", F.first("node").over(order)).alias("first"),
+                        F.coalesce("first_at", F.first("at").over(order)).alias("first_at")).filter("node > first")
 
 
-def removals(words: list[list[bytes]], nodes: list[int], windows: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-    """Which words of each document lie in a window whose first document is an earlier one.
-
-    ``windows``: sorted hashes of confirmed windows, ``firsts``: the least document of each.
-    """
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers)) for w in ws) for ws in words]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for ws, code in zip(words, coded):
-        if len(ws) < WINDOW or not len(windows):
+def _runs(batches):
+    """Runs of windows that follow each other in both documents; a run may be cut anywhere."""
+    for b in batches:
+        node, at, first, first_at = (b.column(c).to_numpy() for c in ("node", "at", "first", "first_at"))
+        if not len(node):
             continue
-        hashes, _ = T.word_hashes([b" ".join(ws).decode("utf-8", "surrogatepass")], lower=False)
-        grams = T.ngram_hashes(hashes, WINDOW)
-        at = np.minimum(np.searchsorted(windows, grams), len(windows) - 1)
-        first = np.where(windows[at] == grams, firsts[at], -1)
-        edge = np.flatnonzero(np.diff(first)) + 1
-        for s, e in zip([0, *edge], [*edge, len(first)]):
-            if first[s] >= 0:
-                passage = code[s:e + WINDOW - 1]
-                automaton.add_word(passage, (int(first[s]), len(passage)))
-    out = []
-    ready = len(automaton) > 0
-    if ready:
-        automaton.make_automaton()
-    for code, node in zip(coded, nodes):
-        step = np.zeros(len(code) + 1, np.int64)
-        if ready and len(code) >= WINDOW:
-            for end, (first, size) in automaton.iter(code):
-                if first < node:
-                    step[end + 1 - size] += 1
-                    step[end + 1] -= 1
-        out.append(np.cumsum(step)[:-1] > 0)
-    return out
+        cut = (np.diff(node) != 0) | (np.diff(first) != 0) | (np.diff(at) != 1) | (np.diff(first_at) != 1)
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(node)]]))
+        yield pa.RecordBatch.from_pydict({"node": node[starts], "first": first[starts], "first_at": first_at[starts],
+                                          "size": sizes.astype(np.int32)})
+
 
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
-def _block(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-    """All documents of one block."""
-    windows, where = np.unique(found["window"].to_numpy().view(np.uint64), return_index=True)
-    firsts = found["first"].to_numpy()[where]
-    words = [t.encode("utf-8", "surrogatepass").split() for t in docs["text"].to_pylist()]
-    gone = removals(words, docs["node"].to_pylist(), windows, firsts)
-    return pa.table({
-        "doc_id": docs["doc_id"], "n_words": docs["n_words"],
-        "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()),
-        "kept_sha256": pa.array([_digest(compress(w, ~g)) for w, g in zip(words, gone)], pa.string())})
+
+def _passages(key, docs: pa.Table, sought: pa.Table) -> pa.Table:
+    """The words of the passages of a block's documents, for each block that seeks them."""
+    want: dict[int, list] = {}
+    for first, at, size, target in zip(*(sought[c].to_pylist() for c in ("first", "first_at", "size", "target"))):
+        want.setdefault(first, []).append((at, size, target))
+    out = []
+    nodes = docs["node"].to_pylist()
+    for i, node in enumerate(nodes):
+        if node in want:
+            words = _split(docs["text"][i].as_py())
+            for at, size, target in want[node]:
+                passage = words[at:at + size + WINDOW - 1]
+                if len(passage) >= WINDOW:
+                    out.append((target, node, b" ".join(passage).decode("utf-8", "surrogatepass")))
+    return pa.table({"target": pa.array([o[0] for o in out], pa.int32()), "first": pa.array([o[1] for o in out], pa.int64()),
+                     "passage": pa.array([o[2] for o in out], pa.string())})
+
+
+def compiled(passages: list[tuple[list[bytes], int]]):
+    """(automaton, letters of each word) of passages and their first documents; None without passages.
+
+    A word is three letters of three alphabets of equal size, so that no node of the automaton has many
+    children and a match can only begin with a word."""
+    numbers: dict[bytes, int] = {}
+    for words, _ in passages:
+        for w in words:
+            numbers.setdefault(w, len(numbers))
+    if not numbers:
+        return None
+    size = max(2, int(np.ceil(len(numbers) ** (1 / 3))))
+    while size ** 3 < len(numbers):
+        size += 1
+    one, two, three = ([chr(0x100 + k * size + d) for d in range(size)] for k in range(3))
+    letters = {w: one[n // (size * size)] + two[n // size % size] + three[n % size] for w, n in numbers.items()}
+    automaton = ahocorasick.Automaton()
+    least: dict[str, tuple[int, int]] = {}
+    for words, first in passages:
+        key = "".join(map(letters.__getitem__, words))
+        if key not in least or first < least[key][0]:
+            least[key] = (first, len(words))
+    for key, value in least.items():
+        automaton.add_word(key, value)
+    automaton.make_automaton()
+    return automaton, letters
+
+
+def removals(words: list[bytes], node: int, automaton) -> np.ndarray:
+    """Which of a document's words lie in a passage of an earlier document."""
+    step = np.zeros(len(words) + 1, np.int64)
+    if automaton is not None and len(words) >= WINDOW:
+        found, letters = automaton
+        for end, (first, size) in found.iter("".join([letters.get(w, "\1\1\1") for w in words])):
+            if first < node:
+                step[end // 3 + 1 - size] += 1
+                step[end // 3 + 1] -= 1
+    return np.cumsum(step)[:-1] > 0
+
+
+def _block(key, docs: pa.Table, passages: pa.Table) -> pa.Table:
+    """All documents of one block, without the words of its passages."""
+    sought = set(zip(passages["passage"].to_pylist(), passages["first"].to_pylist()))
+    automaton = compiled([(_split(p), f) for p, f in sorted(sought)])
+    counts, gone, digests = [], [], []
+    for text, node in zip(docs["text"], docs["node"].to_pylist()):
+        words = _split(text.as_py())
+        cut = removals(words, node, automaton)
+        counts.append(len(words))
+        gone.append(int(cut.sum()))
+        digests.append(hashlib.sha256(b" ".join(compress(words, ~cut) if gone[-1] else words)).hexdigest())
+    return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(counts, pa.int64()),
+                     "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -165,20 +227,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     T.prepared(spark)
-    blocks = BLOCKS_PER_PARTITION * T.shuffle_partitions(spark)
     rows = T.doc_columns(docs).withColumn("node", T.row_id())
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("block", block)
-    bits = spark.sparkContext.broadcast(anchor_filter(recurring_anchors(rows)))
-    # The candidates are computed from the texts each time they are read: they would take more room
-    # than the texts if they were written.
-    cand = candidates(rows, bits)
-    pairs = cand.select("node", F.explode("windows").alias("window"))
-    first = pairs.groupBy("window").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("times")).filter(
-        "times > 1").select("window", "first")
-    routed = pairs.join(first, "window").filter("node > first").select(block.alias("block"), "window", "first")
-    left = cand.filter("kept_sha256 IS NULL").select("doc_id", "node", F.col("block").alias("doc_block"), "n_words", "text")
-    done = left.groupBy("doc_block").cogroup(routed.groupBy("block")).applyInArrow(
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
+    known = spark.sparkContext.broadcast(anchor_filter(recurring_anchors(rows)))
+    runs = repeats(candidates(rows, known)).repartition("node").sortWithinPartitions("node", "at").mapInArrow(
+        _runs, "node long, first long, first_at int, size int")
+    sought = runs.select(block("first").alias("block"), "first", "first_at", "size", block("node").alias("target")).distinct()
+    placed = rows.withColumn("block", block("node"))
+    # Both stages read one exchange of the documents by their block.
+    passages = placed.groupBy("block").cogroup(sought.groupBy("block")).applyInArrow(
+        _passages, "target int, first long, passage string")
+    return placed.groupBy("block").cogroup(passages.withColumnRenamed("target", "block").groupBy("block")).applyInArrow(
         _block, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return done.unionByName(cand.filter("kept_sha256 IS NOT NULL").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
