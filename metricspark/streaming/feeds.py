@@ -1,137 +1,174 @@
 """Structured Streaming forms of the live-metric operators.
 
-* ``metric_feed_stream`` – file source -> dashboard records (stateless).
-* ``suppressed_alerts_stream`` – threshold alerts with suppression kept in
-  state (``applyInPandasWithState`` keyed by host): per message the event
-  time of the last kept alert.  Entries older than watermark - window are
-  dropped and an event-time timeout removes idle hosts, so state is bounded
-  by the messages a host raised within the last few seconds.
-* ``last_n_stream`` – newest n records per host: every micro-batch keeps
-  only its own newest n per host (partial top-n, ``WindowGroupLimit``) and
-  appends them; the final newest n per host is taken over those candidates.
-  Exact, and no micro-batch holds more than n rows per host and partition.
-
-Each writes to a sink under the shared scratch folder with its own
-checkpoint location and ``trigger(availableNow=True)``, so a run resumes
-after a failure and the result can be compared with its batch twin.
+The source is a table's own Parquet files, a bounded number of new files a micro-batch.  Every query takes
+its sink and checkpoint as paths, so a query that is started again with the same paths goes on where it
+stopped.
+
+* ``metric_feed_stream`` – dashboard records, stateless, into Spark's exactly-once file sink.
+* ``suppressed_alerts_stream`` – threshold alerts; a stateful processor keyed by (host, message) holds the
+  time of the last kept alert in value state, and an event-time timer removes it once the watermark has
+  passed the suppression window, so state is bounded by the keys of the last seconds.
+* ``last_n_stream`` – the newest n records per host in list state of at most n rows; every micro-batch
+  writes the lists that it changed to a folder of its own number, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.stats import fit_row
 from ..operators import alerts
-from ..plans.order import first_n_per_entity
 from ..session import scratch_path, ship_package
-from ..sources.tables import metrics_from_events, table
+from ..sources.tables import metrics_from_events
 
 
-def stage_time_ordered_files(spark: SparkSession, sf_dir: str, n_files: int = 3) -> str:
-    """Copy ``events`` into ``n_files`` appends ordered by event id (= time order), so that a
-    file source with ``maxFilesPerTrigger=1`` replays it as successive micro-batches."""
-    ev = table(spark, sf_dir, "events")
-    b = fit_row(ev, [F.min("event_id").alias("lo"), F.max("event_id").alias("hi")])
-    path = scratch_path(spark, "events-stream")
-    if b.get("lo") is None:
-        ev.limit(0).write.parquet(path)
-        return path
-    lo, hi = int(b["lo"]), int(b["hi"])
-    step = max(1, (hi - lo + n_files) // n_files)
-    for i in range(n_files):
-        part = ev.where((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+@dataclass(frozen=True)
+class Place:
+    """Where a stream writes and where it remembers how far it has read."""
 
+    sink: str
+    checkpoint: str
 
-def _read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    @staticmethod
+    def fresh(spark: SparkSession, name: str) -> "Place":
+        """New folders in the session's shared folder."""
+        sink = scratch_path(spark, name)
+        return Place(sink, sink + "-checkpoint")
 
 
-def _run(query_df: DataFrame, spark: SparkSession, name: str, output_mode: str = "append") -> str:
-    sink = scratch_path(spark, f"{name}-sink")
-    q = (query_df.writeStream.format("parquet").outputMode(output_mode)
-         .option("path", sink).option("checkpointLocation", sink + "-checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+def events_stream(spark: SparkSession, source: str, files: int = 1) -> DataFrame:
+    """The metrics of an ``events`` table, at most ``files`` of its files a micro-batch.
 
+    A table may be a folder or a single file; as a stream's source Spark takes the latter by a pattern only,
+    so the path's last letter is written as one."""
+    source = source.rstrip("/")
+    schema = spark.read.parquet(source).schema
+    pattern = f"{source[:-1]}[{source[-1]}]"
+    return metrics_from_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern))
 
-def metric_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = stage_time_ordered_files(spark, sf_dir)
-    schema = table(spark, sf_dir, "events").schema
-    feed = alerts.metric_feed(metrics_from_events(_read_stream(spark, src, schema)))
-    return spark.read.parquet(_run(feed, spark, "metric-feed"))
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+
+def _finished(spark: SparkSession, writer, place: Place) -> None:
+    """Read all that is there by now, then stop.  Stateful processors need Spark's RocksDB state store: it is
+    set while the query starts, which keeps it for its own lifetime."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        query = writer.option("checkpointLocation", place.checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    query.awaitTermination()
+
+
+def _written(df: DataFrame, place: Place) -> DataFrame:
+    _finished(df.sparkSession, df.writeStream.format("parquet").outputMode("append").option("path", place.sink), place)
+    return df.sparkSession.read.schema(df.schema).parquet(place.sink)
+
+
+def metric_feed_stream(spark: SparkSession, source: str, place: Place, files: int = 1) -> DataFrame:
+    return _written(alerts.metric_feed(events_stream(spark, source, files)), place)
+
+
+class Suppression(StatefulProcessor):
+    """Alerts of one (host, message): one is kept unless a kept one is less than ``window_us`` older."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ordered = sorted(rows, key=lambda r: (r["us"], r["row_key"]))
+        times = [r["us"] for r in ordered]
+        held = self.last.get() if self.last.exists() else None
+        # From one kept alert straight to the first one that it does not suppress.
+        k = 0 if held is None else bisect_left(times, held[0] + self.window_us)
+        kept = []
+        while k < len(times):
+            kept.append(ordered[k])
+            k = bisect_left(times, times[k] + self.window_us, k + 1)
+        if kept:
+            self.last.update((kept[-1]["us"],))
+            self.handle.registerTimer((kept[-1]["us"] + self.window_us) // 1000 + 1)
+        for r in kept:
+            yield Row(**{c: r[c] for c in ALERT_COLUMNS})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # A later alert may have been kept since; its own timer is still to come.
+        if self.last.exists() and (self.last.get()[0] + self.window_us) // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.last.clear()
+        return iter([])
+
+
+ALERT_COLUMNS = ["row_key", "host_id", "timestamp", "metric", "message", "severity"]
 ALERT_SCHEMA = ("row_key long, host_id long, timestamp timestamp_ntz, metric string, message string, "
                 "severity string")
 
 
-def _suppress_host(window_us: int):
-    """State per host: parallel arrays (message, last kept event time).  Entries the
-    watermark has passed by more than the window can no longer suppress and are dropped."""
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = dict(zip(*state.get)) if state.exists else {}
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["timestamp", "row_key"], kind="mergesort")
-        us = pdf["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        keep = []
-        for m, t in zip(pdf["message"].to_numpy(), us):   # one host's alerts of this micro-batch
-            prev = last.get(m)
-            ok = prev is None or t - prev >= window_us
-            keep.append(ok)
-            if ok:
-                last[m] = int(t)
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        last = {m: t for m, t in last.items() if t + window_us > wm_us}
-        if last:
-            state.update((list(last.keys()), list(last.values())))
-            state.setTimeoutTimestamp(max(last.values()) // 1000 + window_us // 1000)
-        else:
-            state.remove()
-        out = pdf.loc[keep, ["row_key", "host_id", "timestamp", "metric", "message", "severity"]]
-        if len(out):
-            yield out
-    return fn
-
-
-def suppressed_alerts_stream(spark: SparkSession, sf_dir: str, window_s: float = alerts.SUPPRESS_SECONDS,
-                             watermark: str = "10 seconds") -> DataFrame:
+def suppressed_alerts_stream(spark: SparkSession, source: str, place: Place, files: int = 1,
+                             window_s: float = alerts.SUPPRESS_SECONDS, watermark: str = "10 seconds") -> DataFrame:
+    """Exact where files come in the order of event time (rows inside a micro-batch in any order); alerts
+    behind the watermark are dropped."""
     ship_package(spark)
-    src = stage_time_ordered_files(spark, sf_dir)
-    schema = table(spark, sf_dir, "events").schema
-    al = alerts.threshold_alerts(alerts.metric_feed(metrics_from_events(_read_stream(spark, src, schema))))
-    al = al.withColumn("__et", F.col("timestamp").cast("timestamp")).withWatermark("__et", watermark)
-    kept = al.groupBy("host_id").applyInPandasWithState(
-        _suppress_host(int(window_s * 1_000_000)), ALERT_SCHEMA, "messages array<string>, last_us array<long>",
-        "append", GroupStateTimeout.EventTimeTimeout)
-    return spark.read.parquet(_run(kept, spark, "suppressed-alerts"))
-
-
-def last_n_stream(spark: SparkSession, sf_dir: str, n: int = 60, show: int = 20) -> DataFrame:
-    src = stage_time_ordered_files(spark, sf_dir)
-    schema = table(spark, sf_dir, "events").schema
-    feed = alerts.metric_feed(metrics_from_events(_read_stream(spark, src, schema))).select(
-        "host_id", "row_key", "cpu_usage", "memory_usage", "network_traffic")
-    cand = scratch_path(spark, "last-n-candidates")
+    al = alerts.threshold_alerts(alerts.metric_feed(events_stream(spark, source, files)))
+    al = al.withColumn("us", alerts.epoch_micros(F.col("timestamp"))).withColumn(
+        "event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", watermark)
+    kept = al.groupBy("host_id", "message").transformWithState(
+        Suppression(int(window_s * 1_000_000)), ALERT_SCHEMA, "Append", "EventTime")
+    return _written(kept, place)
+
+
+class Newest(StatefulProcessor):
+    """The ``n`` rows of one key with the largest row_key; emits the whole list when it changes."""
+
+    def __init__(self, n: int, columns: list[str], schema: str):
+        self.n, self.columns, self.schema = n, columns, schema
+
+    def init(self, handle) -> None:
+        self.rows = handle.getListState("newest", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        fresh = (tuple(r[c] for c in self.columns) for r in rows)
+        newest = heapq.nlargest(self.n, {*held, *heapq.nlargest(self.n, fresh)})
+        self.rows.put(newest)
+        for rank, r in enumerate(newest, 1):
+            yield Row(host_id=key[0], rank=rank, **dict(zip(self.columns, r)))
+
+
+LAST_COLUMNS = ["row_key", "cpu_usage", "memory_usage", "network_traffic"]
+LAST_SCHEMA = "row_key long, cpu_usage double, memory_usage double, network_traffic double"
+
+
+def last_n_stream(spark: SparkSession, source: str, place: Place, files: int = 1, n: int = 60, show: int = 20) -> DataFrame:
+    """The newest ``n`` records per host, ``shown`` telling of the first ``show``."""
+    ship_package(spark)
+    feed = alerts.metric_feed(events_stream(spark, source, files)).select("host_id", *LAST_COLUMNS)
+    lists = feed.groupBy("host_id").transformWithState(
+        Newest(n, LAST_COLUMNS, LAST_SCHEMA), f"host_id long, rank int, {LAST_SCHEMA}", "Update", "None")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        first_n_per_entity(batch, ["host_id"], F.col("row_key").desc(), n).write.mode("append").parquet(cand)
-
-    ck = scratch_path(spark, "last-n-checkpoint")
-    q = (feed.writeStream.foreachBatch(per_batch).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = alerts.newest_first(spark.read.parquet(cand), ["host_id"], [F.col("row_key").desc()], n, show)
-    return out.select("host_id", "row_key", "rank", "cpu_usage", "memory_usage", "network_traffic", "shown")
+        batch.write.mode("overwrite").parquet(f"{place.sink}/batch={batch_id}")
+
+    _finished(spark, lists.writeStream.outputMode("update").foreachBatch(per_batch), place)
+    return newest_lists(spark, place.sink, show)
+
+
+def newest_lists(spark: SparkSession, sink: str, show: int) -> DataFrame:
+    """Each host's list as of the last micro-batch that changed it."""
+    schema = f"host_id long, rank int, {LAST_SCHEMA}, batch long"
+    rows = spark.read.schema(schema).parquet(sink)
+    last = rows.groupBy("host_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["host_id", "batch"]).select(
+        "host_id", "row_key", "rank", "cpu_usage", "memory_usage", "network_traffic", (F.col("rank") <= show).alias("shown"))
