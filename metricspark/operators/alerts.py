@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import DEFAULT_BUCKET_WIDTHS, first_n_per_entity, rolling_select, running_last, with_position
+from ..plans.order import DEFAULT_BUCKET_WIDTHS, first_level, first_n_per_entity, rolling_select, running_last, with_position
 
 # Feed defaults (fixed values): value used when a metric is missing.
 FEED_DEFAULTS = {"cpu_usage": 50.0, "memory_usage": 60.0, "network_traffic": 50.0}
@@ -107,7 +107,7 @@ def suppress(alerts: DataFrame, key_cols: Sequence[str] = ("host_id", "message")
     a = a.withColumn("__start", F.when(F.col("__prev").isNull() | (F.col("__us") - F.col("__prev") >= win_us),
                                        F.col("__us")))
     a = running_last(a, key_cols, "__okey", "__start", "__ep",
-                     bucket_widths[0] if bucket_widths else None)
+                     first_level(bucket_widths))
     ekeys = [*key_cols, "__ep"]
     a = a.select(*key_cols, "__ep", "__okey", "__us", id_col).checkpoint()
     longest = a.groupBy(*ekeys).count().agg(F.max("count")).first()[0] or 0
@@ -115,7 +115,7 @@ def suppress(alerts: DataFrame, key_cols: Sequence[str] = ("host_id", "message")
         # size checked: every episode fits one fold
         a = a.withColumn("__chunk", F.lit(0).cast("long"))
     else:
-        a = with_position(a, ekeys, "__okey", "__pos", bucket_widths[0] if bucket_widths else None)
+        a = with_position(a, ekeys, "__okey", "__pos", first_level(bucket_widths))
         a = a.withColumn("__chunk", (F.col("__pos") / chunk).cast("long"))
     a = a.select(*key_cols, "__ep", "__chunk", "__us", id_col)
     id_type = alerts.schema[id_col].dataType.simpleString()
