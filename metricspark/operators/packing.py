@@ -19,8 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import salted_join
 from ..plans.order import first_n_per_entity
 
+#: Tasks of one group in a partition of the join with the groups' slots.
+ROWS_PER_SALT, MAX_SALTS = 2_000_000, 256
 # Scheduling suggestions (fixed values).
 SUGGEST_PLACED = "Prioritize high-CPU tasks in lower-load intervals and cap concurrent memory-heavy jobs."  # noqa: E501
 SUGGEST_NONE = "No scheduling actions required for current load."
@@ -48,6 +51,8 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
         F.coalesce(F.col(cpu_col).cast("double"), F.lit(5.0)).alias("__c"),
         F.coalesce(F.col(mem_col).cast("double"), F.lit(10.0)).alias("__m"),
         F.struct((-F.coalesce(F.col(priority_col), F.lit(0))).alias("p"), F.col(id_col).alias("i")).alias("__ord"))
+    largest = t.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, min(MAX_SALTS, -(-largest // ROWS_PER_SALT)))
     slot_t = "array<struct<cpu:double,mem:double>>"
     empty = F.array_repeat(F.struct(F.lit(0.0).alias("cpu"), F.lit(0.0).alias("mem")), slots).cast(slot_t)
     state = None               # (group, __slots) after the last round; absent group = empty slots
@@ -83,7 +88,8 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
         decided.append(folded.select(group_col, F.explode("__placed").alias("d")).select(
             group_col, F.col("d.id").alias(id_col), F.col("d.slot").alias("slot")))
         state = folded.select(group_col, "__slots")
-        rest = cand.join(folded.select(group_col, "__last", "__slots"), group_col, "inner").where(
+        # A group with very many tasks is spread over several partitions by a salt of the task.
+        rest = salted_join(cand, folded.select(group_col, "__last", "__slots"), [group_col], id_col, salts).where(
             F.col("__ord") > F.col("__last"))
         fits = _fits_any(F.col("__slots"), F.col("__c"), F.col("__m"), cpu_limit, mem_limit)
         # Tasks that no longer fit anywhere are settled (loads only grow).

@@ -2,8 +2,9 @@
 
 The climb is a ``aggregate(sequence(0, n-1), state, step)`` fold on each
 entity row: no UDF, stays inside Catalyst, and every entity climbs in
-parallel.  The random draw is an integer LCG of (entity, iteration), so a
-run is repeatable and checkable by a recursive SQL statement.
+parallel.  The random draw is an integer hash of (entity, iteration), so a
+run is repeatable and checkable by a recursive SQL statement; an entity id
+may have any type.  A step evaluates its neighbour once and refers to it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import PRIME, hashed, integer_id
+
 STATE_COLS = ["cpu_utilization", "memory_usage", "power_consumption", "network_latency", "disk_io"]
 
 # Move parameters (fixed values): reduction = lo + (hi - lo) * u, and the
@@ -43,29 +46,34 @@ def cost_expr(cpu: Column, mem: Column, power: Column, cpu_limit: float, mem_lim
             + F.when(mem > mem_limit, (mem - F.lit(float(mem_limit))) * PENALTY).otherwise(F.lit(0.0)))
 
 
+#: Salt of the draws' hash.
+DRAW_SALT = 12345
+
+
 def draw(entity: Column, it: Column) -> tuple[Column, Column]:
-    """(move in {0,1,2}, uniform u in [0,1)) from an LCG of (entity, iteration).
-    ``pmod`` before each multiply keeps every product inside bigint."""
-    s = F.pmod(entity, F.lit(65536)) * 75 + it.cast("long") * 7919
-    r = F.pmod(s * 1103515 + 12345, F.lit(1000003))
+    """(move in {0,1,2}, uniform u in [0,1)) from the hash of (entity, iteration)."""
+    r = hashed(F.pmod(entity, F.lit(PRIME)), it.cast("long"), DRAW_SALT)
     return r % 3, (r % 1000) / F.lit(1000.0)
 
 
-def _neighbour(acc: Column, entity: Column, it: Column) -> dict[str, Column]:
-    mv, u = draw(entity, it)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once: a transform over one element binds it to a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _neighbour(acc: Column, mv: Column, u: Column) -> Column:
     zero = F.lit(0.0)
     rc = F.lit(CPU_MOVE[0]) + F.lit(CPU_MOVE[1] - CPU_MOVE[0]) * u
     rm = F.lit(MEM_MOVE[0]) + F.lit(MEM_MOVE[1] - MEM_MOVE[0]) * u
     rl = F.lit(LAT_MOVE[0]) + F.lit(LAT_MOVE[1] - LAT_MOVE[0]) * u
     cpu, mem, pwr, lat, dio = (acc[c] for c in ("cpu", "mem", "pwr", "lat", "dio"))
-    return {
-        "cpu": F.when(mv == 0, F.greatest(zero, cpu * (F.lit(1.0) - rc))).otherwise(cpu),
-        "mem": F.when(mv == 1, F.greatest(zero, mem * (F.lit(1.0) - rm))).otherwise(mem),
-        "pwr": F.when(mv == 0, F.greatest(zero, pwr * (F.lit(1.0) - rc * CPU_MOVE[2])))
-                .when(mv == 1, F.greatest(zero, pwr * (F.lit(1.0) - rm * MEM_MOVE[2]))).otherwise(pwr),
-        "lat": F.when(mv == 2, F.greatest(zero, lat * (F.lit(1.0) - rl))).otherwise(lat),
-        "dio": F.when(mv == 2, F.greatest(zero, dio * (F.lit(1.0) - rl * LAT_MOVE[2]))).otherwise(dio),
-    }
+    return F.struct(
+        F.when(mv == 0, F.greatest(zero, cpu * (F.lit(1.0) - rc))).otherwise(cpu).alias("cpu"),
+        F.when(mv == 1, F.greatest(zero, mem * (F.lit(1.0) - rm))).otherwise(mem).alias("mem"),
+        F.when(mv == 0, F.greatest(zero, pwr * (F.lit(1.0) - rc * CPU_MOVE[2])))
+        .when(mv == 1, F.greatest(zero, pwr * (F.lit(1.0) - rm * MEM_MOVE[2]))).otherwise(pwr).alias("pwr"),
+        F.when(mv == 2, F.greatest(zero, lat * (F.lit(1.0) - rl))).otherwise(lat).alias("lat"),
+        F.when(mv == 2, F.greatest(zero, dio * (F.lit(1.0) - rl * LAT_MOVE[2]))).otherwise(dio).alias("dio"))
 
 
 def hill_climb(state: DataFrame, entity_col: str, iterations: int = 100, cpu_limit: float = 80.0,
@@ -74,7 +82,7 @@ def hill_climb(state: DataFrame, entity_col: str, iterations: int = 100, cpu_lim
     accepted state is always the best so far.  Adds ``best_*`` columns, costs
     and ``n_improvements``; with ``trace`` also an array of per-iteration
     (iteration, current_cost, neighbor_cost, is_improvement)."""
-    ent = F.col(entity_col)
+    ent = integer_id(state, entity_col)
     cpu0, mem0, pwr0 = (F.col(c) for c in ("cpu_utilization", "memory_usage", "power_consumption"))
     cost0 = cost_expr(cpu0, mem0, pwr0, cpu_limit, mem_limit)
     fields = [cpu0.alias("cpu"), mem0.alias("mem"), pwr0.alias("pwr"), F.col("network_latency").alias("lat"),
@@ -84,9 +92,7 @@ def hill_climb(state: DataFrame, entity_col: str, iterations: int = 100, cpu_lim
         fields.append(F.array().cast(trace_t).alias("trace"))
     init = F.struct(*fields)
 
-    def step(acc, i):
-        nb = _neighbour(acc, ent, i)
-        ncost = cost_expr(nb["cpu"], nb["mem"], nb["pwr"], cpu_limit, mem_limit)
+    def accepted(acc, i, nb, ncost):
         better = ncost < acc["cost"]
         out = [F.when(better, nb[k]).otherwise(acc[k]).alias(k) for k in ("cpu", "mem", "pwr", "lat", "dio")]
         out += [F.when(better, ncost).otherwise(acc["cost"]).alias("cost"),
@@ -97,6 +103,12 @@ def hill_climb(state: DataFrame, entity_col: str, iterations: int = 100, cpu_lim
                 better.alias("is_improvement")))).alias("trace"))
         return F.struct(*out)
 
+    def step(acc, i):
+        mv, u = draw(ent, i)
+        drawn = F.struct(mv.alias("mv"), u.alias("u"))
+        return _let(_let(drawn, lambda d: _neighbour(acc, d["mv"], d["u"])), lambda nb: _let(
+            cost_expr(nb["cpu"], nb["mem"], nb["pwr"], cpu_limit, mem_limit), lambda ncost: accepted(acc, i, nb, ncost)))
+
     res = F.aggregate(F.sequence(F.lit(0), F.lit(iterations - 1)), init, step)
     out = state.select("*", cost0.alias("initial_cost"), res.alias("__hc"))
     cols = [F.col(f"__hc.{k}").alias(f"best_{n}") for k, n in
@@ -124,17 +136,18 @@ def optimization_result(climbed: DataFrame, by: Sequence[str], cpu_limit: float
         F.concat_ws(" | ", cpu_msg, mem_msg).alias("recommendations"))
 
 
-def savings(climbed: DataFrame, by: Sequence[str]) -> DataFrame:
+def savings(climbed: DataFrame, by: Sequence[str], cpu: str = "cpu_utilization", memory: str = "memory_usage") -> DataFrame:
     """Current vs optimised usage, % saving, and recommended limits
-    clip(round_half_even(opt + 5)) to 75..85 (cpu) and 80..90 (memory)."""
-    cur = (F.col("cpu_utilization") + F.col("memory_usage")) / 2.0
+    clip(round_half_even(opt + 5)) to 75..85 (cpu) and 80..90 (memory).  ``cpu`` and ``memory`` are the columns
+    of current usage, for example mean predictions."""
+    cur = (F.col(cpu) + F.col(memory)) / 2.0
     opt = (F.col("best_cpu_utilization") + F.col("best_memory_usage")) / 2.0
 
     def limit(x, lo, hi):
         return F.bround(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x + 5.0)), 0).cast("int")
     return climbed.select(
-        *by, cur.alias("current_usage"), F.col("cpu_utilization").alias("current_cpu_usage"),
-        F.col("memory_usage").alias("current_memory_usage"), opt.alias("optimized_usage"),
+        *by, cur.alias("current_usage"), F.col(cpu).alias("current_cpu_usage"),
+        F.col(memory).alias("current_memory_usage"), opt.alias("optimized_usage"),
         F.col("best_cpu_utilization").alias("optimized_cpu_usage"),
         F.col("best_memory_usage").alias("optimized_memory_usage"),
         ((cur - opt) / (cur + F.lit(1e-9)) * 100.0).alias("potential_savings"),

@@ -89,3 +89,23 @@ def test_stream_twins_equal_batch(spark):
         a = sorted(tuple(r) for r in s.collect())
         b = sorted(tuple(r) for r in Q.QUERIES[batch](spark, sf).select(*s.columns).collect())
         assert a == b
+
+
+def test_types_are_found_beside_missing_tokens(spark):
+    path = scratch_path(spark, "csv-types")
+    os.makedirs(path)
+    with open(os.path.join(path, "m.csv"), "w") as f:
+        f.write("i,d,t,b,s,none,long,code,mixed\n"
+                "1,1.5,2024-01-02 03:04:05,true,x,NA,9223372036854775807,12d,2024-01-02\n"
+                "NA,NA,null,NaN,NA,,1,7,3\n"
+                " 7 ,1e3,2024-01-03,FALSE,2,NA,-5,8f,4\n")
+    df = csvsrc.read_csv(spark, path)
+    assert {f.name: f.dataType.simpleString() for f in df.schema.fields} == {
+        "i": "bigint", "d": "double", "t": "timestamp_ntz", "b": "boolean", "s": "string", "none": "double",
+        "long": "bigint", "code": "string", "mixed": "string"}
+    rows = {r["long"]: r for r in df.collect()}
+    assert [rows[k]["i"] for k in (2**63 - 1, 1, -5)] == [1, None, 7]
+    assert rows[-5]["d"] == 1000.0 and rows[1]["s"] is None and rows[-5]["b"] is False
+    with open(os.path.join(path, "big.csv"), "w") as f:
+        f.write("i,d,t,b,s,none,long,code,mixed\n9223372036854775808,1,,,,,1,,\n")
+    assert csvsrc.read_csv(spark, path).schema["i"].dataType == T.DoubleType()

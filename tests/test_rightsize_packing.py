@@ -90,3 +90,28 @@ def test_text_ids_and_missing_values(spark):
     assert {r.task_id: r.slot for r in got.collect()} == {"Task_2": 0, "Task_1": 1}
     loads = {r.slot: (r.cpu, r.memory) for r in packing.slot_loads(got).collect()}
     assert loads == {0: (5.0, 10.0), 1: (5.0, 10.0)}
+
+
+def test_ids_of_any_type_climb_and_do_not_repeat(spark):
+    state = spark.createDataFrame([(f"host-{k}", 1 + 65536 * k, 50.0, 50.0, 100.0, 10.0, 10.0) for k in range(3)],
+                                  "name string, host long, cpu_utilization double, memory_usage double, power_consumption double, "
+                                  "network_latency double, disk_io double")
+    for col in ("name", "host"):
+        got = [tuple(r) for r in rightsize.hill_climb(state, col, 40).select(
+            "best_cpu_utilization", "best_memory_usage", "best_power_consumption").collect()]
+        assert len(set(got)) == 3 and got == [tuple(r) for r in rightsize.hill_climb(state, col, 40).select(
+            "best_cpu_utilization", "best_memory_usage", "best_power_consumption").collect()]
+
+
+def test_a_step_evaluates_its_neighbour_once(spark):
+    st = rightsize.initial_state(load_metrics(spark, SF001), ["host_id"])
+    plan = rightsize.hill_climb(st, "host_id", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest") == 6     # once per changed resource of each move
+
+
+def test_a_group_with_most_tasks_is_spread(spark, monkeypatch):
+    tasks = spark.range(600).selectExpr("CASE WHEN id % 3 < 2 THEN 0 ELSE id END AS group_id", "id AS task_id",
+                                        "5D + id % 16 AS cpu_req", "10D + id % 21 AS memory_req", "CAST(id % 5 AS INT) AS priority")
+    plain = sorted(map(tuple, packing.first_fit(tasks, chunk=16).collect()))
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
+    assert sorted(map(tuple, packing.first_fit(tasks, chunk=16).collect())) == plain
