@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns
+from ..functions.hashing import PRIME, hashed_sql
 from ..functions.sqlexpr import q
-from ..operators import anomaly, clean, features, predict, profile, scale
+from ..operators import anomaly, clean, features, leastsq, predict, profile, scale
 from ..sources import csv as csvsrc
 from ..sources import records
 from ..sources.tables import load_metrics
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import sqltext as S
 from .order import first_n_per_entity, with_position
 from .pipeline import preprocess
@@ -55,6 +56,19 @@ def q_scan_csv_first_n(spark, sf_dir):
     return csvsrc.scan_first_n(spark, path, [ORDER], 1000, schema=m.schema)
 
 
+def _inferred_sql():
+    cols = ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in ("thread_count", "process_count", "uptime", "status") else c for c in S.ALL)
+    return S.with_ctes([], f"SELECT {cols} FROM metrics ORDER BY row_key LIMIT 1000")
+
+
+@register("scan_csv_inferred", _inferred_sql())
+def q_scan_csv_inferred(spark, sf_dir):
+    """Types are found from the text, with missing values written as ``NA``."""
+    path = scratch_path(spark, "metrics-csv")
+    csvsrc.write_csv(load_metrics(spark, sf_dir), path, missing="NA")
+    return csvsrc.scan_first_n(spark, path, [ORDER], 1000)
+
+
 @register("preview_head", S.with_ctes([], "SELECT * FROM metrics ORDER BY row_key LIMIT 20"))
 def q_preview_head(spark, sf_dir):
     return records.preview(load_metrics(spark, sf_dir), [ORDER], 20)
@@ -418,31 +432,73 @@ def q_train_test_split(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- H. prediction analytics
-# A deterministic predictor stands in for a fitted model wherever the result is
-# SQL-checked: pred = 0.6 * lag1 + 0.4 * rolling_avg on the scaled features,
-# mapped back to original units with the target's scaler statistics.
-PRED_W = (0.6, 0.4)
+# Predictions come from least-squares models of the scaled columns, one per target, fitted on the
+# training rows.  The target carries measurement noise of its own, since the given cpu load is a linear
+# image of the latency.
 REF_TIME = "2025-01-01 00:00:00"
+TRAIN = "train"
+CPU, MEMORY = "cpu_utilization", "memory_usage"
+#: Power is a linear image of latency: the fit must find out that one of the two adds nothing.
+MODEL_FEATURES = {CPU: ["network_latency", "power_consumption", "disk_io", f"{CPU}_lag1"],
+                  MEMORY: ["network_latency", "disk_io", f"{MEMORY}_lag1"]}
+NOISE_SQL = "CAST((row_key * 7919) % 1009 AS DOUBLE) / 100.9e0"
+SHORT = {CPU: "cpu", MEMORY: "mem"}
+
+
+def learning_metrics(spark, sf_dir) -> DataFrame:
+    """The metrics with independent noise (uniform on 0 to 10) on the cpu load."""
+    return load_metrics(spark, sf_dir).withColumn(CPU, F.expr(f"{CPU} + {NOISE_SQL}"))
+
+
+def fitted_models(p) -> dict[str, leastsq.LinearModel]:
+    """One model per target, all from one pass over the training rows: the columns are scaled, so their
+    products need no other shift."""
+    cols = sorted({c for t, fs in MODEL_FEATURES.items() for c in (t, *fs)})
+    n, means, products = leastsq.gram(_split(p.df.withColumn("split", split_expr()), TRAIN), cols, shift=[0.0] * len(cols))
+    out = {}
+    for target, feats in MODEL_FEATURES.items():
+        at = [cols.index(c) for c in (*feats, target)]
+        out[target] = leastsq.solve(n, means[at], products[at][:, at], feats, target)
+    return out
 
 
 def prediction_frame(spark, sf_dir) -> DataFrame:
-    p = preprocess(load_metrics(spark, sf_dir))
+    """Actual and predicted cpu and memory load in original units, and the combined load."""
+    p = preprocess(learning_metrics(spark, sf_dir))
     cols = []
-    for c, short in (("cpu_utilization", "cpu"), ("memory_usage", "mem")):
-        pred_s = F.lit(PRED_W[0]) * F.col(f"{c}_lag1") + F.lit(PRED_W[1]) * F.col(f"{c}_rolling_avg")
-        cols += [scale.unscaled(F.col(c), c, p.scaler).alias(f"{short}_actual"),
-                 scale.unscaled(pred_s, c, p.scaler).alias(f"{short}_pred")]
+    for c, m in fitted_models(p).items():
+        cols += [scale.unscaled(F.col(c), c, p.scaler).alias(f"{SHORT[c]}_actual"),
+                 scale.unscaled(F.expr(m.sql()), c, p.scaler).alias(f"{SHORT[c]}_pred")]
     j = p.df.select("row_key", "host_id", "timestamp", *cols)
     return j.withColumn("combined", predict.combined_load(F.col("cpu_pred"), F.col("mem_pred")))
 
 
+_LEARNING = ("learning", f"SELECT * REPLACE ({CPU} + {NOISE_SQL} AS {CPU}) FROM metrics")
+
+
+def _model_ctes():
+    """Processed rows and the weights of both models (power is left to latency)."""
+    out = [_LEARNING, *S.processed_ctes("learning")]
+    for c in (CPU, MEMORY):
+        xs = [x for x in MODEL_FEATURES[c] if x != "power_consumption"]
+        out += S.ols3_ctes(SHORT[c], xs, c, "processed", f"{SPLIT_SQL} = '{TRAIN}'")
+    return out
+
+
+def _predicted_sql(c):
+    """The scaled prediction of target c."""
+    xs, m = [x for x in MODEL_FEATURES[c] if x != "power_consumption"], f"{SHORT[c]}_w"
+    return f"({m}.w0 + " + " + ".join(f"{m}.w{i} * {x}" for i, x in enumerate(xs, 1)) + ")"
+
+
 def _pred_ctes():
     sel = []
-    for c, short in (("cpu_utilization", "cpu"), ("memory_usage", "mem")):
+    for c, short in SHORT.items():
         sel.append(f"{c} * sc_{c} + mu_{c} AS {short}_actual")
-        sel.append(f"(6e-1 * {c}_lag1 + 4e-1 * {c}_rolling_avg) * sc_{c} + mu_{c} AS {short}_pred")
-    return S.processed_ctes() + [
-        ("pred0", f"SELECT row_key, host_id, timestamp, {', '.join(sel)} FROM processed CROSS JOIN proc_s"),
+        sel.append(f"{_predicted_sql(c)} * sc_{c} + mu_{c} AS {short}_pred")
+    return _model_ctes() + [
+        ("pred0", f"SELECT row_key, host_id, timestamp, {', '.join(sel)} FROM processed CROSS JOIN proc_s "
+                  "CROSS JOIN cpu_w CROSS JOIN mem_w"),
         ("pred", "SELECT *, CASE WHEN mem_pred IS NULL THEN cpu_pred ELSE (cpu_pred + mem_pred) / 2e0 END "
                  "AS combined FROM pred0"),
     ]
@@ -465,26 +521,27 @@ def zscored(spark, sf_dir) -> DataFrame:
 _TARGETS = [("cpu", "cpu_actual", "cpu_pred"), ("memory", "mem_actual", "mem_pred")]
 
 
+def by_target(pf: DataFrame) -> DataFrame:
+    """Both targets' values in long form, so that one aggregate serves them."""
+    return pf.selectExpr("stack(2, " + ", ".join(f"'{t}', {a}, {p}" for t, a, p in _TARGETS) + ") AS (target, actual, predicted)")
+
+
 @register("error_original_units", S.rounded(S.with_ctes(_pred_ctes(), " UNION ALL ".join(
     f"SELECT '{t}' AS target, avg(abs({p} - {a})) AS mae, "
     f"round(avg(abs(({a} - {p}) / (abs({a}) + 1e-9))) * 100e0, 3) AS mape FROM pred" for t, a, p in _TARGETS)),
     ["mae"]))
 def q_error_original_units(spark, sf_dir):
-    pf = prediction_frame(spark, sf_dir)
     # MAPE divides by |actual| + 1e-9; near-zero actuals amplify last-bit differences, so 3 decimals.
-    parts = [predict.error_metrics(pf, a, p).select(F.lit(t).alias("target"), "mae", F.round("mape", 3).alias("mape"))
-             for t, a, p in _TARGETS]
-    return round_doubles(parts[0].unionByName(parts[1]))
+    out = predict.error_metrics(by_target(prediction_frame(spark, sf_dir)), "actual", "predicted", ["target"])
+    return round_doubles(out.withColumn("mape", F.round("mape", 3)))
 
 
 @register("prediction_stats", S.rounded(S.with_ctes(_pred_ctes(), " UNION ALL ".join(
     f"SELECT '{t}' AS target, avg({p}) AS mean_prediction, stddev_pop({p}) AS std_prediction FROM pred"
     for t, a, p in _TARGETS)), ["mean_prediction", "std_prediction"]))
 def q_prediction_stats(spark, sf_dir):
-    pf = prediction_frame(spark, sf_dir)
-    parts = [pf.agg(F.lit(t).alias("target"), F.avg(p).alias("mean_prediction"),
-                    F.stddev_pop(p).alias("std_prediction")) for t, a, p in _TARGETS]
-    return round_doubles(parts[0].unionByName(parts[1]))
+    return round_doubles(by_target(prediction_frame(spark, sf_dir)).groupBy("target").agg(
+        F.avg("predicted").alias("mean_prediction"), F.stddev_pop("predicted").alias("std_prediction")))
 
 
 def _forecast_sql(final_cols: str, dbl):
@@ -650,8 +707,9 @@ def q_prediction_range(spark, sf_dir):
     "greatest(0e0, least(100e0, last_value + slope * i)) FROM st JOIN cnt ON st.host_id = cnt.host_id "
     "CROSS JOIN range(1, 21) r(i)"), ["value"]))
 def q_series_with_forecast(spark, sf_dir):
-    pf = prediction_frame(spark, sf_dir)
-    series = with_position(pf.select("host_id", "row_key", "timestamp", "cpu_pred"), ["host_id"], "row_key", "seq")
+    # read three times: series, counts and tails
+    pf = stored(prediction_frame(spark, sf_dir).select("host_id", "row_key", "timestamp", "cpu_pred"), "predictions")
+    series = with_position(pf, ["host_id"], "row_key", "seq")
     s = series.select("host_id", F.lit("series").alias("kind"), "seq",
                       F.col("timestamp").cast("string").alias("label"), F.col("cpu_pred").alias("value"))
     n = pf.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"))
@@ -668,7 +726,7 @@ def q_series_with_forecast(spark, sf_dir):
     "(SELECT * FROM pred ORDER BY row_key LIMIT 200) h CROSS JOIN lim"),
     ["actual", "predicted", "axis_min", "axis_max"]))
 def q_actual_vs_predicted(spark, sf_dir):
-    pf = prediction_frame(spark, sf_dir)
+    pf = stored(prediction_frame(spark, sf_dir).select("row_key", "cpu_actual", "cpu_pred"), "predictions")
     lim = pf.agg(F.least(F.min("cpu_actual"), F.min("cpu_pred")).alias("axis_min"),
                  F.greatest(F.max("cpu_actual"), F.max("cpu_pred")).alias("axis_max"))
     head = pf.orderBy("row_key").limit(200).select("row_key", F.col("cpu_actual").alias("actual"),
@@ -789,22 +847,6 @@ def q_anomalies_by_metric(spark, sf_dir):
     return round_doubles(top.select("host_id", "metric", "index", "value", "z_score"))
 
 
-@register("anomaly_summary", S.rounded(S.with_ctes(_series_ctes() + _z_ctes(), (
-    "SELECT 'statistical' AS method, (SELECT count(*) FROM sa) AS total_anomalies, "
-    "(SELECT count(*) FROM sa WHERE metric = 'cpu') AS cpu_anomalies, "
-    "(SELECT count(*) FROM sa WHERE metric = 'memory') AS memory_anomalies, "
-    "(SELECT round(count(*) FILTER (WHERE is_anomaly) * 100e0 / count(*), 2) FROM zsc) AS zscore_anomaly_percentage")),
-    []))
-def q_anomaly_summary(spark, sf_dir):
-    sa = series_anomaly_frame(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("total_anomalies"), F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
-        F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
-    z = zscored(spark, sf_dir).agg(
-        F.round(F.try_divide(F.count_if("is_anomaly") * 100.0, F.count(F.lit(1))), 2).alias("zscore_anomaly_percentage"))
-    return sa.crossJoin(z).select(F.lit("statistical").alias("method"), "total_anomalies", "cpu_anomalies",
-                                  "memory_anomalies", "zscore_anomaly_percentage")
-
-
 @register("anomaly_overlay", S.rounded(S.with_ctes(_series_ctes() + [
     ("acpu", "SELECT host_id, index, value FROM sa WHERE metric = 'cpu'"),
     ("ov", "SELECT p.host_id, p.idx AS index, CAST(p.timestamp AS VARCHAR) AS label, p.cpu_actual AS value, "
@@ -812,7 +854,7 @@ def q_anomaly_summary(spark, sf_dir):
     # the position filter sits above the join: DuckDB 2.0 shifted row_number() - 1 when it was pushed into pidx
     "SELECT * FROM ov WHERE index + 0 < 120"), ["value", "anomaly_value"]))
 def q_anomaly_overlay(spark, sf_dir):
-    base = prediction_frame(spark, sf_dir)
+    base = stored(prediction_frame(spark, sf_dir), "predictions")
     pf = first_n_per_entity(base, ["host_id"], "row_key", 120, name="k", keep_rank=True).withColumn(
         "index", F.col("k").cast("long") - 1)
     an = series_anomaly_frame(spark, sf_dir, base).where(F.col("metric") == "cpu").select(
@@ -840,17 +882,21 @@ CPU_LIMIT, MEM_LIMIT, HC_ITERS = 9.0, 85.0, 100   # cpu limit low enough to reac
 SLOTS, PACK_CPU, PACK_MEM = 3, 80.0, 85.0          # few slots so that some tasks stay unplaced
 
 
-def _climbed(spark, sf_dir, trace=False):
+# The limits and the number of slots that users start with.
+USUAL_CPU, USUAL_MEM, USUAL_SLOTS = 80.0, 85.0, 24
+
+
+def _climbed(spark, sf_dir, trace=False, cpu_limit=CPU_LIMIT, mem_limit=MEM_LIMIT):
     st = rightsize.initial_state(load_metrics(spark, sf_dir), ["host_id"])
-    return rightsize.hill_climb(st, "host_id", HC_ITERS, CPU_LIMIT, MEM_LIMIT, trace=trace)
+    return rightsize.hill_climb(st, "host_id", HC_ITERS, cpu_limit, mem_limit, trace=trace)
 
 
-def _cost_sql(c, m, p):
-    return (f"{p} + CASE WHEN {c} > {CPU_LIMIT!r} THEN ({c} - {CPU_LIMIT!r}) * 2e0 ELSE 0e0 END"
-            f" + CASE WHEN {m} > {MEM_LIMIT!r} THEN ({m} - {MEM_LIMIT!r}) * 2e0 ELSE 0e0 END")
+def _cost_sql(c, m, p, cpu_limit=CPU_LIMIT, mem_limit=MEM_LIMIT):
+    return (f"{p} + CASE WHEN {c} > {cpu_limit!r} THEN ({c} - {cpu_limit!r}) * 2e0 ELSE 0e0 END"
+            f" + CASE WHEN {m} > {mem_limit!r} THEN ({m} - {mem_limit!r}) * 2e0 ELSE 0e0 END")
 
 
-def _hc_ctes():
+def _hc_ctes(*limits):
     cm, mm, lm = rightsize.CPU_MOVE, rightsize.MEM_MOVE, rightsize.LAT_MOVE
     rc = f"({cm[0]!r} + {cm[1] - cm[0]!r} * u)"
     rm = f"({mm[0]!r} + {mm[1] - mm[0]!r} * u)"
@@ -863,21 +909,21 @@ def _hc_ctes():
           f"CASE WHEN mv = 2 THEN greatest(0e0, lat * (1e0 - {rl})) ELSE lat END AS nlat, "
           f"CASE WHEN mv = 2 THEN greatest(0e0, dio * (1e0 - {rl} * {lm[2]!r})) ELSE dio END AS ndio "
           "FROM (SELECT *, r % 3 AS mv, (r % 1000) / 1e3 AS u FROM (SELECT *, "
-          "(((host_id % 65536) * 75 + it * 7919) * 1103515 + 12345) % 1000003 AS r FROM {src}) a) b")
-    step = f"SELECT *, {_cost_sql('ncpu', 'nmem', 'npwr')} AS ncost FROM ({nb}) c"
+          + hashed_sql("CAST(host_id AS BIGINT)", "CAST(it AS BIGINT)", rightsize.DRAW_SALT, "((({0}) % {1} + {1}) % {1})") + " AS r FROM {src}) a) b")
+    step = f"SELECT *, {_cost_sql('ncpu', 'nmem', 'npwr', *limits)} AS ncost FROM ({nb}) c"
     init = ", ".join(f"coalesce(avg({S.d(c)}), 0e0) AS {c}" for c in rightsize.STATE_COLS)
     return [
         ("st0", f"SELECT host_id, {init} FROM metrics GROUP BY host_id"),
         ("hc", "SELECT host_id, 0 AS it, cpu_utilization AS cpu, memory_usage AS mem, power_consumption AS pwr, "
                "network_latency AS lat, disk_io AS dio, "
-               f"{_cost_sql('cpu_utilization', 'memory_usage', 'power_consumption')} AS cost, 0 AS n_impr FROM st0 "
+               f"{_cost_sql('cpu_utilization', 'memory_usage', 'power_consumption', *limits)} AS cost, 0 AS n_impr FROM st0 "
                "UNION ALL SELECT host_id, it + 1, CASE WHEN ncost < cost THEN ncpu ELSE cpu END, "
                "CASE WHEN ncost < cost THEN nmem ELSE mem END, CASE WHEN ncost < cost THEN npwr ELSE pwr END, "
                "CASE WHEN ncost < cost THEN nlat ELSE lat END, CASE WHEN ncost < cost THEN ndio ELSE dio END, "
                "CASE WHEN ncost < cost THEN ncost ELSE cost END, n_impr + CASE WHEN ncost < cost THEN 1 ELSE 0 END "
                f"FROM ({step.format(src='hc')}) s WHERE it < {HC_ITERS}"),
         ("steps", step.format(src=f"(SELECT * FROM hc WHERE it < {HC_ITERS})")),
-        ("fin", f"SELECT s.*, {_cost_sql('s.cpu_utilization', 's.memory_usage', 's.power_consumption')} "
+        ("fin", f"SELECT s.*, {_cost_sql('s.cpu_utilization', 's.memory_usage', 's.power_consumption', *limits)} "
                 "AS initial_cost, h.cpu AS best_cpu_utilization, h.mem AS best_memory_usage, "
                 "h.pwr AS best_power_consumption, h.lat AS best_network_latency, h.dio AS best_disk_io, "
                 f"h.cost AS best_cost, h.n_impr AS n_improvements FROM st0 s JOIN hc h ON s.host_id = h.host_id "
@@ -913,6 +959,13 @@ def q_hill_climb(spark, sf_dir):
     return round_doubles(_climbed(spark, sf_dir).select("host_id", *_HC_OUT, "n_improvements"))
 
 
+@register("hill_climb_usual_limits", S.rounded(S.with_ctes(
+    _hc_ctes(USUAL_CPU, USUAL_MEM), "SELECT host_id, " + ", ".join(_HC_OUT) + ", n_improvements FROM fin", recursive=True), _HC_OUT))
+def q_hill_climb_usual_limits(spark, sf_dir):
+    out = _climbed(spark, sf_dir, cpu_limit=USUAL_CPU, mem_limit=USUAL_MEM)
+    return round_doubles(out.select("host_id", *_HC_OUT, "n_improvements"))
+
+
 @register("hill_climb_trace", S.rounded(S.with_ctes(_hc_ctes(), (
     "SELECT host_id, CAST(it AS INT) AS iteration, cost AS current_cost, ncost AS neighbor_cost, "
     "ncost < cost AS is_improvement FROM steps"), recursive=True), ["current_cost", "neighbor_cost"]))
@@ -934,18 +987,23 @@ def q_optimization_result(spark, sf_dir):
     return round_doubles(rightsize.optimization_result(_climbed(spark, sf_dir), ["host_id"], CPU_LIMIT, MEM_LIMIT))
 
 
-@register("savings_summary", S.rounded(S.with_ctes(_hc_ctes(), (
-    "SELECT host_id, (cpu_utilization + memory_usage) / 2e0 AS current_usage, cpu_utilization AS current_cpu_usage, "
-    "memory_usage AS current_memory_usage, (best_cpu_utilization + best_memory_usage) / 2e0 AS optimized_usage, "
+@register("savings_summary", S.rounded(S.with_ctes(_hc_ctes() + _pred_ctes() + [
+    ("cur", "SELECT host_id, avg(cpu_pred) AS cpu, avg(mem_pred) AS mem FROM pred GROUP BY host_id")], (
+    "SELECT host_id, (cpu + mem) / 2e0 AS current_usage, cpu AS current_cpu_usage, "
+    "mem AS current_memory_usage, (best_cpu_utilization + best_memory_usage) / 2e0 AS optimized_usage, "
     "best_cpu_utilization AS optimized_cpu_usage, best_memory_usage AS optimized_memory_usage, "
-    "((cpu_utilization + memory_usage) / 2e0 - (best_cpu_utilization + best_memory_usage) / 2e0) / "
-    "((cpu_utilization + memory_usage) / 2e0 + 1e-9) * 100e0 AS potential_savings, "
+    "((cpu + mem) / 2e0 - (best_cpu_utilization + best_memory_usage) / 2e0) / "
+    "((cpu + mem) / 2e0 + 1e-9) * 100e0 AS potential_savings, "
     "CAST(round_even(greatest(75e0, least(85e0, best_cpu_utilization + 5e0)), 0) AS INT) AS cpu_limit, "
-    "CAST(round_even(greatest(80e0, least(90e0, best_memory_usage + 5e0)), 0) AS INT) AS memory_limit FROM fin"),
+    "CAST(round_even(greatest(80e0, least(90e0, best_memory_usage + 5e0)), 0) AS INT) AS memory_limit "
+    "FROM fin JOIN cur USING (host_id)"),
     recursive=True), ["current_usage", "current_cpu_usage", "current_memory_usage", "optimized_usage",
                       "optimized_cpu_usage", "optimized_memory_usage", "potential_savings"]))
 def q_savings_summary(spark, sf_dir):
-    return round_doubles(rightsize.savings(_climbed(spark, sf_dir), ["host_id"]))
+    """Current usage is the mean prediction."""
+    current = prediction_frame(spark, sf_dir).groupBy("host_id").agg(F.avg("cpu_pred").alias("cpu_pred"),
+                                                                     F.avg("mem_pred").alias("mem_pred"))
+    return round_doubles(rightsize.savings(_climbed(spark, sf_dir).join(current, "host_id"), ["host_id"], "cpu_pred", "mem_pred"))
 
 
 @register("infeasible_tasks", S.with_ctes([S.tasks_cte()], (
@@ -955,8 +1013,8 @@ def q_infeasible_tasks(spark, sf_dir):
     return packing.infeasible(load_tasks(spark, sf_dir), cpu_limit=CPU_LIMIT, mem_limit=MEM_LIMIT)
 
 
-def _ff_ctes():
-    rng = f"range(1, {SLOTS + 1})"
+def _ff_ctes(slots=SLOTS):
+    rng = f"range(1, {slots + 1})"
     zeros = f"list_transform({rng}, lambda k: 0e0)"
     return [S.tasks_cte(),
             ("t", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY priority DESC, task_id) AS rn FROM tasks"),
@@ -972,8 +1030,16 @@ def _ff_ctes():
                       "JOIN ff ON t.group_id = ff.group_id AND t.task_id = ff.task_id")]
 
 
-def _scheduled(spark, sf_dir):
-    return packing.first_fit(load_tasks(spark, sf_dir), slots=SLOTS, cpu_limit=PACK_CPU, mem_limit=PACK_MEM)
+def _scheduled(spark, sf_dir, slots=SLOTS):
+    return packing.first_fit(load_tasks(spark, sf_dir), slots=slots, cpu_limit=PACK_CPU, mem_limit=PACK_MEM)
+
+
+@register("first_fit_24_slots", S.with_ctes(_ff_ctes(USUAL_SLOTS), (
+    "SELECT group_id, task_id, slot IS NOT NULL AS placed, coalesce(slot, -1) AS slot FROM sched"), recursive=True))
+def q_first_fit_24_slots(spark, sf_dir):
+    s = _scheduled(spark, sf_dir, USUAL_SLOTS)
+    return s.select("group_id", "task_id", F.col("slot").isNotNull().alias("placed"),
+                    F.coalesce("slot", F.lit(-1)).alias("slot"))
 
 
 @register("first_fit_schedule", S.with_ctes(_ff_ctes(), (
@@ -1126,7 +1192,7 @@ def q_recent_history(spark, sf_dir):
     return out.select("host_id", "row_key", "load_level", "anomaly", "confidence_pct", "rank", "shown")
 
 
-LOAD_ALERT_CRIT, LOAD_ALERT_WARN = 35.0, 30.0   # low enough that the test data reaches both branches
+LOAD_ALERT_CRIT, LOAD_ALERT_WARN = 33.0, 32.0   # low enough that the test data reaches both branches
 
 
 @register("predicted_load_alert", S.rounded(S.with_ctes(_pred_ctes() + [
@@ -1148,152 +1214,299 @@ def q_predicted_load_alert(spark, sf_dir):
 from ..streaming import feeds  # noqa: E402
 
 
+def _events(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/events.parquet"
+
+
 @register("stream_metric_feed", ORACLE["metric_feed"])
 def q_stream_metric_feed(spark, sf_dir):
-    return feeds.metric_feed_stream(spark, sf_dir)
+    return feeds.metric_feed_stream(spark, _events(sf_dir), feeds.Place.fresh(spark, "metric-feed"))
 
 
 @register("stream_alert_suppression", ORACLE["alert_suppression"])
 def q_stream_alert_suppression(spark, sf_dir):
-    return feeds.suppressed_alerts_stream(spark, sf_dir)
+    return feeds.suppressed_alerts_stream(spark, _events(sf_dir), feeds.Place.fresh(spark, "kept-alerts"))
 
 
 @register("stream_last_60", ORACLE["last_60_buffer"])
 def q_stream_last_60(spark, sf_dir):
-    return feeds.last_n_stream(spark, sf_dir, 60, 20)
+    return feeds.last_n_stream(spark, _events(sf_dir), feeds.Place.fresh(spark, "last-60"), n=60, show=20)
 
 
 
 # ---------------------------------------------------------------- G. regression models (MLlib) and I2
-from ..operators import iforest, models  # noqa: E402
+from ..operators import deeptree, iforest, models  # noqa: E402
 
 # The library's defaults.
 RF_TREES, RF_DEPTH, GBT_ITERS = 100, 10, 100
 
 
-def training_frame(spark, sf_dir, target="cpu_utilization"):
-    """Preprocessed rows with the split label, materialised once (checkpoint to the shared dir)."""
-    p = preprocess(load_metrics(spark, sf_dir))
-    df = p.df.withColumn("split", split_expr()).checkpoint(eager=True)
-    return df, p.feature_columns(target)
+def training_frame(spark, sf_dir):
+    """Preprocessed rows with the split label, written once to the shared folder, and the pipeline."""
+    p = preprocess(learning_metrics(spark, sf_dir))
+    return stored(p.df.withColumn("split", split_expr()), "training"), p
 
 
 def _split(df, name):
     return df.where(F.col("split") == name)
 
 
-@register("fit_linear")
+_FITTED: dict[tuple, tuple] = {}
+
+
+def fitted_forest(spark, sf_dir, target=CPU):
+    """(model, rows, features) of the random forest for a target: one fit per session and table, whatever the
+    number of queries that use it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if (*key, target) not in _FITTED:
+        rows = next((v[1:3] for k, v in _FITTED.items() if k[:2] == key), None)
+        df, p = rows or training_frame(spark, sf_dir)
+        feats = p.feature_columns(target)
+        m = models.fit(_split(df, TRAIN), feats, target, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+        _FITTED[(*key, target)] = (m, df, p, feats)
+    m, df, _, feats = _FITTED[(*key, target)]
+    return m, df, feats
+
+
+def _linear(spark, sf_dir):
+    """Preprocessed rows with their split, and the cpu model."""
+    p = preprocess(learning_metrics(spark, sf_dir))
+    return p.df.withColumn("split", split_expr()), fitted_models(p)[CPU]
+
+
+@register("fit_linear", S.rounded(S.with_ctes(_model_ctes(), " UNION ALL ".join(
+    [f"SELECT CAST({i} AS INT) AS ordinal, '{x}' AS term, "
+     + ("0e0 AS coefficient, TRUE AS dependent" if x == "power_consumption" else
+        f"w{[f for f in MODEL_FEATURES[CPU] if f != 'power_consumption'].index(x) + 1} AS coefficient, FALSE AS dependent")
+     + " FROM cpu_w" for i, x in enumerate(MODEL_FEATURES[CPU])]
+    + [f"SELECT CAST({len(MODEL_FEATURES[CPU])} AS INT), 'intercept', w0, FALSE FROM cpu_w"])), ["coefficient"]))
 def q_fit_linear(spark, sf_dir):
-    df, feats = training_frame(spark, sf_dir)
-    m = models.fit(_split(df, "train"), feats, "cpu_utilization", "linear")
-    return models.coefficients(m, feats)
+    """Weights of the cpu model; the feature that another one determines is reported."""
+    return round_doubles(_linear(spark, sf_dir)[1].coefficients(spark))
 
 
-def _tree_metrics(spark, sf_dir, kind, **kw):
-    df, feats = training_frame(spark, sf_dir)
-    m = models.fit(_split(df, "train"), feats, "cpu_utilization", kind, **kw)
-    return models.evaluate(m, _split(df, "test"), "cpu_utilization").select(F.lit(kind).alias("model"), "*")
+@register("fit_linear_full")
+def q_fit_linear_full(spark, sf_dir):
+    """Weights over all features of the pipeline, those derived from the target included."""
+    df, p = training_frame(spark, sf_dir)
+    return leastsq.fit(_split(df, TRAIN), p.feature_columns(CPU), CPU).coefficients(spark)
 
 
 @register("fit_random_forest")
 def q_fit_random_forest(spark, sf_dir):
-    return _tree_metrics(spark, sf_dir, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+    m, df, _ = fitted_forest(spark, sf_dir)
+    return models.evaluate(m, _split(df, "test"), CPU).select(F.lit("random_forest").alias("model"), "*")
 
 
 @register("fit_gbt")
 def q_fit_gbt(spark, sf_dir):
-    return _tree_metrics(spark, sf_dir, "gradient_boosting", gbt_iter=GBT_ITERS)
+    df, p = training_frame(spark, sf_dir)
+    m = models.fit(_split(df, TRAIN), p.feature_columns(CPU), CPU, "gradient_boosting", gbt_iter=GBT_ITERS)
+    return models.evaluate(m, _split(df, "test"), CPU).select(F.lit("gradient_boosting").alias("model"), "*")
 
 
-@register("train_score")
+@register("train_score", S.rounded(S.with_ctes(_model_ctes(), "SELECT 'linear' AS model, r2, n FROM cpu_w"), ["r2"]))
 def q_train_score(spark, sf_dir):
-    df, feats = training_frame(spark, sf_dir)
-    tr = _split(df, "train")
-    m = models.fit(tr, feats, "cpu_utilization", "linear")
-    return models.evaluate(m, tr, "cpu_utilization").select(F.lit("linear").alias("model"), "r2", "n")
+    """R^2 on the training rows, from the predictions."""
+    df, m = _linear(spark, sf_dir)
+    out = predict.regression_metrics(m.predict(_split(df, TRAIN)), CPU, "prediction")
+    return round_doubles(out.select(F.lit("linear").alias("model"), "r2", "n"))
 
 
-@register("regression_metrics", S.rounded(S.with_ctes(S.processed_ctes() + [
-    ("ev", f"SELECT cpu_utilization AS y, 6e-1 * cpu_utilization_lag1 + 4e-1 * cpu_utilization_rolling_avg AS p "
-           f"FROM processed WHERE {SPLIT_SQL} = 'test'")],
+_ALL_PREDICTED = ("ev", f"SELECT row_key, host_id, {SPLIT_SQL} AS split, {CPU} AS y, {_predicted_sql(CPU)} AS p "
+                        "FROM processed CROSS JOIN cpu_w")
+
+
+@register("regression_metrics", S.rounded(S.with_ctes(_model_ctes() + [_ALL_PREDICTED],
     "SELECT avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, "
-    "1e0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r2, count(*) AS n FROM ev"), ["mae", "rmse", "r2"]))
+    "1e0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r2, count(*) AS n FROM ev WHERE split = 'test'"),
+    ["mae", "rmse", "r2"]))
 def q_regression_metrics(spark, sf_dir):
-    p = preprocess(load_metrics(spark, sf_dir)).df
-    ev = p.where(split_expr() == "test").select(
-        F.col("cpu_utilization").alias("y"),
-        (F.lit(PRED_W[0]) * F.col("cpu_utilization_lag1") + F.lit(PRED_W[1]) * F.col("cpu_utilization_rolling_avg"))
-        .alias("p"))
-    return round_doubles(predict.regression_metrics(ev, "y", "p"))
+    df, m = _linear(spark, sf_dir)
+    return round_doubles(predict.regression_metrics(m.predict(_split(df, "test")), CPU, "prediction"))
 
 
-def _forest(df, feats, target="cpu_utilization"):
-    return models.fit(_split(df, "train"), feats, target, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
+@register("predict_all", S.rounded(S.with_ctes(_model_ctes() + [_ALL_PREDICTED],
+    "SELECT row_key, host_id, split, p AS prediction FROM ev"), ["prediction"]))
+def q_predict_all(spark, sf_dir):
+    df, m = _linear(spark, sf_dir)
+    return round_doubles(m.predict(df).select("row_key", "host_id", "split", "prediction"))
 
 
-@register("predict_all")
-def q_predict_all(spark, sf_dir):
-    df, feats = training_frame(spark, sf_dir)
-    m = _forest(df, feats)
+@register("predict_all_forest")
+def q_predict_all_forest(spark, sf_dir):
+    m, df, _ = fitted_forest(spark, sf_dir)
     return models.predict(m, df, keep=["row_key", "host_id", "split"])
 
 
 @register("feature_importance_top5")
 def q_feature_importance_top5(spark, sf_dir):
-    df, feats = training_frame(spark, sf_dir)
-    return models.feature_importance(_forest(df, feats), feats, 5)
+    m, _, feats = fitted_forest(spark, sf_dir)
+    return models.feature_importance(m, feats, 5)
 
 
-@register("prediction_samples")
+@register("prediction_samples", S.rounded(S.with_ctes(_model_ctes() + [_ALL_PREDICTED],
+    "SELECT row_key, y AS actual, p AS predicted, abs(p - y) AS error FROM ev ORDER BY row_key LIMIT 5"),
+    ["actual", "predicted", "error"]))
 def q_prediction_samples(spark, sf_dir):
-    df, feats = training_frame(spark, sf_dir)
-    m = _forest(df, feats)
-    head = df.orderBy("row_key").limit(5)
-    return models.predict(m, head, keep=["row_key", "cpu_utilization"]).select(
-        "row_key", F.col("cpu_utilization").alias("actual"), F.col("prediction").alias("predicted"),
-        F.abs(F.col("prediction") - F.col("cpu_utilization")).alias("error"))
+    df, m = _linear(spark, sf_dir)
+    return round_doubles(m.predict(df.orderBy("row_key").limit(5)).select(
+        "row_key", F.col(CPU).alias("actual"), F.col("prediction").alias("predicted"),
+        F.abs(F.col("prediction") - F.col(CPU)).alias("error")))
+
+
+@register("prediction_samples_forest")
+def q_prediction_samples_forest(spark, sf_dir):
+    m, df, _ = fitted_forest(spark, sf_dir)
+    return models.predict(m, df.orderBy("row_key").limit(5), keep=["row_key", CPU]).select(
+        "row_key", F.col(CPU).alias("actual"), F.col("prediction").alias("predicted"),
+        F.abs(F.col("prediction") - F.col(CPU)).alias("error"))
 
 
 @register("train_two_targets")
 def q_train_two_targets(spark, sf_dir):
     """CPU always, memory when present: random forest per target, training R^2 and test metrics."""
-    p = preprocess(load_metrics(spark, sf_dir))
-    df = p.df.withColumn("split", split_expr()).checkpoint(eager=True)
     parts = []
-    for target in ("cpu_utilization", "memory_usage"):
-        if target not in df.columns:
-            continue
-        feats = p.feature_columns(target)
-        m = models.fit(_split(df, "train"), feats, target, "random_forest", num_trees=RF_TREES, max_depth=RF_DEPTH)
-        tr = models.evaluate(m, _split(df, "train"), target).select(F.col("r2").alias("train_r2"))
+    for target in (CPU, MEMORY):
+        m, df, _ = fitted_forest(spark, sf_dir, target)
+        tr = models.evaluate(m, _split(df, TRAIN), target).select(F.col("r2").alias("train_r2"))
         te = models.evaluate(m, _split(df, "test"), target).select("mae", "rmse", "r2", F.col("n").alias("n_test"))
         parts.append(tr.crossJoin(te).select(F.lit(target).alias("target"), F.lit("random_forest").alias("model"),
                                              "train_r2", "mae", "rmse", "r2", "n_test"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    return parts[0].unionByName(parts[1])
+
+
+# Counters that tell the rows apart into some thousand cells: a tree needs depth 10 and more for them.
+_CELLS = ["thread_count", "process_count"]
+
+
+@register("deep_tree_fit", S.rounded(S.with_ctes([], (
+    f"SELECT row_key, memory_usage AS actual, avg(memory_usage) OVER (PARTITION BY {', '.join(_CELLS)}) AS predicted "
+    "FROM metrics WHERE memory_usage IS NOT NULL")), ["predicted"]))
+def q_deep_tree_fit(spark, sf_dir):
+    """A tree grown to purity without sampling predicts, for each training row, the mean of the rows that
+    no feature tells from it."""
+    m = load_metrics(spark, sf_dir).where("memory_usage IS NOT NULL")
+    f = deeptree.fit(m, _CELLS, MEMORY, "row_key", trees=1, bootstrap=False)
+    out = f.predict(m, ["row_key", MEMORY], "row_key", "predicted")
+    return round_doubles(out.select("row_key", F.col(MEMORY).alias("actual"), "predicted"))
+
+
+@register("deep_forest_importance")
+def q_deep_forest_importance(spark, sf_dir):
+    """Shares of the features in a bagged forest of unlimited depth."""
+    df, p = training_frame(spark, sf_dir)
+    f = deeptree.fit(_split(df, TRAIN), MODEL_FEATURES[CPU], CPU, "row_key", trees=20)
+    return f.importance()
+
+
+# The forest's parameters (the library's defaults).
+IF_TREES, IF_PSI, IF_SEED, IF_SHARE = 100, 256, 42, 0.05
+
+
+def forest_scored(spark, sf_dir, keep=("row_key", "host_id")) -> DataFrame:
+    m = load_metrics(spark, sf_dir)
+    return iforest.isolation_forest(m, metric_value_cols(m), contamination=IF_SHARE, n_trees=IF_TREES, psi=IF_PSI,
+                                    seed=IF_SEED, keep=list(keep))
+
+
+def _forest_ctes():
+    """Grow the same trees and walk every row down them, a CTE per level (a sample of 256 rows has height 8)."""
+    n, height = len(S.NUM), 8
+    xs = [f"x{i}" for i in range(n)]
+    pmod = "((({0}) % {1} + {1}) % {1})"
+
+    def h(a, b, kind):
+        return hashed_sql(a, b, iforest.salt(IF_SEED, kind), pmod)
+
+    fill = ", ".join(f"coalesce({S.d(c)}, f_{c}) AS x{i}" for i, c in enumerate(S.NUM))
+    lows, highs = (f"[{', '.join(f'{f}({x}) OVER w' for x in xs)}]" for f in ("min", "max"))
+    out = [
+        ("if_s", "SELECT " + ", ".join(f"avg({S.d(c)}) AS f_{c}" for c in S.NUM) + ", count(*) AS n FROM metrics"),
+        ("if_x", f"SELECT row_key, {fill} FROM metrics CROSS JOIN if_s"),
+        ("if_h", f"SELECT t.tree, row_key, {h('row_key', 't.tree', iforest.SAMPLE)} AS r FROM if_x CROSS JOIN range({IF_TREES}) t(tree)"),
+        ("if_k", f"SELECT tree, row_key FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY r, row_key) AS k FROM if_h) s "
+                 f"WHERE k <= {IF_PSI}"),
+        ("if_g0", "SELECT tree, CAST(0 AS BIGINT) AS node, if_x.* FROM if_k JOIN if_x USING (row_key)"),
+    ]
+    usable = f"list_filter(range({n}), lambda i: hi[CAST(i + 1 AS INT)] > lo[CAST(i + 1 AS INT)])"
+    for d in range(height + 1):
+        out.append((f"if_m{d}", f"SELECT *, {lows} AS lo, {highs} AS hi, count(*) OVER w AS size FROM if_g{d} "
+                                "WINDOW w AS (PARTITION BY tree, node)"))
+        leaf = "TRUE" if d == height else "len(us) = 0"
+        out.append((f"if_p{d}", f"SELECT *, {leaf} AS leaf, CASE WHEN len(us) > 0 THEN us[CAST(1 + {h('tree', 'node', iforest.FEATURE)} "
+                                f"% len(us) AS INT)] END AS f, ({h('tree', 'node', iforest.SPLIT)} + 5e-1) / {PRIME}e0 AS u "
+                                f"FROM (SELECT *, {usable} AS us FROM if_m{d}) s"))
+        out.append((f"if_q{d}", "SELECT *, lo[CAST(f + 1 AS INT)] + (hi[CAST(f + 1 AS INT)] - lo[CAST(f + 1 AS INT)]) * u AS p "
+                                f"FROM if_p{d}"))
+        out.append((f"if_n{d}", f"SELECT DISTINCT tree, node, leaf, f, p, size FROM if_q{d}"))
+        if d < height:
+            out.append((f"if_g{d + 1}", f"SELECT tree, CASE WHEN [{', '.join(xs)}][CAST(f + 1 AS INT)] < p THEN 2 * node + 1 "
+                                        f"ELSE 2 * node + 2 END AS node, row_key, {', '.join(xs)} FROM if_q{d} WHERE NOT leaf"))
+    # Every row walks down: those at a leaf stop there with the length of their path.
+    out.append(("if_w0", f"SELECT row_key, t.tree, CAST(0 AS BIGINT) AS node, [{', '.join(xs)}] AS x FROM if_x CROSS JOIN range({IF_TREES}) t(tree)"))
+    c = ("CASE WHEN size > 2 THEN 2e0 * (ln(size - 1e0) + 0.5772156649e0) - 2e0 * (size - 1e0) / size "
+         "WHEN size = 2 THEN 1e0 ELSE 0e0 END")
+    for d in range(height + 1):
+        out.append((f"if_e{d}", f"SELECT row_key, CAST({d * iforest.UNIT} + round({c} * {iforest.UNIT}e0) AS BIGINT) AS len "
+                                f"FROM if_w{d} JOIN if_n{d} USING (tree, node) WHERE leaf"))
+        if d < height:
+            out.append((f"if_w{d + 1}", "SELECT row_key, tree, CASE WHEN x[CAST(f + 1 AS INT)] < p THEN 2 * node + 1 "
+                                        f"ELSE 2 * node + 2 END AS node, x FROM if_w{d} JOIN if_n{d} USING (tree, node) WHERE NOT leaf"))
+    paths = " UNION ALL ".join(f"SELECT * FROM if_e{d}" for d in range(height + 1))
+    cpsi = iforest.c_factor(IF_PSI)
+    out.append(("if_t", f"SELECT row_key, pow(2e0, -(sum(len)::DOUBLE / {iforest.UNIT * IF_TREES}e0) / {cpsi!r}::DOUBLE) AS anomaly_score "
+                        f"FROM ({paths}) s GROUP BY row_key"))
+    out.append(("if_a", f"SELECT m.*, anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, {1 - IF_SHARE!r}) FROM if_t) "
+                        "AS is_anomaly FROM if_t JOIN metrics m USING (row_key)"))
     return out
 
 
-@register("anomaly_isolation_forest")
+@register("anomaly_isolation_forest", S.rounded(S.with_ctes(
+    _forest_ctes(), "SELECT row_key, host_id, anomaly_score, is_anomaly FROM if_a"), ["anomaly_score"]))
 def q_anomaly_isolation_forest(spark, sf_dir):
-    m = load_metrics(spark, sf_dir)
-    out = iforest.isolation_forest(m, metric_value_cols(m), contamination=0.05, n_trees=100, psi=256, seed=42)
-    return out.select("row_key", "host_id", "anomaly_score", "is_anomaly")
+    return round_doubles(forest_scored(spark, sf_dir))
 
 
-@register("isolation_forest_report", S.with_ctes([], (
-    "SELECT count(*) AS n_rows, 5e0 AS anomaly_percentage, CAST(0 AS BIGINT) AS scores_out_of_range, "
-    "TRUE AS flagged_score_highest FROM metrics")))
+@register("isolation_forest_report", S.rounded(S.with_ctes(_forest_ctes() + [
+    ("tot", "SELECT count(*) AS total_records, count(*) FILTER (WHERE is_anomaly) AS anomalies_count FROM if_a"),
+    ("top", f"SELECT row_number() OVER (ORDER BY anomaly_score DESC, row_key) AS rank, {_TOP_COLS} FROM if_a "
+            "WHERE is_anomaly ORDER BY anomaly_score DESC, row_key LIMIT 10")],
+    "SELECT 'isolation_forest' AS method, total_records, anomalies_count, "
+    "round(anomalies_count * 100e0 / total_records, 2) AS anomaly_percentage, CAST(rank AS INT) AS rank, row_index, "
+    "anomaly_score, cpu_utilization, memory_usage, network_latency FROM tot CROSS JOIN top"), ["anomaly_score"]))
 def q_isolation_forest_report(spark, sf_dir):
-    """Share of rows that the forest flags, in whole per cent, and whether its scores keep their bounds."""
-    flagged = F.col("is_anomaly")
-    return q_anomaly_isolation_forest(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.round(F.try_divide(100.0 * F.count_if(flagged), F.count(F.lit(1)))).alias("anomaly_percentage"),
-        F.count_if(~F.col("anomaly_score").between(0.0, 1.0)).alias("scores_out_of_range"),
-        (F.min(F.when(flagged, F.col("anomaly_score"))) > F.max(F.when(~flagged, F.col("anomaly_score")))).alias(
-            "flagged_score_highest"))
+    """Count and share of the rows that the forest flags, and the ten that score highest."""
+    scored = forest_scored(spark, sf_dir)
+    tot = scored.agg(F.count(F.lit(1)).alias("total_records"), F.count_if("is_anomaly").alias("anomalies_count"))
+    top = anomaly.top_anomalies(scored, "row_key", 10).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.col("anomaly_score").desc(), "row_key")))  # <= 10 rows
+    top = load_metrics(spark, sf_dir).join(F.broadcast(top.drop("host_id")), "row_key")
+    return round_doubles(F.broadcast(tot).crossJoin(top).select(
+        F.lit("isolation_forest").alias("method"), "total_records", "anomalies_count",
+        F.round(F.try_divide(F.col("anomalies_count") * 100.0, F.col("total_records")), 2).alias("anomaly_percentage"),
+        "rank", F.col("row_key").alias("row_index"), "anomaly_score", "cpu_utilization", "memory_usage", "network_latency"))
+
+
+@register("anomaly_summary", S.rounded(S.with_ctes(_series_ctes() + _z_ctes() + _forest_ctes(), (
+    "SELECT 'statistical' AS method, (SELECT count(*) FROM sa) AS total_anomalies, "
+    "(SELECT count(*) FROM sa WHERE metric = 'cpu') AS cpu_anomalies, "
+    "(SELECT count(*) FROM sa WHERE metric = 'memory') AS memory_anomalies, "
+    "(SELECT round(count(*) FILTER (WHERE is_anomaly) * 100e0 / count(*), 2) FROM zsc) AS zscore_anomaly_percentage, "
+    "(SELECT round(count(*) FILTER (WHERE is_anomaly) * 100e0 / count(*), 2) FROM if_a) AS forest_anomaly_percentage")),
+    []))
+def q_anomaly_summary(spark, sf_dir):
+    sa = series_anomaly_frame(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("total_anomalies"), F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),
+        F.count_if(F.col("metric") == "memory").alias("memory_anomalies"))
+
+    def share(name):
+        return F.round(F.try_divide(F.count_if("is_anomaly") * 100.0, F.count(F.lit(1))), 2).alias(name)
+    z = zscored(spark, sf_dir).agg(share("zscore_anomaly_percentage"))
+    f = forest_scored(spark, sf_dir).agg(share("forest_anomaly_percentage"))
+    return sa.crossJoin(z).crossJoin(f).select(
+        F.lit("statistical").alias("method"), "total_anomalies", "cpu_anomalies", "memory_anomalies",
+        "zscore_anomaly_percentage", "forest_anomaly_percentage")
 
 
 
@@ -1309,7 +1522,7 @@ def q_isolation_forest_report(spark, sf_dir):
 def q_host_health(spark, sf_dir):
     """Which hosts behave abnormally and how loaded are they: per host rows, mean combined load,
     its level, and the count of CPU / memory series anomalies."""
-    pf = prediction_frame(spark, sf_dir)
+    pf = stored(prediction_frame(spark, sf_dir), "predictions")
     load = pf.groupBy("host_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("combined").alias("avg_load"))
     an = series_anomaly_frame(spark, sf_dir, pf).groupBy("host_id").agg(
         F.count_if(F.col("metric") == "cpu").alias("cpu_anomalies"),

@@ -81,7 +81,24 @@ def feature_names(cols=FEAT_SRC) -> list[str]:
     return out + [n for n, _, _ in RATIOS]
 
 
-def processed_ctes() -> list[tuple[str, str]]:
+def ols3_ctes(name: str, xs: list[str], y: str, src: str, where: str) -> list[tuple[str, str]]:
+    """``{name}_w``: intercept w0, weights w1 to w3 and r2 of the least squares of y on three columns, by
+    Cramer's rule on their covariances."""
+    a, b, c = xs
+    cov = {"a12": (a, b), "a13": (a, c), "a23": (b, c), "b1": (a, y), "b2": (b, y), "b3": (c, y)}
+    sums = [f"avg({x}) AS m{i}, var_pop({x}) AS a{i}{i}" for i, x in enumerate(xs, 1)]
+    sums += [f"covar_pop({u}, {v}) AS {n}" for n, (u, v) in cov.items()]
+    det = "(a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13))"
+    w = ["(b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3))",
+         "(a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13))",
+         "(a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13))"]
+    return [(f"{name}_g", f"SELECT {', '.join(sums)}, avg({y}) AS my, var_pop({y}) AS vy, count(*) AS n FROM {src} WHERE {where}"),
+            (f"{name}_v", f"SELECT *, " + ", ".join(f"{e} / {det} AS w{i}" for i, e in enumerate(w, 1)) + f" FROM {name}_g"),
+            (f"{name}_w", "SELECT my - w1 * m1 - w2 * m2 - w3 * m3 AS w0, w1, w2, w3, "
+                          f"(w1 * b1 + w2 * b2 + w3 * b3) / vy AS r2, n FROM {name}_v")]
+
+
+def processed_ctes(src: str = "metrics") -> list[tuple[str, str]]:
     """impute mean -> IQR 1.5 -> features -> residual fill + standard scale (population)."""
     feats = feature_names()
     num_all = NUM + feats
@@ -97,7 +114,7 @@ def processed_ctes() -> list[tuple[str, str]]:
             sel.append(f"(coalesce({d(c)}, mu_{c}) - mu_{c}) / sc_{c} AS {c}")
         else:
             sel.append(f"coalesce({d(c)}, mu_{c}) AS {c}")
-    return (imputed_ctes() + clipped_ctes() + [
+    return (imputed_ctes(src) + clipped_ctes() + [
         ("feat", f"SELECT *, {', '.join(rolling_sql(FEAT_SRC) + ratio_sql())} FROM clipped"),
         ("proc_s", f"SELECT {', '.join(stats)} FROM feat"),
         ("processed", f"SELECT {', '.join(sel)} FROM feat CROSS JOIN proc_s"),

@@ -9,9 +9,8 @@ import __spark_entry__ as entry
 
 from conftest import SF001
 
-NO_ORACLE = {"fit_linear", "fit_random_forest", "fit_gbt", "train_score",
-             "predict_all", "feature_importance_top5", "prediction_samples", "train_two_targets",
-             "anomaly_isolation_forest"}
+NO_ORACLE = {"fit_linear_full", "fit_random_forest", "fit_gbt", "predict_all_forest", "feature_importance_top5",
+             "prediction_samples_forest", "train_two_targets", "deep_forest_importance"}
 
 
 def test_entry_smoke(spark):
@@ -27,7 +26,8 @@ def test_every_query_has_oracle_unless_not_sql(spark):
 
 
 @pytest.mark.parametrize("name", ["host_health", "preprocess_pipeline", "hill_climb", "first_fit_schedule",
-                                  "alert_suppression", "series_anomalies", "histogram_30"])
+                                  "alert_suppression", "series_anomalies", "histogram_30", "fit_linear", "predict_all",
+                                  "anomaly_isolation_forest", "deep_tree_fit", "scan_csv_inferred", "savings_summary"])
 def test_query_matches_oracle_at_sf0001(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders"):
@@ -39,3 +39,11 @@ def test_query_matches_oracle_at_sf0001(spark, name):
     key = lambda df: sorted(tuple("" if v is None or v != v else str(round(v, 5)) if isinstance(v, float)
                                   else str(v) for v in row) for row in df[cols].itertuples(index=False))
     assert key(a) == key(b)
+
+
+def test_optional_parts_that_cannot_be_imported_are_left_out(monkeypatch):
+    def lacking(name):
+        raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+    monkeypatch.setattr(entry.importlib, "import_module", lacking)
+    with pytest.warns(UserWarning, match="left out"):
+        assert entry._optional("metricspark.llm.queries") is None
