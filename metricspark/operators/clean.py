@@ -2,7 +2,8 @@
 
 Each statistic is computed in one aggregate pass over all columns and
 attached to the rows by a broadcast one-row cross join (or per entity with
-``by``), so the result stays one lazy plan without ``collect``.
+``by``), so the result stays one lazy plan without ``collect``.  NaN counts as missing in every
+operator, so a single one does not turn a mean into NaN.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns
+from ..functions.columns import nan_to_null, numeric_columns
 from ..functions.sqlexpr import dcol, dlit, q
 from ..functions.quantile import exact_quantiles, grouped_exact_quantiles
 from ..functions.stats import StatsRef, apply_stats, approx_quantiles, fit_row
@@ -37,6 +38,7 @@ def _grouped_quantile_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str
 def impute_mean_with_counts(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """Mean fill plus the non-NULL count of every filled column (the row count, or 0 for an
     all-NULL column) from the same aggregate pass."""
+    df = nan_to_null(df, cols)
     aggs = [F.avg(F.col(c).cast("double")).alias(f"__f_{c}") for c in cols] + [F.count(F.lit(1)).alias("__n")]
     j, st = apply_stats(df, aggs, ())
     n = int(st.values["__n"] or 0)
@@ -61,6 +63,7 @@ def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = Non
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
+    df = nan_to_null(df, cols)
     if method == "median" and exact and not by:
         med = exact_quantiles(df, cols, [0.5])
         j, st = df, StatsRef({f"__f_{c}": med[(c, 0.5)] for c in cols})
@@ -83,6 +86,7 @@ def clip_iqr(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
+    df = nan_to_null(df, cols)
     if exact and not by:
         qv = exact_quantiles(df, cols, [0.25, 0.75], known_counts=known_counts)
         j, st = df, StatsRef({f"__q{k}_{c}": qv[(c, p)] for c in cols for k, p in ((1, 0.25), (3, 0.75))})
@@ -111,6 +115,7 @@ def replace_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
     cols = _value_cols(df, cols, roles)
     if not cols:
         return df
+    df = nan_to_null(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")

@@ -150,3 +150,18 @@ def test_exact_quantiles_with_ties(spark):
     for r in got.collect():
         for i, c in enumerate(some):
             assert [r[f"q_{i}_0"], r[f"q_{i}_1"]] == pytest.approx(want[r["g"]][c], rel=1e-12), (r["g"], c)
+
+
+def test_one_nan_is_one_missing_value(spark):
+    from metricspark.operators import clean
+    nan = float("nan")
+    df = spark.createDataFrame([(k, nan if k == 0 else None if k == 1 else float(k)) for k in range(20)], "id long, x double")
+    filled = {r.id: r.x for r in clean.impute(df, "mean", ["x"]).collect()}
+    assert filled[0] == filled[1] == sum(range(2, 20)) / 18 and filled[5] == 5.0
+    assert {r.id: r.x for r in clean.impute(df, "median", ["x"]).collect()}[0] == 10.5
+    clipped = {r.id: r.x for r in clean.clip_iqr(df, ["x"]).collect()}
+    assert clipped[0] is None and clipped[19] == 19.0
+    assert {r.id: r.x for r in clean.replace_zscore(df, ["x"], 1.0).collect()}[0] is None
+    assert clean.impute(df, "drop").count() == 18
+    out, counts = clean.impute_mean_with_counts(df, ["x"])
+    assert counts == {"x": 20} and out.where("isnan(x) OR x IS NULL").isEmpty()
