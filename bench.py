@@ -22,6 +22,7 @@ HEADLINE = [
     "host_health", "preprocess_pipeline", "profile_describe", "correlation_matrix", "moving_avg_20",
     "clip_iqr", "anomaly_zscore", "series_anomalies", "slope_forecast", "anomaly_isolation_forest",
     "hill_climb", "first_fit_schedule", "alert_suppression", "stream_alert_suppression", "fit_linear",
+    "fit_random_forest",
 ]
 
 

@@ -87,6 +87,8 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
         folded = folded.checkpoint()
         decided.append(folded.select(group_col, F.explode("__placed").alias("d")).select(
             group_col, F.col("d.id").alias(id_col), F.col("d.slot").alias("slot")))
+        if largest <= chunk:        # one round holds every group whole
+            break
         state = folded.select(group_col, "__slots")
         # A group with very many tasks is spread over several partitions by a salt of the task.
         rest = salted_join(cand, folded.select(group_col, "__last", "__slots"), [group_col], id_col, salts).where(

@@ -16,7 +16,7 @@ from ..operators import anomaly, clean, features, leastsq, predict, profile, sca
 from ..sources import csv as csvsrc
 from ..sources import records
 from ..sources.tables import load_metrics
-from ..session import scratch_path, stored
+from ..session import CACHES, scratch_path, stored
 from . import sqltext as S
 from .order import first_n_per_entity, with_position
 from .pipeline import preprocess
@@ -1252,6 +1252,7 @@ def _split(df, name):
 
 
 _FITTED: dict[tuple, tuple] = {}
+CACHES.append(_FITTED)
 
 
 def fitted_forest(spark, sf_dir, target=CPU):

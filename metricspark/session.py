@@ -58,16 +58,37 @@ def scratch_root(spark: SparkSession) -> str:
     if cp:
         # Spark appends a random sub-folder; its parent is the configured root.
         return os.path.dirname(cp.rstrip("/"))
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="metricspark-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+_SCRATCH: dict[str, list[str]] = {}
+# What modules remember of tables in the scratch folder; forgotten when these are dropped.
+CACHES: list[dict] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared scratch root."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that this application's operators wrote to the shared folder; returns how many there
+    were.  To be called when their results have been used: these read the tables."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for c in CACHES:
+        c.clear()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -79,6 +100,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_ZIP_DIR: tempfile.TemporaryDirectory | None = None
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -91,8 +113,11 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     import metricspark
+    global _ZIP_DIR
     root = os.path.dirname(os.path.abspath(metricspark.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="metricspark-pyfiles-"), "metricspark.zip")
+    # Executors fetch the file from the driver while the application runs; it goes when Python ends.
+    _ZIP_DIR = tempfile.TemporaryDirectory(prefix="metricspark-pyfiles-", ignore_cleanup_errors=True)
+    path = os.path.join(_ZIP_DIR.name, "metricspark.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(root):
             for f in files:
