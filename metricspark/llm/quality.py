@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a cheap predicate over per-document counts.  A bounded sample measures each rule's
-rejection rate and its cost; the rules then run in descending order of rejection per cost, and a
-document leaves at the first rule that rejects it.  The order changes only the work, never the
-verdict: a document is rejected when any rule rejects it.
+Every rule is a predicate over counts of a document, and a count is taken only when a rule asks for it.  A
+bounded sample measures each rule's rejection rate and its cost, its own counts included; the rules then
+run in descending order of rejection per cost, and a document leaves at the first rule that rejects it,
+before the counts of later rules are taken.  The order changes only the work, never the verdict: a
+document is rejected when any rule rejects it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Rows that the order of the cascade is estimated on.  The sample never affects a verdict.
-SAMPLE_ROWS = 500
+#: Rows that the order of the cascade is estimated on, of at most SAMPLE_BYTES each (they are read by the
+#: driver).  The sample never affects a verdict.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 50_000
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -29,17 +32,38 @@ _LETTER_BYTES = bytes(b for b in range(256) if b > 127 or chr(b).isalpha())
 
 @dataclass
 class Doc:
-    """One document with what all rules share; ``codes`` are the hashes of its words."""
+    """One document; ``codes`` are the hashes of its words.  All other counts are taken when asked for."""
 
     text: str
-    raw: bytes
     codes: np.ndarray
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_lines: int
-    n_dup_lines: int
-    n_repeat_words: int
+
+    @property
+    def n_words(self) -> int:
+        return len(self.codes)
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - len(self.raw) + len(self.raw.translate(None, _SPACES))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [s for s in self.raw.split(b"\n") if s.strip(_SPACES)]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return _repeat_words(self.codes)
 
 
 @dataclass(frozen=True)
@@ -70,7 +94,7 @@ def _word_length(d: Doc) -> bool:
 
 def _dup_lines(d: Doc) -> bool:
     """More than half of the lines with a word repeat an earlier one."""
-    return 2 * d.n_dup_lines > d.n_lines
+    return 2 * d.n_dup_lines > len(d.lines)
 
 
 def _runs(d: Doc) -> bool:
@@ -84,6 +108,18 @@ def _letters(d: Doc) -> bool:
     return 5 * len(dense.translate(None, _LETTER_BYTES)) > 2 * len(dense)
 
 
+def _short(d: Doc) -> bool:
+    """Fewer than 50 words."""
+    return d.n_words < 50
+
+
+def _repeats(d: Doc) -> bool:
+    """More than half of the words lie in a 3-word window that the text holds twice."""
+    return 100 * d.n_repeat_words > 50 * d.n_words
+
+
+#: The two rules of the contract's base verdict.
+BASE: tuple[Rule, ...] = (Rule("short", _short), Rule("repeats", _repeats))
 RULES: tuple[Rule, ...] = tuple(Rule(f.__name__[1:], f) for f in (
     _symbols, _capitals, _exclaims, _word_length, _dup_lines, _runs, _letters))
 
@@ -103,51 +139,36 @@ def _repeat_words(codes: np.ndarray) -> int:
 
 
 def measured(texts: list[str | None]) -> Iterator[Doc]:
-    """Counts of each text; a missing text counts as an empty one."""
+    """Each text with its words' hashes; a missing text counts as an empty one."""
     for lo, hi in T.groups(texts):
         hashes, offsets = T.word_hashes(texts[lo:hi], lower=False)
         for i in range(lo, hi):
-            x = texts[i] or ""
-            raw = x.encode("utf-8", "surrogatepass")
-            codes = hashes[offsets[i - lo]:offsets[i - lo + 1]]
-            lines = [s for s in raw.split(b"\n") if s.strip(_SPACES)]
-            yield Doc(x, raw, codes, len(codes), len(x) - len(raw) + len(raw.translate(None, _SPACES)),
-                      len(raw) - len(raw.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)),
-                      _repeat_words(codes))
+            yield Doc(texts[i] or "", hashes[offsets[i - lo]:offsets[i - lo + 1]])
 
 
 def base_failed(d: Doc) -> bool:
-    return d.n_words < 50 or 100 * d.n_repeat_words > 50 * d.n_words
+    return any(r.rejects(d) for r in BASE)
 
 
-def timed(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, float]]:
-    """Texts, rejections and seconds of each rule."""
-    docs = list(measured(texts))
+def timed(texts: list[str | None], rules: tuple[Rule, ...]) -> list[tuple[int, float]]:
+    """Rejections and seconds of each rule, which takes its counts anew."""
     out = []
     for rule in rules:
+        docs = list(measured(texts))
         t0 = time.perf_counter()
         hits = sum(rule.rejects(d) for d in docs)
-        out.append((len(docs), hits, time.perf_counter() - t0))
+        out.append((hits, time.perf_counter() - t0))
     return out
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by descending rejection per cost on a sample of at most SAMPLE_ROWS rows.
-
-    The sample is measured in a task; only three numbers per rule come to the driver.
-    """
-    def run(batches):
-        for b in batches:
-            n, hits, secs = zip(*timed(b.column(0).to_pylist(), rules))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(rules)), pa.int32()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()),
-                 pa.array(secs, pa.float64())], names=["rule", "n", "hits", "secs"])
-
-    got = docs.select(F.col("text").cast("string").alias("text")).limit(SAMPLE_ROWS).mapInArrow(
-        run, "rule int, n long, hits long, secs double").groupBy("rule").agg(
-        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("secs").alias("secs")).collect()
-    gain = {r["rule"]: (r["hits"] / r["n"]) / (r["secs"] / r["n"] + 1e-9) for r in got if r["n"]}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k))]
+    """Base rules and ``rules`` by descending rejection per cost on a sample of at most SAMPLE_ROWS rows,
+    which Spark reads partition by partition until there are enough."""
+    every = BASE + tuple(rules)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = docs.select(text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    gain = [hits / (secs + 1e-9) for hits, secs in timed([r["text"] for r in sample], every)]
+    return [every[k] for k in sorted(range(len(every)), key=lambda k: (-gain[k], k))]
 
 
 def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -167,9 +188,9 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             texts = b.column("text").to_pylist()
             rows = []
             for x in measured(texts):
-                failed = base_failed(x)
-                rows.append((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, failed,
-                             not failed and not any(r.rejects(x) for r in ranked)))
+                # The report holds every count, so here the cascade saves only the other rules' work.
+                rows.append((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, base_failed(x),
+                             not any(r.rejects(x) for r in ranked)))
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id")] + [pa.array(c, pa.int64()) for c in cols[:5]]
@@ -184,7 +205,8 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` (all columns) that no rule rejects; memory as in :func:`verdicts`.
 
-    The verdict is added to each row in the same pass, so no join brings it back.
+    The rows are filtered in the pass that reads them, so no join brings the verdict back.  A missing or empty
+    text has fewer than 50 words and goes; repeated rows are judged alike; no column is added or changed.
     """
     spark = docs.sparkSession
     T.prepared(spark)
@@ -192,8 +214,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = [not base_failed(x) and not any(r.rejects(x) for r in ranked)
-                    for x in measured(b.column("text").to_pylist())]
+            keep = [not any(r.rejects(x) for r in ranked)
+                    for x in measured(b.column("text").cast(pa.string()).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
