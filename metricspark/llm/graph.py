@@ -21,11 +21,12 @@ def components(links: DataFrame) -> DataFrame:
     labels = T.written(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("was"), F.least("label", "m").alias("low"))
+        # The centre of a star and the label of a large component stand in very many rows.
+        near = T.join_unique(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        low = T.written(spark, labels.join(near, labels["node"] == near["a"]).select(
+            "node", F.col("label").alias("was"), F.least("label", "m").alias("low")), "labels")
         step = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        low = low.join(step, "low").select("node", "was", F.least("low", "jump").alias("label"))
+        low = T.join_unique(low, step, "low").select("node", "was", F.least("low", "jump").alias("label"))
         low = T.written(spark, low, "labels")
         labels = low.select("node", "label")
         if low.filter("label <> was").isEmpty():
@@ -45,5 +46,5 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     top = components(between)
     step = top.select(F.col("node").alias("label"), F.col("label").alias("least"))
-    out = labels.join(step, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    out = T.join_unique(labels, step, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
     return T.written(links.sparkSession, out.unionByName(top.join(labels, "node", "left_anti")), "labels")

@@ -153,7 +153,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     two = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
-    return pairs.join(one, "b").join(two, "a").filter(100 * both >= SIMILARITY * union).select("a", "b").distinct()
+    # A node that stands in very many pairs has its pairs dealt to several tasks, each with its set.
+    often_a, often_b = T.frequent(pairs, "a"), T.frequent(pairs, "b")
+    first = T.join_spread(pairs, one, "b", "a", often_b)
+    return T.join_spread(first, two, "a", "b", often_a).filter(100 * both >= SIMILARITY * union).select("a", "b").distinct()
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
@@ -184,8 +187,10 @@ def across(rest: DataFrame, nodes: DataFrame, sets: DataFrame, first_bands: bool
     With ``blocks`` (and columns minority, total) each bucket's two sides are dealt to blocks of BLOCK
     members, and every block meets every other in a task of its own.
 
-    Members of the bucket's largest component, ``main``, meet only those outside it.  Where the key is a band, a pair comes from the first band that it shares, so it is made once.  The
-    bound by parities loses no link.
+    Members of the bucket's largest component, ``main``, meet only those outside it.  Where the key is a
+    band, a pair comes from the first band that it shares, so it is made once.  The bound by parities loses
+    no link.  Without blocks a bucket costs its minority times its members in memory, MINORITY times the
+    members at most; in blocks the same product is spread over as many tasks as pairs of blocks.
     """
     rest = rest.join(sets.select("node", "parity", "half"), "node")
     if first_bands:
@@ -287,9 +292,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are kept; of repeated rows (one doc_id and text), one stays."""
+    """The rows of ``docs`` (all columns) that are kept; of repeated rows (one doc_id and text), one stays.
+
+    Texts without a word are like no other and stay, once for each doc_id; rows without doc_id are judged as in
+    ``near_duplicates``.  Names of inner columns give way to those of ``docs``."""
+    node, digest = T.free_name(docs.columns, "node"), T.free_name(docs.columns, "digest")
     gone = T.written(docs.sparkSession, labelled(docs).filter("node <> label").select(
-        F.col("node").alias("__node")).distinct(), "near-gone")
+        F.col("node").alias(node)).distinct(), "near-gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__node", T.row_id()).withColumn("__digest", F.xxhash64(text))
-    return keyed.join(gone, "__node", "left_anti").dropDuplicates(["__node", "__digest"]).select(*docs.columns)
+    keyed = docs.withColumn(node, T.row_id()).withColumn(digest, F.xxhash64(text))
+    return keyed.join(gone, node, "left_anti").dropDuplicates([node, digest]).select(*docs.columns)

@@ -69,6 +69,48 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it if a column has that name (in any case) already."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Keys with more than 1 / HOT of all rows are frequent: there are at most HOT of them.
+HOT = 1000
+
+
+def frequent(rows: DataFrame, key: str) -> list:
+    """The frequent values of a column of a written table (not the missing one)."""
+    total = rows.count()
+    return [r[0] for r in rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(
+        F.col("count") * HOT > total).select(key).collect()]
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` (a written table) joined, inner or left, with ``table``, which has one short row per key.  Rows
+    of frequent keys meet a broadcast of at most HOT rows; the others are shuffled, so no key brings many
+    rows to one task."""
+    often = frequent(rows, key)
+    if not often:
+        return rows.join(table, key, how)
+    hot = F.coalesce(F.col(key).isin(often), F.lit(False))
+    return rows.filter(hot).join(F.broadcast(table.filter(hot)), key, how).unionByName(
+        rows.filter(~hot).join(table.filter(~hot), key, how))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, other: str, often: list, parts: int = 32) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one long row per key.  The rows of the keys ``often`` (at
+    most HOT) are dealt to ``parts`` tasks by ``other``, and those keys' rows of ``table`` go to each of these."""
+    if not often:
+        return rows.join(table, key)
+    hot = F.col(key).isin(often)
+    dealt = rows.withColumn("part", F.when(hot, F.pmod(F.xxhash64(other), F.lit(parts))).otherwise(0).cast("int"))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn("part", F.explode(copies)), [key, "part"]).drop("part")
+
+
 def id_or_last(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c), F.lit(LAST_ID))
 
