@@ -55,6 +55,17 @@ def test_passages_in_blocks_and_batches(spark, monkeypatch, block_bytes, batch_r
     assert sorted(map(tuple, got)) == removed(rows)
 
 
+def test_the_filter_holds_the_anchors_and_no_others(spark):
+    rng = np.random.default_rng(2)
+    anchors = np.unique(rng.integers(0, 1 << phrases.ANCHOR_BITS, 3000))
+    bits = phrases.anchor_filter(spark.createDataFrame([(int(a),) for a in anchors], "anchor long"), 1 << 22)
+    want = np.zeros(1 << 22, bool)
+    want[anchors & ((1 << 22) - 1)] = True
+    assert (np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool) == want).all()
+    assert not phrases.anchor_filter(spark.createDataFrame([], "anchor long"), 1 << 20).any()
+    assert [phrases.filter_bits(n).bit_length() - 1 for n in (0, 10**9, 10**10, 5 * 10**10, 10**14)] == [28, 28, 29, 31, 31]
+
+
 def test_a_batch_sends_the_windows_of_its_least_document():
     node, at, window = (np.array(v) for v in ([9, 3, 3, 5, 9, 4], [0, 7, 2, 1, 1, 0], [1, 1, 1, 1, 2, 3]))
     first, later = phrases.within_batch(node, at, window)
