@@ -195,7 +195,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans masked in ``text``; ``n_chars``, if there, counts the new text."""
+    """``docs`` with all spans masked in ``text``; ``n_chars``, if there, counts the new text.  Missing and empty
+    texts stay as they are, repeated rows are masked alike, and no other column changes."""
     T.prepared(docs.sparkSession)
 
     def run(batches):
