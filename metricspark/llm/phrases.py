@@ -34,9 +34,15 @@ WINDOW = 13
 ANCHOR = 7
 #: Bits of an anchor that are counted: 40 of them leave few chance repetitions and shorter rows.
 ANCHOR_BITS = 40
-#: Bits of the anchor filter that is sent to each executor (32 MB), whatever the size of the corpus.
-#: With more recurring anchors it lets more windows through to the exact stage; the result is the same.
-FILTER_BITS = 1 << 28
+#: Least and largest number of bits of the anchor filter that is sent to each executor (32 MB and 256 MB), as
+#: powers of two, and bytes of text for each bit.  With more recurring anchors the filter lets more windows
+#: through to the exact stage; the result is the same.
+LEAST_FILTER, LARGEST_FILTER, BYTES_PER_BIT = 28, 31, 25
+#: Spark's setting that frees a query's shuffle files as soon as it has ended: the anchors' are as large as half
+#: of the text, and not needed once the filter is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: 64-bit words of the filter that are put together in one task.
+FILTER_CHUNK = 8192
 #: Text of a block of documents.
 BLOCK_BYTES = 8_000_000
 
@@ -73,14 +79,32 @@ def recurring_anchors(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor")
 
 
-def anchor_filter(anchors: DataFrame) -> np.ndarray:
-    """The filter's 64-bit words; at most FILTER_BITS bits come to the driver."""
-    place = F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1))
-    got = anchors.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(anchor & 63 AS int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint64)
+def filter_bits(size: int) -> int:
+    """Bits of the filter for a corpus of so many bytes."""
+    return 1 << min(LARGEST_FILTER, max(LEAST_FILTER, (size // BYTES_PER_BIT).bit_length()))
+
+
+def anchor_filter(anchors: DataFrame, bits: int) -> np.ndarray:
+    """The filter's 64-bit words.  They come to the driver in chunks, ``bits`` bits in all at most."""
+    def pack(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        place = found["place"].to_numpy()
+        words = np.zeros(FILTER_CHUNK, np.uint64)
+        np.bitwise_or.at(words, (place >> 6) % FILTER_CHUNK, np.uint64(1) << (place & 63).astype(np.uint64))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    place = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    conf = anchors.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        got = anchors.select(place.alias("place"), (place / (64 * FILTER_CHUNK)).cast("int").alias("chunk")).groupBy(
+            "chunk").applyInArrow(pack, "chunk int, words binary").toArrow()
+    finally:
+        conf.set(CLEANUP, before)
+    out = np.zeros((bits // 64 // FILTER_CHUNK, FILTER_CHUNK), np.uint64)
+    for chunk, words in zip(got["chunk"].to_pylist(), got["words"]):
+        out[chunk] = np.frombuffer(words.as_py(), np.uint64)
+    return out.ravel()
 
 
 def within_batch(node: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +118,17 @@ def within_batch(node: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[
 
 
 def candidates(rows: DataFrame, known) -> DataFrame:
-    """The windows whose anchor recurs: ``key``, ``node``, ``at``.  The least document of a batch that holds a
-    window sends it under its hash; the windows of later ones are settled: they have that document as ``first``
-    (and ``first_at``), and a key that spreads them."""
+    """The windows whose anchor recurs, as ``key``, ``node``, ``at``; rows of one key hold one window.
+
+    The least document of a batch that holds a window sends it under its hash.  Where later documents of the
+    batch hold it, too, these stand with that document under a key of their own, which belongs to the batch."""
     def run(batches):
         bits = known.value
         for b in batches:
             nodes = b.column("node").to_numpy()
             node, at, window = ([np.empty(0, t)] for t in (np.int64, np.int32, np.uint64))
             for i, w in _windows(b.column("text").to_pylist()):
-                place = window_anchors(w) & np.uint64(FILTER_BITS - 1)
+                place = window_anchors(w) & np.uint64(64 * len(bits) - 1)
                 hit = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
                 if len(hit):
                     at.append(hit.astype(np.int32))
@@ -113,20 +138,21 @@ def candidates(rows: DataFrame, known) -> DataFrame:
             if not len(node):
                 continue
             first, later = within_batch(node, at, window)
-            key = np.where(later, T.mix(node.view(np.uint64) + at.view(np.uint32)), window)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(node), pa.array(at), pa.array(node[first], mask=~later),
-                 pa.array(at[first], mask=~later)], names=["key", "node", "at", "first", "first_at"])
+            heads = np.unique(first[later])
+            own = T.mix(window ^ T.mix(node[first].view(np.uint64) + at[first].astype(np.uint64)))
+            sent = np.concatenate([np.flatnonzero(~later), np.flatnonzero(later), heads])
+            key = np.concatenate([window[~later], own[later], own[heads]])
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "node": node[sent], "at": at[sent]})
 
-    return rows.select("node", "text").mapInArrow(run, "key long, node long, at int, first long, first_at int")
+    return rows.select("node", "text").mapInArrow(run, "key long, node long, at int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """The windows that stand in an earlier document, too: ``node``, ``at``, and that document's ``first`` and
     ``first_at``."""
     order = Window.partitionBy("key").orderBy("node", "at").rowsBetween(Window.unboundedPreceding, 0)
-    return found.select("node", "at", F.coalesce("first", F.first("node").over(order)).alias("first"),
-                        F.coalesce("first_at", F.first("at").over(order)).alias("first_at")).filter("node > first")
+    return found.select("node", "at", F.first("node").over(order).alias("first"),
+                        F.first("at").over(order).alias("first_at")).filter("node > first")
 
 
 def _runs(batches):
@@ -234,7 +260,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     def block(c):
         return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
 
-    known = spark.sparkContext.broadcast(anchor_filter(recurring_anchors(rows)))
+    known = spark.sparkContext.broadcast(anchor_filter(recurring_anchors(rows), filter_bits(size)))
     runs = repeats(candidates(rows, known)).repartition("node").sortWithinPartitions("node", "at").mapInArrow(
         _runs, "node long, first long, first_at int, size int")
     sought = runs.select(block("first").alias("block"), "first", "first_at", "size", block("node").alias("target")).distinct()
