@@ -38,8 +38,12 @@ class Items:
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         words, offsets = _plain(texts)
         self.vocabulary = np.unique(words)
+        self.low_bits = np.zeros(1 << 18, bool)
+        self.low_bits[self.vocabulary & np.uint64((1 << 18) - 1)] = True
         codes = (np.searchsorted(self.vocabulary, words) + 1).astype(np.int64)
-        all_items = [(i, codes[s:e]) for i, s, e in zip(ids, offsets[:-1], offsets[1:]) if e > s]
+        # Items go by their place in the list: ids may be missing or repeated.
+        self.ids = ids
+        all_items = [(i, codes[s:e]) for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:])) if e > s]
         held = np.zeros(len(self.vocabulary) + 1, np.int64)
         for _, c in all_items:
             held[np.unique(c)] += 1
@@ -56,11 +60,16 @@ class Items:
         """Word numbers; 0 for words of no item."""
         if not len(self.vocabulary):
             return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == words, at + 1, 0)
+        # Most words of the documents leave at a table of the hashes' low bits.
+        places = np.flatnonzero(self.low_bits[words & np.uint64(len(self.low_bits) - 1)])
+        some = words[places]
+        at = np.minimum(np.searchsorted(self.vocabulary, some), len(self.vocabulary) - 1)
+        out = np.zeros(len(words), np.int64)
+        out[places] = np.where(self.vocabulary[at] == some, at + 1, 0)
+        return out
 
-    def leaks(self, texts: list[str | None]) -> list[dict[int | None, tuple[int, int, int]]]:
-        """For each text: item id -> (distance, first word, words) of its closest window."""
+    def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text: place of the item -> (distance, first word, words) of its closest window."""
         out: list[dict] = [{} for _ in texts]
         for lo, hi in T.groups(texts):
             words, offsets = _plain(texts[lo:hi])
@@ -123,12 +132,13 @@ class LengthClass:
         bits, block, after = None, -1, []
         last = self.places[r][-1]
         sampled = set(self.places[r].tolist())
+        sure = int((ends - starts).min(initial=self.size))  # a walk is at most one word a step ahead
         for j in range(last + 1):
             if j // 64 != block:
                 block = j // 64
                 bits = T.mix(np.arange(self.n_words + 1, dtype=np.uint64) ^ self.salts[r, block])
             # Past the end of a window its symbol is 0, as for foreign words.
-            symbol = np.where(at < ends, codes[np.minimum(at, len(codes) - 1)], 0)
+            symbol = codes[at] if j < sure else np.where(at < ends, codes[np.minimum(at, len(codes) - 1)], 0)
             if j in sampled:
                 key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
                 if known is None:
@@ -140,7 +150,7 @@ class LengthClass:
                     rows, at, ends, key, symbol = rows[stay], at[stay], ends[stay], key[stay], symbol[stay]
                     if not len(rows):
                         break
-            at = at + ((bits[symbol] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+            at = at + ((bits >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)[symbol]
         return (after, key) if known is None else (rows, key)
 
     def candidates(self, codes, ends, foreign, telling):
@@ -201,8 +211,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per pair of a document row and an item that it holds: ``doc_id``, ``item_id``,
     ``distance`` (edits), ``first_word`` and ``n_words`` of the closest window (the first of equals).
 
-    Texts and items without a word match nothing; missing ids stay missing; repeated rows each get
-    their rows; other columns are ignored; empty tables give an empty result.
+    Texts and items without a word match nothing; missing ids stay missing; repeated document rows each get
+    their rows; equal items (id and text) count once, and different items without an id or with one id each
+    have a row; other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     T.prepared(spark)
@@ -213,7 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             for b in batches:
                 ids = b.column("doc_id").to_pylist()
-                rows = [(d, i, *v) for d, x in zip(ids, shared.value.leaks(b.column("text").to_pylist()))
+                rows = [(d, shared.value.ids[i], *v) for d, x in zip(ids, shared.value.leaks(b.column("text").to_pylist()))
                         for i, v in x.items()]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
@@ -226,7 +237,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no item."""
+    """The rows of ``docs`` (all columns) that hold no item: missing and empty texts stay, repeated rows are
+    judged alike, and so is everything without items."""
     spark = docs.sparkSession
     T.prepared(spark)
     for items in _passes(benchmark):
