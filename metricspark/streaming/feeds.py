@@ -15,19 +15,26 @@ stopped.
 from __future__ import annotations
 
 import heapq
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import alerts
-from ..session import scratch_path, ship_package
+from ..session import scratch_path
 from ..sources.tables import metrics_from_events
 
 
+# A stateful processor also starts in a Python process of the driver that does not see shipped packages, so
+# this module's classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @dataclass(frozen=True)
 class Place:
     """Where a stream writes and where it remembers how far it has read."""
@@ -120,7 +127,6 @@ def suppressed_alerts_stream(spark: SparkSession, source: str, place: Place, fil
                              window_s: float = alerts.SUPPRESS_SECONDS, watermark: str = "10 seconds") -> DataFrame:
     """Exact where files come in the order of event time (rows inside a micro-batch in any order); alerts
     behind the watermark are dropped."""
-    ship_package(spark)
     al = alerts.threshold_alerts(alerts.metric_feed(events_stream(spark, source, files)))
     al = al.withColumn("us", alerts.epoch_micros(F.col("timestamp"))).withColumn(
         "event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", watermark)
@@ -153,7 +159,6 @@ LAST_SCHEMA = "row_key long, cpu_usage double, memory_usage double, network_traf
 
 def last_n_stream(spark: SparkSession, source: str, place: Place, files: int = 1, n: int = 60, show: int = 20) -> DataFrame:
     """The newest ``n`` records per host, ``shown`` telling of the first ``show``."""
-    ship_package(spark)
     feed = alerts.metric_feed(events_stream(spark, source, files)).select("host_id", *LAST_COLUMNS)
     lists = feed.groupBy("host_id").transformWithState(
         Newest(n, LAST_COLUMNS, LAST_SCHEMA), f"host_id long, rank int, {LAST_SCHEMA}", "Update", "None")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,16 @@ def test_suppression_across_files_and_rows_out_of_order(spark):
     assert kept == {0, 5000, 10000}
     batch = alerts.suppress(alerts.threshold_alerts(alerts.metric_feed(metrics_from_events(spark.read.parquet(path)))))
     assert {r.row_key for r in batch.where("metric = 'network_traffic'").collect()} == kept
+
+
+def test_processors_reach_workers_that_cannot_import_the_package(tmp_path):
+    """The package is on the driver's path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (f"import sys; sys.path.insert(0, {root!r})\n"
+              "from metricspark.session import local_session\n"
+              "from metricspark.plans import queries as Q\n"
+              "spark = local_session(2, 2)\n"
+              f"print('rows', Q.QUERIES['stream_alert_suppression'](spark, {SF001!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 325" in out.stdout, out.stderr[-2000:]
