@@ -72,13 +72,16 @@ def first_fit(tasks: DataFrame, group_col: str = "group_id", id_col: str = "task
         def step(acc, it):
             fits = F.transform(acc["slots"], lambda s: (s["cpu"] + it["__c"] <= cpu_limit)
                                & (s["mem"] + it["__m"] <= mem_limit))
-            idx = F.array_position(fits, True)              # 1-based, 0 = none
-            new_slots = F.transform(acc["slots"], lambda s, k: F.when(
-                k + 1 == idx, F.struct((s["cpu"] + it["__c"]).alias("cpu"), (s["mem"] + it["__m"]).alias("mem")))
-                .otherwise(s))
-            placed = F.concat(acc["placed"], F.array(F.struct(
-                it[id_col].alias("id"), F.when(idx > 0, (idx - 1).cast("int")).alias("slot"))))
-            return F.struct(new_slots.alias("slots"), placed.alias("placed"))
+
+            def put(idx):
+                new_slots = F.transform(acc["slots"], lambda s, k: F.when(
+                    k + 1 == idx, F.struct((s["cpu"] + it["__c"]).alias("cpu"), (s["mem"] + it["__m"]).alias("mem")))
+                    .otherwise(s))
+                placed = F.concat(acc["placed"], F.array(F.struct(
+                    it[id_col].alias("id"), F.when(idx > 0, (idx - 1).cast("int")).alias("slot"))))
+                return F.struct(new_slots.alias("slots"), placed.alias("placed"))
+            # The place (1-based, 0 = none) is bound to a name: written out, it is searched anew for every slot.
+            return F.transform(F.array(F.array_position(fits, True)), put)[0]
 
         init = F.struct(start.alias("slots"),
                         F.array().cast(f"array<struct<id:{tasks.schema[id_col].dataType.simpleString()},slot:int>>").alias("placed"))

@@ -1,5 +1,6 @@
 """Hill climbing and first-fit packing properties; packing against a plain Python first-fit."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from metricspark.operators import packing, rightsize
@@ -115,3 +116,18 @@ def test_a_group_with_most_tasks_is_spread(spark, monkeypatch):
     plain = sorted(map(tuple, packing.first_fit(tasks, chunk=16).collect()))
     monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
     assert sorted(map(tuple, packing.first_fit(tasks, chunk=16).collect())) == plain
+
+
+def test_a_task_searches_its_slot_once(spark):
+    """The place is bound to a name: the search over the slots does not stand inside their update."""
+    tasks = spark.range(40).selectExpr("id % 3 AS group_id", "id AS task_id", "30D AS cpu_req", "10D AS memory_req", "1 AS priority")
+    seen = []
+
+    def kept(df, *a, _checkpoint=type(tasks).checkpoint, **kw):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return _checkpoint(df, *a, **kw)
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(type(tasks), "checkpoint", kept)
+        got = {r.task_id: r.slot for r in packing.first_fit(tasks, slots=4).collect()}
+    assert seen and all(p.count("array_position") == 1 for p in seen)
+    assert got == {k: (k // 3) // 2 if k // 3 < 8 else None for k in range(40)}
