@@ -5,9 +5,9 @@ its sink and checkpoint as paths, so a query that is started again with the same
 stopped.
 
 * ``metric_feed_stream`` – dashboard records, stateless, into Spark's exactly-once file sink.
-* ``suppressed_alerts_stream`` – threshold alerts; a stateful processor keyed by (host, message) holds the
-  time of the last kept alert in value state, and an event-time timer removes it once the watermark has
-  passed the suppression window, so state is bounded by the keys of the last seconds.
+* ``suppressed_alerts_stream`` – threshold alerts; a stateful processor holds the time of the last kept alert
+  of every (host, message) in the list state of the key's shard, and event-time timers remove those whose
+  suppression window the watermark has passed, so state is bounded by the keys of the last seconds.
 * ``last_n_stream`` – the newest n records per host in list state of at most n rows; every micro-batch
   writes the lists that it changed to a folder of its own number, so a replayed batch changes nothing.
 """
@@ -86,39 +86,56 @@ def metric_feed_stream(spark: SparkSession, source: str, place: Place, files: in
 
 
 class Suppression(StatefulProcessor):
-    """Alerts of one (host, message): one is kept unless a kept one is less than ``window_us`` older."""
+    """Alerts of one shard of the keys (host, message): of a key's alerts one is kept unless a kept one is less
+    than ``window_us`` older.  The state is the shard's list of keys with the time of their last kept alert, so a
+    micro-batch costs a few state calls a shard, however many keys it has."""
 
     def __init__(self, window_us: int):
         self.window_us = window_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+        self.last = handle.getListState("last", "host_id long, message string, us long")
+
+    def held(self) -> dict:
+        return {(r[0], r[1]): r[2] for r in self.last.get()} if self.last.exists() else {}
+
+    def hold(self, last: dict, timerValues) -> None:
+        """Keep the times whose window the watermark has not passed."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        live = [(*key, us) for key, us in last.items() if (us + self.window_us) // 1000 >= mark]
+        if live:
+            self.last.put(live)
+        else:
+            self.last.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r["us"], r["row_key"]))
-        times = [r["us"] for r in ordered]
-        held = self.last.get() if self.last.exists() else None
-        # From one kept alert straight to the first one that it does not suppress.
-        k = 0 if held is None else bisect_left(times, held[0] + self.window_us)
-        kept = []
-        while k < len(times):
-            kept.append(ordered[k])
-            k = bisect_left(times, times[k] + self.window_us, k + 1)
-        if kept:
-            self.last.update((kept[-1]["us"],))
-            self.handle.registerTimer((kept[-1]["us"] + self.window_us) // 1000 + 1)
-        for r in kept:
-            yield Row(**{c: r[c] for c in ALERT_COLUMNS})
+        last, by_key, newest = self.held(), {}, None
+        for r in rows:
+            by_key.setdefault((r["host_id"], r["message"]), []).append(r)
+        for each, found in by_key.items():
+            found.sort(key=lambda r: (r["us"], r["row_key"]))
+            times = [r["us"] for r in found]
+            # From one kept alert straight to the first one that it does not suppress.
+            k = bisect_left(times, last[each] + self.window_us) if each in last else 0
+            while k < len(times):
+                last[each] = times[k]
+                newest = times[k] if newest is None else max(newest, times[k])
+                yield Row(**{c: found[k][c] for c in ALERT_COLUMNS})
+                k = bisect_left(times, times[k] + self.window_us, k + 1)
+        if newest is not None:
+            self.hold(last, timerValues)
+            self.handle.registerTimer((newest + self.window_us) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # A later alert may have been kept since; its own timer is still to come.
-        if self.last.exists() and (self.last.get()[0] + self.window_us) // 1000 < timerValues.getCurrentWatermarkInMs():
-            self.last.clear()
+        # Later alerts may have been kept since; their own timer is still to come.
+        self.hold(self.held(), timerValues)
         return iter([])
 
 
 ALERT_COLUMNS = ["row_key", "host_id", "timestamp", "metric", "message", "severity"]
+#: Keys are dealt to so many shards, each with a state of its own.
+SUPPRESSION_SHARDS = 1024
 ALERT_SCHEMA = ("row_key long, host_id long, timestamp timestamp_ntz, metric string, message string, "
                 "severity string")
 
@@ -130,7 +147,8 @@ def suppressed_alerts_stream(spark: SparkSession, source: str, place: Place, fil
     al = alerts.threshold_alerts(alerts.metric_feed(events_stream(spark, source, files)))
     al = al.withColumn("us", alerts.epoch_micros(F.col("timestamp"))).withColumn(
         "event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", watermark)
-    kept = al.groupBy("host_id", "message").transformWithState(
+    al = al.withColumn("shard", F.pmod(F.xxhash64("host_id", "message"), F.lit(SUPPRESSION_SHARDS)))
+    kept = al.groupBy("shard").transformWithState(
         Suppression(int(window_s * 1_000_000)), ALERT_SCHEMA, "Append", "EventTime")
     return _written(kept, place)
 

@@ -116,3 +116,37 @@ def test_processors_reach_workers_that_cannot_import_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 325" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_shard_holds_the_times_of_all_its_keys():
+    """Many keys cost one read and one write of the shard's list; passed windows are dropped, others stay."""
+    class Held:
+        rows, calls = [], 0
+        def exists(self): self.calls += 1; return bool(self.rows)
+        def get(self): self.calls += 1; return iter(self.rows)
+        def put(self, rows): self.calls += 1; self.rows = rows
+        def clear(self): self.calls += 1; self.rows = []
+
+    class Handle:
+        held, timers = Held(), []
+        def getListState(self, *_): return self.held
+        def registerTimer(self, ms): self.timers.append(ms)
+
+    class Mark:
+        ms = 0
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    def alert(k, host, us):
+        return dict(row_key=k, host_id=host, timestamp=us, metric="m", message="x", severity="s", us=us)
+
+    p, handle, mark = feeds.Suppression(5_000_000), Handle(), Mark()
+    p.init(handle)
+    first = [alert(k, k % 500, (k // 500) * 3_000_000) for k in range(1500)]      # each host at 0, 3 and 6 s
+    got = sorted(r.row_key for r in p.handleInputRows((0,), iter(first[::-1]), mark))
+    assert got == [*range(500), *range(1000, 1500)]
+    assert handle.held.calls < 5 and len(handle.timers) == 1 and len(handle.held.rows) == 500
+    later = [alert(2000, 0, 10_999_999), alert(2001, 1, 11_000_000), alert(2002, None, 11_000_000)]
+    assert sorted(r.row_key for r in p.handleInputRows((0,), iter(later), mark)) == [2001, 2002]
+    mark.ms = 11_500                                                                # the first ones' windows end at 11 s
+    assert not list(p.handleExpiredTimer((0,), mark, None))
+    assert sorted(handle.held.rows, key=str) == [(1, "x", 11_000_000), (None, "x", 11_000_000)]
