@@ -4,6 +4,9 @@ Kinds: ``linear`` (OLS, normal equations), ``random_forest`` (100 trees, all
 features per split, seed 42) and ``gradient_boosting`` (100 rounds, step 0.1,
 depth 3, seed 42).  Training data should be materialised once
 (``checkpoint``) because every MLlib pass re-reads it.
+
+A random forest of more than MANY_ROWS rows is fitted by ``histforest``: the same forest
+with other random draws, and passes that cost far less a row.
 """
 
 from __future__ import annotations
@@ -16,8 +19,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import histforest
 from .predict import regression_metrics
 
+#: Rows up to which MLlib fits a random forest.
+MANY_ROWS = 50_000
+
 KINDS = ("linear", "random_forest", "gradient_boosting")
 
 
@@ -34,19 +41,23 @@ def make_regressor(kind: str, label: str, seed: int = 42, num_trees: int = 100,
     raise ValueError(f"unknown model kind {kind!r}; use one of {KINDS}")
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "linear", **kw) -> PipelineModel:
+def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "linear", **kw) -> PipelineModel | histforest.HistForest:
+    if kind == "random_forest" and df.count() > MANY_ROWS:
+        return histforest.fit(df, features, label, kw.get("num_trees", 100), kw.get("max_depth", 10), seed=kw.get("seed", 42))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[assembler, make_regressor(kind, label, **kw)]).fit(df)
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def predict(model: PipelineModel | histforest.HistForest, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    if isinstance(model, histforest.HistForest):
+        return model.predict(df, keep)
     out = model.transform(df)
     return out.select(*keep, "prediction") if keep else out.drop("features")
 
 
-def evaluate(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+def evaluate(model: PipelineModel | histforest.HistForest, df: DataFrame, label: str) -> DataFrame:
     """MAE, RMSE, R^2 (one aggregate)."""
-    return regression_metrics(model.transform(df), label, "prediction")
+    return regression_metrics(predict(model, df, [label]), label, "prediction")
 
 
 def coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
@@ -56,9 +67,10 @@ def coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "ordinal int, term string, coefficient double")
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], top: int | None = 5) -> DataFrame:
+def feature_importance(model: PipelineModel | histforest.HistForest, features: Sequence[str], top: int | None = 5) -> DataFrame:
     """Tree-model importances sorted descending (top n)."""
-    imp = model.stages[-1].featureImportances.toArray()
+    forest = isinstance(model, histforest.HistForest)
+    imp = model.importances() if forest else model.stages[-1].featureImportances.toArray()
     df = SparkSession.getActiveSession().createDataFrame(
         [(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
     df = df.orderBy(F.col("importance").desc(), F.col("feature"))
