@@ -84,25 +84,29 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
             break
         if done == max_rounds:
             raise RuntimeError(f"exact quantiles: more than {small} candidates left after {max_rounds} rounds")
-        sketch = []
-        for j, t in enumerate(big):
-            k, m, margin = t["r"] - t["below"], t["m"], 2.0 / accuracy
-            sketch.append(f"percentile_approx(CASE WHEN {inside(t)} THEN {value(t['ci'])} END, "
-                          f"array({dlit(max(0.0, k / m - margin))}, {dlit(min(1.0, (k + 1) / m + margin))}), "
-                          f"{accuracy}) AS s{j}")
+        # One sketch an interval, however many ranks lie in it, and each count once.
+        sharing: dict[tuple, list[dict]] = {}
+        for t in big:
+            sharing.setdefault((t["ci"], t["a"], t["b"]), []).append(t)
+        sketch, margin = [], 2.0 / accuracy
+        for j, ts in enumerate(sharing.values()):
+            shares = [dlit(x) for t in ts for x in (max(0.0, (t["r"] - t["below"]) / t["m"] - margin),
+                                                    min(1.0, (t["r"] - t["below"] + 1) / t["m"] + margin))]
+            sketch.append(f"percentile_approx(CASE WHEN {inside(ts[0])} THEN {value(ts[0]['ci'])} END, "
+                          f"array({', '.join(shares)}), {accuracy}) AS s{j}")
         row = df.agg(*[F.expr(s) for s in sketch]).first()
-        brackets = [tuple(row[f"s{j}"]) for j in range(len(big))]
-        cnt = []
-        for j, (t, (a, b)) in enumerate(zip(big, brackets)):
+        brackets = [(t, *row[f"s{j}"][2 * i:2 * i + 2]) for j, ts in enumerate(sharing.values()) for i, t in enumerate(ts)]
+        cnt: dict[str, str] = {}
+        wanted_counts = []
+        for t, a, b in brackets:
             v, within = value(t["ci"]), inside(t)
-            for name, cond in (("lt", f"{v} < {dlit(a)}"), ("ea", f"{v} = {dlit(a)}"),
-                               ("in", f"{v} > {dlit(a)} AND {v} < {dlit(b)}"),
-                               ("eb", f"{v} = {dlit(b)} AND {v} > {dlit(a)}")):
-                cnt.append(f"count_if({within} AND {cond}) AS {name}{j}")
-        row = df.agg(*[F.expr(s) for s in cnt]).first()
-        for j, (t, (a, b)) in enumerate(zip(big, brackets)):
+            conds = (f"{v} < {dlit(a)}", f"{v} = {dlit(a)}", f"{v} > {dlit(a)} AND {v} < {dlit(b)}",
+                     f"{v} = {dlit(b)} AND {v} > {dlit(a)}")
+            wanted_counts.append([cnt.setdefault(f"count_if({within} AND {c})", f"c{len(cnt)}") for c in conds])
+        row = df.agg(*[F.expr(f"{e} AS {name}") for e, name in cnt.items()]).first()
+        for (t, a, b), names in zip(brackets, wanted_counts):
             k = t["r"] - t["below"]
-            lt, ea, within, eb = (row[f"{x}{j}"] for x in ("lt", "ea", "in", "eb"))
+            lt, ea, within, eb = (row[x] for x in names)
             if k < lt:
                 t.update(b=a, m=lt)
             elif k < lt + ea:

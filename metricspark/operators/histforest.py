@@ -91,12 +91,14 @@ class Tree:
     split: np.ndarray | None = None     # places in the level before whose nodes were split
     small: np.ndarray | None = None     # the smaller child of each (0: left)
 
-    def reached(self, bins: np.ndarray, rows: np.ndarray, steps: int) -> np.ndarray:
-        """Nodes of rows of a block after so many steps."""
-        flat, begin, at = bins.reshape(-1), self.feature * bins.shape[1], np.zeros(len(rows), np.int64)
+    def reached(self, by_row: np.ndarray, rows: np.ndarray, steps: int) -> np.ndarray:
+        """Nodes of rows of a block (its bins, a row's together) after so many steps.  The right child comes next to
+        the left one, and no bin is above a leaf's cut."""
+        flat, begin, at = by_row.reshape(-1), rows * by_row.shape[1], np.zeros(len(rows), np.int64)
+        left = self.child[::2].copy()
         for _ in range(steps):
-            right = flat.take(begin.take(at) + rows) > self.cut.take(at)
-            at = self.child.take(2 * at + right)
+            right = flat.take(self.feature.take(at) + begin) > self.cut.take(at)
+            at = left.take(at) + right
         return at
 
     def counted(self) -> tuple[np.ndarray, int]:
@@ -144,7 +146,7 @@ class HistForest:
         def run(batches):
             splits, trees, depth, base, unit = shared.value
             for b in batches:
-                bins = binned(_matrix(b.column("__x"), len(splits)), splits)
+                bins = np.ascontiguousarray(binned(_matrix(b.column("__x"), len(splits)), splits).T)
                 each, total = np.arange(b.num_rows), np.zeros(b.num_rows)
                 for t in trees:
                     total += t.value.take(t.reached(bins, each, depth))
@@ -208,17 +210,18 @@ def _counted(blocks: DataFrame, shared, width: int, level: int, seed: int, boots
     """Histograms (drawn rows and sum of their labels by node and bin) of each task's blocks, a row per tree and
     feature."""
     def run(batches):
-        held = [(k, np.frombuffer(x, np.uint8).reshape(width, n), np.frombuffer(y)) for b in batches
-                for k, n, x, y in zip(*(b.column(c).to_pylist() for c in ("block", "n", "bins", "y")))]
+        held = [(k, bins, np.ascontiguousarray(bins.T), np.frombuffer(y)) for b in batches
+                for k, n, x, y in zip(*(b.column(c).to_pylist() for c in ("block", "n", "bins", "y")))
+                for bins in (np.frombuffer(x, np.uint8).reshape(width, n),)]
         for number, tree in enumerate(shared.value if held else []):
             place, nodes = tree.counted()
             if not nodes:
                 continue
             out = np.zeros((width, 2, nodes * BINS), np.int64)
-            for block, bins, y in held:
+            for block, bins, by_row, y in held:
                 w = drawn(seed, block, number, len(y)) if bootstrap else np.ones(len(y), np.uint8)
                 rows = np.flatnonzero(w)
-                at = place.take(tree.reached(bins, rows, level))
+                at = place.take(tree.reached(by_row, rows, level))
                 use = at >= 0
                 rows, at = rows[use], at[use] * BINS
                 w = w.take(rows).astype(np.float64)

@@ -8,7 +8,7 @@ projection over the source scan.  For training, materialise it once
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -23,6 +23,10 @@ from ..operators.scale import ScalerModel, scale_stat_aggs
 from .order import DEFAULT_BUCKET_WIDTHS
 
 
+#: Columns of stored rows in one aggregate: it stays below the 100 fields up to which Spark compiles it whole.
+STAT_COLUMNS = 12
+
+
 @dataclass
 class Preprocessed:
     df: DataFrame
@@ -51,7 +55,10 @@ class Preprocessed:
 def preprocess(df: DataFrame, entity_cols: Sequence[str] = ("host_id",), order_col: str = "row_key",
                label_col: str = "status", time_col: str = "timestamp", iqr_threshold: float = 1.5,
                method: str = "standard", window: int = 3, exact: bool = True,
-               bucket_widths=DEFAULT_BUCKET_WIDTHS) -> Preprocessed:
+               bucket_widths=DEFAULT_BUCKET_WIDTHS,
+               store: Callable[[DataFrame], DataFrame] | None = None) -> Preprocessed:
+    """``store`` writes the rows with their features and reads them back: the statistics and the readers of the
+    result then need no window of their own."""
     entity_cols = list(entity_cols)
     roles = [*entity_cols, order_col]
     num = numeric_columns(df, exclude=roles)               # includes the label
@@ -59,15 +66,20 @@ def preprocess(df: DataFrame, entity_cols: Sequence[str] = ("host_id",), order_c
     s2 = clip_iqr(s1, cols=num, threshold=iqr_threshold, exact=exact, known_counts=counts)
     s3 = engineer_features(s2, entity_cols, order_col, cols=[c for c in num if c != label_col],
                            roles=roles, window=window, bucket_widths=bucket_widths)
+    if store is not None:
+        s3 = store(s3)
     num_all = numeric_columns(s3, exclude=roles)
     scale_cols = [c for c in num_all if c not in (label_col, time_col)]
     fill_only = [c for c in num_all if c not in scale_cols]
-    # Pass 3: residual mean fill and scaler statistics of the filled columns, one aggregate.
-    aggs = scale_stat_aggs(scale_cols, method, fill_mean=True)
-    if method != "standard":
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in scale_cols]
-    aggs += [F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in fill_only]
-    st = fit_row(s3, aggs)
+    # Pass 3: residual mean fill and scaler statistics of the filled columns, one aggregate; of stored rows one
+    # for each few columns.
+    st, step = {}, STAT_COLUMNS if store is not None else max(1, len(num_all))
+    for at in range(0, len(num_all), step):
+        some = num_all[at:at + step]
+        aggs = scale_stat_aggs([c for c in some if c in scale_cols], method, fill_mean=True)
+        means = some if method != "standard" else [c for c in some if c in fill_only]
+        aggs += [F.avg(F.col(c).cast("double")).alias(f"__mu_{c}") for c in means]
+        st |= fit_row(s3, aggs)
 
     def p(name):
         return dlit(st.get(name))

@@ -1242,9 +1242,13 @@ RF_TREES, RF_DEPTH, GBT_ITERS = 100, 10, 100
 
 
 def training_frame(spark, sf_dir):
-    """Preprocessed rows with the split label, written once to the shared folder, and the pipeline."""
-    p = preprocess(learning_metrics(spark, sf_dir))
-    return stored(p.df.withColumn("split", split_expr()), "training"), p
+    """Preprocessed rows with the split label, and the pipeline.  Their features are written once to the shared
+    folder; scaling them is left to the readers.  Many rows are dealt evenly first, whatever the files' row groups."""
+    m = learning_metrics(spark, sf_dir)
+    if m.count() > models.MANY_ROWS:
+        m = stored(m.repartition(2 * spark.sparkContext.defaultParallelism, ORDER), "learning-metrics")
+    p = preprocess(m, store=lambda df: stored(df, "training"))
+    return p.df.withColumn("split", split_expr()), p
 
 
 def _split(df, name):

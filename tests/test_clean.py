@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,15 @@ def test_one_nan_is_one_missing_value(spark):
     assert clean.impute(df, "drop").count() == 18
     out, counts = clean.impute_mean_with_counts(df, ["x"])
     assert counts == {"x": 20} and out.where("isnan(x) OR x IS NULL").isEmpty()
+
+
+def test_ranks_of_an_interval_share_a_sketch_and_counts(spark, monkeypatch):
+    from metricspark.functions import quantile
+    seen, expr = [], quantile.F.expr
+    monkeypatch.setattr(quantile.F, "expr", lambda s: (seen.append(s), expr(s))[1])
+    df = spark.range(1000).selectExpr("cast(id AS double) AS a", "cast(id * id AS double) AS b")
+    got = quantile.exact_quantiles(df, ["a", "b"], [0.25, 0.75], small=300, accuracy=100, direct_max=0)
+    ref = {c: np.percentile([float(i) ** k for i in range(1000)], [25, 75]) for c, k in (("a", 1), ("b", 2))}
+    assert got == pytest.approx({(c, p): ref[c][i] for c in ref for i, p in enumerate((0.25, 0.75))})
+    counts = [s.rsplit(" AS ", 1)[0] for s in seen if s.startswith("count_if")]
+    assert sum("percentile_approx" in s for s in seen) == 2 and len(counts) == len(set(counts))

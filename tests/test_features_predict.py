@@ -84,3 +84,41 @@ def test_feature_columns_keep_or_drop_target_derived(spark):
     assert "cpu_utilization_lag1" not in drop and "cpu_memory_ratio" not in drop
     assert "cpu_utilization" not in keep and "status" not in keep and "row_key" not in keep
     assert "memory_usage_lag1" in drop
+
+
+def _events(spark, path, n=400):
+    """A hot host, a missing host, missing values."""
+    spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id AS int)) AS ts",
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE id % 20 END AS user_id",
+        "CASE WHEN id % 9 = 0 THEN 'error' ELSE 'view' END AS event_type",
+        "CASE WHEN id % 31 = 0 THEN NULL ELSE cast((id * 7919) % 500 AS double) END AS value",
+        "concat('{\"k\": ', (id * 31) % 90, '}') AS props").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_stored_features_give_the_same_rows_without_a_window(spark, tmp_path):
+    from metricspark.plans.pipeline import STAT_COLUMNS, preprocess
+    from metricspark.session import stored
+    from metricspark.sources.tables import load_metrics
+    m = load_metrics(spark, _events(spark, tmp_path))
+    plain, kept = preprocess(m), preprocess(m, store=lambda df: stored(df, "test-features"))
+    assert kept.df.columns == plain.df.columns and len(plain.scaler.cols) > STAT_COLUMNS
+    assert kept.scaler.params == pytest.approx(plain.scaler.params, rel=1e-12)
+    a, b = ([tuple(r) for r in p.df.drop("timestamp").orderBy("row_key").collect()] for p in (plain, kept))
+    assert len(a) == 400 and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b, strict=True))
+    plans = [p.df._jdf.queryExecution().executedPlan().toString() for p in (plain, kept)]
+    assert "Window" in plans[0] and "Window" not in plans[1]
+
+
+def test_training_rows_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    from metricspark.plans import queries
+    d = _events(spark, tmp_path)
+    few, _ = queries.training_frame(spark, d)
+    made = []
+    monkeypatch.setattr(queries, "stored", lambda df, name, f=queries.stored: (made.append((name, df.rdd.getNumPartitions())), f(df, name))[1])
+    monkeypatch.setattr(queries.models, "MANY_ROWS", 100)
+    many, _ = queries.training_frame(spark, d)
+    assert made[0] == ("learning-metrics", 2 * spark.sparkContext.defaultParallelism) and made[1][0] == "training"
+    a, b = ([tuple(r) for r in df.drop("timestamp").orderBy("row_key").collect()] for df in (few, many))
+    assert len(a) == 400 and all(x[-1] == y[-1] and x[:-1] == pytest.approx(y[:-1], abs=1e-9) for x, y in zip(a, b, strict=True))
